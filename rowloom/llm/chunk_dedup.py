@@ -1,10 +1,10 @@
 """Exact duplicates by content-defined chunk recipes, with DataFrame functions only.
 
-Each text (runs of ``[\\x20\\x09-\\x0D]`` made one space) is cut where its content says so: after a
-space that follows one of a few letter endings, between ``MIN_CHUNK`` and ``MAX_CHUNK`` characters
-from the cut before. Equal texts so have equal chunks. A chunk's identifier is its 64-bit
-fingerprint plus a rank; ranks other than 0 exist only where different contents share a
-fingerprint, which is found by comparing the distinct contents of all chunks once. Documents are
+Each text (runs of ``[\\x20\\x09-\\x0D]`` made one space) is cut where its content says so: behind a
+window of eight characters that meets a fixed condition, between ``MIN_CHUNK`` and ``MAX_CHUNK``
+characters from the cut before, so texts that differ at one place fall into step again behind it,
+and equal texts have equal chunks. A chunk's identifier is its 64-bit fingerprint plus a rank;
+ranks other than 0 exist only where different contents share a fingerprint, which is found by comparing the distinct contents of all chunks once. Documents are
 then compared by their ordered lists of identifiers, a few bytes for each kilobyte of text; texts
 are dealt out once, as distinct chunks, and never again.
 
@@ -22,10 +22,17 @@ from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_partitions
 
-MIN_CHUNK, MAX_CHUNK = 192, 4096
-#: A cut follows these: about one word in eight of most alphabetic texts.
-CUT_AFTER = r"[adgkmty]['.,;:!?)]? "
-CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?(?:{CUT_AFTER})|.{{1,{MAX_CHUNK}}}"
+MIN_CHUNK, MAX_CHUNK = 128, 4096
+
+
+def _class(bit: int) -> str:
+    """ASCII characters whose code has this bit, and all others."""
+    return "[" + "".join(f"\\x{c:02x}" for c in range(32, 127) if c >> bit & 1) + r"\x80-\x{10FFFF}]"
+
+
+#: A cut follows eight characters whose codes have these bits: one place in 256 of mixed text.
+CUT_AFTER = "".join(_class(bit) for bit in (0, 1, 2, 0, 1, 3, 0, 1))
+CHUNK = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?{CUT_AFTER}|.{{1,{MAX_CHUNK}}}"
 
 
 def normalised(text: Column) -> Column:

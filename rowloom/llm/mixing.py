@@ -18,7 +18,7 @@ number of documents. All randomness is a function of the seed and ids, so reruns
 Defined cases: null texts have size 0; a source whose texts are all empty has target 0 and takes
 nothing; an empty table gives an empty result; repeated doc_ids are taken or left together; a
 null doc_id is an id of its own; columns other than those named aren't used for the decision, and
-``mix`` returns them unchanged.
+``mix`` returns them unchanged (but for its own two).
 """
 
 from __future__ import annotations
@@ -144,12 +144,12 @@ def plan(docs: DataFrame, doc_id="doc_id", text="text", source="source", seed: i
 
 def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", seed: int = SEED, shards: int = SHARDS) -> DataFrame:
     """The mix itself: rows of docs, each as often as the plan takes it, with ``mix_shard`` and
-    ``mix_order``, the place in its shard."""
+    ``mix_order``, the place in its shard; older columns of these names give way."""
     p = plan(docs, doc_id, text, source, seed, shards)
     p = p.where("copies > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source")).agg(
         F.max("copies").alias("copies"), F.first("first_shard").alias("s0"), F.first("second_shard").alias("s1")
     )
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("mix_shard", "mix_order")]).alias("row"))
     rows = row.join(p, F.col(f"row.`{doc_id}`").eqNullSafe(F.col("mix_id")) & F.col(f"row.`{source}`").cast("string").eqNullSafe(F.col("mix_source")))
     shard = F.explode(F.slice(F.filter(F.array("s0", "s1"), lambda x: x.isNotNull()), F.lit(1), F.col("copies")))
     rows = rows.select("row", shard.alias("mix_shard")).select("row.*", "mix_shard")
