@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import materialise, shuffle_partitions, words
 from .hyperminhash import mix64
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 14 << 20
 #: Training documents whose crc32 modulo this is 0 are held out for the weights.
 SLICE_OF = 11
 KEYS_OF_RANGE = 1_500_000
