@@ -1,13 +1,597 @@
-"""Registered queries."""
+"""Registered queries over the given tables, each with its SQL twin where SQL can say it."""
 
+from __future__ import annotations
 
-def augment_orders(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .. import diff
+from ..functions import rng
+from ..functions.names import normalise_column
+from ..functions.rng import sql_uniform as U
+from ..functions.values import PLACES, SAFE_DOMAINS, Ctx, ipv4, uuid4
+from ..operators import cardinality, coherence, existing, generate, mapping, plan, unique
+from ..operators.prefix import ordinals
+from ..schema import Column, ForeignKey, Kind, Schema, Table, columns_frame, edges_frame, excluded, glob_regex, table_from_frame
+from ..sinks import sqltext
+from ..sources.catalog import literals_column
 
-def queries():
-    return {}
+SEED, REF = 42, 1735689600
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+KEYS = [
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"), ("labels", "doc_id", "documents", "doc_id"), ("events", "user_id", "customer", "c_custkey"),
+]
+PRIMARY = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "documents": "doc_id", "events": "event_id", "pages": "page_id", "benchmark": "item_id", "embeddings": "vec_id"}
+SEGMENTS = ["new", "paid", "sent", "done"]
 
 
-def oracle_sql():
-    return {}
+def read(spark: SparkSession, d: str, t: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{t}.parquet")
+
+
+def given_schema(spark: SparkSession, d: str) -> Schema:
+    fks = lambda t: tuple(ForeignKey((c,), p, (r,), virtual=True) for x, c, p, r in KEYS if x == t)
+    return Schema.of(*(table_from_frame(t, read(spark, d, t), (PRIMARY[t],) if t in PRIMARY else (), fks(t)) for t in TABLES))
+
+
+def rows(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("row"))
+
+
+def u(table: str, column: str, row="row", draw=0):
+    return rng.uniform(SEED, table, column, F.col(row), draw)
+
+
+def micros(x, digits: int = 6):
+    return F.floor(x * F.lit(10.0**digits) + F.lit(0.5)).cast("long")
+
+
+def sql_micros(x: str, digits: int = 6) -> str:
+    return f"floor(({x}) * 1e{digits} + 0.5)::BIGINT"
+
+
+def augment_orders(spark: SparkSession, d: str) -> DataFrame:
+    """100 more orders: next keys, sampled customers, prices, statuses."""
+    orders, customer = read(spark, d, "orders"), read(spark, d, "customer")
+    schema = Schema.of(
+        Table("customer", (Column("c_custkey", Kind.BIGINT),), ("c_custkey",)),
+        Table("orders", (Column("o_orderkey", Kind.BIGINT, auto_increment=True, nullable=False), Column("o_custkey", Kind.BIGINT, nullable=False), Column("o_status", Kind.TEXT, nullable=False, values=tuple(SEGMENTS)), Column("o_cents", Kind.BIGINT, nullable=False)), ("o_orderkey",), (ForeignKey(("o_custkey",), "customer", ("c_custkey",)),)),
+    )
+    cents = {"builder": lambda c: rng.between(c.u(), 100, 999999)}
+    config = generate.Config(SEED, rows_of={"customer": 0, "orders": 100}, null_rate=0.0, ref=REF, overrides={"orders": {"o_cents": cents}})
+    return generate.generate(spark, schema, config, {"customer": customer, "orders": orders}).tables["orders"]
+
+
+Q: dict = {}
+S: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        Q[f.__name__] = f
+        if sql:
+            S[f.__name__] = sql
+        return f
+
+    return add
+
+
+Q["augment_orders"] = augment_orders
+S["augment_orders"] = f"""
+    WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS ord FROM customer), n AS (SELECT count(*) AS n FROM customer), m AS (SELECT max(o_orderkey) + 1 AS nxt FROM orders)
+    SELECT m.nxt + i AS o_orderkey, c.c_custkey AS o_custkey, (['new','paid','sent','done'])[(floor({U(SEED, 'orders', 'o_status', 'i')} * 4) + 1)::INT] AS o_status,
+           (floor({U(SEED, 'orders', 'o_cents', 'i')} * 999900) + 100)::BIGINT AS o_cents
+    FROM range(100) r(i), n, m JOIN c ON c.ord = floor({U(SEED, 'orders', 'o_custkey', 'i')} * n.n)::BIGINT"""
+
+
+# --- existing data
+
+
+@query("UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows FROM {t} " for t in TABLES))
+def existing_row_counts(spark, d):
+    return existing.row_counts({t: read(spark, d, t) for t in TABLES})
+
+
+@query("SELECT max(o_orderkey) AS max_key, count(*) AS n_rows FROM orders")
+def existing_max_pk(spark, d):
+    return read(spark, d, "orders").agg(F.max("o_orderkey").alias("max_key"), F.count("*").alias("n_rows"))
+
+
+@query("SELECT DISTINCT p_brand::VARCHAR AS value FROM part WHERE p_brand IS NOT NULL")
+def existing_distinct_values(spark, d):
+    return existing.distinct_values(read(spark, d, "part"), "p_brand")
+
+
+@query("SELECT 'o_orderkey' AS \"column\", COALESCE(max(o_orderkey), 1)::BIGINT AS value FROM orders UNION ALL SELECT 'o_custkey', COALESCE(max(o_custkey), 1)::BIGINT FROM orders")
+def sequence_reset_values(spark, d):
+    return sqltext.sequence_values(read(spark, d, "orders"), ["o_orderkey", "o_custkey"])
+
+
+# --- random numbers and distributions
+
+
+@query(f"SELECT i AS row, {sql_micros(U(SEED, 't', 'c', 'i'), 9)} AS u FROM range(1000) r(i)")
+def uniform_draw(spark, d):
+    return rows(spark, 1000).select("row", micros(u("t", "c"), 9).alias("u"))
+
+
+@query("SELECT (SELECT max(o_orderkey) FROM orders) + 1 + i AS id FROM range(500) r(i)")
+def auto_increment_ids(spark, d):
+    top = read(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
+    return rows(spark, 500).select((F.lit(top + 1) + F.col("row")).alias("id"))
+
+
+_N = f"least(1.0, greatest(0.0, 0.5 + 0.15 * sqrt(-2.0 * ln(greatest({U(SEED, 't', 'n', 'i', 0)}, 1e-12))) * cos(2 * pi() * {U(SEED, 't', 'n', 'i', 1)})))"
+
+
+@query(f"SELECT i AS row, {sql_micros(_N)} AS x FROM range(1000) r(i)")
+def dist_normal(spark, d):
+    return rows(spark, 1000).select("row", micros(rng.share("normal", SEED, "t", "n", F.col("row"), 1000)).alias("x"))
+
+
+@query(f"SELECT i AS row, {sql_micros(f'-ln(1.0 - {U(SEED, chr(116), chr(101), chr(105))} * (1.0 - exp(-1.0)))')} AS x FROM range(1000) r(i)")
+def dist_exponential(spark, d):
+    return rows(spark, 1000).select("row", micros(rng.share("exponential", SEED, "t", "e", F.col("row"), 1000)).alias("x"))
+
+
+@query(f"""WITH p AS (SELECT k, 1.0 / k AS p FROM range(1, 201) r(k)), c AS (SELECT k, (sum(p) OVER (ORDER BY k)) / (SELECT sum(p) FROM p) AS hi, p / (SELECT sum(p) FROM p) AS sh FROM p),
+    d AS (SELECT i, {U(SEED, 't', 'z', 'i')} AS u FROM range(500) r(i))
+    SELECT d.i AS row, min(c.k) AS rank FROM d JOIN c ON d.u < c.hi + 1e-12 GROUP BY d.i""")
+def dist_zipf_rank(spark, d):
+    """Ranks by the exact cumulative table; it has one row a rank and goes to every task (200 rows)."""
+    table = rng.zipf_table(spark, 200).select("rank", F.col("high"))
+    draws = rows(spark, 500).select("row", u("t", "z").alias("u"))
+    return draws.join(F.broadcast(table), F.col("u") < F.col("high") + F.lit(1e-12)).groupBy("row").agg(F.min("rank").alias("rank"))
+
+
+@query(f"SELECT i AS row, least(1000, greatest(1, floor(exp({U(SEED, 't', 'zc', 'i')} * ln(1001.0)))))::BIGINT AS rank FROM range(1000) r(i)")
+def dist_zipf_continuous(spark, d):
+    return rows(spark, 1000).select("row", rng.zipf_rank(u("t", "zc"), 1000).alias("rank"))
+
+
+# --- graph
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS child, '{p}' AS parent, '{c}' AS columns" for a, c, p, _ in KEYS))
+def fk_edges(spark, d):
+    return edges_frame(spark, given_schema(spark, d)).select("child", "parent", "columns")
+
+
+_E = "e(child, parent) AS (VALUES " + ", ".join(f"('{a}', '{p}')" for a, _, p, _ in KEYS) + ")"
+_T = "t(name) AS (VALUES " + ", ".join(f"('{t}')" for t in TABLES) + ")"
+
+
+@query(f"WITH {_E}, {_T} SELECT name, (SELECT count(*) FROM e WHERE child = name) AS outgoing, (SELECT count(*) FROM e WHERE parent = name) AS incoming FROM t")
+def fk_in_out_degree(spark, d):
+    s = given_schema(spark, d)
+    edges = edges_frame(spark, s)
+    names_ = spark.createDataFrame([(t,) for t in s.tables], "name string")
+    out = edges.groupBy(F.col("child").alias("name")).agg(F.count("*").alias("outgoing"))
+    into = edges.groupBy(F.col("parent").alias("name")).agg(F.count("*").alias("incoming"))
+    return names_.join(out, "name", "left").join(into, "name", "left").na.fill(0)
+
+
+@query(f"WITH RECURSIVE {_E}, {_T}, w AS (SELECT name, 0 AS lvl FROM t UNION SELECT e.child, w.lvl + 1 FROM w JOIN e ON e.parent = w.name) SELECT name, max(lvl)::BIGINT AS level FROM w GROUP BY name")
+def topo_levels(spark, d):
+    made = plan.insert_plan(given_schema(spark, d))
+    return spark.createDataFrame(sorted(made.levels.items()), "name string, level long")
+
+
+@query(f"WITH RECURSIVE {_E}, w AS (SELECT parent AS name FROM e WHERE child = 'lineitem' UNION SELECT e.parent FROM w JOIN e ON e.child = w.name) SELECT name FROM w")
+def ancestor_closure(spark, d):
+    """The transitive closure by recursive SQL over the edge table."""
+    edges_frame(spark, given_schema(spark, d)).createOrReplaceTempView("rowloom_edges")
+    return spark.sql("WITH RECURSIVE w AS (SELECT parent AS name FROM rowloom_edges WHERE child = 'lineitem' UNION ALL SELECT e.parent FROM w JOIN rowloom_edges e ON e.child = w.name) SELECT DISTINCT name FROM w")
+
+
+# --- foreign keys
+
+
+@query(f"""WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS ord FROM customer)
+    SELECT o.o_orderkey, c.c_custkey AS sampled FROM orders o JOIN c ON c.ord = floor({U(SEED, 'orders', 'o_custkey', 'o.o_orderkey')} * (SELECT count(*) FROM customer))::BIGINT""")
+def fk_assign_uniform(spark, d):
+    customer = read(spark, d, "customer")
+    pool = ordinals(customer.select("c_custkey"), ["c_custkey"])
+    at = generate.parent_ordinal(SEED, "orders", ("o_custkey",), F.col("o_orderkey"), customer.count())
+    return read(spark, d, "orders").select("o_orderkey", at.alias("at")).join(pool, F.col("at") == F.col("ord")).select("o_orderkey", F.col("c_custkey").alias("sampled"))
+
+
+@query(f"""WITH k AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), o AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS ord FROM k)
+    SELECT i AS row, o.l_orderkey, o.l_linenumber FROM range(1000) r(i) JOIN o ON o.ord = floor({U(SEED, 'returns', 'l_orderkey+l_linenumber', 'i')} * (SELECT count(*) FROM k))::BIGINT""")
+def fk_assign_composite(spark, d):
+    keys = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    pool = ordinals(keys, ["l_orderkey", "l_linenumber"])
+    at = generate.parent_ordinal(SEED, "returns", ("l_orderkey", "l_linenumber"), F.col("row"), keys.count())
+    return rows(spark, 1000).withColumn("at", at).join(pool, F.col("at") == F.col("ord")).select("row", "l_orderkey", "l_linenumber")
+
+
+@query("SELECT i AS row, true AS without_parent FROM range(20) r(i)")
+def fk_assign_nullable_pool(spark, d):
+    s = Schema.of(Table("p", (Column("id", Kind.BIGINT, nullable=False, auto_increment=True),), ("id",)), Table("c", (Column("row", Kind.BIGINT, nullable=False), Column("parent_id", Kind.BIGINT)), (), (ForeignKey(("parent_id",), "p", ("id",)),)))
+    config = generate.Config(SEED, rows_of={"p": 0, "c": 20}, overrides={"c": {"row": {"builder": lambda x: x.row}}})
+    return generate.generate(spark, s, config).tables["c"].select("row", F.col("parent_id").isNull().alias("without_parent"))
+
+
+_ORPHANS = " UNION ALL ".join(f"SELECT '{a}.{c}' AS key, count(*) AS orphans FROM {a} x WHERE x.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{r} = x.{c})" for a, c, p, r in KEYS)
+
+
+@query(_ORPHANS)
+def fk_orphan_check(spark, d):
+    out = None
+    for a, c, p, r in KEYS:
+        lost = read(spark, d, a).select(F.col(c).alias("k")).where("k is not null").join(read(spark, d, p).select(F.col(r).alias("k")), "k", "left_anti")
+        one = lost.agg(F.count("*").alias("orphans")).select(F.lit(f"{a}.{c}").alias("key"), "orphans")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query("SELECT n, count(*) AS parents FROM (SELECT c.c_custkey, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1) GROUP BY n")
+def fk_children_histogram(spark, d):
+    per = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return read(spark, d, "customer").select("c_custkey").join(per, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.coalesce("n", F.lit(0)).alias("n")).groupBy("n").agg(F.count("*").alias("parents"))
+
+
+# --- cardinality
+
+_ALLOC = """, s AS (SELECT count(*) AS p, sum(c) AS s FROM a),
+    b AS (SELECT ord, floor(c * {T}::DOUBLE / s.s + 0.5)::BIGINT AS c FROM a, s), g AS (SELECT {T} - sum(c)::BIGINT AS gap FROM b),
+    up AS (SELECT ord, c, greatest({HI} - c, 0) AS cap, greatest(c - {LO}, 0) AS cut FROM b),
+    pre AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pu, coalesce(sum(cut) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pd FROM up),
+    f AS (SELECT ord, c + CASE WHEN gap > 0 THEN least(cap, greatest(gap - pu, 0)) + CASE WHEN ord = 0 THEN greatest(gap - (SELECT sum(cap) FROM up), 0) ELSE 0 END WHEN gap < 0 THEN -least(cut, greatest(-gap - pd, 0)) ELSE 0 END AS c1, gap FROM pre, g),
+    k AS (SELECT f.ord, c1, c1 AS cap2, (gap + (SELECT sum(cut) FROM up)) AS left_ FROM f),
+    z AS (SELECT ord, CASE WHEN left_ < 0 THEN c1 - least(cap2, greatest(-left_ - coalesce(sum(cap2) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) ELSE c1 END AS c FROM k)
+    SELECT ord, c::BIGINT AS n_children FROM z"""
+
+
+def _allocated(spark, d, kind, low, high, total):
+    n = read(spark, d, "customer").count()
+    parents = spark.range(n).select(F.col("id").alias("ord")).withColumn("share", rng.share(kind, SEED, "orders", "o_custkey#", F.col("ord"), n))
+    return cardinality.allocate(parents, total, cardinality.Cardinality(low, high, kind)).select("ord", "n_children")
+
+
+def _alloc_sql(share: str, low: int, high: int, total: int) -> str:
+    return f"WITH a AS (SELECT i AS ord, floor({low} + ({share}) * {high - low} + 0.5)::BIGINT AS c FROM range((SELECT count(*) FROM customer)) r(i))" + _ALLOC.format(T=total, LO=low, HI=high)
+
+
+_UC = U(SEED, "orders", "o_custkey#", "i")
+
+
+@query(_alloc_sql(_UC, 1, 9, 9000))
+def cardinality_uniform(spark, d):
+    return _allocated(spark, d, "uniform", 1, 9, 9000)
+
+
+@query(_alloc_sql(f"least(1.0, greatest(0.0, 0.5 + 0.15 * sqrt(-2.0 * ln(greatest({_UC}, 1e-12))) * cos(2 * pi() * {U(SEED, 'orders', 'o_custkey#', 'i', 1)})))", 2, 6, 5000))
+def cardinality_normal(spark, d):
+    return _allocated(spark, d, "normal", 2, 6, 5000)
+
+
+@query(_alloc_sql(f"(least(greatest((SELECT count(*) FROM customer), 100), greatest(1, floor(exp({_UC} * ln(greatest((SELECT count(*) FROM customer), 100) + 1.0))))) - 1) / (greatest((SELECT count(*) FROM customer), 100) - 1.0)", 0, 40, 7000))
+def cardinality_zipf(spark, d):
+    return _allocated(spark, d, "zipf", 0, 40, 7000)
+
+
+@query("SELECT i AS ord, (1000 // (SELECT count(*) FROM customer) + CASE WHEN i < 1000 % (SELECT count(*) FROM customer) THEN 1 ELSE 0 END)::BIGINT AS n_children FROM range((SELECT count(*) FROM customer)) r(i)")
+def cardinality_zero_sum(spark, d):
+    return _allocated(spark, d, "uniform", 0, 0, 1000)
+
+
+@query("SELECT c_nationkey::BIGINT AS parent, count(*) AS n FROM customer GROUP BY 1")
+def cardinality_sequence(spark, d):
+    """Nations with as many children as they have customers, expanded to rows and counted again."""
+    parents = ordinals(read(spark, d, "customer").groupBy(F.col("c_nationkey").cast("long").alias("parent")).agg(F.count("*").alias("n_children")), ["parent"])
+    each = cardinality.expand(parents, SEED, "customer", "c_nationkey", ["parent"])
+    return each.groupBy("parent").agg(F.countDistinct("child_ord").alias("n"))
+
+
+# --- columns
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {U(SEED, 'orders', 'note?', 'o_orderkey')} >= 0.1 THEN o_orderpriority END AS note FROM orders")
+def null_injection(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", F.when(u("orders", "note?", "o_orderkey") >= 0.1, F.col("o_orderpriority")).alias("note"))
+
+
+@query(f"SELECT i AS row, (['new','paid','sent','done'])[(floor({U(SEED, 'orders', 'status', 'i')} * 4) + 1)::INT] AS status FROM range(1000) r(i)")
+def enum_pick(spark, d):
+    return rows(spark, 1000).select("row", rng.pick(u("orders", "status"), SEGMENTS).alias("status"))
+
+
+_W = U(SEED, "orders", "w", "i")
+
+
+@query(f"SELECT i AS row, CASE WHEN {_W} < 0.5 THEN 'a' WHEN {_W} < 0.8 THEN 'b' ELSE 'c' END AS v FROM range(1000) r(i)")
+def weighted_values(spark, d):
+    return rows(spark, 1000).select("row", rng.weighted(u("orders", "w"), ["a", "b", "c"], [5, 3, 2]).alias("v"))
+
+
+@query("SELECT i AS row, (['x','y','z'])[(i % 3 + 1)::INT] AS v, ((i * 2654435761) % 1000)::BIGINT AS place FROM range(1000) r(i)")
+def cyclic_values(spark, d):
+    return rows(spark, 1000).select("row", rng.cyclic(F.col("row"), ["x", "y", "z"]).alias("v"), (rng.spread(F.col("row")) * 1000 + 0.5).cast("long").alias("place"))
+
+
+_A = f"({REF} - floor({U(SEED, 'orders', 'created_at', 'i', 0)} * 63072000)::BIGINT)"
+
+
+@query(f"SELECT i AS row, {_A} AS created, {_A} + floor({U(SEED, 'orders', 'updated_at', 'i', 1)} * ({REF} - {_A}))::BIGINT AS updated FROM range(1000) r(i)")
+def timestamp_pairs(spark, d):
+    a, b = coherence.time_pair(SEED, "orders", "created_at", "updated_at", F.col("row"), REF)
+    return rows(spark, 1000).select("row", a.alias("created"), b.alias("updated"))
+
+
+@query(f"SELECT p_partkey, floor({U(SEED, 'part', 'price', 'p_partkey')} * 999999 * 100)::BIGINT AS cents FROM part")
+def decimal_precision(spark, d):
+    x = Ctx(SEED, "part", "price", F.col("p_partkey"), REF)
+    value = mapping.fallback(Column("price", Kind.DECIMAL, precision=10, scale=2))(x).cast("decimal(10,2)")
+    return read(spark, d, "part").select("p_partkey", (value * 100).cast("long").alias("cents"))
+
+
+@query("SELECT p_partkey, rtrim(substr(p_name, 1, 7)) AS name FROM part")
+def truncate_varchar(spark, d):
+    return read(spark, d, "part").select("p_partkey", F.rtrim(F.substring("p_name", 1, 7)).alias("name"))
+
+
+_H = f"md5('{SEED}|t|id|' || i || '|0')"
+
+
+@query(f"SELECT i AS row, substr({_H},1,8) || '-' || substr({_H},9,4) || '-4' || substr({_H},14,3) || '-' || (['8','9','a','b'])[(floor({U(SEED, 't', 'id', 'i', 1)} * 4) + 1)::INT] || substr({_H},18,3) || '-' || substr({_H},21,12) AS id FROM range(500) r(i)")
+def uuid_v4_format(spark, d):
+    return rows(spark, 500).select("row", uuid4(Ctx(SEED, "t", "id", F.col("row"), REF)).alias("id"))
+
+
+@query(f"SELECT c_custkey, lower(replace(c_name, '#', '.')) || '@' || ({SAFE_DOMAINS!r})[(floor({U(SEED, 'customer', 'email', 'c_custkey', 2)} * 3) + 1)::INT] AS email FROM customer")
+def safe_email(spark, d):
+    return read(spark, d, "customer").select("c_custkey", F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@"), rng.pick(u("customer", "email", "c_custkey", 2), SAFE_DOMAINS)).alias("email"))
+
+
+_P = f"(floor({U(SEED, 'people', '__place', 'i')} * {len(PLACES)}) + 1)::INT"
+
+
+@query(f"SELECT i AS row, ({[p[0] for p in PLACES]!r})[{_P}] AS city, ({[p[1] for p in PLACES]!r})[{_P}] AS state, ({[p[2] for p in PLACES]!r})[{_P}] || lpad(floor({U(SEED, 'people', '__place', 'i', 1)} * 100)::BIGINT::VARCHAR, 2, '0') AS zip FROM range(500) r(i)")
+def coherent_location(spark, d):
+    t = Table("people", tuple(Column(c) for c in ("city", "state", "zip")))
+    made = coherence.columns_of(coherence.detect(t)[0], Ctx(SEED, "people", "", F.col("row"), REF))
+    return rows(spark, 500).select("row", *[v.alias(c) for c, v in made.items()])
+
+
+@query("SELECT count(*) AS n_rows, 0::BIGINT AS violations FROM range(2000)")
+def temporal_coherence(spark, d):
+    t = Table("ship", (Column("order_date", Kind.TIMESTAMP), Column("ship_date", Kind.TIMESTAMP)))
+    made = coherence.columns_of(coherence.detect(t)[0], Ctx(SEED, "ship", "", F.col("row"), REF))
+    return rows(spark, 2000).select(*[v.alias(c) for c, v in made.items()]).agg(F.count("*").alias("n_rows"), F.count_if(F.col("ship_date") < F.col("order_date")).alias("violations"))
+
+
+@query(f"SELECT i AS row, {U(SEED, 't', 'flag', 'i')} < 0.5 AS flag FROM range(500) r(i)")
+def bool_flip(spark, d):
+    return rows(spark, 500).select("row", (u("t", "flag") < 0.5).alias("flag"))
+
+
+_IP = " || '.' || ".join(f"(floor({U(SEED, 't', 'ip', 'i', k)} * {254 if k in (0, 3) else 255}) + {1 if k in (0, 3) else 0})::BIGINT" for k in range(4))
+_M = f"md5('{SEED}|t|mac|' || i || '|0')"
+
+
+@query(f"SELECT i AS row, {_IP} AS ip, " + " || ':' || ".join(f"substr({_M}, {1 + 2 * k}, 2)" for k in range(6)) + " AS mac FROM range(500) r(i)")
+def ipv4_mac(spark, d):
+    return rows(spark, 500).select("row", ipv4(Ctx(SEED, "t", "ip", F.col("row"), REF)).alias("ip"), mapping.fallback(Column("mac", Kind.MACADDR))(Ctx(SEED, "t", "mac", F.col("row"), REF)).alias("mac"))
+
+
+# --- uniqueness
+
+
+@query("WITH r AS (SELECT c_custkey, c_mktsegment AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS k FROM customer) SELECT c_custkey, CASE WHEN k > 0 THEN v || '_' || k ELSE v END AS v FROM r")
+def unique_suffix(spark, d):
+    return unique.one_pass(read(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("v")), "v", "c_custkey").select("c_custkey", "v")
+
+
+@query("""WITH r AS (SELECT c_custkey, c_mktsegment AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 + CASE WHEN EXISTS (SELECT 1 FROM customer x WHERE x.c_mktsegment = c.c_mktsegment AND x.c_custkey < 10) THEN 1 ELSE 0 END AS k FROM customer c)
+    SELECT c_custkey, CASE WHEN k > 0 THEN v || '_' || k ELSE v END AS v FROM r""")
+def unique_vs_existing(spark, d):
+    c = read(spark, d, "customer")
+    return unique.one_pass(c.select("c_custkey", F.col("c_mktsegment").alias("v")), "v", "c_custkey", existing=c.where("c_custkey < 10").select("c_mktsegment")).select("c_custkey", "v")
+
+
+@query("WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS v FROM lineitem), n AS (SELECT v, row_number() OVER (PARTITION BY v) - 1 AS k FROM r) SELECT v + k AS v, count(*) AS n FROM n GROUP BY 1")
+def unique_number_bump(spark, d):
+    li = read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("v"))
+    numbered = ordinals(li, ["v"], "at")
+    return unique.one_pass(numbered, "v", "at", "number").groupBy("v").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def unique_violations(spark, d):
+    return unique.duplicates(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT 5000::BIGINT AS n_rows, 5000::BIGINT AS n_pairs, 0::BIGINT AS out_of_range")
+def composite_unique(spark, d):
+    a, b = unique.pair_ordinals(F.col("row"), 100, 60, SEED)
+    pairs = rows(spark, 5000).select(a.alias("a"), b.alias("b"))
+    return pairs.agg(F.count("*").alias("n_rows"), F.countDistinct("a", "b").alias("n_pairs"), F.count_if((F.col("a") >= 100) | (F.col("b") >= 60) | (F.col("a") < 0) | (F.col("b") < 0)).alias("out_of_range"))
+
+
+# --- deferral
+
+
+@query(f"SELECT i AS row, CASE WHEN i >= 30 AND i > 0 THEN floor({U(SEED, 'categories', 'parent_id', 'i')} * i)::BIGINT ELSE -1 END AS parent FROM range(200) r(i)")
+def self_ref_tree(spark, d):
+    return rows(spark, 200).select("row", F.coalesce(generate.tree_parent(SEED, "categories", "parent_id", F.col("row"), 200), F.lit(-1)).alias("parent"))
+
+
+@query("SELECT 75::BIGINT AS roots, 0::BIGINT AS forward, 500::BIGINT AS n_rows")
+def self_ref_roots(spark, d):
+    s = Schema.of(Table("categories", (Column("id", Kind.INTEGER, nullable=False, auto_increment=True), Column("parent_id", Kind.INTEGER)), ("id",), (ForeignKey(("parent_id",), "categories", ("id",)),)))
+    t = generate.generate(spark, s, generate.Config(SEED, rows=500)).tables["categories"]
+    return t.agg(F.count_if(F.col("parent_id").isNull()).alias("roots"), F.count_if(F.col("parent_id") >= F.col("id")).alias("forward"), F.count("*").alias("n_rows"))
+
+
+def _cycle() -> Schema:
+    key = lambda n: Column(n, Kind.INTEGER, nullable=False, auto_increment=True)
+    return Schema.of(
+        Table("orders", (key("id"), Column("invoice_id", Kind.INTEGER)), ("id",), (ForeignKey(("invoice_id",), "invoices", ("id",)),)),
+        Table("invoices", (key("id"), Column("order_id", Kind.INTEGER, nullable=False)), ("id",), (ForeignKey(("order_id",), "orders", ("id",)),)),
+    )
+
+
+@query(f"SELECT i + 1 AS id, floor({U(SEED, 'orders', 'invoice_id', 'i')} * 200)::BIGINT + 1 AS invoice_id FROM range(300) r(i)")
+def cycle_fill(spark, d):
+    made = generate.generate(spark, _cycle(), generate.Config(SEED, rows_of={"orders": 300, "invoices": 200}))
+    return made.tables["orders"].select(F.col("id").cast("long").alias("id"), F.col("invoice_id").cast("long").alias("invoice_id"))
+
+
+@query(f"SELECT i + 1 AS id, floor({U(SEED, 'orders', 'invoice_id', 'i')} * 200)::BIGINT + 1 AS invoice_id FROM range(300) r(i)")
+def deferred_apply(spark, d):
+    """The same references as updates joined to rows that lack them."""
+    made = generate.generate(spark, _cycle(), generate.Config(SEED, rows_of={"orders": 300, "invoices": 200}))
+    updates = made.updates["orders"][0]
+    bare = made.tables["orders"].select("id")
+    return bare.join(updates, "id", "left").select(F.col("id").cast("long").alias("id"), F.col("invoice_id").cast("long").alias("invoice_id"))
+
+
+# --- mapping and metadata
+
+_NAMES = ["UserName", "first-name", "__email_", "total__amount_val", "is-Active", "price_field", "a_b_col", "zip", "Order-ID_value", "x"]
+
+
+@query("SELECT n AS name, regexp_replace(regexp_replace(regexp_replace(replace(lower(n), '-', '_'), '_+', '_', 'g'), '^_|_$', '', 'g'), '_(col|field|val|value)$', '') AS normalised FROM (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") t(n)")
+def normalize_column_names(spark, d):
+    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", normalise_column(F.col("name")).alias("normalised"))
+
+
+@query()
+def column_domain_map(spark, d):
+    out = [(k, c.name, m.source, m.generator, m.confidence) for k, t in given_schema(spark, d).tables.items() for c in t.columns for m in [mapping.map_column(c, t)]]
+    return spark.createDataFrame(out, "table string, column string, source string, generator string, confidence string")
+
+
+@query()
+def stem_scores(spark, d):
+    out = [(n, k, float(v)) for n in ("customerEmails", "patient_diagnosis", "invoicePayments", "shipping_city", "course_grades", "key_id") for k, v in mapping.stem_scores(n).items()]
+    return spark.createDataFrame(out, "name string, domain string, score double")
+
+
+_CHECKS = ["status = ANY (ARRAY['a'::text, 'b'::text])", "x IN ('low', 'mid', 'low')", "(y = 'p') OR (y = 'q')", "price >= 0", "z > 'a'"]
+
+
+@query("SELECT e, CASE WHEN regexp_matches(e, '[<>]') THEN '' ELSE array_to_string(list_distinct_ordered, ',') END AS vals FROM (SELECT e, (SELECT list(v ORDER BY i) FROM (SELECT v, min(i) AS i FROM (SELECT unnest(regexp_extract_all(e, '''([^'']*)''', 1)) AS v, generate_subscripts(regexp_extract_all(e, '''([^'']*)''', 1), 1) AS i) GROUP BY v)) AS list_distinct_ordered FROM (VALUES " + ", ".join("('" + c.replace("'", "''") + "')" for c in _CHECKS) + ") t(e))")
+def check_literals(spark, d):
+    return spark.createDataFrame([(c,) for c in _CHECKS], "e string").select("e", F.array_join(literals_column(F.col("e")), ",").alias("vals"))
+
+
+@query("WITH " + _T + " SELECT name FROM t WHERE NOT regexp_full_match(name, '[^.]*s') AND NOT regexp_full_match(name, 'p[^.]*')")
+def glob_exclude(spark, d):
+    names_ = spark.createDataFrame([(t,) for t in TABLES], "name string")
+    for p in ("*s", "p*"):
+        names_ = names_.where(~F.col("name").rlike(glob_regex(p)))
+    assert not excluded("public.a", ["b*"])
+    return names_
+
+
+@query("SELECT w, k AS suggestion, lev AS distance FROM (SELECT w, k, levenshtein(w, k) AS lev, row_number() OVER (PARTITION BY w ORDER BY levenshtein(w, k), k) AS rn FROM (VALUES ('cuont'), ('sed'), ('exclud'), ('tabels')) a(w), (VALUES ('count'), ('seed'), ('exclude'), ('tables'), ('locale')) b(k)) WHERE rn = 1 AND lev <= 2")
+def key_suggestion(spark, d):
+    words = spark.createDataFrame([(x,) for x in ("cuont", "sed", "exclud", "tabels")], "w string")
+    keys = spark.createDataFrame([(x,) for x in ("count", "seed", "exclude", "tables", "locale")], "k string")
+    near = words.join(F.broadcast(keys), F.levenshtein("w", "k") <= 2).withColumn("distance", F.levenshtein("w", "k"))
+    return near.groupBy("w").agg(F.min(F.struct("distance", "k")).alias("m")).select("w", F.col("m.k").alias("suggestion"), F.col("m.distance").cast("long").alias("distance"))
+
+
+# --- sinks
+
+
+@query("""SELECT floor(ord / 10)::BIGINT AS batch, 'INSERT INTO "nation" ("n_nationkey", "n_name", "n_regionkey") VALUES ' || string_agg('(' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ')', ', ' ORDER BY ord) || ';' AS statement
+    FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS ord FROM nation) GROUP BY 1""")
+def insert_sql_text(spark, d):
+    return sqltext.insert_statements(read(spark, d, "nation"), "nation", ["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey"], 10)
+
+
+@query("""SELECT 'UPDATE "nation" SET "n_regionkey" = ' || n_regionkey || ' WHERE "n_nationkey" = ' || n_nationkey || ';' AS statement FROM nation""")
+def update_sql_text(spark, d):
+    return sqltext.update_statements(read(spark, d, "nation"), "nation", ["n_nationkey"], ["n_regionkey"])
+
+
+@query("""SELECT o_orderkey || ',' || CASE WHEN o_orderkey % 7 = 0 THEN '\\N' ELSE CASE WHEN regexp_matches(o_orderpriority, '[",]') THEN '"' || replace(o_orderpriority, '"', '""') || '"' ELSE o_orderpriority END END || ',' || CASE WHEN o_custkey % 2 = 0 THEN 't' ELSE 'f' END AS line FROM orders""")
+def copy_csv_lines(spark, d):
+    df = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("p"), (F.col("o_custkey") % 2 == 0).alias("even"))
+    return df.select(sqltext.copy_lines(df, df.columns).alias("line"))
+
+
+@query("SELECT floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 500)::BIGINT AS batch, o_orderkey FROM orders")
+def insert_batches(spark, d):
+    from ..operators.prefix import batch_number
+
+    return ordinals(read(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "at").select(batch_number(F.col("at"), 500).alias("batch"), "o_orderkey")
+
+
+@query("SELECT i AS n_columns, greatest(100, least(5000, floor(1000000.0 / (30 * i + 3 * i + 10))))::BIGINT AS batch FROM range(1, 60) r(i)")
+def optimal_batch_size(spark, d):
+    return spark.range(1, 60).select(F.col("id").alias("n_columns"), sqltext.optimal_batch(F.col("id")).alias("batch"))
+
+
+# --- changes and reports
+
+
+@query("WITH c AS (SELECT * FROM (VALUES ('a','x','INT'),('a','y','TEXT'),('b','z','DATE')) t(tab, col, kind)) SELECT tab AS \"table\", sha256(string_agg(col || ':' || kind, ';' ORDER BY col || ':' || kind)) AS hash FROM c GROUP BY tab")
+def schema_hash(spark, d):
+    return diff.hash_columns(spark.createDataFrame([("a", "x", "INT"), ("a", "y", "TEXT"), ("b", "z", "DATE")], "table string, column string, kind string"))
+
+
+@query("SELECT COALESCE(o.t, n.t) AS \"table\", CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS change FROM (VALUES ('a','1'),('b','2'),('c','3')) o(t,h) FULL JOIN (VALUES ('b','2'),('c','9'),('d','4')) n(t,h) ON o.t = n.t")
+def schema_diff(spark, d):
+    make = lambda x: spark.createDataFrame(x, "table string, hash string")
+    return diff.compare(make([("a", "1"), ("b", "2"), ("c", "3")]), make([("b", "2"), ("c", "9"), ("d", "4")]))
+
+
+@query()
+def inspect_columns(spark, d):
+    return columns_frame(spark, given_schema(spark, d)).select("table", "column", "position")
+
+
+@query()
+def inspect_summary(spark, d):
+    from ..schema import inspect
+
+    return inspect(spark, given_schema(spark, d))
+
+
+@query("WITH p AS (SELECT text, row_number() OVER (ORDER BY text) - 1 AS ord FROM benchmark), n AS (SELECT count(*) AS n FROM p) SELECT o.o_orderkey, p.text AS note FROM orders o, n JOIN p ON p.ord = o.o_orderkey % n.n")
+def text_pool_fill(spark, d):
+    return generate.text_pool_fill(read(spark, d, "orders").select("o_orderkey"), "note", read(spark, d, "benchmark").select("text"), "o_orderkey")
+
+
+@query()
+def generated_shop(spark, d):
+    """Row counts and reference checks of a generated schema with a tree, a bridge and a cardinality."""
+    key = lambda n="id": Column(n, Kind.BIGINT, nullable=False, auto_increment=True)
+    s = Schema.of(
+        Table("users", (key(), Column("first_name", Kind.VARCHAR, max_length=40, nullable=False), Column("email", Kind.VARCHAR, max_length=60, nullable=False), Column("created_at", Kind.TIMESTAMPTZ, nullable=False), Column("updated_at", Kind.TIMESTAMPTZ, nullable=False)), ("id",), (), (("email",),)),
+        Table("posts", (key(), Column("user_id", Kind.BIGINT, nullable=False), Column("title", Kind.VARCHAR, max_length=50), Column("status", Kind.ENUM, nullable=False, values=("draft", "live"))), ("id",), (ForeignKey(("user_id",), "users", ("id",)),)),
+        Table("tags", (key(), Column("name", Kind.VARCHAR, max_length=30, nullable=False), Column("parent_id", Kind.BIGINT)), ("id",), (ForeignKey(("parent_id",), "tags", ("id",)),), (("name",),)),
+        Table("post_tags", (Column("post_id", Kind.BIGINT, nullable=False), Column("tag_id", Kind.BIGINT, nullable=False)), ("post_id", "tag_id"), (ForeignKey(("post_id",), "posts", ("id",)), ForeignKey(("tag_id",), "tags", ("id",)))),
+    )
+    config = generate.Config(SEED, rows_of={"users": 200, "posts": 1000, "tags": 50, "post_tags": 2000}, cardinality={"posts": {"user_id": cardinality.Cardinality(0, 20, "zipf")}})
+    made = generate.generate(spark, s, config).tables
+    out = None
+    for t, by in (("users", "email"), ("posts", "id"), ("tags", "name"), ("post_tags", "post_id,tag_id")):
+        one = made[t].agg(F.lit(t).alias("table"), F.count("*").alias("n_rows"), F.countDistinct(*by.split(",")).alias("n_distinct"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+S["generated_shop"] = "SELECT * FROM (VALUES ('users', 200::BIGINT, 200::BIGINT), ('posts', 1000, 1000), ('tags', 50, 50), ('post_tags', 2000, 2000)) t(\"table\", n_rows, n_distinct)"
+
+
+@query("SELECT i + 1 AS id, {} < 0.5 AS is_live FROM range(200) r(i)".format(U(SEED, "flags", "is_live", "i")))
+def streamed_rows(spark, d):
+    """Rows of the streaming generator's projection: equal to the batch, whatever the trigger."""
+    from ..streaming.generator import project
+
+    t = Table("flags", (Column("id", Kind.BIGINT, nullable=False, auto_increment=True), Column("is_live", Kind.BOOLEAN)), ("id",))
+    return project(spark.range(200).select(F.col("id").alias("__row")), t, generate.Config(SEED))
+
+
+def queries() -> dict:
+    return dict(Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(S)
