@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage, survives lost
     executors, and leaves the reader free to choose how the next join is dealt."""
     spark = df.sparkSession

@@ -9,13 +9,15 @@ index is then estimated from all registers, corrected for registers that agree b
 pairs estimated clearly too low are left out before the sets themselves are compared.
 
 With 160 registers in 32 bands of 5, a pair at exactly 0.8 shares no band with probability
-(1 - 0.8**5)**32 = 3e-6, and falls under the estimate's margin (0.2, six deviations) with 1e-9.
+(1 - 0.8**5)**32 = 3e-6, and falls under the estimate's margin (0.15, almost five deviations) with 1e-6.
 
 No pair list within a group of copies is made:
 1. documents with equal shingle sets are one class, met through its smallest id;
 2. in each band's bucket every class is compared with the smallest id only; what is linked is
    joined to components;
-3. only then are classes of one bucket compared with classes of other components in it - all of
+3. what that leaves apart from its bucket's largest component is compared with one of its members,
+   another one in each bucket, so that a group whose texts drift apart is found from many sides;
+4. only then are classes of one bucket compared with classes of other components in it - all of
    them, in blocks of bounded size that are spread over tasks, so large buckets need no cap.
 The result is the components of all links that any bucket offers.
 
@@ -38,8 +40,8 @@ from .common import materialise, shuffle_partitions, words
 
 BUCKETS, BAND = 160, 5
 MANTISSA_BITS, ZERO_BITS = 10, 6
-MARGIN = 0.2
-BLOCK = 256  # classes that are compared with as many others at once
+MARGIN = 0.15
+BLOCK = 128  # classes that are compared with as many others at once
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -153,7 +155,6 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         own = labels.join(near, labels["id"] == near["a"]).select("id", F.col("label").alias("old"), F.least("label", "near").alias("new"))
-        own = materialise(own, "own")
         up = own.select(F.col("id").alias("up"), F.col("new").alias("up_label"))
         # One row for each label that others carry, however many carry it.
         step = own.join(up, own["new"] == up["up"]).select("id", "old", F.least("new", "up_label").alias("label"))
@@ -164,26 +165,32 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("id", F.col("label").alias("component"))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets meet 100 * intersection >= percent * union."""
-    ids = materialise(pairs.select("a").union(pairs.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("doc_id")), "ids")
+def full_sets(docs: DataFrame, ids: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id and set (sorted shingle hashes) of the documents named by ids (doc_id), once each."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(size)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "set": [shingle(t).tobytes() for t in b["text"]]})
 
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(materialise(ids.distinct(), "ids"), "doc_id", "left_semi")
+    return materialise(rows.mapInPandas(sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets meet 100 * intersection >= percent * union."""
+    full = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), size, doc_id, text)
+
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = []
-            for x, y in zip(b["x"], b["y"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            ok = [similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(b["x"], b["y"], strict=True)]
             yield b.loc[ok, ["a", "b"]]
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id", "left_semi")
-    full = materialise(rows.mapInPandas(sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
     first = pairs.join(full.withColumnRenamed("set", "y"), pairs["b"] == full["doc_id"]).select("a", "b", "y")
     first = materialise(first, "half")
     whole = first.join(full.withColumnRenamed("set", "x"), first["a"] == full["doc_id"]).select("a", "b", "x", "y")
@@ -206,25 +213,22 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     bands = BUCKETS // BAND
     keyed = classes.select(
         "rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("regs", i * (2 * BAND) + 1, F.lit(2 * BAND)))).alias("band", "part")
-    ).select("rep", F.xxhash64("band", "part").alias("key"))
+    ).select("rep", "band", F.xxhash64("band", "part").alias("key"))
     keyed = materialise(keyed, "keys")
     met = materialise(keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("classes")).where("classes > 1").select("key", "a"), "met")
     shared = materialise(keyed.join(met, "key"), "shared")
-    star = materialise(shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "star")
+    star = shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    star = materialise(plausible(star, classes, percent), "star")
     links = verify(docs, star, size, percent, doc_id, text)
-    # 3. What the stars left apart, in the buckets that hold more than one component.
-    part_of = components(links)
-    shared = shared.join(part_of, shared["rep"] == part_of["id"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    shared = materialise(shared, "apart")
-    sizes = shared.groupBy("key", "component").agg(F.count("*").alias("n_of"))
-    mixed = sizes.groupBy("key").agg(
-        F.count("*").alias("parts"), F.max_by("component", "n_of").alias("main"), F.max("n_of").alias("n_main"), F.sum("n_of").alias("m")
-    ).where("parts > 1")
-    mixed = materialise(mixed.select("key", "main", "n_main", (F.col("m") - F.col("n_main")).alias("n_rest")), "mixed")
-    pairs = cross_pairs(shared.join(mixed, "key"), classes, percent)
-    # Pairs that a star has compared already are known.
-    pairs = materialise(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-    more = verify(docs, pairs, size, percent, doc_id, text)
+    # 3. and 4. What the stars left apart, in the buckets that hold more than one component.
+    shared = shared.select("key", "band", "rep")
+    apart = unsettled(shared, links)
+    inside = apart.where("component = main").groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("inside"))
+    around = apart.where("component <> main").join(materialise(inside, "inside"), "key")
+    around = around.select(F.least("rep", "inside").alias("a"), F.greatest("rep", "inside").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    around = materialise(plausible(around, classes, percent), "around")
+    links = materialise(links.union(verify(docs, around, size, percent, doc_id, text)), "known")
+    more = cross_links(unsettled(shared, links), classes, size, percent, docs, doc_id, text)
     all_parts = components(links.union(more))
     named = members.join(all_parts, members["rep"] == all_parts["id"], "left").select("set_key", "salt", F.coalesce("component", "rep").alias("component"))
     out = rows.join(named, ["set_key", "salt"], "left")
@@ -232,38 +236,125 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def cross_pairs(apart: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a < b) of one bucket and different components whose estimate is not clearly
-    too low. A bucket's members are numbered into blocks by hash, those of its largest component
-    apart, as they needn't meet each other; each pair of blocks is one group."""
+def unsettled(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that hold more than one component, with the bucket's largest and the counts."""
+    part_of = components(links)
+    named = shared.join(part_of, shared["rep"] == part_of["id"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
+    named = materialise(named, "named")
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n_of"))
+    mixed = sizes.groupBy("key").agg(
+        F.count("*").alias("parts"), F.max_by("component", F.struct("n_of", "component")).alias("main"), F.max("n_of").alias("n_main"), F.sum("n_of").alias("m")
+    ).where("parts > 1")
+    mixed = materialise(mixed.select("key", "main", "n_main", (F.col("m") - F.col("n_main")).alias("n_rest")), "mixed")
+    return materialise(named.join(mixed, "key"), "apart")
+
+
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose estimate is not clearly too low."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b[c]), dtype=np.uint16).reshape(len(b), BUCKETS) for c in ("x", "y"))
+            n, m = b["n"].to_numpy(), b["m"].to_numpy()
+            ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+            ok[ok] = estimate((x[ok] == y[ok]).mean(1), n[ok], m[ok]) >= percent / 100 - MARGIN
+            yield b.loc[ok, ["a", "b"]]
+
+    left = classes.select(F.col("rep").alias("a"), F.col("n"), F.col("regs").alias("x"))
+    right = classes.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("regs").alias("y"))
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "n", "m", "x", "y").mapInPandas(run, "a long, b long")
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], of: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of sorted rows, cut so that no group is split; memory holds a batch and a group."""
+    wait = None
+    for b in batches:
+        b = b if wait is None else pd.concat([wait, b], ignore_index=True)
+        if len(b):
+            last = (b[of] == b[of].iloc[-1]).all(axis=1)
+            wait = b[last]
+            if not last.all():
+                yield b[~last].reset_index(drop=True)
+    if wait is not None and len(wait):
+        yield wait.reset_index(drop=True)
+
+
+GROUP = ["key", "lo", "hi"]
+GROUP_SHAPE = "key long, lo int, hi int, band int, block int, rep long, component long, n long, regs binary"
+
+
+def plausible_pairs(b: pd.DataFrame, percent: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each group of b (whole groups): its rows first to last, and the pairs of rows (i, j) of different
+    components with their estimates, where they aren't clearly too low. A pair counts in the
+    first band that it shares, so no other group has it."""
+    key, lo, hi, band, block, component, n = (b[c].to_numpy() for c in ("key", "lo", "hi", "band", "block", "component", "n"))
+    regs = np.frombuffer(b"".join(b["regs"]), dtype=np.uint16).reshape(len(b), BUCKETS)
+    starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+    for s, e in zip(starts, [*starts[1:], len(b)], strict=True):
+        if lo[s] == hi[s]:
+            i, j = np.triu_indices(e - s, 1)
+        else:
+            first = block[s:e] == lo[s]
+            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(first), np.flatnonzero(~first), indexing="ij"))
+        i, j = i + s, j + s
+        ok = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[ok], j[ok]
+        if len(i):
+            same = regs[i] == regs[j]
+            near = estimate(same.mean(1), n[i], n[j])
+            ok = (near >= percent / 100 - MARGIN) & (same.reshape(len(i), -1, BAND).all(2).argmax(1) == band[s])
+            if ok.any():
+                yield s, e, i[ok], j[ok], near[ok]
+
+
+def cross_links(apart: DataFrame, classes: DataFrame, size: int, percent: int, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Links (a, b) between different components of a bucket. A bucket's members are numbered into blocks
+    by hash, those of its largest component apart, as they needn't meet each other; each pair of blocks is
+    a group. Groups are read twice: without sets, to see who has a plausible partner in them, and
+    then, those only, with their sets. Pairs are compared where both stand, likeliest first, and only
+    while their components are still apart, so no list of pairs is made."""
+    spark = docs.sparkSession
     rest_blocks, main_blocks = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("n_rest", "n_main"))
     is_main = F.col("component") == F.col("main")
     seat = F.xxhash64("rep")
     own = F.when(is_main, F.col("rest_blocks") + F.pmod(seat, F.col("main_blocks"))).otherwise(F.pmod(seat, F.col("rest_blocks"))).cast("int")
     placed = apart.withColumn("rest_blocks", rest_blocks).withColumn("main_blocks", main_blocks)
-    placed = placed.select("key", "rep", "component", own.alias("block"), F.when(is_main, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks")).alias("others"))
+    placed = placed.select("key", "band", "rep", "component", own.alias("block"), F.when(is_main, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks")).alias("others"))
     with_regs = materialise(placed.join(classes, "rep"), "regs")
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi"))))
-    dealt = with_regs.select("key", "rep", "component", "n", "regs", "block", other.alias("at")).select("key", "at.lo", "at.hi", "rep", "component", "n", "regs", "block")
-
-    def compare(b: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = b["lo"].iloc[0], b["hi"].iloc[0]
-        b = b.drop_duplicates("rep")
-        left, right = (b, b) if lo == hi else (b[b["block"] == lo], b[b["block"] == hi])
-        out_a, out_b = [], []
-        if len(left) and len(right):
-            rl, rr = (np.frombuffer(b"".join(x["regs"]), dtype=np.uint16).reshape(len(x), -1) for x in (left, right))
-            cl, cr, nl, nr, il, ir = (x[c].to_numpy() for c in ("component", "n", "rep") for x in (left, right))
-            for i in range(len(left)):
-                ok = (cr != cl[i]) & (100 * np.minimum(nr, nl[i]) >= percent * np.maximum(nr, nl[i]))
-                if lo == hi:
-                    ok &= ir > il[i]
-                j = np.flatnonzero(ok)
-                if len(j):
-                    j = j[estimate((rr[j] == rl[i]).mean(1), nl[i], nr[j]) >= percent / 100 - MARGIN]
-                    out_a += [int(il[i])] * len(j)
-                    out_b += ir[j].tolist()
-        x = pd.DataFrame({"a": np.array(out_a, dtype=np.int64), "b": np.array(out_b, dtype=np.int64)})
-        return pd.DataFrame({"a": x.min(axis=1), "b": x.max(axis=1)})
-
-    return dealt.groupBy("key", "lo", "hi").applyInPandas(compare, "a long, b long").distinct()
+    dealt = with_regs.select("*", other.alias("at")).select(
+        "key", F.col("at.lo").cast("int").alias("lo"), F.col("at.hi").cast("int").alias("hi"), "band", "block", "rep", "component", "n", "regs"
+    )
+    parts = shuffle_partitions(spark)
+
+    def flag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in whole_groups(batches, GROUP):
+            rows = [np.union1d(i, j) for _, _, i, j, _ in plausible_pairs(b, percent)]
+            if rows:
+                yield b.iloc[np.unique(np.concatenate(rows))]
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in whole_groups(batches, GROUP):
+            rep, component = b["rep"].to_numpy(), b["component"].to_numpy()
+            out = []
+            for s, e, i, j, near in plausible_pairs(b, percent):
+                sets = {r: np.frombuffer(b["set"].iat[r], dtype=np.uint64) for r in np.union1d(i, j)}
+                at: dict[int, int] = {}
+
+                def find(c: int, at=at) -> int:
+                    while c in at:
+                        c = at[c]
+                    return c
+
+                for k in np.argsort(-near, kind="stable"):
+                    x, y = find(component[i[k]]), find(component[j[k]])
+                    if x != y and similar(sets[i[k]], sets[j[k]], percent):
+                        at[max(x, y)] = min(x, y)
+                        out.append((min(rep[i[k]], rep[j[k]]), max(rep[i[k]], rep[j[k]])))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    flagged = dealt.repartition(parts, *GROUP).sortWithinPartitions(*GROUP).mapInPandas(flag, GROUP_SHAPE)
+    flagged = materialise(flagged, "flagged")
+    full = full_sets(docs, flagged.select(F.col("rep").alias("doc_id")), size, doc_id, text)
+    again = flagged.join(full.withColumnRenamed("doc_id", "rep"), "rep").select(*flagged.columns, "set")
+    return materialise(again.repartition(parts, *GROUP).sortWithinPartitions(*GROUP).mapInPandas(join, "a long, b long").distinct(), "more")

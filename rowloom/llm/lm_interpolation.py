@@ -250,8 +250,8 @@ def score(docs: DataFrame, is_train: Column, order: int = 2, doc_id: str = "doc_
         raise ValueError("order is 1, 2 or 3")
     held = F.crc32(F.concat(F.lit("slice"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary")) % SLICE_OF == 0
     role = F.when(~is_train, 0).when(held, 2).otherwise(1)
-    made = materialise(blocks(docs, role, doc_id, text), "blocks")
-    told = materialise(answers(made, order), "answers")
+    made = materialise(blocks(docs, role, doc_id, text), "blocks", "zstd")
+    told = materialise(answers(made, order), "answers", "zstd")
     sums = made.agg(F.sum(F.when(F.col("role") > 0, F.col("tokens"))).alias("n"), F.sum(F.when(F.col("role") == 2, F.col("tokens"))).alias("held")).first()
     total, held_total = int(sums["n"] or 0), int(sums["held"] or 0)
     vocabulary = int(told.where("gram = 1").agg(F.sum("known")).first()[0] or 0)
