@@ -101,25 +101,27 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     often = in_p >= min(LEAST_IN, len(positive))
     at, in_p = at[often], in_p[often]
 
-    def places(docs):
-        every = np.concatenate([*docs, np.zeros(0, np.int32)])
-        where = np.minimum(np.searchsorted(at, every), max(0, len(at) - 1))
-        return np.where(at[where] == every, where, -1) if len(at) else np.full(len(every), -1)
-
-    of_u = places(unlabelled)
-    in_u = np.bincount(of_u[of_u >= 0], minlength=len(at))
+    def places(doc):
+        """Columns of a text's features among those of at; texts one by one, so that memory stays small."""
+        where = np.minimum(np.searchsorted(at, doc), max(0, len(at) - 1))
+        return where[at[where] == doc] if len(at) else np.zeros(0, dtype=np.int64)
+
+    in_u = np.zeros(len(at))
+    for d in unlabelled:
+        in_u[places(d)] += 1
     p, u = (in_p + 0.5) / (len(positive) + 1), (in_u + 0.5) / (len(unlabelled) + 1)
     both = (in_p + in_u + 1) / (len(positive) + len(unlabelled) + 2)
     z = (p - u) / np.sqrt(both * (1 - np.minimum(both, 0.999)) * (1 / len(positive) + 1 / len(unlabelled)))
     # Common in positives and twice as common as elsewhere: the few words that mark the class.
     ok = (z >= LEAST_Z) & (p >= 2 * u)
     picked = np.flatnonzero(ok)[np.argsort(-z[ok], kind="stable")[:MAX_FEATURES]]
-    chosen, column = at[picked], np.full(len(at) + 1, -1)
+    chosen, column = at[picked], np.full(len(at), -1)
     column[picked] = np.arange(len(picked))
 
     def coo(docs):
-        rows, cols = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), column[places(docs)]
-        return rows[cols >= 0], cols[cols >= 0], len(docs)
+        kept = [column[places(d)] for d in docs]
+        kept = [x[x >= 0] for x in kept]
+        return np.repeat(np.arange(len(docs)), [len(x) for x in kept]), np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int64), len(docs)
 
     data_p, data_u = coo(positive), coo(unlabelled)
     w, m, v = (np.zeros(len(chosen) + 1) for _ in range(3))
