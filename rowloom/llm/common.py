@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +52,13 @@ def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     path = f"{shared_dir(spark)}/rowloom-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def compact(df: DataFrame, label: str, rows_a_file: int = 100_000) -> DataFrame:
+    """Like materialise, in as many files as the rows need instead of one for each task: the rows are
+    computed once, with all tasks, into blocks on the executors' disks, counted, and written from there."""
+    held = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return materialise(held.coalesce(max(1, -(-held.count() // rows_a_file))), label)
+    finally:
+        held.unpersist()

@@ -36,12 +36,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, words
+from .common import compact, materialise, shuffle_partitions, words
 
 BUCKETS, BAND = 160, 5
 MANTISSA_BITS, ZERO_BITS = 10, 6
 MARGIN = 0.15
 BLOCK = 128  # classes that are compared with as many others at once
+WIDE = 5000  # rows a scratch file, where rows hold registers or sets
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -150,15 +151,15 @@ def sketches(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "te
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): least id reachable. Labels move along links and
     through the labels' own labels, so chains shorten by halves."""
-    both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    both = compact(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    labels = compact(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         own = labels.join(near, labels["id"] == near["a"]).select("id", F.col("label").alias("old"), F.least("label", "near").alias("new"))
         up = own.select(F.col("id").alias("up"), F.col("new").alias("up_label"))
         # One row for each label that others carry, however many carry it.
         step = own.join(up, own["new"] == up["up"]).select("id", "old", F.least("new", "up_label").alias("label"))
-        step = materialise(step, "step")
+        step = compact(step, "step")
         changed = not step.where("label <> old").isEmpty()
         labels = step.select("id", "label")
         if not changed:
@@ -173,8 +174,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int, doc_id: str, text: str
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "set": [shingle(t).tobytes() for t in b["text"]]})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(materialise(ids.distinct(), "ids"), "doc_id", "left_semi")
-    return materialise(rows.mapInPandas(sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(compact(ids.distinct(), "ids"), "doc_id", "left_semi")
+    return compact(rows.mapInPandas(sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets", WIDE)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -192,9 +193,9 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, doc_id: s
             yield b.loc[ok, ["a", "b"]]
 
     first = pairs.join(full.withColumnRenamed("set", "y"), pairs["b"] == full["doc_id"]).select("a", "b", "y")
-    first = materialise(first, "half")
+    first = compact(first, "half", WIDE)
     whole = first.join(full.withColumnRenamed("set", "x"), first["a"] == full["doc_id"]).select("a", "b", "x", "y")
-    return materialise(whole.mapInPandas(meet, "a long, b long"), "met")
+    return compact(whole.mapInPandas(meet, "a long, b long"), "met")
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,7 +207,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     # 1. Classes of equal sets, in two steps: a class may hold a third of all rows.
     part = live.groupBy("set_key", "salt").agg(F.min("doc_id").alias("least"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n"))
     whole = part.groupBy("set_key").agg(F.min("least").alias("rep"), F.first("regs").alias("regs"), F.first("n").alias("n"), F.collect_set("salt").alias("salts"))
-    whole = materialise(whole, "classes")
+    whole = compact(whole, "classes", WIDE)
     classes = whole.select("rep", "n", "regs")
     members = whole.select("set_key", "rep", F.explode("salts").alias("salt"))
     # 2. Keys: band number and registers. Stars first.
@@ -214,20 +215,19 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     keyed = classes.select(
         "rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("regs", i * (2 * BAND) + 1, F.lit(2 * BAND)))).alias("band", "part")
     ).select("rep", "band", F.xxhash64("band", "part").alias("key"))
-    keyed = materialise(keyed, "keys")
-    met = materialise(keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("classes")).where("classes > 1").select("key", "a"), "met")
-    shared = materialise(keyed.join(met, "key"), "shared")
+    met = compact(keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("classes")).where("classes > 1").select("key", "a"), "met")
+    shared = compact(keyed.join(met, "key"), "shared")
     star = shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    star = materialise(plausible(star, classes, percent), "star")
+    star = compact(plausible(star, classes, percent), "star")
     links = verify(docs, star, size, percent, doc_id, text)
     # 3. and 4. What the stars left apart, in the buckets that hold more than one component.
     shared = shared.select("key", "band", "rep")
     apart = unsettled(shared, links)
     inside = apart.where("component = main").groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("inside"))
-    around = apart.where("component <> main").join(materialise(inside, "inside"), "key")
+    around = apart.where("component <> main").join(compact(inside, "inside"), "key")
     around = around.select(F.least("rep", "inside").alias("a"), F.greatest("rep", "inside").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    around = materialise(plausible(around, classes, percent), "around")
-    links = materialise(links.union(verify(docs, around, size, percent, doc_id, text)), "known")
+    around = compact(plausible(around, classes, percent), "around")
+    links = compact(links.union(verify(docs, around, size, percent, doc_id, text)), "known")
     more = cross_links(unsettled(shared, links), classes, size, percent, docs, doc_id, text)
     all_parts = components(links.union(more))
     named = members.join(all_parts, members["rep"] == all_parts["id"], "left").select("set_key", "salt", F.coalesce("component", "rep").alias("component"))
@@ -240,13 +240,13 @@ def unsettled(shared: DataFrame, links: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component, with the bucket's largest and the counts."""
     part_of = components(links)
     named = shared.join(part_of, shared["rep"] == part_of["id"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
-    named = materialise(named, "named")
+    named = compact(named, "named")
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n_of"))
     mixed = sizes.groupBy("key").agg(
         F.count("*").alias("parts"), F.max_by("component", F.struct("n_of", "component")).alias("main"), F.max("n_of").alias("n_main"), F.sum("n_of").alias("m")
     ).where("parts > 1")
-    mixed = materialise(mixed.select("key", "main", "n_main", (F.col("m") - F.col("n_main")).alias("n_rest")), "mixed")
-    return materialise(named.join(mixed, "key"), "apart")
+    mixed = compact(mixed.select("key", "main", "n_main", (F.col("m") - F.col("n_main")).alias("n_rest")), "mixed")
+    return compact(named.join(mixed, "key"), "apart")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -320,7 +320,7 @@ def cross_links(apart: DataFrame, classes: DataFrame, size: int, percent: int, d
     own = F.when(is_main, F.col("rest_blocks") + F.pmod(seat, F.col("main_blocks"))).otherwise(F.pmod(seat, F.col("rest_blocks"))).cast("int")
     placed = apart.withColumn("rest_blocks", rest_blocks).withColumn("main_blocks", main_blocks)
     placed = placed.select("key", "band", "rep", "component", own.alias("block"), F.when(is_main, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks")).alias("others"))
-    with_regs = materialise(placed.join(classes, "rep"), "regs")
+    with_regs = compact(placed.join(classes, "rep"), "regs", WIDE)
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi"))))
     dealt = with_regs.select("*", other.alias("at")).select(
         "key", F.col("at.lo").cast("int").alias("lo"), F.col("at.hi").cast("int").alias("hi"), "band", "block", "rep", "component", "n", "regs"
@@ -354,7 +354,7 @@ def cross_links(apart: DataFrame, classes: DataFrame, size: int, percent: int, d
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     flagged = dealt.repartition(parts, *GROUP).sortWithinPartitions(*GROUP).mapInPandas(flag, GROUP_SHAPE)
-    flagged = materialise(flagged, "flagged")
+    flagged = compact(flagged, "flagged", WIDE)
     full = full_sets(docs, flagged.select(F.col("rep").alias("doc_id")), size, doc_id, text)
     again = flagged.join(full.withColumnRenamed("doc_id", "rep"), "rep").select(*flagged.columns, "set")
-    return materialise(again.repartition(parts, *GROUP).sortWithinPartitions(*GROUP).mapInPandas(join, "a long, b long").distinct(), "more")
+    return compact(again.repartition(parts, *GROUP).sortWithinPartitions(*GROUP).mapInPandas(join, "a long, b long").distinct(), "more")
