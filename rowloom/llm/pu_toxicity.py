@@ -165,10 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, is_train: Column, prior: float | Non
             yield pd.DataFrame({"doc_id": b["doc_id"], "p": b["p"], "q": b["q"], "f": [np.array(text_features(t), dtype=np.int32).tobytes() for t in b["text"]]})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
-    got = rows.mapInPandas(run, "doc_id long, p int, q int, f binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    vectors = [np.frombuffer(f, dtype=np.int32) for f in got["f"]]
+    got = rows.mapInPandas(run, "doc_id long, p int, q int, f binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    # Views of what was fetched, no copies: these texts' features are most of the driver's memory.
+    vectors = [np.frombuffer(f.as_buffer(), dtype=np.int32) for f in got["f"]]
+    in_p, in_q = got["p"].to_pylist(), got["q"].to_pylist()
     # A document may be in both samples: the unlabelled one is drawn from all training rows.
-    return train([x for x, p in zip(vectors, got["p"], strict=True) if p == 1], [x for x, q in zip(vectors, got["q"], strict=True) if q == 0], prior)
+    return train([x for x, p in zip(vectors, in_p, strict=True) if p == 1], [x for x, q in zip(vectors, in_q, strict=True) if q == 0], prior)
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
