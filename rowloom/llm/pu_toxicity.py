@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 4096
 HASH_BITS = 22
 LETTERS = re.compile(rb"[a-z\x80-\xff]+")
@@ -92,36 +94,46 @@ def probability(margin: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(margin, -50, 50))))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 400, rate: float = 0.05, decay: float = 1e-4):
-    """({feature: weight}, bias) by full-batch Adam on the non-negative risk."""
-    if not positive or not unlabelled or not 0 < prior < 1:
-        p = min(max(prior, 0.0), 1.0)
-        return {}, float(np.log(p / (1 - p))) if 0 < p < 1 else (-50.0 if p == 0 else 50.0)
-    at, in_p = np.unique(np.concatenate(positive), return_counts=True)
-    often = in_p >= min(LEAST_IN, len(positive))
-    at, in_p = at[often], in_p[often]
-
-    def places(doc):
-        """Columns of a text's features among those of at; texts one by one, so that memory stays small."""
-        where = np.minimum(np.searchsorted(at, doc), max(0, len(at) - 1))
-        return where[at[where] == doc] if len(at) else np.zeros(0, dtype=np.int64)
-
-    in_u = np.zeros(len(at))
-    for d in unlabelled:
-        in_u[places(d)] += 1
-    p, u = (in_p + 0.5) / (len(positive) + 1), (in_u + 0.5) / (len(unlabelled) + 1)
-    both = (in_p + in_u + 1) / (len(positive) + len(unlabelled) + 2)
-    z = (p - u) / np.sqrt(both * (1 - np.minimum(both, 0.999)) * (1 / len(positive) + 1 / len(unlabelled)))
+def strongest(features: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """The selected of the ascending features, given in how many of n_p positives and n_u unlabelled texts each is."""
+    often = in_p >= min(LEAST_IN, n_p)
+    features, in_p, in_u = features[often], in_p[often], in_u[often]
+    p, u = (in_p + 0.5) / (n_p + 1), (in_u + 0.5) / (n_u + 1)
+    both = (in_p + in_u + 1) / (n_p + n_u + 2)
+    z = (p - u) / np.sqrt(both * (1 - np.minimum(both, 0.999)) * (1 / n_p + 1 / n_u))
     # Common in positives and twice as common as elsewhere: the few words that mark the class.
     ok = (z >= LEAST_Z) & (p >= 2 * u)
-    picked = np.flatnonzero(ok)[np.argsort(-z[ok], kind="stable")[:MAX_FEATURES]]
-    chosen, column = at[picked], np.full(len(at), -1)
-    column[picked] = np.arange(len(picked))
+    return features[ok][np.argsort(-z[ok], kind="stable")[:MAX_FEATURES]]
+
+
+def columns_in(doc: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Places in chosen of those of a text's features that are chosen."""
+    return np.flatnonzero(np.isin(chosen, doc)).astype(np.int32)
+
+
+def untrained(prior: float) -> tuple[dict[int, float], float]:
+    p = min(max(prior, 0.0), 1.0)
+    return {}, float(np.log(p / (1 - p))) if 0 < p < 1 else (-50.0 if p == 0 else 50.0)
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float):
+    """({feature: weight}, bias) from lists of the texts' features."""
+    if not positive or not unlabelled or not 0 < prior < 1:
+        return untrained(prior)
+    features, in_p = np.unique(np.concatenate(positive), return_counts=True)
+    elsewhere, n = np.unique(np.concatenate(unlabelled), return_counts=True)
+    _, i, j = np.intersect1d(features, elsewhere, assume_unique=True, return_indices=True)
+    in_u = np.zeros(len(features))
+    in_u[i] = n[j]
+    chosen = strongest(features, in_p, in_u, len(positive), len(unlabelled))
+    return descend([columns_in(d, chosen) for d in positive], [columns_in(d, chosen) for d in unlabelled], chosen, prior)
+
+
+def descend(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float, epochs: int = 400, rate: float = 0.05, decay: float = 1e-4):
+    """({feature: weight}, bias) by full-batch Adam on the non-negative risk; texts as places in chosen."""
 
     def coo(docs):
-        kept = [column[places(d)] for d in docs]
-        kept = [x[x >= 0] for x in kept]
-        return np.repeat(np.arange(len(docs)), [len(x) for x in kept]), np.concatenate([*kept, np.zeros(0, np.int64)]).astype(np.int64), len(docs)
+        return np.repeat(np.arange(len(docs)), [len(x) for x in docs]), np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64), len(docs)
 
     data_p, data_u = coo(positive), coo(unlabelled)
     w, m, v = (np.zeros(len(chosen) + 1) for _ in range(3))
@@ -165,12 +177,31 @@ def fit(docs: DataFrame, labels: DataFrame, is_train: Column, prior: float | Non
             yield pd.DataFrame({"doc_id": b["doc_id"], "p": b["p"], "q": b["q"], "f": [np.array(text_features(t), dtype=np.int32).tobytes() for t in b["text"]]})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
-    got = rows.mapInPandas(run, "doc_id long, p int, q int, f binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
-    # Views of what was fetched, no copies: these texts' features are most of the driver's memory.
+    rows = materialise(rows.mapInPandas(run, "doc_id long, p int, q int, f binary").dropDuplicates(["doc_id"]), "toxic-features")
+    # A document may be in both samples: the unlabelled one is drawn from all training rows.
+    n_p, n_u = rows.agg(F.coalesce(F.sum("p"), F.lit(0)), F.count_if(F.col("q") == 0)).first()
+    if not n_p or not n_u or not 0 < prior < 1:
+        return untrained(prior)
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for side, of in (("p", b["p"] == 1), ("u", b["q"] == 0)):
+                at, n = np.unique(np.frombuffer(b"".join(b.loc[of, "f"]), dtype=np.int32), return_counts=True)
+                yield pd.DataFrame({"feature": at, "in_p": n * (side == "p"), "in_u": n * (side == "u")})
+
+    # Features of LEAST_IN positives or more come to the driver, three numbers each; texts stay where they are.
+    counts = rows.mapInPandas(tally, "feature int, in_p long, in_u long").groupBy("feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+    counts = counts.where(F.col("in_p") >= min(LEAST_IN, n_p)).toArrow().sort_by("feature")
+    chosen = strongest(*(counts[c].to_numpy() for c in ("feature", "in_p", "in_u")), n_p, n_u)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(f=[columns_in(np.frombuffer(f, dtype=np.int32), chosen).tobytes() for f in b["f"]])
+
+    got = rows.mapInPandas(place, rows.schema).toArrow().sort_by("doc_id")
     vectors = [np.frombuffer(f.as_buffer(), dtype=np.int32) for f in got["f"]]
     in_p, in_q = got["p"].to_pylist(), got["q"].to_pylist()
-    # A document may be in both samples: the unlabelled one is drawn from all training rows.
-    return train([x for x, p in zip(vectors, in_p, strict=True) if p == 1], [x for x, q in zip(vectors, in_q, strict=True) if q == 0], prior)
+    return descend([x for x, p in zip(vectors, in_p, strict=True) if p == 1], [x for x, q in zip(vectors, in_q, strict=True) if q == 0], chosen, prior)
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
