@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 TABLE_SIZE = 300_000  # distinct chunks that a task keeps
+SLICE = 2_000_000  # characters whose ids are held at once, or one text
 LONGEST_KEPT = 64  # characters; longer chunks are segmented each time, so the table stays small
 
 
@@ -90,8 +92,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: l
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = ChunkEncoder(model)
         for b in batches:
-            ids = [encoder.encode(t) for t in b["_text"]]
-            yield b[keep].assign(ids=ids)
+            part = np.cumsum([len(t) if t else 0 for t in b["_text"]]) // SLICE
+            for _, some in b.groupby(part, sort=False):
+                yield some[keep].assign(ids=pd.Series([np.array(encoder.encode(t), dtype=np.int32) for t in some["_text"]], index=some.index, dtype=object))
 
     fields = [docs.schema[c] for c in keep]
     shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>"])
