@@ -4,8 +4,8 @@ Markup is stripped so that every block element is a line. Lines that belong to p
 their element or its class, id or role (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) are empty, and each such element leaves a gap. The
 distribution is the sum of text lengths, links not counted, over windows of ``WINDOW`` lines. It
-surges where a window passes ``SURGE`` and the lines behind go on, and dives where a window
-has sunk to nothing; text between a surge and its dive is a candidate. Where a page names its
+surges at a line with text whose window passes ``SURGE``, and dives where a window has sunk to
+nothing; text between a surge and its dive is a candidate. Where a page names its
 article itself, lines outside of it are empty as well, so that short paragraphs inside need not
 be long to be kept; on other pages the longest candidate and those near to it in mass are kept.
 
@@ -171,7 +171,7 @@ def between(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[
     n, found, i = len(weights), [], 0
     sums = [sum(weights[j : j + window]) for j in range(n)]
     while i < n:
-        if sums[i] > surge and weights[i] and any(sums[i + 1 : i + window]) or (i + 1 == n and sums[i] > surge):
+        if weights[i] and sums[i] > surge:
             j = i
             while j < n and sums[j] > 0:
                 j += 1

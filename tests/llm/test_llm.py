@@ -169,6 +169,15 @@ def test_main_text_edges(spark):
     assert got[1]["text"] == "" and got[1]["n_chars"] == 0 and got[2]["text"] == WANT and got[2]["n_chars"] == len(WANT)
 
 
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>", "<p>{}</p>", "<article><p>{}</p><aside>Related things</aside></article>", "<main>{}<form>Mail</form></main>"])
+@pytest.mark.parametrize("text", ["Alone.", "One block of text that stands alone between furniture. " * 20])
+def test_main_text_of_one_block(wrap, text):
+    page = f"<body><nav>Menu</nav>{wrap.format(text)}<footer>All rights</footer></body>"
+    assert line_blocks.main_text(page) == text.strip()
+    advert = '<div class="ad">Buy now! Great offers on everything you ever wanted.</div>'
+    assert line_blocks.main_text(f"<body>{advert}<p>{LONG[:300]}</p>{advert}<p>{LONG[:280]}</p>{advert}</body>") == f"{LONG[:300].strip()} {LONG[:280].strip()}"
+
+
 def test_main_text_of_the_pages(spark, sf):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op3_main_text(spark, sf).collect():
