@@ -5,9 +5,11 @@ their element or its class, id or role (menus, headers, footers, sidebars, notic
 forms, scripts, styles, reader comments) are empty, and each such element leaves a gap. The
 distribution is the sum of text lengths, links not counted, over windows of ``WINDOW`` lines. It
 surges at a line with text whose window passes ``SURGE``, and dives where a window has sunk to
-nothing; text between a surge and its dive is a candidate. Where a page names its
-article itself, lines outside of it are empty as well, so that short paragraphs inside need not
-be long to be kept; on other pages the longest candidate and those near to it in mass are kept.
+nothing; text between a surge and its dive is a candidate. Candidates are found so on every page,
+and the one with most text decides. An article that the page names itself corrects the outcome:
+its candidates count as one, it is taken as well where its text is near to that of a longer
+candidate outside, and it is kept whole, within its own bounds. On other pages the longest
+candidate and those near to it in mass are kept.
 
 Defined cases: a null or empty page, and a page of furniture only, gives the empty string; markup
 that is never closed is closed by its ancestors; a page of any length is read whole, in one pass;
@@ -181,26 +183,37 @@ def between(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[
     return found
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, tags: bool = True) -> str:
+    """The main text of a page; without tags, as the windows alone find it."""
     if not page:
         return ""
     lines = lines_of(page)
-    articles: dict[int, int] = {}
-    for t, w, a in lines:
-        if a:
-            articles[a] = articles.get(a, 0) + len(t)
-    if articles and max(articles.values()):
-        # The page's own article: outside of it nothing counts, inside any text does.
-        best = max(articles, key=lambda a: (articles[a], -a))
-        kept = [(t, len(t)) for t, _, a in lines if a == best]
-        stretches = between([w for _, w in kept], 0, len(kept) + 1)
-        return " ".join(kept[i][0] for a, b in stretches for i in range(a, b) if kept[i][0])
-    weights = [w for _, w, _ in lines]
+    if not tags:
+        lines = [(t, w, 0) for t, w, _ in lines]
+    # Links count in an article, where they are part of the text.
+    weights = [len(t) if a else w for t, w, a in lines]
     stretches = between(weights, SURGE) or between(weights, 0)
     if not stretches:
         return ""
-    mass = [sum(weights[a:b]) for a, b in stretches]
-    return " ".join(lines[i][0] for (a, b), m in zip(stretches, mass, strict=True) if m >= NEAR * max(mass) for i in range(a, b) if lines[i][0])
+    own: dict[int, int] = {}
+    for (_, _, a), w in zip(lines, weights, strict=True):
+        if a:
+            own[a] = own.get(a, 0) + w
+    # An article's stretches count together, others each: (article, 0) or (0, stretch).
+    mass: dict[tuple[int, int], int] = {}
+    for k, (i, j) in enumerate(stretches):
+        for n in range(i, j):
+            key = (lines[n][2], 0) if lines[n][2] else (0, k)
+            mass[key] = mass.get(key, 0) + weights[n]
+    core = max(mass, key=lambda key: (mass[key], -key[0], -key[1]))
+    article = core[0]
+    if own and not article:
+        longest = max(own, key=lambda a: (own[a], -a))
+        article = longest if own[longest] >= NEAR * mass[core] else 0
+    if article:
+        # Corrected to the bounds of the page's own article.
+        return " ".join(t for t, _, a in lines if a == article and t)
+    return " ".join(lines[n][0] for k, (i, j) in enumerate(stretches) if mass.get((0, k), 0) >= NEAR * mass[core] for n in range(i, j) if lines[n][0] and not lines[n][2])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -178,6 +178,18 @@ def test_main_text_of_one_block(wrap, text):
     assert line_blocks.main_text(f"<body>{advert}<p>{LONG[:300]}</p>{advert}<p>{LONG[:280]}</p>{advert}</body>") == f"{LONG[:300].strip()} {LONG[:280].strip()}"
 
 
+def test_main_text_is_found_by_the_windows_not_by_the_tag():
+    card = "<article><a href='/x'>Other story</a></article>"
+    long, short = LONG[:900].strip(), LONG[:400].strip()
+    assert line_blocks.main_text(f"<body>{card}<aside>x</aside><div><p>{long}</p></div>{card}</body>") == long
+    # An article is taken where its own text is near to the longest, and within its bounds only.
+    assert line_blocks.main_text(f"<body><div><p>{long}</p></div><aside>x</aside><article><p>{short}</p></article><p>by</p></body>") == short
+    cut = f"<p>{short}</p><aside>x</aside>" * 4
+    assert line_blocks.main_text(f"<article>{cut}</article><article><p>{long}</p></article>") == " ".join([short] * 4)
+    page = PAGE.replace("{main}", f"<article>{BODY}</article>")
+    assert line_blocks.main_text(page, tags=False) == WANT == line_blocks.main_text(page)
+
+
 def test_main_text_of_the_pages(spark, sf):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op3_main_text(spark, sf).collect():
