@@ -2,7 +2,9 @@
 
 Markup is stripped so that every block element is a line. Lines that belong to page furniture by
 their element or its class, id or role (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) are empty, and each such element leaves a gap. The
+forms, scripts, styles, reader comments) are empty, and each such element leaves a gap. Inside an
+article only names that mean furniture alone decide; a block with another such name (related,
+discussion, legal) is dropped if it is mostly links, or a label without prose. The
 distribution is the sum of text lengths, links not counted, over windows of ``WINDOW`` lines. It
 surges at a line with text whose window passes ``SURGE``, and dives where a window has sunk to
 nothing; text between a surge and its dive is a candidate. Candidates are found so on every page,
@@ -57,6 +59,21 @@ NAMES = re.compile(
     r"|pagination|pager|tags?|tagcloud|copyright|legal|disclaimer|skip|skip-?link|skip-?nav|hidden|sr-?only|print-?only)(?=$|[\s_-])",
     re.I,
 )
+#: Inside an article: whole class and id names that are furniture whatever the text; other names are judged by it.
+SURE = re.compile(
+    r"(?:^|\s)(?:(?:article|post|entry|story|page|site|inline|top|bottom|left|right|mobile|google|dfp)[_-])*"
+    r"(?:ads?|advert|adverts|advertisements?|advertorial|adsense|adslot|sponsored|promo|promoted|banner|cookies?|gdpr|popup|nav|navbar|navigation|breadcrumbs?|topbar|toolbar|masthead|sidebars?"
+    r"|share|sharing|social|social-?media|subscribe|newsletter|signup|sign-up|login|comments?|commentlist|disqus|reader-?comments?|pagination|pager|tagcloud|skip-?link|skip-?nav|hidden|sr-?only|print-?only)"
+    r"(?:[_-](?:ad|bar|block|box|btn|button|buttons|container|content|form|icons|iframe|inner|item|label|links?|list|media|notice|panel|section|slot|text|thread|unit|widget|wrap|wrapper|[0-9]+))*(?=$|\s)",
+    re.I,
+)
+#: Whole names that are furniture where no prose is inside.
+PLAIN = re.compile(
+    r"(?:^|\s)(?:notices?|notification|alerts?|modal|overlay|menus?|header|footer|side|widgets?|aside|related|recommended|recommendations|trending|popular|more-?stories|follow|subscription|search|forms?"
+    r"|discussion|replies|respond|tags?|copyright|legal|disclaimer|consent|sponsors?)(?:[_-](?:bar|box|buttons?|links?|list|posts|stories|us|widget))?(?=$|\s)",
+    re.I,
+)
+SENTENCE = re.compile(r"[.!?:;\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*$")
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:[_-](?:body|content|text|main))?(?=$|\s)", re.I)
 CLOSED_BY = {
     "p": BLOCKS - {"br", "button"},
@@ -65,6 +82,14 @@ CLOSED_BY = {
 }
 
 
+def reads_as_furniture(lines: list[tuple[str, int, int]], first: int, totals: list[tuple[int, int]], names: str) -> bool:
+    """Whether a named block of an article, from line first on, looks like furniture: mostly links, or a label without prose."""
+    for t, w, _ in lines[len(totals) - 1 :]:
+        totals.append((totals[-1][0] + len(t), totals[-1][1] + w))
+    total, own = (totals[-1][k] - totals[first][k] for k in (0, 1))
+    return own * 2 <= total or bool(PLAIN.search(names)) and own < SURGE and not any(SENTENCE.search(t) for t, w, _ in lines[first:] if w)
+
+
 class Line:
     __slots__ = ("parts", "linked", "inside")
 
@@ -77,9 +102,11 @@ class Line:
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, weight, article) of each line; furniture leaves GAP empty lines."""
     out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # name, furniture, article number (0: none), link
+    # name, furniture, article number (0: none), link, and of a block in doubt: its first line, names
+    stack: list[tuple[str, bool, int, bool, tuple[int, str] | None]] = []
     line = Line(0)
     articles = 0
+    totals = [(0, 0)]  # lengths and weights before each line, as far as they were asked for
 
     def end(inside: int) -> None:
         nonlocal line
@@ -90,16 +117,21 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         line = Line(inside)
 
     def state() -> tuple[bool, int, bool]:
-        return stack[-1][1:] if stack else (False, 0, False)
+        return stack[-1][1:4] if stack else (False, 0, False)
 
     def pop(n: int) -> None:
         nonlocal line
         was = state()
         block = any(s[0] in BLOCKS for s in stack[n:])
+        doubts = [s[4] for s in stack[n:] if s[4]]
         del stack[n:]
         now = state()
         if block or was[:2] != now[:2]:
             end(now[1])
+        for first, names in reversed(doubts):
+            if first < len(out) and reads_as_furniture(out, first, totals, names):
+                out[first:] = [("", 0, now[1])] * GAP
+                del totals[first + 1 :]
         if was[0] and not now[0]:
             out.extend([("", 0, now[1])] * GAP)
 
@@ -136,7 +168,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             if stack[n][0] in BLOCKS:
                 break
         furniture, article, link = state()
-        was = furniture, article
+        was, doubt = (furniture, article), None
         if attrs:
             known = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)}
             names = f"{known.get('class', '')} {known.get('id', '')}".strip()
@@ -150,20 +182,27 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 article = articles
         elif name not in ("body", "html"):
             in_article_header = name == "header" and article
-            if (name in FURNITURE and not in_article_header) or role in ROLES or hidden or (names and NAMES.search(names) and not (name in HEADINGS and article) and not MAIN_NAMES.search(names)):
-                furniture = True
+            named = names and NAMES.search(names) and not (name in HEADINGS and article) and not MAIN_NAMES.search(names)
+            if named and article and not SURE.search(names):
+                # Ordinary sections bear such names too; blocks are judged when they end.
+                doubt, named = (len(out), names) if name in BLOCKS and not furniture else None, None
+            if (name in FURNITURE and not in_article_header) or role in ROLES or hidden or named:
+                furniture, doubt = True, None
         if name == "a" and "href" in known:
             link = True
         if name in BLOCKS:
             end(article)
+        if doubt:
+            doubt = len(out), doubt[1]
         if furniture and not was[0]:
             end(article)
             out.extend([("", 0, article)] * GAP)
         elif article != was[1]:
             end(article)
         if name not in VOID and not attrs.rstrip().endswith("/"):
-            stack.append((name, furniture, article, link))
+            stack.append((name, furniture, article, link, doubt))
     text(page[at:])
+    pop(0)
     end(0)
     return out
 

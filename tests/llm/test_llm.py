@@ -190,6 +190,26 @@ def test_main_text_is_found_by_the_windows_not_by_the_tag():
     assert line_blocks.main_text(page, tags=False) == WANT == line_blocks.main_text(page)
 
 
+@pytest.mark.parametrize(
+    "attribute",
+    ['id="discussion"', 'id="related-work"', 'id="side-effects"', 'class="legal-history"', 'id="follow-up"', 'id="market-share"', 'class="forms"', 'class="popular"', 'id="search"', 'class="tags"', 'class="notice"', 'id="alert"', 'id="hidden-costs"', 'id="social-impact"'],
+)
+def test_main_text_keeps_named_sections_of_an_article(attribute):
+    body = f"<h1>Head</h1><p>One.</p><section {attribute}><h2>Part</h2><p>We found <a href='/x'>it</a> so.</p></section><p>Two <span {attribute}>words</span>.</p>"
+    assert line_blocks.main_text(PAGE.replace("{main}", f"<article>{body}</article>")) == "Head One. Part We found it so. Two words."
+
+
+@pytest.mark.parametrize(
+    "furniture",
+    ['<div class="ad">Buy now, it is great.</div>', '<div id="google_ads_iframe_1">Buy now, it is great.</div>', '<div class="related"><h3>Related</h3><ul><li><a href="/a">Another story.</a><li><a href="/b">One more.</a></ul></div>', '<p class="tags">Tags: <a href="/t">tag</a></p>',
+     '<section id="comments"><p>A reader wrote a fairly long comment on this.</p></section>', '<div class="share-buttons">Tell your friends about it.</div>', '<div class="post-tags"><a href="/t">t</a></div>', '<div class="legal">All rights reserved</div>'],
+)
+def test_main_text_drops_furniture_of_an_article(furniture):
+    for end in ("<p>Two.</p></article>", ""):
+        page = f"<body><nav>Menu</nav><article><h1>Head</h1><p>One.</p>{furniture}{end}"
+        assert line_blocks.main_text(page) == ("Head One. Two." if end else "Head One.")
+
+
 def test_main_text_of_the_pages(spark, sf):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op3_main_text(spark, sf).collect():
