@@ -10,8 +10,10 @@ surges at a line with text whose window passes ``SURGE``, and dives where a wind
 nothing; text between a surge and its dive is a candidate. Candidates are found so on every page,
 and the one with most text decides. An article that the page names itself corrects the outcome:
 its candidates count as one, it is taken as well where its text is near to that of a longer
-candidate outside, and it is kept whole, within its own bounds. On other pages the longest
-candidate and those near to it in mass are kept.
+candidate outside, and it is kept whole, within its own bounds. On other pages the candidates of a
+container (the innermost that holds most of each; siblings alike count as one) are joined before
+their masses are compared. The heaviest container and those near to it in mass are kept, with all
+lines of the container around them, so that furniture in between cuts nothing off.
 
 Defined cases: a null or empty page, and a page of furniture only, gives the empty string; markup
 that is never closed is closed by its ancestors; a page of any length is read whole, in one pass;
@@ -21,6 +23,7 @@ html columns are read.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import re
 from collections.abc import Iterator
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 WINDOW, SURGE, GAP = 3, 40, 3
 #: Share of the largest candidate's text that another one needs to be kept as well.
 NEAR = 0.35
+#: A candidate belongs to the innermost container that holds this share of its text.
+HOLDS = 0.8
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -48,6 +53,7 @@ BLOCKS = frozenset(
     " tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+CONTAINERS = frozenset("div section article main td th center".split())
 FURNITURE = frozenset("nav header footer aside form button fieldset dialog menu head label search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog form menu menubar toolbar alert".split())
@@ -82,61 +88,64 @@ CLOSED_BY = {
 }
 
 
-def reads_as_furniture(lines: list[tuple[str, int, int]], first: int, totals: list[tuple[int, int]], names: str) -> bool:
+def reads_as_furniture(lines: list[tuple[str, int, int, int]], first: int, totals: list[tuple[int, int]], names: str) -> bool:
     """Whether a named block of an article, from line first on, looks like furniture: mostly links, or a label without prose."""
-    for t, w, _ in lines[len(totals) - 1 :]:
+    for t, w, *_ in lines[len(totals) - 1 :]:
         totals.append((totals[-1][0] + len(t), totals[-1][1] + w))
     total, own = (totals[-1][k] - totals[first][k] for k in (0, 1))
-    return own * 2 <= total or bool(PLAIN.search(names)) and own < SURGE and not any(SENTENCE.search(t) for t, w, _ in lines[first:] if w)
+    return own * 2 <= total or bool(PLAIN.search(names)) and own < SURGE and not any(SENTENCE.search(t) for t, w, *_ in lines[first:] if w)
 
 
 class Line:
-    __slots__ = ("parts", "linked", "inside")
+    __slots__ = ("parts", "linked", "inside", "home")
 
-    def __init__(self, inside: int):
+    def __init__(self, inside: int, home: int):
         self.parts: list[str] = []
         self.linked = 0
         self.inside = inside
+        self.home = home
 
 
-def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, weight, article) of each line; furniture leaves GAP empty lines."""
-    out: list[tuple[str, int, int]] = []
-    # name, furniture, article number (0: none), link, and of a block in doubt: its first line, names
-    stack: list[tuple[str, bool, int, bool, tuple[int, str] | None]] = []
-    line = Line(0)
+def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], list[tuple]]:
+    """(text, weight, article, container) of each line, furniture leaving GAP empty lines; and of each
+    container, 0 being the page, its parent and its kind, which siblings alike share."""
+    out: list[tuple[str, int, int, int]] = []
+    parents, kinds = [0], [()]
+    # name, furniture, article number (0: none), link, container, and of a block in doubt: its first line, names
+    stack: list[tuple[str, bool, int, bool, int, tuple[int, str] | None]] = []
+    line = Line(0, 0)
     articles = 0
     totals = [(0, 0)]  # lengths and weights before each line, as far as they were asked for
 
-    def end(inside: int) -> None:
+    def end(inside: int, home: int) -> None:
         nonlocal line
         if line.parts:
             text = " ".join(entities.unescape("".join(line.parts)).split())
             if text:
-                out.append((text, max(0, len(text) - line.linked), line.inside))
-        line = Line(inside)
+                out.append((text, max(0, len(text) - line.linked), line.inside, line.home))
+        line = Line(inside, home)
 
-    def state() -> tuple[bool, int, bool]:
-        return stack[-1][1:4] if stack else (False, 0, False)
+    def state() -> tuple[bool, int, bool, int]:
+        return stack[-1][1:5] if stack else (False, 0, False, 0)
 
     def pop(n: int) -> None:
         nonlocal line
         was = state()
         block = any(s[0] in BLOCKS for s in stack[n:])
-        doubts = [s[4] for s in stack[n:] if s[4]]
+        doubts = [s[5] for s in stack[n:] if s[5]]
         del stack[n:]
         now = state()
         if block or was[:2] != now[:2]:
-            end(now[1])
+            end(now[1], now[3])
         for first, names in reversed(doubts):
             if first < len(out) and reads_as_furniture(out, first, totals, names):
-                out[first:] = [("", 0, now[1])] * GAP
+                out[first:] = [("", 0, now[1], 0)] * GAP
                 del totals[first + 1 :]
         if was[0] and not now[0]:
-            out.extend([("", 0, now[1])] * GAP)
+            out.extend([("", 0, now[1], 0)] * GAP)
 
     def text(s: str) -> None:
-        furniture, _, link = state()
+        furniture, _, link, _ = state()
         if not furniture and s:
             line.parts.append(s)
             if link:
@@ -158,7 +167,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                     break
             else:
                 if name in BLOCKS:
-                    end(state()[1])
+                    end(state()[1], state()[3])
             continue
         for n in range(len(stack) - 1, -1, -1):
             closed_by = CLOSED_BY.get(stack[n][0])
@@ -167,7 +176,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 break
             if stack[n][0] in BLOCKS:
                 break
-        furniture, article, link = state()
+        furniture, article, link, home = state()
         was, doubt = (furniture, article), None
         if attrs:
             known = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attrs)}
@@ -190,21 +199,26 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 furniture, doubt = True, None
         if name == "a" and "href" in known:
             link = True
+        opens = name not in VOID and not attrs.rstrip().endswith("/")
+        if opens and name in CONTAINERS and not furniture:
+            parents.append(home)
+            kinds.append((home, name, names) if names or name == "section" else (len(kinds),))
+            home = len(parents) - 1
         if name in BLOCKS:
-            end(article)
+            end(article, home)
         if doubt:
             doubt = len(out), doubt[1]
         if furniture and not was[0]:
-            end(article)
-            out.extend([("", 0, article)] * GAP)
+            end(article, home)
+            out.extend([("", 0, article, 0)] * GAP)
         elif article != was[1]:
-            end(article)
-        if name not in VOID and not attrs.rstrip().endswith("/"):
-            stack.append((name, furniture, article, link, doubt))
+            end(article, home)
+        if opens:
+            stack.append((name, furniture, article, link, home, doubt))
     text(page[at:])
     pop(0)
-    end(0)
-    return out
+    end(0, 0)
+    return out, parents, kinds
 
 
 def between(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -222,37 +236,76 @@ def between(weights: list[int], surge: int, window: int = WINDOW) -> list[tuple[
     return found
 
 
+def innermost(held: dict[int, int], parents: list[int], share: float) -> int:
+    """The innermost container with a share of what the given containers hold, each counted to all around it."""
+    held, need = dict(held), share * sum(held.values())
+    heap = [-c for c in held]
+    heapq.heapify(heap)
+    while heap:
+        # Containers are numbered as they open: inner ones come first.
+        c = -heapq.heappop(heap)
+        if held[c] >= need or not c:
+            return c
+        if parents[c] not in held:
+            held[parents[c]] = 0
+            heapq.heappush(heap, -parents[c])
+        held[parents[c]] += held[c]
+    return 0
+
+
 def main_text(page: str | None, tags: bool = True) -> str:
     """The main text of a page; without tags, as the windows alone find it."""
     if not page:
         return ""
-    lines = lines_of(page)
+    lines, parents, kinds = lines_of(page)
     if not tags:
-        lines = [(t, w, 0) for t, w, _ in lines]
+        lines = [(t, w, 0, c) for t, w, _, c in lines]
     # Links count in an article, where they are part of the text.
-    weights = [len(t) if a else w for t, w, a in lines]
+    weights = [len(t) if a else w for t, w, a, _ in lines]
     stretches = between(weights, SURGE) or between(weights, 0)
     if not stretches:
         return ""
     own: dict[int, int] = {}
-    for (_, _, a), w in zip(lines, weights, strict=True):
+    for (_, _, a, _), w in zip(lines, weights, strict=True):
         if a:
             own[a] = own.get(a, 0) + w
-    # An article's stretches count together, others each: (article, 0) or (0, stretch).
-    mass: dict[tuple[int, int], int] = {}
-    for k, (i, j) in enumerate(stretches):
+    # What lies in one article, or outside in one container or those like it, counts together.
+    mass: dict[tuple, int] = {}
+    homes: list[int | None] = []
+    for i, j in stretches:
+        outside: dict[int, int] = {}
         for n in range(i, j):
-            key = (lines[n][2], 0) if lines[n][2] else (0, k)
-            mass[key] = mass.get(key, 0) + weights[n]
-    core = max(mass, key=lambda key: (mass[key], -key[0], -key[1]))
-    article = core[0]
+            _, _, a, c = lines[n]
+            if a:
+                mass["article", a] = mass.get(("article", a), 0) + weights[n]
+            elif weights[n]:
+                outside[c] = outside.get(c, 0) + weights[n]
+        homes.append(innermost(outside, parents, HOLDS) if outside else None)
+        if outside:
+            mass[kinds[homes[-1]]] = mass.get(kinds[homes[-1]], 0) + sum(outside.values())
+    core = max(mass, key=lambda k: mass[k])  # the first of equals
+    article = core[1] if core[:1] == ("article",) else 0
     if own and not article:
         longest = max(own, key=lambda a: (own[a], -a))
         article = longest if own[longest] >= NEAR * mass[core] else 0
     if article:
         # Corrected to the bounds of the page's own article.
-        return " ".join(t for t, _, a in lines if a == article and t)
-    return " ".join(lines[n][0] for k, (i, j) in enumerate(stretches) if mass.get((0, k), 0) >= NEAR * mass[core] for n in range(i, j) if lines[n][0] and not lines[n][2])
+        return " ".join(t for t, _, a, _ in lines if a == article and t)
+    near = [(x, c) for x, c in zip(stretches, homes, strict=True) if c is not None and mass[kinds[c]] >= NEAR * mass[core]]
+    main = {c: 1 for _, c in near}
+    around = innermost(main, parents, 1)
+    alike = {kinds[c] for c in main if c} | ({kinds[around]} if around else set())
+    whole = [False] * len(parents)
+    for c in range(1, len(parents)):
+        whole[c] = kinds[c] in alike or whole[parents[c]]
+    kept = [not a and whole[c] for _, _, a, c in lines]
+    if 0 in main:
+        # The page itself: its own lines, and all between the first and the last of its stretches.
+        kept = [k or not a and not c for k, (_, _, a, c) in zip(kept, lines, strict=True)]
+        near.append(((min(i for (i, _), c in near if not c), max(j for (_, j), c in near if not c)), 0))
+    for (i, j), _ in near:
+        kept[i:j] = [k or not a for k, (_, _, a, _) in zip(kept[i:j], lines[i:j], strict=True)]
+    return " ".join(t for k, (t, *_) in zip(kept, lines, strict=True) if k and t)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

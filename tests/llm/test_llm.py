@@ -210,6 +210,21 @@ def test_main_text_drops_furniture_of_an_article(furniture):
         assert line_blocks.main_text(page) == ("Head One. Two." if end else "Head One.")
 
 
+@pytest.mark.parametrize("cut", ['<div class="ad">Buy now! It is great.</div>', "<aside>Related</aside>", '<div class="share"><a href="/s">Share</a></div>'])
+@pytest.mark.parametrize(
+    "wrap",
+    [("<div id='page'>", "</div>"), ("<div id='page'><div>", "</div></div>"), ("<table><tr><td>", "</table>"), ("", ""), ("<section class='part'>", "</section>")],
+)
+def test_main_text_joins_what_furniture_separates(cut, wrap):
+    parts = [f"<h1>Head</h1>{cut}", f"<p>{LONG[:200]}</p>" * 8 + cut, f"<h2>Short</h2>{cut}", f"<div class='box'><p>{LONG[:60]}</p></div>{cut}", f"<p>{LONG[:100]}</p><p>{LONG[:80]}</p>{cut}<p>The end.</p>"]
+    inside = (wrap[1] + wrap[0]).join(parts) if "part" in wrap[0] else "".join(parts)
+    page = f"<body><nav>Menu</nav>{wrap[0]}{inside}{wrap[1]}<footer>All rights</footer></body>"
+    want = ["Head", *[LONG[:200]] * 8, "Short", LONG[:60], LONG[:100], LONG[:80], "The end."]
+    assert line_blocks.main_text(page) == " ".join(" ".join(want).split())
+    other = "<aside>x</aside><div><p>A text of another column, long enough to be a surge.</p></div><footer>"
+    assert line_blocks.main_text(page.replace("<footer>", other)) == line_blocks.main_text(page)
+
+
 def test_main_text_of_the_pages(spark, sf):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op3_main_text(spark, sf).collect():
