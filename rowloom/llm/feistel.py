@@ -8,16 +8,21 @@ made, and equal values get equal pseudonyms in every document, so links survive.
 kind       validated by                                   permuted over
 =========  =============================================  ========================================
 date       calendar (ISO, d.m.y, m/d/y)                   days of the 400 years from 1700
+           calendar (d/m/y that is no m/d/y)              days 13 to 31 of their months
 ipv4       octets to 255                                  all addresses, 2**16 x 2**16
 ssn        assigned areas, groups, serials                898 x (99 x 9999)
-iban       remainder 1 modulo 97                          account letters and digits, new check digits
-card       13 to 19 digits                                all but the check digit, whose offset from
-                                                          the Luhn digit is kept (valid stays valid)
+iban       remainder 1 modulo 97; in groups of four also  account letters and digits, new check digits
+           the country's length
+card       13 to 19 digits in one and their Luhn digit,   all but the check digit, whose offset from
+           or 16 in groups of four                        the Luhn digit is kept (valid stays valid)
 phone      + and 7 to 15 digits                           digits behind the country code
 email      address syntax                                 letters and digits of the local part, by class
 secret     16 or more hex digits behind a secret's name   hex digits, by class
 =========  =============================================  ========================================
 
+Digits in card groups are replaced with a wrong Luhn digit too: their layout says what they are, and
+a mistyped card still tells of its holder.
+
 Numeric formats use a Feistel network over Z_a x Z_b (addition modulo the half's size); strings use
 one over halves of characters, each moved within its class, so that punctuation stays. Round
 functions are SHA-256 of key, kind, round and the other half. The key is a parameter.
@@ -37,6 +42,15 @@ from pyspark.sql import functions as F
 KEY = "rowloom"
 ROUNDS = 8
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: Length of an IBAN by country; grouped ones end there, whatever word comes next.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+GROUPED_IBAN = "|".join(
+    rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[ \u00a0-][A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"[ \u00a0-][A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items()
+)
 #: In order of trial; a match is tried at each place once.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,24}",
@@ -45,12 +59,13 @@ PATTERNS = {
     "ipv4": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{GROUPED_IBAN})(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z-]|\.[0-9])",
 }
 ANY = "|".join(PATTERNS.values())
 DAYS, DAYS_A = 146097, 189  # 400 Gregorian years; 189 * 773
 FIRST_DAY = "1700-01-01"
+LATE_DAYS, LATE_A = DAYS - 12 * 4800, 9  # those after the 12th of their month; 9 * 9833
 
 
 def _hash(key: Column, *parts: Column) -> Column:
@@ -99,12 +114,12 @@ def string(key: Column, kind: str, value: Column, hex_: bool = False) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda acc: F.concat(acc["l"], acc["r"]))
 
 
-def _refill(format_: Column, digits: Column) -> Column:
-    """format_ with its digits, in order, replaced by those given."""
+def _refill(format_: Column, digits: Column, places: str = "[0-9]") -> Column:
+    """format_ with its digits (or other places), in order, replaced by those given."""
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("at"))
 
     def step(acc: Column, c: Column) -> Column:
-        d = c.rlike("[0-9]")
+        d = c.rlike(places)
         return F.struct(F.concat(acc["s"], F.when(d, F.substr(digits, acc["at"], F.lit(1))).otherwise(c)).alias("s"), (acc["at"] + d.cast("int")).alias("at"))
 
     return F.aggregate(F.split(format_, ""), start, step, lambda acc: acc["s"])
@@ -139,7 +154,30 @@ def _date(key: Column, v: Column) -> Column:
     n = F.datediff(day, first).cast("long")
     other = F.date_add(first, numeric(key, "date", n, DAYS_A, DAYS // DAYS_A).cast("int"))
     text = F.when(v.contains("/"), F.date_format(other, "MM/dd/yyyy")).when(v.contains("."), F.date_format(other, "dd.MM.yyyy")).otherwise(F.date_format(other, "yyyy-MM-dd"))
-    return F.when((n >= 0) & (n < DAYS), text)
+    return F.when((n >= 0) & (n < DAYS), text).when(day.isNull() & v.contains("/"), _day_first(key, v))
+
+
+def _day_first(key: Column, v: Column) -> Column:
+    """Of d/m/y with a day after the 12th, as no month has; so are its pseudonyms, and none is another's as m/d/y."""
+    first = F.lit(FIRST_DAY).cast("date")
+    day = F.try_to_timestamp(v, F.lit("dd/MM/yyyy")).cast("date")
+    n = F.datediff(day, first).cast("long")
+    place = n - ((F.year(day) - 1700) * 12 + F.month(day)) * 12
+
+    def month(m: Column) -> Column:
+        return F.make_date((F.floor(m / 12) + 1700).cast("int"), (F.pmod(m, F.lit(12)) + 1).cast("int"), F.lit(1))
+
+    def before(m: Column) -> Column:
+        return F.datediff(month(m), first) - 12 * m
+
+    def write(x: Column) -> Column:
+        # The months near to an even share; the last that starts at or before the place is the one.
+        near = F.floor(x * 4800 / LATE_DAYS).cast("int")
+        m = F.array_max(F.transform(F.sequence(near - 2, near + 2), lambda m: F.when(before(m) <= x, m)))
+        return F.transform(F.array(m), lambda m: F.date_format(F.date_add(month(m), (x - before(m) + 12).cast("int")), "dd/MM/yyyy"))[0]
+
+    made = F.transform(F.array(numeric(key, "day_first", place, LATE_A, LATE_DAYS // LATE_A)), write)[0]
+    return F.when((n >= 0) & (n < DAYS) & (F.dayofmonth(day) > 12), made)
 
 
 def _ipv4(key: Column, v: Column) -> Column:
@@ -162,11 +200,12 @@ def _ssn(key: Column, v: Column) -> Column:
     return F.when(valid, F.transform(F.array(n), write)[0])
 
 
-def _iban(key: Column, v: Column) -> Column:
+def _iban(key: Column, written: Column) -> Column:
+    v = F.regexp_replace(written, "[^A-Z0-9]", "")
     country, account = F.substr(v, F.lit(1), F.lit(2)), F.substr(v, F.lit(5), F.length(v))
     valid = mod97(F.concat(account, F.substr(v, F.lit(1), F.lit(4)))) == 1
     made = F.transform(F.array(string(key, "iban", account)), lambda x: F.concat(country, F.lpad((98 - mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))[0]
-    return F.when(valid, made)
+    return F.when(valid, F.when(v == written, made).otherwise(_refill(written, made, "[A-Z0-9]")))
 
 
 def _card(key: Column, v: Column) -> Column:
@@ -174,7 +213,7 @@ def _card(key: Column, v: Column) -> Column:
     payload, check = F.substr(digits, F.lit(1), F.length(digits) - 1), F.right(digits, F.lit(1)).cast("int")
     offset = F.pmod(check - luhn_digit(payload), F.lit(10))
     made = F.transform(F.array(string(key, "card", payload)), lambda x: F.concat(x, F.pmod(luhn_digit(x) + offset, F.lit(10)).cast("string")))[0]
-    return _refill(v, made)
+    return F.when((offset == 0) | (v != digits), _refill(v, made))
 
 
 def _phone(key: Column, v: Column) -> Column:

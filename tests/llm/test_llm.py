@@ -142,6 +142,29 @@ def test_pseudonyms_leave_the_rest(spark, edge):
     assert Counter(r["text"] for r in got.collect()) == Counter(t for _, t, *_ in EDGE) and set(got.columns) == set(edge.columns)
 
 
+def test_pseudonyms_validate_cards_and_know_grouped_ibans_and_day_first_dates(spark):
+    same = "1735689600001 9807915762804490 order 12345678901234567 31/02/2020 00/13/2020 DE89 3704 0044 0532 0130 01 25/12/1699"
+    texts = {
+        1: same, 2: "DE89 3704 0044 0532 0130 00", 3: "DE89370400440532013000", 4: "pay AT61 1904 3002 3457 3201 EUR 25", 5: "AT611904300234573201", 6: "25/12/2020", 7: "12/25/2020",
+        8: "4111111111111111", 9: "4111 1111 1111 1111", 10: "NO93-8601-1117-947",
+    }
+    got = {i: r["text"] for i, r in by_id(feistel.pseudonymise(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))).items()}
+    assert got[1] == same and all(got[i] != texts[i] for i in texts if i > 1)
+    assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", got[2]) and got[2].replace(" ", "") == got[3]
+    assert re.fullmatch(r"pay AT\d\d( \d{4}){4} EUR 25", got[4]) and got[4][4:-7].replace(" ", "") == got[5]
+    for iban in (got[3], got[5], got[10].replace("-", "")):
+        assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    day, month, year = map(int, got[6].split("/"))
+    assert 12 < day <= 31 and 1 <= month <= 12 and 1700 <= year < 2100 and int(got[7][:2]) <= 12
+    assert got[9].replace(" ", "") == got[8]
+
+
+def test_day_first_pseudonyms_are_a_permutation(spark):
+    days = spark.sql("select explode(sequence(date'1700-01-01', date'2099-12-31')) d").where("day(d) > 12").select(F.date_format("d", "dd/MM/yyyy").alias("v"))
+    rows = days.select("v", feistel.pseudonym(F.col("v"), F.lit("k")).alias("w")).toPandas()
+    assert len(rows) == 88497 and set(rows["v"]) == set(rows["w"]) and (rows["v"] != rows["w"]).mean() > 0.99
+
+
 # --- main text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p><p>no</p>";</script></head><body>
