@@ -319,6 +319,13 @@ def test_register_estimate():
     assert np.std(errors) < 0.06 and abs(np.mean(errors)) < 0.03
 
 
+def test_near_groups_of_short_texts_with_a_low_estimate(spark):
+    # Eight of ten words are shared, but only 0.625 of the registers agree, which mostly are borrowed.
+    a, b = (" ".join(f"w4391x{i}" for i in range(k, 10)) for k in (0, 2))
+    got = by_id(hyperminhash.near_groups(spark.createDataFrame([(1, a), (2, b), (3, "other words")], "doc_id long, text string"), size=1))
+    assert got[1]["component_id"] == got[2]["component_id"] == 1 and got[3]["component_id"] == 3
+
+
 def test_near_groups_edges(spark, edge):
     got = hyperminhash.near_groups(edge, size=2).collect()
     assert len(got) == len(EDGE)
