@@ -46,8 +46,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and token ids of each row of the mix."""
-    return sentencepiece_table.encode(docs, keep=["doc_id", "source"]).withColumn("n_tokens", F.size("ids").cast("long"))
+    """doc_id, source and token ids of each row of the mix, the digest of what they decode to, and whether
+    that is the text (a null text's is the empty one)."""
+    rows = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    out = sentencepiece_table.encode(rows, keep=["doc_id", "source", "text_sha256"], decoded=True)
+    same = F.col("decoded_sha256") == F.col("text_sha256")
+    return out.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded_sha256", same.alias("round_trip"))
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("near_dedup", near), ("mix", mix), ("sentencepiece", encode)]

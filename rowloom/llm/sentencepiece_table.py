@@ -84,20 +84,28 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: all) with ``ids`` array<int>; of clashing names, the new one stays."""
+def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """Columns ``keep`` (default: all) with ``ids`` array<int>, and if asked for ``decoded_sha256``, of the text
+    that the ids decode to; of clashing names, the new one stays."""
     model = model_bytes(path)
-    keep = [c for c in (keep if keep is not None else docs.columns) if c != "ids"]
+    keep = [c for c in (keep if keep is not None else docs.columns) if c != "ids" and not (decoded and c == "decoded_sha256")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = ChunkEncoder(model)
         for b in batches:
             part = np.cumsum([len(t) if t else 0 for t in b["_text"]]) // SLICE
             for _, some in b.groupby(part, sort=False):
-                yield some[keep].assign(ids=pd.Series([np.array(encoder.encode(t), dtype=np.int32) for t in some["_text"]], index=some.index, dtype=object))
+                ids, sums = [], []
+                for t in some["_text"]:
+                    of = encoder.encode(t)
+                    ids.append(np.array(of, dtype=np.int32))
+                    if decoded:
+                        sums.append(hashlib.sha256(encoder.decode(of).encode("utf-8", "surrogatepass")).hexdigest())
+                made = some[keep].assign(ids=pd.Series(ids, index=some.index, dtype=object))
+                yield made.assign(decoded_sha256=sums) if decoded else made
 
     fields = [docs.schema[c] for c in keep]
-    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>"])
+    shape = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "ids array<int>", *(["decoded_sha256 string"] if decoded else [])])
     return docs.select(*keep, F.col(text).alias("_text")).mapInPandas(run, shape)
 
 

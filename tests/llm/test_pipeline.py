@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version of its deterministic stages."""
 
+import hashlib
 from collections import Counter
 
 import corpus_pipeline
@@ -33,3 +34,12 @@ def test_stages_take_edge_rows(spark, sf):
             rows = stage(spark, rows, sf)
             assert rows.columns == corpus_pipeline.COLUMNS
         corpus_pipeline.STAGES[-1][1](spark, rows, sf).collect()
+
+
+def test_last_stage_decodes_and_tells_round_trips(spark, sf):
+    docs = spark.createDataFrame([(i, t, lang, s, len(t) if t else None) for i, t, lang, s in EDGE], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    sp = sentencepiece_table.ChunkEncoder(sentencepiece_table.model_bytes()).sp
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = Counter((i, sha(sp.decode(sp.encode(t)) if t else ""), (sp.decode(sp.encode(t)) if t else "") == (t or "")) for i, t, *_ in EDGE)
+    assert Counter((r["doc_id"], r["decoded_sha256"], r["round_trip"]) for r in got) == want
