@@ -6,13 +6,16 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import ConfigInvalid
+from .errors import ConfigInvalid, ConnectionFailed
 from .operators.generate import Config, Generated, generate
+from .operators.plan import insert_plan
 from .schema import Schema, filter_schema
+from .scratch import materialise
 from .sinks import sqltext
 
 
@@ -24,26 +27,58 @@ class SeedResult:
     warnings: list[str] = field(default_factory=list)
 
 
-def run_pipeline(spark: SparkSession, schema: Schema, config: Config, existing=None, *, url=None, path=None, form="parquet", dry_run=False, batch=sqltext.BATCH, mode="errorifexists", only=None) -> SeedResult:
-    """Plan, generate, write. Without a target, tables come back as DataFrames."""
+def run_pipeline(spark: SparkSession, schema: Schema, config: Config, existing=None, *, url=None, path=None, form="parquet", dry_run=False, batch=sqltext.BATCH, mode="errorifexists", only=None, unchanged=False, allowed=False, jdbc=None, progress=None) -> SeedResult:
+    """Plan, generate, write. Without a target, tables come back as DataFrames.
+
+    existing: tables by name, or "target" to read those that the URL holds (mode append). progress: called
+    with (step, table, rows) when a table is planned and when it is written."""
     began = time.time()
-    made: Generated = generate(spark, schema, config, existing, only)
+    tell = progress or (lambda *_: None)
+    if existing == "target":
+        existing = existing_of(spark, schema, url, allowed, **(jdbc or {})) if url and mode == "append" else None
+    made: Generated = generate(spark, schema, config, existing, only, unchanged)
+    for name, n in made.counts.items():
+        tell("planned", name, n)
     how = sqltext.mode_of(dry_run, path, url)
     summary = sqltext.Summary(how, dict(made.counts), sum(len(v) for v in made.updates.values()), warnings=made.warnings)
     if how == "dry-run":
         summary.warnings = [*made.warnings, *sqltext.dry_run(made.tables, made.counts, batch)]
     elif how == "file" and form == "sql":
-        sqltext.write_sql(schema, made.tables, made.plan.ordered, path, batch)
+        sqltext.write_sql(schema, made.tables, made.plan.ordered, path, batch, updates=made.updates)
     elif how == "file":
         sqltext.write_frames(made.tables, path, form, mode)
     elif how == "direct" and url.startswith("sqlite:"):
-        sqltext.write_sqlite(made.tables, made.plan.ordered, url.removeprefix("sqlite:").removeprefix("//"))
+        sqltext.write_sqlite(made.tables, made.plan.ordered, sqlite_path(url))
     elif how == "direct":
-        sqltext.write_jdbc(made.tables, made.plan.ordered, url, batch)
+        sqltext.write_jdbc(made.tables, made.plan.ordered, url, batch, mode, schema, allowed, **(jdbc or {}))
+    if how in ("file", "direct"):
+        for name, n in made.counts.items():
+            tell("written", name, n)
     summary.seconds = time.time() - began
     return SeedResult(made.tables, made.counts, summary, made.warnings)
 
 
+def sqlite_path(url: str) -> str:
+    return url.removeprefix("sqlite:").removeprefix("//")
+
+
+def existing_of(spark: SparkSession, schema: Schema, url: str, allowed: bool = False, **options) -> dict[str, DataFrame]:
+    """The tables of a schema as a URL's database holds them; those it lacks are left out."""
+    from .sources import catalog
+
+    if url.startswith("sqlite:"):
+        return catalog.sqlite_tables(spark, sqlite_path(url), schema)
+    out = {}
+    for name in schema.tables:
+        try:
+            out[name] = catalog.read_jdbc(spark, url, name, allowed=allowed, **options)
+        except ConnectionFailed:
+            raise
+        except Exception:  # noqa: BLE001, S112 - a table that isn't there has no rows
+            continue
+    return out
+
+
 def seed(spark: SparkSession, schema: Schema | str, *, count: int = 50, seed: int = 42, exclude=(), only=(), rows_of=None, cardinality=None, existing=None, **target) -> SeedResult:
     if isinstance(schema, str):
         from .sources import parse_any
@@ -55,12 +90,20 @@ def seed(spark: SparkSession, schema: Schema | str, *, count: int = 50, seed: in
 
 
 class Seeder:
-    """Table after table; each call draws with a seed of its own, and sees what earlier calls made."""
+    """Table after table; each call draws with a seed of its own, and sees what earlier calls made.
 
-    def __init__(self, spark: SparkSession, schema: Schema, seed: int = 42, existing: dict[str, DataFrame] | None = None, **options):
+    Without a target, calls give DataFrames. With one (a folder, or a database URL), each call's rows are
+    written there; ``teardown`` deletes them again. Between ``begin`` and ``commit`` calls are staged:
+    nothing is written before the commit, and ``rollback`` forgets them."""
+
+    def __init__(self, spark: SparkSession, schema: Schema, seed: int = 42, existing: dict[str, DataFrame] | None = None, *, path: str | None = None, url: str | None = None, allowed: bool = False, jdbc: dict | None = None, **options):
         self.spark, self.schema, self.first_seed, self.calls, self.options = spark, schema, seed, 0, options
-        self.given = dict(existing or {})
+        self.path, self.url, self.allowed, self.jdbc = path, url, allowed, jdbc or {}
+        self.given = dict(existing or (existing_of(spark, schema, url, allowed, **self.jdbc) if url else {}))
         self.existing = {schema.resolve(k) or k: v for k, v in self.given.items()}
+        self.written: list[tuple[str, DataFrame]] = []
+        self.staged: list[tuple[str, DataFrame]] | None = None
+        self.saved: tuple | None = None
 
     def seed(self, table: str, count: int = 50, *, overrides: dict[str, dict] | None = None, cardinality=None, seed: int | None = None) -> DataFrame:
         key = self.schema.resolve(table)
@@ -69,15 +112,54 @@ class Seeder:
         config = Config(seed=seed if seed is not None else self.first_seed + self.calls, rows_of={key: count}, cardinality={key: cardinality or {}}, overrides={key: overrides or {}}, **self.options)
         self.calls += 1
         made = generate(self.spark, self.schema, config, self.existing, [key]).tables[key]
+        if self.path or self.url:
+            # What is written is what later calls see: one table, computed once.
+            made = materialise(made, "seeded")
         old = self.existing.get(key)
         self.existing[key] = made if old is None else old.unionByName(made, allowMissingColumns=True)
+        if self.staged is not None:
+            self.staged.append((key, made))
+        else:
+            self._write([(key, made)])
         return made
 
+    def _write(self, made: list[tuple[str, DataFrame]]) -> None:
+        for key, df in made:
+            if self.path:
+                sqltext.write_frames({key: df}, self.path, mode="append")
+            elif self.url and self.url.startswith("sqlite:"):
+                sqltext.write_sqlite({key: df}, [key], sqlite_path(self.url))
+            elif self.url:
+                sqltext.write_jdbc({key: df}, [key], self.url, schema=self.schema, allowed=self.allowed, **self.jdbc)
+            self.written.append((key, df))
+
+    def begin(self) -> None:
+        self.saved, self.staged = (dict(self.existing), self.calls), []
+
+    def commit(self) -> None:
+        staged, self.staged, self.saved = self.staged or [], None, None
+        self._write(staged)
+
+    def rollback(self) -> None:
+        if self.saved is not None:
+            self.existing, self.calls = self.saved
+        self.staged = self.saved = None
+
     def table(self, name: str, count: int = 50, **options) -> TableChain:
         return TableChain(self).table(name, count, **options)
 
     def teardown(self) -> None:
-        """Forget what was made; nothing has been written."""
+        """Delete what was written, children first, and forget what was made."""
+        names = list(dict.fromkeys(k for k, _ in self.written))
+        order = [k for k in insert_plan(self.schema).ordered if k in names]
+        for key in reversed(order):
+            keys = [df.select(*self.schema.tables[key].primary_key) for k, df in self.written if k == key and self.schema.tables[key].primary_key]
+            if self.path:
+                sqltext.delete_folder(self.spark, f"{self.path}/{key}")
+            elif self.url and keys:
+                sqltext.delete_rows(reduce(DataFrame.unionAll, keys), key, list(self.schema.tables[key].primary_key), self.url, sqlite_path, **self.jdbc)
+        self.written = []
+        self.rollback()
         self.existing = {self.schema.resolve(k) or k: v for k, v in self.given.items()}
         self.calls = 0
 

@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 
+from . import __version__
 from .errors import RowloomError
 
 
@@ -14,33 +15,47 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("schema", nargs="?", help="Prisma, Drizzle, TypeORM or JPA source, or a folder of it")
     p.add_argument("--config"), p.add_argument("--count", type=int), p.add_argument("--seed", type=int), p.add_argument("--url"), p.add_argument("--output"), p.add_argument("--format", default="sql", choices=["sql", "parquet", "csv", "copy"])
     p.add_argument("--only", action="append", default=[]), p.add_argument("--exclude", action="append"), p.add_argument("--strict", action="store_true"), p.add_argument("--dry-run", action="store_true"), p.add_argument("--inspect", action="store_true")
+    p.add_argument("--yes", action="store_true", help="write to hosts that look like production"), p.add_argument("--schema", dest="schema_name", help="database schema, public by default"), p.add_argument("--jdbc", action="append", default=[], metavar="NAME=VALUE", help="reader and writer options, such as driver, user, password")
+    p.add_argument("--existing-data", dest="existingData", choices=["augment", "truncate", "error"]), p.add_argument("--progress", action="store_true"), p.add_argument("--verbose", action="store_true"), p.add_argument("--version", action="store_true")
     p.add_argument("--batch-size", type=int, dest="batchSize"), p.add_argument("--json", action="store_true"), p.add_argument("--plugin", action="append", default=[]), p.add_argument("--scenario"), p.add_argument("--state")
     return p
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.version:
+        print(__version__)
+        return 0
     try:
         from pyspark.sql import SparkSession
 
         from . import api, config, diff, plugins, schema, sources
+        from .sources import introspect
 
         found = a.config or config.find_file()
-        conf = config.merge(config.load_file(found) if found else config.validate({}), {k: getattr(a, k) for k in ("count", "seed", "url", "exclude", "batchSize", "scenario")})
+        conf = config.merge(config.load_file(found) if found else config.validate({}), {k: getattr(a, k) for k in ("count", "seed", "url", "exclude", "batchSize", "scenario", "existingData")} | {"schema": a.schema_name})
         registry = plugins.Registry()
         for name in a.plugin:
             registry.register(plugins.load(name))
-        parsed = (registry.parse(a.schema) if a.schema else None) or sources.parse_any(a.schema or ".")
+        spark = SparkSession.builder.appName("rowloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        url, jdbc = conf["connection"].get("url"), dict(x.split("=", 1) for x in a.jdbc)
+        parsed = registry.parse(a.schema) if a.schema else None
+        if parsed is None:
+            # Without a source, the database says what its schema is.
+            parsed = introspect.introspect(spark, url, conf["connection"]["schema"], allowed=a.yes, **jdbc) if url and not a.schema else sources.parse_any(a.schema or ".")
         parsed = config.inject_virtual_keys(parsed, conf["virtualForeignKeys"])
         parsed = schema.filter_schema(parsed, a.only, conf["exclude"], strict=a.strict).schema
-        spark = SparkSession.builder.appName("rowloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
         if a.inspect:
             print(schema.format_report(schema.inspect(spark, parsed)))
             return 0
         settings = config.generation_config(conf)
         settings.builders = registry.builder if registry.generators else None
         only = diff.to_regenerate(diff.load_state(a.state), parsed) if a.state else None
-        got = api.run_pipeline(spark, parsed, settings, path=a.output, url=conf["connection"].get("url"), form=a.format, dry_run=a.dry_run, batch=conf["batchSize"], mode=config.MODES[str(conf["existingData"]).lower()], only=only)
+        mode = config.MODES[str(conf["existingData"]).lower()]
+        tell = (lambda step, table, n: print(f"{step} {table}: {n} rows", file=sys.stderr)) if a.progress or a.verbose else None
+        got = api.run_pipeline(
+            spark, parsed, settings, "target" if url else None, path=a.output, url=url, form=a.format, dry_run=a.dry_run, batch=conf["batchSize"], mode=mode, only=only, unchanged=only is not None, allowed=a.yes, jdbc=jdbc, progress=tell,
+        )
         if a.state:
             diff.save_state(a.state, parsed)
         s = got.summary

@@ -104,8 +104,13 @@ def local_part(c: Ctx) -> Column:
     return F.lower(F.concat(rng.pick(c.u(0), FIRST_F + FIRST_M), F.lit("."), rng.pick(c.u(1), LAST)))
 
 
+def address(local: Column, c: Ctx) -> Column:
+    """An e-mail address at a domain that nobody can own."""
+    return F.concat(local, F.lit("@"), rng.pick(c.u(2), SAFE_DOMAINS))
+
+
 def email(c: Ctx) -> Column:
-    return F.concat(local_part(c), F.lit("@"), rng.pick(c.u(2), SAFE_DOMAINS))
+    return address(local_part(c), c)
 
 
 def phone(c: Ctx) -> Column:

@@ -2,11 +2,17 @@
 
 A row is a function of its number, so a table is ``spark.range(n)`` with expressions, plus one equi-join
 for each foreign key whose parent keys are not themselves a function of their ordinal. Nothing is
-collected but counts.
+collected but counts. The same expressions work over a stream of row numbers (``Generator.table`` with rows).
+
+Keys of several columns are unique by construction where each column has a known domain (references,
+enumerations, booleans): row numbers are permuted over the product of the domains. Where one of them is
+free (texts, numbers, days, moments), equal keys are told apart by a suffix to it. Keys that existing rows
+have are left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -17,7 +23,7 @@ from pyspark.sql import functions as F
 from ..errors import EmptyReferencePool, GenerationFailed
 from ..functions import rng
 from ..functions.values import Ctx
-from ..schema import Column, ForeignKey, Kind, Schema, Table
+from ..schema import Column, ForeignKey, Kind, Schema, Table, ancestors
 from . import coherence, unique
 from .cardinality import Cardinality, allocate, expand
 from .existing import Existing, read_existing
@@ -57,6 +63,17 @@ class Pool:
     base: int | None = None
 
 
+@dataclass
+class Domain:
+    """Columns of a unique key that take one of ``size`` values together: a reference, or a list."""
+
+    columns: tuple[str, ...]
+    size: int
+    key: ForeignKey | None = None
+    pool: Pool | None = None
+    values: tuple = ()
+
+
 @dataclass
 class Generated:
     tables: dict[str, DataFrame] = field(default_factory=dict)
@@ -85,6 +102,7 @@ class Generator:
         self.spark, self.schema, self.config = spark, schema, config or Config()
         self.existing = {schema.resolve(k) or k: v for k, v in (existing or {}).items()}
         self.state: dict[str, Existing] = {}
+        self.pools: dict[tuple, Pool] = {}
         self.plan = insert_plan(schema)
         self.out = Generated(plan=self.plan, warnings=list(self.plan.warnings))
 
@@ -95,7 +113,13 @@ class Generator:
         return self.state[key]
 
     def pool(self, key: str, columns: tuple[str, ...]) -> Pool:
-        """Existing and generated parents, over the referenced columns."""
+        """Existing and generated parents, over the referenced columns; looked up once for each state of the parent."""
+        at = (key, columns, self.out.counts.get(key))
+        if at not in self.pools:
+            self.pools[at] = self.new_pool(key, columns)
+        return self.pools[at]
+
+    def new_pool(self, key: str, columns: tuple[str, ...]) -> Pool:
         table, old = self.schema.tables[key], self.known(key)
         n = self.out.counts.get(key, 0)
         auto = len(columns) == 1 and table.column(columns[0]).auto_increment and columns == table.primary_key
@@ -107,6 +131,10 @@ class Generator:
         every = frames[0]
         for f in frames[1:]:
             every = every.unionAll(f)
+        # Rows without a key are no parents, and a key counts once, also where the referenced columns aren't unique.
+        every = every.where(" and ".join(f"`{c}` is not null" for c in columns))
+        if columns != table.primary_key and columns not in table.uniques:
+            every = every.distinct()
         if len(columns) == 1 and columns == table.primary_key and old.rows and columns[0] in old.next_key:
             # Keys that are dense in fact need no join; one aggregate says so.
             low = old.frame.agg(F.min(columns[0]).alias("lo"), F.countDistinct(columns[0]).alias("d")).first()
@@ -114,7 +142,7 @@ class Generator:
             if low["d"] == old.rows == top - low["lo"] and (auto or not n):
                 return Pool(old.rows + n, base=low["lo"])
         ranked = ordinals(every, list(columns))
-        return Pool(old.rows + n, frame=ranked.select("ord", *columns))
+        return Pool(ranked.count(), frame=ranked.select("ord", *columns))
 
     def attach(self, df: DataFrame, pool: Pool, ordinal: SparkColumn, fk: ForeignKey) -> DataFrame:
         """df with fk's columns from the pool at ordinal. Parents are dealt by ordinal; many children of one
@@ -157,53 +185,40 @@ class Generator:
             return v
         return F.when(rng.uniform(self.config.seed, table.full_name, f"{c.name}?", row) >= F.lit(float(rate)), v)
 
-    def table(self, key: str) -> DataFrame:
+    def table(self, key: str, rows: DataFrame | None = None) -> DataFrame:
         """One table. Column order of precedence: generated (left out), auto-increment, deferred reference,
-        reference, pair or group, text pool, value; then NULLs, then uniqueness."""
+        unique key of known domains, reference, pair or group, text pool, value; then NULLs, then uniqueness.
+
+        rows: a frame with ``__row``, which may be a stream; other columns of it stay. Without, the configured number."""
         cfg, t, n = self.config, self.schema.tables[key], self.config.count(key)
         old, row = self.known(key), F.col("__row")
-        df = self.spark.range(0, n, 1, cfg.partitions).select(F.col("id").alias("__row")) if cfg.partitions else self.spark.range(n).select(F.col("id").alias("__row"))
+        df = rows if rows is not None else self.spark.range(0, n, 1, cfg.partitions).select(F.col("id").alias("__row")) if cfg.partitions else self.spark.range(n).select(F.col("id").alias("__row"))
         later = {fk for e in self.plan.deferred if e.child == key for fk in [e.key]} | {e.key for e in self.plan.self_references.get(key, [])}
         done: set[str] = set()
-        bridge = self.bridge_keys(t, later)
+        if n:
+            df, done = self.place_keys(df, t, later, n)
         for fk in t.foreign_keys:
             parent = self.schema.resolve(fk.table)
-            if fk in later or parent is None:
+            if fk in later or parent is None or set(fk.columns) <= done:
                 continue
             pool = self.pool(parent, fk.references)
-            if not pool.size and n:
-                if not all(t.column(c).nullable for c in fk.columns):
+            if not pool.size or not n:
+                if n and not all(t.column(c).nullable for c in fk.columns):
                     raise EmptyReferencePool(f"{key}.{','.join(fk.columns)} needs rows of {parent}", hints=(f"generate {parent} first",))
                 for c in fk.columns:
                     df = df.withColumn(c, F.lit(None).cast(t.column(c).spark_type()))
-            elif not n:
-                for c in fk.columns:
-                    df = df.withColumn(c, F.lit(None).cast(t.column(c).spark_type()))
             else:
                 spec = cfg.cardinality.get(key, cfg.cardinality.get(t.name, {})).get(fk.columns[0]) if len(fk.columns) == 1 else None
-                if fk in bridge:
-                    continue
                 if spec:
                     df = self.by_cardinality(df, key, fk, pool, spec, n)
-                elif len(fk.columns) == 1 and ((fk.columns[0],) in t.uniques or fk.columns == t.primary_key):
-                    if n > pool.size:
-                        raise GenerationFailed(f"{key}.{fk.columns[0]} is unique, but {parent} has only {pool.size} rows")
-                    df = self.attach(df, pool, unique.pair_ordinals(row, pool.size, 1, cfg.seed)[0], fk)
                 else:
                     df = self.attach(df, pool, parent_ordinal(cfg.seed, key, fk.columns, row, pool.size), fk)
             done |= set(fk.columns)
-        if bridge and n:
-            pools = [self.pool(self.schema.resolve(fk.table), fk.references) for fk in bridge]
-            if n > pools[0].size * pools[1].size:
-                raise GenerationFailed(f"{key} can't have {n} distinct pairs of {pools[0].size} and {pools[1].size}")
-            for fk, pool, place in zip(bridge, pools, unique.pair_ordinals(row, pools[0].size, pools[1].size, cfg.seed), strict=True):
-                df = self.attach(df, pool, place, fk)
-                done |= set(fk.columns)
         group_of = {}
         if cfg.coherent:
             overridden = cfg.overrides.get(key, cfg.overrides.get(t.name, {}))
             for g in coherence.detect(t):
-                if not any(c in overridden or t.column(c).values for _, c in g.columns):
+                if not any(c in overridden or t.column(c).values or c in done for _, c in g.columns):
                     for c, v in coherence.columns_of(g, Ctx(cfg.seed, key, "", row, cfg.ref)).items():
                         group_of.setdefault(c, v)
         mappings, exprs, uniques = map_table(t), {}, []
@@ -220,27 +235,106 @@ class Generator:
             else:
                 v = group_of[c.name].cast(c.spark_type()) if c.name in group_of else self.value(c, t, mappings[c.name], row)
                 exprs[c.name] = self.with_nulls(v, c, t, row)
-                alone = (c.name,) in t.uniques or t.primary_key == (c.name,) or any(i.unique and i.columns == (c.name,) for i in t.indexes)
-                if alone or cfg.overrides.get(key, {}).get(c.name, {}).get("unique"):
-                    uniques.append((c, mappings[c.name]))
+                if self.alone(t, c.name) or cfg.overrides.get(key, {}).get(c.name, {}).get("unique"):
+                    uniques.append(((c.name,), c))
         df = df.select("*", *[v.alias(c) for c, v in exprs.items()])
         for (k, name), texts in cfg.text_pools.items():
             if k == key:
                 df = text_pool_fill(df, name, texts, "__row")
-        for c, m in uniques:
-            kind = "number" if c.kind in NUMBERS else "email" if m.generator == "contact.email" else "text"
-            taken = old.frame.select(c.name) if old.frame is not None and c.name in old.frame.columns else None
-            df = unique.resolve(df, c.name, "__row", kind, taken, c.max_length) if c.kind is not Kind.UUID else df
+                if self.alone(t, name):
+                    uniques.append(((name,), t.column(name)))
+        single = {c.name for _, c in uniques}
+        for columns in composite_keys(t):
+            free = next((c for c in map(t.column, columns) if c.name in exprs and not c.auto_increment and bump_kind(c, "")), None)
+            if free is not None and not set(columns) <= done and not any(self.alone(t, c) or c in single for c in columns):
+                uniques.append((columns, free))
+        for columns, c in uniques:
+            kind = bump_kind(c, mappings[c.name].generator)
+            if kind is None:
+                continue
+            if df.isStreaming:
+                df = df.withColumn(c.name, F.when(F.col(c.name).isNotNull(), unique.by_row(F.col(c.name), row, kind, c.max_length).cast(c.spark_type())))
+                continue
+            by = tuple(x for x in columns if x != c.name)
+            taken = old.frame.select(*by, c.name) if old.frame is not None and set(columns) <= set(old.frame.columns) else None
+            df = unique.resolve(df, c.name, "__row", kind, taken, c.max_length, by)
         return df
 
-    def bridge_keys(self, t: Table, later) -> list[ForeignKey]:
-        """Two single-column references whose pair has to be unique."""
-        fks = [fk for fk in t.foreign_keys if fk not in later and len(fk.columns) == 1]
-        for key in (t.primary_key, *t.uniques):
-            pair = [fk for fk in fks if fk.columns[0] in key]
-            if len(key) == 2 and len(pair) == 2:
-                return pair
-        return []
+    def alone(self, t: Table, name: str) -> bool:
+        return (name,) in t.uniques or t.primary_key == (name,) or any(i.unique and i.columns == (name,) for i in t.indexes)
+
+    def domain(self, t: Table, column: str, key: tuple[str, ...], later) -> Domain | None:
+        """What a column of a unique key can be, where that is known; None for a free column."""
+        c, over = t.column(column), self.config.overrides.get(t.full_name, self.config.overrides.get(t.name, {})).get(column, {})
+        for fk in t.foreign_keys:
+            parent = self.schema.resolve(fk.table)
+            if column in fk.columns and parent is not None and fk not in later and set(fk.columns) <= set(key):
+                pool = self.pool(parent, fk.references)
+                return Domain(fk.columns, pool.size, fk, pool)
+        values = tuple(over["values"]) if "values" in over else c.values if not over else ()
+        if values or (c.kind is Kind.BOOLEAN and not over):
+            values = tuple(dict.fromkeys(v[: c.max_length] if isinstance(v, str) else v for v in values)) or (False, True)
+            return Domain((column,), len(values), values=values)
+        return None
+
+    def place_keys(self, df: DataFrame, t: Table, later, n: int) -> tuple[DataFrame, set[str]]:
+        """Columns of unique keys whose domains are all known (one-to-one references too): tuples by permuted
+        row numbers, as many columns as make n of them distinct, the others drawn. Rows whose key
+        exists already give way to later ones."""
+        done: set[str] = set()
+        placed: list[tuple[tuple[str, ...], list[Domain]]] = []
+        old = self.known(t.full_name)
+        for columns in [k for k in ((t.primary_key), *t.uniques, *(i.columns for i in t.indexes if i.unique)) if k]:
+            if done & set(columns) or any(t.column(c).auto_increment or t.column(c).generated or t.column(c).kind is Kind.UUID and self.domain(t, c, columns, later) is None for c in columns):
+                continue
+            if len(columns) > 1 and any(self.alone(t, c) for c in columns):
+                continue
+            domains = {d.columns: d for d in (self.domain(t, c, columns, later) for c in columns) if d is not None}
+            if {c for d in domains.values() for c in d.columns} != set(columns) or (len(columns) == 1 and not next(iter(domains.values())).key and t.column(columns[0]).kind not in (Kind.ENUM, Kind.BOOLEAN)):
+                continue
+            card = self.config.cardinality.get(t.full_name, self.config.cardinality.get(t.name, {}))
+            if any(not d.size for d in domains.values()) or (len(columns) == 1 and columns[0] in card):
+                continue
+            placed.append((columns, sorted(domains.values(), key=lambda d: (-d.size, d.columns))))
+            done |= set(columns)
+        if not placed:
+            return df, done
+        met = [(columns, old.frame.select(*columns).where(" and ".join(f"`{c}` is not null" for c in columns)).distinct()) for columns, _ in placed if old.rows and old.frame is not None and set(columns) <= set(old.frame.columns)]
+        spare = sum(f.count() for _, f in met)
+        if spare and df.isStreaming:
+            raise GenerationFailed(f"a stream of {t.full_name} can't go around its existing keys")
+        for columns, domains in placed:
+            size = math.prod(d.size for d in domains)
+            if n + spare > size:
+                have = f"{size} ({' x '.join(str(d.size) for d in domains)})"
+                raise GenerationFailed(f"{t.full_name} can't have {n} more distinct {', '.join(columns)}: there are {have}, {spare} may be taken")
+        if spare:
+            df = self.spark.range(n + spare).select(F.col("id").alias("__row"))
+        for _, domains in placed:
+            df = self.place(df, t, domains, n + spare)
+        if spare:
+            for columns, frame in met:
+                taken = frame.select(*[F.col(c).alias(f"__old_{c}") for c in columns])
+                df = df.join(taken, [F.col(c) == F.col(f"__old_{c}") for c in columns], "left_anti")
+            df = ordinals(df, ["__row"], "__at").where(F.col("__at") < n).withColumn("__row", F.col("__at")).drop("__at")
+        return df, done
+
+    def place(self, df: DataFrame, t: Table, domains: list[Domain], n: int) -> DataFrame:
+        row, seed = F.col("__row"), self.config.seed
+        first, size = 0, 1
+        while size < n and first < len(domains):
+            size *= domains[first].size
+            first += 1
+        first = max(first, 1)
+        at = unique.tuple_ordinals(row, [d.size for d in domains[:first]], seed)
+        at += [F.floor(rng.uniform(seed, t.full_name, "+".join(d.columns), row) * F.lit(d.size)).cast("long") for d in domains[first:]]
+        for d, ordinal in zip(domains, at, strict=True):
+            if d.key is not None:
+                df = self.attach(df, d.pool, ordinal, d.key)
+            else:
+                c = t.column(d.columns[0])
+                df = df.withColumn(c.name, F.element_at(F.array(*[F.lit(v) for v in d.values]), (ordinal + 1).cast("int")).cast(c.spark_type()))
+        return df
 
     def by_cardinality(self, df: DataFrame, key: str, fk: ForeignKey, pool: Pool, spec: Cardinality, n: int) -> DataFrame:
         cfg = self.config
@@ -253,17 +347,23 @@ class Generator:
         t, n = self.schema.tables[key], self.config.count(key)
         for e in self.plan.self_references.get(key, []):
             at = tree_parent(self.config.seed, key, e.key.columns[0], F.col("__row"), n)
-            own = df.select(F.col("__row").alias("ord"), *e.key.references)
-            df = self.attach(df.drop(*e.key.columns), Pool(n, frame=own), at, e.key)
+            if e.key.references == t.primary_key and len(t.primary_key) == 1 and t.column(t.primary_key[0]).auto_increment:
+                own = Pool(n, base=self.known(key).next_key.get(t.primary_key[0], 1))  # keys are arithmetic: no join
+            else:
+                own = Pool(n, frame=df.select(F.col("__row").alias("ord"), *e.key.references))
+            df = self.attach(df.drop(*e.key.columns), own, at, e.key)
             keep = [c for c in t.primary_key if c in df.columns]
-            if keep:
+            if keep and not df.isStreaming:
                 self.out.updates.setdefault(key, []).append(df.where(F.col(e.key.columns[0]).isNotNull()).select(*keep, *e.key.columns))
         return df
 
-    def run(self, only: list[str] | None = None) -> Generated:
-        wanted = set(only) if only else set(self.plan.ordered)
+    def run(self, only: list[str] | None = None, unchanged: bool = False) -> Generated:
+        """Tables in insert order. only: these tables alone; with unchanged, tables that they reference and that
+        no existing rows stand for are taken to hold what the same configuration makes, and aren't put out."""
+        wanted = set(self.plan.ordered if only is None else only)
+        silent = {k for k in ancestors(self.schema, wanted) - wanted if self.existing.get(k) is None} if unchanged else set()
         for key in self.plan.ordered:
-            if key not in wanted:
+            if key not in wanted | silent:
                 continue
             df = self.fill_self(key, self.table(key))
             self.out.counts[key] = self.config.count(key)
@@ -278,12 +378,29 @@ class Generator:
                     keep = list(self.schema.tables[e.child].primary_key)
                     if keep:
                         self.out.updates.setdefault(e.child, []).append(df.select(*keep, *e.key.columns))
+        for key in silent:
+            self.out.tables.pop(key, None)
+            self.out.counts.pop(key, None)
+            self.out.updates.pop(key, None)
         for key, df in self.out.tables.items():
             t = self.schema.tables[key]
             self.out.tables[key] = df.select(*[F.col(c).cast(t.column(c).spark_type()).alias(c) for c in insertable(t)])
         return self.out
 
 
+def composite_keys(t: Table) -> list[tuple[str, ...]]:
+    return list(dict.fromkeys(k for k in (t.primary_key, *t.uniques, *(i.columns for i in t.indexes if i.unique)) if len(k) > 1))
+
+
+def bump_kind(c: Column, generator: str) -> str | None:
+    """How equal values of a column can be told apart; None where they can't."""
+    if c.kind in NUMBERS:
+        return "number"
+    if c.kind in (Kind.TEXT, Kind.VARCHAR, Kind.CHAR):
+        return "email" if generator == "contact.email" else "text"
+    return {Kind.DATE: "date", Kind.TIMESTAMP: "moment", Kind.TIMESTAMPTZ: "moment"}.get(c.kind)
+
+
 def text_pool_fill(df: DataFrame, column: str, texts: DataFrame, row: str) -> DataFrame:
     """Texts of a pool in turn: row i gets text i mod pool size. texts: one string column."""
     pool = ordinals(texts.select(F.col(texts.columns[0]).alias("__text")).where("__text is not null"), ["__text"], "__at")
@@ -293,5 +410,5 @@ def text_pool_fill(df: DataFrame, column: str, texts: DataFrame, row: str) -> Da
     return df.withColumn("__want", F.pmod(F.col(row), F.lit(n))).join(pool, F.col("__want") == F.col("__at"), "left").withColumn(column, F.col("__text")).drop("__want", "__at", "__text")
 
 
-def generate(spark: SparkSession, schema: Schema, config: Config | None = None, existing: dict[str, DataFrame] | None = None, only: list[str] | None = None) -> Generated:
-    return Generator(spark, schema, config, existing).run(only)
+def generate(spark: SparkSession, schema: Schema, config: Config | None = None, existing: dict[str, DataFrame] | None = None, only: list[str] | None = None, unchanged: bool = False) -> Generated:
+    return Generator(spark, schema, config, existing).run(only, unchanged)

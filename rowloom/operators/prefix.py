@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..scratch import materialise
 
 SPAN = 1 << 16
 
@@ -33,14 +36,32 @@ def rank_within(df: DataFrame, by: tuple[str, ...], order: str, out: str, span:
 
 
 def ordinals(df: DataFrame, keys: list[str], out: str = "ord") -> DataFrame:
-    """df with 0..n-1 in key order: a range partitioning, and a running count of partitions (one row each)."""
-    parts = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys]).sortWithinPartitions(*keys)
-    tagged = parts.withColumn("__id", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("__part", F.shiftright("__id", 33)).withColumn("__place", F.col("__id").bitwiseAND((1 << 33) - 1))
-    counts = tagged.groupBy("__part").agg(F.count("*").alias("__n"))
-    starts = counts.select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    # One row a partition.
-    return tagged.join(F.broadcast(starts), F.col("__part") == F.col("__p")).withColumn(out, F.col("__start") + F.col("__place")).drop("__id", "__part", "__place", "__p", "__start")
+    """df with 0..n-1 in key order, rows of equal keys in an order fixed by all their columns.
+
+    The rows are written once, range-partitioned and sorted; a row's number is its place in its file,
+    behind the rows of the files before it. Files don't change between reads, so numbers don't
+    either, whatever is read of them, how reads are split, or how often tasks run again. Equal keys are spread
+    over ranges by a hash of the row; only rows that are equal altogether stay together."""
+    by = [F.col(f"`{k}`").asc_nulls_first() for k in keys]
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not _holds_map(f.dataType)]
+    tie = F.xxhash64(*plain) if plain else F.lit(0).cast("long")
+    spread = df.withColumn("__tie", tie).repartitionByRange(*by, F.col("__tie")).sortWithinPartitions(*by, "__tie").drop("__tie")
+    held = materialise(spread, "ordinals", maxRecordsPerFile="0")
+    tagged = held.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    counts = tagged.groupBy("__file").agg(F.count("*").alias("__n"))
+    # One row a file. Files are numbered as their ranges are.
+    number = F.regexp_extract("__file", r"^part-(\d+)", 1).cast("long")
+    before = W.orderBy(number).rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(F.col("__file").alias("__f"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    named = tagged.join(F.broadcast(starts), F.col("__file") == F.col("__f"))
+    return named.withColumn(out, F.col("__start") + F.col("__place")).drop("__file", "__place", "__f", "__start")
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    """Maps (and what holds them) can't be hashed."""
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind)
+    return isinstance(kind, (T.MapType, T.VariantType)) or isinstance(kind, T.ArrayType) and _holds_map(kind.elementType)
 
 
 def batch_number(order: Column, size: int) -> Column:

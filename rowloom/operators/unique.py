@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import UniqueExhausted
+from ..scratch import drop, materialise
 from .prefix import rank_within
 
 ROUNDS = 6
 
 
 def suffixed(value: Column, k: Column, kind: str, max_length: int | None = None) -> Column:
-    """value with its k-th suffix (k > 0): e-mail before the @, numbers by addition, texts behind.
-    Texts are cut first, so that the suffix fits."""
+    """value with its k-th suffix (k > 0): e-mail before the @, numbers, days and moments by addition, texts
+    behind. Texts are cut first, so that the suffix fits."""
     if kind == "number":
         return value + k
+    if kind == "date":
+        return F.date_add(value, k.cast("int"))
+    if kind == "moment":
+        return value + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), k.cast("decimal(18,6)"))
     tail = F.concat(F.lit("_"), k.cast("string"))
     if kind == "email":
         at = F.instr(value, "@")
@@ -27,13 +35,18 @@ def suffixed(value: Column, k: Column, kind: str, max_length: int | None = None)
     return F.concat(head, tail)
 
 
-def one_pass(df: DataFrame, column: str, order: str, kind: str = "text", existing: DataFrame | None = None, max_length: int | None = None) -> DataFrame:
-    """The k-th row of equal values (by order, from 0; from 1 where the value exists already) gets suffix k."""
-    ranked = rank_within(df, (column,), order, "__k")
+def one_pass(df: DataFrame, column: str, order: str, kind: str = "text", existing: DataFrame | None = None, max_length: int | None = None, by: tuple[str, ...] = (), behind=None) -> DataFrame:
+    """The k-th row of equal values (by order, from 0; from 1 where the value exists already) gets suffix k.
+    ``by``: more columns of the key; the suffix goes to ``column``. existing: its columns stand for by and column.
+    behind: rows that would get a suffix go behind this greatest value instead, each in its own place."""
+    key = (*by, column)
+    ranked = rank_within(df, key, order, "__k")
     if existing is not None:
-        taken = existing.select(F.col(existing.columns[0]).cast("string").alias("__taken")).distinct()
-        ranked = ranked.join(taken, F.col(column).cast("string") == F.col("__taken"), "left").withColumn("__k", F.col("__k") + F.col("__taken").isNotNull().cast("long")).drop("__taken")
-    new = F.when((F.col("__k") > 0) & F.col(column).isNotNull(), suffixed(F.col(column), F.col("__k"), kind, max_length)).otherwise(F.col(column))
+        taken = existing.select(*[F.col(f"`{e}`").cast("string").alias(f"__taken_{i}") for i, e in enumerate(existing.columns[: len(key)])]).distinct()
+        on = [F.col(c).cast("string") == F.col(f"__taken_{i}") for i, c in enumerate(key)]
+        ranked = ranked.join(taken, on, "left").withColumn("__k", F.col("__k") + F.col("__taken_0").isNotNull().cast("long")).drop(*taken.columns)
+    made = suffixed(F.col(column), F.col("__k"), kind, max_length) if behind is None else suffixed(F.lit(behind), F.col(order) + 1, kind)
+    new = F.when((F.col("__k") > 0) & F.col(column).isNotNull(), made.cast(df.schema[column].dataType)).otherwise(F.col(column))
     return ranked.withColumn(column, new).drop("__k")
 
 
@@ -41,28 +54,62 @@ def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.where(" and ".join(f"`{c}` is not null" for c in columns)).groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def resolve(df: DataFrame, column: str, order: str, kind: str = "text", existing: DataFrame | None = None, max_length: int | None = None) -> DataFrame:
+def resolve(df: DataFrame, column: str, order: str, kind: str = "text", existing: DataFrame | None = None, max_length: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Passes until no value repeats: a suffixed value may meet a natural one. Each pass settles what the
-    one before left; ends with an error when values run out."""
-    out = one_pass(df, column, order, kind, existing, max_length)
-    for _ in range(ROUNDS):
-        clash = not duplicates(out, [column]).isEmpty()
-        if not clash and existing is not None:
-            clash = not out.join(existing.select(F.col(existing.columns[0]).alias("__e")), F.col(column) == F.col("__e"), "left_semi").isEmpty()
-        if max_length and kind != "number" and not out.where(F.length(column) > max_length).isEmpty():
+    one before left; ends with an error when values run out.
+
+    Passes run over the key and the order alone, are written once each, and are checked by one job; the
+    other columns of df join the result once, by the order (distinct)."""
+    key = [*by, column]
+    out, behind = df.select(order, *key), None
+    for again in range(ROUNDS):
+        if again and kind in ("number", "date", "moment"):
+            # Neighbours are taken too: what still meets goes behind all values.
+            tops = [f.agg(F.max(F.col(f.columns[-1]))) for f in (out, existing.select(existing.columns[len(by)]).select(F.col(existing.columns[len(by)]).cast(df.schema[column].dataType)) if existing is not None else out.select(column))]
+            behind = max(r[0] for f in tops for r in f.collect() if r[0] is not None)  # a row each
+        last, out = out, materialise(one_pass(out, column, order, kind, existing, max_length, by, behind), "unique")
+        drop(last)
+        wrong = [duplicates(out, key).select(F.lit("again").alias("why")).limit(1)]
+        if existing is not None:
+            met = [F.col(c).cast("string") == F.col(f"__e{i}") for i, c in enumerate(key)]
+            wrong.append(out.join(existing.select(*[F.col(f"`{e}`").cast("string").alias(f"__e{i}") for i, e in enumerate(existing.columns[: len(key)])]), met, "left_semi").select(F.lit("again").alias("why")).limit(1))
+        if max_length and kind in ("text", "email"):
+            wrong.append(out.where(F.length(column) > max_length).select(F.lit("long").alias("why")).limit(1))
+        found = {r["why"] for r in reduce(DataFrame.unionAll, wrong).collect()}  # three rows at most
+        if "long" in found:
             break  # suffixes no longer fit
-        if not clash:
-            return out
-        out = one_pass(out, column, order, kind, existing, max_length)
-    raise UniqueExhausted(f"no more unique values for {column}")
+        if not found:
+            if set(df.columns) == {order, *key}:
+                return out.select(*df.columns)
+            rest = df.drop(column)
+            return rest.join(out.select(F.col(order).alias("__at"), column), F.col(order) == F.col("__at")).drop("__at").select(*df.columns)
+    raise UniqueExhausted(f"no more unique values for {', '.join(key)}")
+
+
+def by_row(value: Column, row: Column, kind: str, max_length: int | None = None) -> Column:
+    """Unique without looking at other rows, as a stream needs it: the row number is part of every value
+    (behind the last underscore of texts; a number is the row's own)."""
+    if kind in ("number", "date", "moment"):
+        return {"number": row + 1, "date": F.date_add(F.lit("1970-01-01").cast("date"), row.cast("int")), "moment": F.timestamp_seconds(row)}[kind]
+    return suffixed(value, row, kind, max_length)
+
+
+def tuple_ordinals(row: Column, sizes: list[int], seed: int) -> list[Column]:
+    """Distinct tuples for rows 0..n-1, n at most the product of sizes: row numbers are permuted by an
+    affine map modulo the product (its factor is prime to it), and split into digits of these sizes."""
+    total = math.prod(sizes)
+    # Near to the golden section, so that neighbours land far apart in domains of any size.
+    start = (total * 618033988 // 10**9 + (seed * 2 + 1) * 48271) % total | 1
+    factor = next(f for f in range(start, 2 * total + 3) if math.gcd(f, total) == 1) % total if total > 1 else 1
+    place = F.pmod(row.cast("decimal(38,0)") * F.lit(factor).cast("decimal(20,0)") + F.lit(seed % total), F.lit(total).cast("decimal(20,0)")).cast("long")
+    out: list[Column] = []
+    for size in reversed(sizes[1:]):
+        out.append(F.pmod(place, F.lit(size)))
+        place = F.call_function("div", place, F.lit(size))
+    return [place, *reversed(out)]
 
 
 def pair_ordinals(row: Column, left: int, right: int, seed: int) -> tuple[Column, Column]:
-    """Distinct pairs for rows 0..n-1, n <= left * right: row numbers are permuted by an affine map modulo
-    left * right (its factor is prime to it), and split into two ordinals."""
-    import math
-
-    total = left * right
-    factor = next(f for f in range((seed * 2 + 1) * 48271 % total | 1, 2 * total + 3) if math.gcd(f, total) == 1) % total if total > 1 else 1
-    place = F.pmod(row.cast("decimal(38,0)") * F.lit(factor) + F.lit(seed % total), F.lit(total)).cast("long")
-    return F.floor(place / F.lit(right)).cast("long"), F.pmod(place, F.lit(right))
+    """tuple_ordinals of two."""
+    a, b = tuple_ordinals(row, [left, right], seed)
+    return a, b

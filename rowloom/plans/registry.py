@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import diff
-from ..functions import rng
+from ..functions import names, rng
 from ..functions.names import normalise_column
 from ..functions.rng import sql_uniform as U
-from ..functions.values import PLACES, SAFE_DOMAINS, Ctx, ipv4, uuid4
+from ..functions.values import PLACES, SAFE_DOMAINS, Ctx, address, ipv4, uuid4
 from ..operators import cardinality, coherence, existing, generate, mapping, plan, unique
 from ..operators.prefix import ordinals
-from ..schema import Column, ForeignKey, Kind, Schema, Table, columns_frame, edges_frame, excluded, glob_regex, table_from_frame
+from ..schema import Column, ForeignKey, Kind, Schema, Table, ancestors, columns_frame, edges_frame, excluded, filter_schema, glob_regex, table_from_frame
+from ..scratch import materialise
 from ..sinks import sqltext
+from ..sources import introspect
 from ..sources.catalog import literals_column
 
 SEED, REF = 42, 1735689600
@@ -39,6 +41,15 @@ def rows(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("row"))
 
 
+ROW = Column("row", Kind.BIGINT, nullable=False)
+
+
+def generated(spark: SparkSession, table: Table, n: int) -> DataFrame:
+    """n rows of one table that starts with its row number."""
+    config = generate.Config(SEED, rows=n, overrides={table.name: {"row": {"builder": lambda c: c.row}}})
+    return generate.generate(spark, Schema.of(table), config).tables[table.name]
+
+
 def u(table: str, column: str, row="row", draw=0):
     return rng.uniform(SEED, table, column, F.col(row), draw)
 
@@ -95,7 +106,8 @@ def existing_row_counts(spark, d):
 
 @query("SELECT max(o_orderkey) AS max_key, count(*) AS n_rows FROM orders")
 def existing_max_pk(spark, d):
-    return read(spark, d, "orders").agg(F.max("o_orderkey").alias("max_key"), F.count("*").alias("n_rows"))
+    got = existing.read_existing(Table("orders", (Column("o_orderkey", Kind.BIGINT, auto_increment=True),), ("o_orderkey",)), read(spark, d, "orders"))
+    return spark.createDataFrame([(got.next_key["o_orderkey"] - 1, got.rows)], "max_key long, n_rows long")
 
 
 @query("SELECT DISTINCT p_brand::VARCHAR AS value FROM part WHERE p_brand IS NOT NULL")
@@ -118,8 +130,9 @@ def uniform_draw(spark, d):
 
 @query("SELECT (SELECT max(o_orderkey) FROM orders) + 1 + i AS id FROM range(500) r(i)")
 def auto_increment_ids(spark, d):
-    top = read(spark, d, "orders").agg(F.max("o_orderkey")).first()[0]
-    return rows(spark, 500).select((F.lit(top + 1) + F.col("row")).alias("id"))
+    s = Schema.of(Table("orders", (Column("o_orderkey", Kind.BIGINT, auto_increment=True, nullable=False),), ("o_orderkey",)))
+    made = generate.generate(spark, s, generate.Config(SEED, rows=500), {"orders": read(spark, d, "orders")})
+    return made.tables["orders"].select(F.col("o_orderkey").alias("id"))
 
 
 _N = f"least(1.0, greatest(0.0, 0.5 + 0.15 * sqrt(-2.0 * ln(greatest({U(SEED, 't', 'n', 'i', 0)}, 1e-12))) * cos(2 * pi() * {U(SEED, 't', 'n', 'i', 1)})))"
@@ -180,9 +193,8 @@ def topo_levels(spark, d):
 
 @query(f"WITH RECURSIVE {_E}, w AS (SELECT parent AS name FROM e WHERE child = 'lineitem' UNION SELECT e.parent FROM w JOIN e ON e.child = w.name) SELECT name FROM w")
 def ancestor_closure(spark, d):
-    """The transitive closure by recursive SQL over the edge table."""
-    edges_frame(spark, given_schema(spark, d)).createOrReplaceTempView("rowloom_edges")
-    return spark.sql("WITH RECURSIVE w AS (SELECT parent AS name FROM rowloom_edges WHERE child = 'lineitem' UNION ALL SELECT e.parent FROM w JOIN rowloom_edges e ON e.child = w.name) SELECT DISTINCT name FROM w")
+    """The tables that lineitem references, directly or not."""
+    return spark.createDataFrame([(n,) for n in sorted(ancestors(given_schema(spark, d), ["lineitem"]))], "name string")
 
 
 # --- foreign keys
@@ -290,12 +302,14 @@ def cardinality_sequence(spark, d):
 
 @query(f"SELECT o_orderkey, CASE WHEN {U(SEED, 'orders', 'note?', 'o_orderkey')} >= 0.1 THEN o_orderpriority END AS note FROM orders")
 def null_injection(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", F.when(u("orders", "note?", "o_orderkey") >= 0.1, F.col("o_orderpriority")).alias("note"))
+    t = Table("orders", (Column("note", Kind.TEXT),))
+    maker = generate.Generator(spark, Schema.of(t), generate.Config(SEED))
+    return read(spark, d, "orders").select("o_orderkey", maker.with_nulls(F.col("o_orderpriority"), t.column("note"), t, F.col("o_orderkey")).alias("note"))
 
 
 @query(f"SELECT i AS row, (['new','paid','sent','done'])[(floor({U(SEED, 'orders', 'status', 'i')} * 4) + 1)::INT] AS status FROM range(1000) r(i)")
 def enum_pick(spark, d):
-    return rows(spark, 1000).select("row", rng.pick(u("orders", "status"), SEGMENTS).alias("status"))
+    return generated(spark, Table("orders", (ROW, Column("status", Kind.ENUM, nullable=False, values=tuple(SEGMENTS)))), 1000)
 
 
 _W = U(SEED, "orders", "w", "i")
@@ -329,7 +343,9 @@ def decimal_precision(spark, d):
 
 @query("SELECT p_partkey, rtrim(substr(p_name, 1, 7)) AS name FROM part")
 def truncate_varchar(spark, d):
-    return read(spark, d, "part").select("p_partkey", F.rtrim(F.substring("p_name", 1, 7)).alias("name"))
+    t = Table("part", (Column("name", Kind.VARCHAR, max_length=7),))
+    maker = generate.Generator(spark, Schema.of(t), generate.Config(SEED, overrides={"part": {"name": {"builder": lambda c: F.col("p_name")}}}))
+    return read(spark, d, "part").select("p_partkey", maker.value(t.column("name"), t, mapping.map_column(t.column("name"), t), F.col("p_partkey")).alias("name"))
 
 
 _H = f"md5('{SEED}|t|id|' || i || '|0')"
@@ -342,7 +358,8 @@ def uuid_v4_format(spark, d):
 
 @query(f"SELECT c_custkey, lower(replace(c_name, '#', '.')) || '@' || ({SAFE_DOMAINS!r})[(floor({U(SEED, 'customer', 'email', 'c_custkey', 2)} * 3) + 1)::INT] AS email FROM customer")
 def safe_email(spark, d):
-    return read(spark, d, "customer").select("c_custkey", F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@"), rng.pick(u("customer", "email", "c_custkey", 2), SAFE_DOMAINS)).alias("email"))
+    local = F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit(".")))
+    return read(spark, d, "customer").select("c_custkey", address(local, Ctx(SEED, "customer", "email", F.col("c_custkey"), REF)).alias("email"))
 
 
 _P = f"(floor({U(SEED, 'people', '__place', 'i')} * {len(PLACES)}) + 1)::INT"
@@ -364,7 +381,7 @@ def temporal_coherence(spark, d):
 
 @query(f"SELECT i AS row, {U(SEED, 't', 'flag', 'i')} < 0.5 AS flag FROM range(500) r(i)")
 def bool_flip(spark, d):
-    return rows(spark, 500).select("row", (u("t", "flag") < 0.5).alias("flag"))
+    return generated(spark, Table("t", (ROW, Column("flag", Kind.BOOLEAN, nullable=False))), 500)
 
 
 _IP = " || '.' || ".join(f"(floor({U(SEED, 't', 'ip', 'i', k)} * {254 if k in (0, 3) else 255}) + {1 if k in (0, 3) else 0})::BIGINT" for k in range(4))
@@ -384,11 +401,13 @@ def unique_suffix(spark, d):
     return unique.one_pass(read(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("v")), "v", "c_custkey").select("c_custkey", "v")
 
 
-@query("""WITH r AS (SELECT c_custkey, c_mktsegment AS v, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 + CASE WHEN EXISTS (SELECT 1 FROM customer x WHERE x.c_mktsegment = c.c_mktsegment AND x.c_custkey < 10) THEN 1 ELSE 0 END AS k FROM customer c)
-    SELECT c_custkey, CASE WHEN k > 0 THEN v || '_' || k ELSE v END AS v FROM r""")
-def unique_vs_existing(spark, d):
-    c = read(spark, d, "customer")
-    return unique.one_pass(c.select("c_custkey", F.col("c_mktsegment").alias("v")), "v", "c_custkey", existing=c.where("c_custkey < 10").select("c_mktsegment")).select("c_custkey", "v")
+@query("""WITH t AS (SELECT DISTINCT l_linestatus AS v FROM lineitem),
+    r AS (SELECT o_orderkey, o_orderstatus AS v, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 + CASE WHEN o_orderstatus IN (SELECT v FROM t) THEN 1 ELSE 0 END AS k FROM orders)
+    SELECT o_orderkey, CASE WHEN k > 0 THEN v || '_' || k ELSE v END AS v FROM r""")
+def unique_against_table(spark, d):
+    """Values made unique among themselves and against those that a whole table holds."""
+    new = read(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("v"))
+    return unique.one_pass(new, "v", "o_orderkey", existing=read(spark, d, "lineitem").select("l_linestatus")).select("o_orderkey", "v")
 
 
 @query("WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS v FROM lineitem), n AS (SELECT v, row_number() OVER (PARTITION BY v) - 1 AS k FROM r) SELECT v + k AS v, count(*) AS n FROM n GROUP BY 1")
@@ -458,13 +477,27 @@ def normalize_column_names(spark, d):
     return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", normalise_column(F.col("name")).alias("normalised"))
 
 
-@query()
+#: Columns of the given tables that a name or a stem decides; the others go by their type.
+_DECIDED = [
+    ("part", "p_brand", "stem", "commerce.product", "low"), ("lineitem", "l_discount", "stem", "commerce.quantity", "low"), ("lineitem", "l_tax", "stem", "finance.amount", "low"), ("documents", "text", "name", "text.long", "high"),
+    ("pages", "url", "name", "contact.url", "high"), ("benchmark", "item_id", "stem", "commerce.quantity", "low"), ("benchmark", "text", "name", "text.long", "high"), ("conversations", "text", "name", "text.long", "high"),
+]
+_COLUMNS = "c AS (SELECT table_name AS t, column_name AS c, ordinal_position - 1 AS p FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + "))"
+
+
+@query(f"WITH {_COLUMNS}, x(t, c, s, g, f) AS (VALUES " + ", ".join(map(str, _DECIDED)) + ") SELECT c.t AS \"table\", c.c AS \"column\", coalesce(x.s, 'type') AS source, coalesce(x.g, '') AS generator, coalesce(x.f, 'low') AS confidence FROM c LEFT JOIN x ON x.t = c.t AND x.c = c.c")
 def column_domain_map(spark, d):
     out = [(k, c.name, m.source, m.generator, m.confidence) for k, t in given_schema(spark, d).tables.items() for c in t.columns for m in [mapping.map_column(c, t)]]
     return spark.createDataFrame(out, "table string, column string, source string, generator string, confidence string")
 
 
-@query()
+_SCORES = [
+    ("customerEmails", "person", 0.8), ("customerEmails", "contact", 0.8), ("patient_diagnosis", "person", 0.8), ("patient_diagnosis", "medical", 0.8), ("invoicePayments", "finance", 1.4), ("shipping_city", "commerce", 0.7),
+    ("shipping_city", "location", 0.8), ("course_grades", "education", 1.4),
+]
+
+
+@query("SELECT name, domain, score::DOUBLE AS score FROM (VALUES " + ", ".join(map(str, _SCORES)) + ") t(name, domain, score)")
 def stem_scores(spark, d):
     out = [(n, k, float(v)) for n in ("customerEmails", "patient_diagnosis", "invoicePayments", "shipping_city", "course_grades", "key_id") for k, v in mapping.stem_scores(n).items()]
     return spark.createDataFrame(out, "name string, domain string, score double")
@@ -489,10 +522,9 @@ def glob_exclude(spark, d):
 
 @query("SELECT w, k AS suggestion, lev AS distance FROM (SELECT w, k, levenshtein(w, k) AS lev, row_number() OVER (PARTITION BY w ORDER BY levenshtein(w, k), k) AS rn FROM (VALUES ('cuont'), ('sed'), ('exclud'), ('tabels')) a(w), (VALUES ('count'), ('seed'), ('exclude'), ('tables'), ('locale')) b(k)) WHERE rn = 1 AND lev <= 2")
 def key_suggestion(spark, d):
-    words = spark.createDataFrame([(x,) for x in ("cuont", "sed", "exclud", "tabels")], "w string")
-    keys = spark.createDataFrame([(x,) for x in ("count", "seed", "exclude", "tables", "locale")], "k string")
-    near = words.join(F.broadcast(keys), F.levenshtein("w", "k") <= 2).withColumn("distance", F.levenshtein("w", "k"))
-    return near.groupBy("w").agg(F.min(F.struct("distance", "k")).alias("m")).select("w", F.col("m.k").alias("suggestion"), F.col("m.distance").cast("long").alias("distance"))
+    keys = ["count", "seed", "exclude", "tables", "locale"]
+    found = [(w, k, names.distance(w, k)) for w in ("cuont", "sed", "exclud", "tabels") if (k := names.suggest(w, keys))]
+    return spark.createDataFrame(found, "w string, suggestion string, distance long")
 
 
 # --- sinks
@@ -527,9 +559,203 @@ def optimal_batch_size(spark, d):
     return spark.range(1, 60).select(F.col("id").alias("n_columns"), sqltext.optimal_batch(F.col("id")).alias("batch"))
 
 
+_WIDE = "repeat(md5(l_orderkey || '/' || l_linenumber || '/' || l_partkey), 5)"
+
+
+@query(f"""WITH r AS (SELECT *, floor(l_extendedprice * 100 + 0.5)::BIGINT AS cents, {_WIDE} AS pad FROM lineitem),
+    o AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, cents) - 1 AS ord FROM r)
+    SELECT floor(ord / 500)::BIGINT AS batch, count(*) AS n_rows, md5('INSERT INTO "lines" ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents", "pad") VALUES ' || string_agg('(' || l_orderkey || ', ' || l_linenumber || ', ' || l_partkey || ', ' || l_suppkey || ', ' || cents || ', ''' || pad || ''')', ', ' ORDER BY ord) || ';') AS digest
+    FROM o GROUP BY 1""")
+def insert_rows_lineitem(spark, d):
+    """All of lineitem as INSERT text, with 160 characters more a row: every row, in its statement, in its place."""
+    pad = F.repeat(F.md5(F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey")), 5)
+    wide = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rng.half_up(F.col("l_extendedprice") * 100).alias("cents"), pad.alias("pad"))
+    made = sqltext.insert_statements(wide, "lines", wide.columns, wide.columns[:5], 500)
+    return made.select("batch", (F.size(F.split("statement", r"\), \("))).cast("long").alias("n_rows"), F.md5("statement").alias("digest"))
+
+
+@query("SELECT o_orderkey AS parent, (o_orderkey % 37)::BIGINT AS n FROM orders WHERE o_orderkey % 37 > 0 UNION ALL SELECT -1, sum(o_orderkey % 37)::BIGINT FROM orders UNION ALL SELECT -2, sum(o_orderkey % 37)::BIGINT - 1 FROM orders")
+def expand_large(spark, d):
+    """Each order with up to 36 children: distinct ordinals by parent, of all (parent -1), and the last one (-2)."""
+    parents = read(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("parent"), (F.col("o_orderkey") % 37).alias("n_children"))
+    each = cardinality.expand(parents, SEED, "children", "parent", ["parent"])
+    sums = each.agg(F.countDistinct("child_ord").alias("n"), F.max("child_ord").alias("last"))
+    whole = sums.select(F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("parent"), F.col("n")), F.struct(F.lit(-2).cast("long").alias("parent"), F.col("last").alias("n")))).alias("x")).select("x.*")
+    return each.groupBy("parent").agg(F.countDistinct("child_ord").alias("n")).unionAll(whole)
+
+
+@query("SELECT o_orderkey, '(''' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000') || 'Z'')' AS v FROM orders")
+def timestamp_literals(spark, d):
+    """Moments as SQL text: in UTC, whatever the session's zone."""
+    # The files' times have no zone; they stand for moments in UTC here.
+    ntz = read(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("at"))
+    moments = ntz.select("o_orderkey", F.timestamp_micros(F.unix_micros(F.to_utc_timestamp(F.col("at").cast("timestamp"), "UTC"))).alias("at"))
+    return moments.select("o_orderkey", sqltext.row_values(moments, ["at"]).alias("v"))
+
+
+# --- unique keys of several columns
+
+
+@query("SELECT 90::BIGINT AS n_rows, 90::BIGINT AS n_keys, 60::BIGINT AS n_free, 60::BIGINT AS n_free_keys")
+def composite_unique_generated(spark, d):
+    """Unique pairs of two enumerations (90 of 100 possible), and of an enumeration with a text."""
+    key = Column("id", Kind.BIGINT, nullable=False, auto_increment=True)
+    size = lambda n, name: Column(name, Kind.ENUM, nullable=False, values=tuple(f"{name}{i}" for i in range(n)))
+    s = Schema.of(Table("two", (key, size(10, "a"), size(10, "b")), ("id",), (), (("a", "b"),)), Table("free", (key, size(2, "a"), Column("first_name", Kind.VARCHAR, nullable=False, max_length=12)), ("id",), (), (("a", "first_name"),)))
+    made = generate.generate(spark, s, generate.Config(SEED, rows_of={"two": 90, "free": 60})).tables
+    one = made["two"].agg(F.count("*").alias("n_rows"), F.countDistinct("a", "b").alias("n_keys"))
+    return one.crossJoin(made["free"].agg(F.count("*").alias("n_free"), F.countDistinct("a", "first_name").alias("n_free_keys")))  # a row each
+
+
+@query("SELECT 500::BIGINT AS n_rows, 500::BIGINT AS n_pairs, 0::BIGINT AS met, 0::BIGINT AS lost")
+def bridge_augmented(spark, d):
+    """500 more pairs of a customer and a part beside all that were ordered; none of them exists already."""
+    have = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey").distinct()
+    key = lambda n: Column(n, Kind.BIGINT, nullable=False)
+    pairs = Table("pairs", (key("o_custkey"), key("l_partkey")), ("o_custkey", "l_partkey"), (ForeignKey(("o_custkey",), "customer", ("c_custkey",)), ForeignKey(("l_partkey",), "part", ("p_partkey",))))
+    s = Schema.of(Table("customer", (key("c_custkey"),), ("c_custkey",)), Table("part", (key("p_partkey"),), ("p_partkey",)), pairs)
+    customer, part = read(spark, d, "customer"), read(spark, d, "part")
+    made = generate.generate(spark, s, generate.Config(SEED, rows_of={"pairs": 500}), {"customer": customer, "part": part, "pairs": have}, ["pairs"]).tables["pairs"]
+    marked = made.join(have.withColumn("old", F.lit(1)), ["o_custkey", "l_partkey"], "left")
+    marked = marked.join(customer.select(F.col("c_custkey").alias("o_custkey"), F.lit(1).alias("c")), "o_custkey", "left").join(part.select(F.col("p_partkey").alias("l_partkey"), F.lit(1).alias("p")), "l_partkey", "left")
+    return marked.agg(F.count("*").alias("n_rows"), F.countDistinct("o_custkey", "l_partkey").alias("n_pairs"), F.count("old").alias("met"), F.count_if(F.col("c").isNull() | F.col("p").isNull()).alias("lost"))
+
+
+@query(f"SELECT i + 1 AS id, floor({U(SEED, 'posts', 'user_id', 'i')} * 40)::BIGINT + 1 AS user_id FROM range(60) r(i)")
+def regenerated_child(spark, d):
+    """A changed table alone: its references go to the parents that the same configuration makes, which aren't put out."""
+    key = Column("id", Kind.BIGINT, nullable=False, auto_increment=True)
+    s = Schema.of(Table("users", (key,), ("id",)), Table("posts", (key, Column("user_id", Kind.BIGINT, nullable=False)), ("id",), (ForeignKey(("user_id",), "users", ("id",)),)))
+    before = diff.hashes(Schema.of(s.tables["users"]))
+    made = generate.generate(spark, s, generate.Config(SEED, rows_of={"users": 40, "posts": 60}), None, diff.to_regenerate(before, s), unchanged=True)
+    assert list(made.tables) == ["posts"]
+    return made.tables["posts"]
+
+
+# --- schema sources
+
+_PARSED = {
+    "prisma": """
+        enum Level { LOW HIGH }
+        model Shop { id Int @id @default(autoincrement())
+          name String @unique @db.VarChar(40)
+          level Level @default(LOW)
+          stock Item[] }
+        model Item { id String @id @default(uuid())
+          price Decimal? @db.Decimal(8, 2)
+          shopId Int @map("shop_id")
+          shop Shop @relation(fields: [shopId], references: [id]) }""",
+    "drizzle": """
+        export const level = pgEnum('level', ['LOW', 'HIGH']);
+        export const shop = pgTable('Shop', { id: serial('id').primaryKey(), name: varchar('name', { length: 40 }).notNull().unique(), level: level('level').notNull().default('LOW') });
+        export const item = pgTable('Item', { id: uuid('id').primaryKey().defaultRandom(), price: numeric('price', { precision: 8, scale: 2 }), shopId: integer('shop_id').notNull().references(() => shop.id) });""",
+    "typeorm": """
+        export enum Level { LOW = 'LOW', HIGH = 'HIGH' }
+        @Entity('Shop') export class Shop { @PrimaryGeneratedColumn() id: number; @Column({ type: 'varchar', length: 40, unique: true }) name: string; @Column({ type: 'enum', enum: Level }) level: Level; }
+        @Entity('Item') export class Item { @PrimaryGeneratedColumn('uuid') id: string; @Column({ type: 'decimal', precision: 8, scale: 2, nullable: true }) price: number; @ManyToOne(() => Shop, { nullable: false }) @JoinColumn({ name: 'shop_id' }) shop: Shop; }""",
+    "jpa": """
+        public enum Level { LOW, HIGH }
+        @Entity @Table(name = "Shop") public class Shop { @Id @GeneratedValue(strategy = GenerationType.IDENTITY) private Integer id; @Column(nullable = false, unique = true, length = 40) private String name; @Enumerated(EnumType.STRING) @Column(nullable = false) private Level level; }
+        @Entity @Table(name = "Item") public class Item { @Id @GeneratedValue private UUID id; @Column(precision = 8, scale = 2) private BigDecimal price; @ManyToOne(optional = false) @JoinColumn(name = "shop_id") private Shop shop; }""",
+}
+_PARSED_ROWS = [
+    ("Shop", "id", "integer", False, True, False, False), ("Shop", "name", "varchar", False, False, False, True), ("Shop", "level", "enum", False, False, False, False),
+    ("Item", "id", "uuid", False, True, False, False), ("Item", "price", "decimal", True, False, False, False), ("Item", "shop_id", "integer", False, False, True, False),
+]
+
+
+@query("SELECT source, t.* FROM (VALUES ('prisma'), ('drizzle'), ('typeorm'), ('jpa')) s(source), (VALUES " + ", ".join(map(str, _PARSED_ROWS)) + ") t(\"table\", \"column\", kind, nullable, is_pk, is_fk, is_unique)")
+def parsed_sources(spark, d):
+    """The same two tables in four kinds of source text give the same columns."""
+    from ..sources import drizzle, jpa, prisma, typeorm
+
+    out = None
+    for name, parse in (("prisma", prisma.parse), ("drizzle", drizzle.parse), ("typeorm", typeorm.parse), ("jpa", jpa.parse)):
+        one = columns_frame(spark, parse(_PARSED[name])).select(F.lit(name).alias("source"), "table", "column", "kind", "nullable", "is_pk", "is_fk", "is_unique")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+#: Rows as the catalog of a database gives them.
+CATALOG_COLUMNS = [
+    ("authors", "id", 1, "integer", False, "nextval('authors_id_seq'::regclass)", "", False, None, None), ("authors", "email", 2, "character varying(80)", False, None, "", False, None, None),
+    ("authors", "mood", 3, "mood", True, None, "", False, "mood", "how they feel"), ("books", "id", 1, "bigint", False, None, "a", False, None, None), ("books", "author_id", 2, "integer", False, None, "", False, None, None),
+    ("books", "state", 3, "text", False, "'draft'::text", "", False, None, None), ("books", "price", 4, "numeric(8,2)", True, None, "", False, None, None), ("books", "net", 5, "numeric(8,2)", True, None, "", True, None, None),
+    ("reviews", "book_id", 1, "bigint", False, None, "", False, None, None), ("reviews", "reviewer", 2, "character varying(40)", False, None, "", False, None, None), ("reviews", "tags", 3, "text[]", True, None, "", False, None, None),
+]
+CATALOG_ENUMS = [("mood", "sad", 2.0), ("mood", "ok", 3.0), ("mood", "glad", 1.0)]
+CATALOG_CONSTRAINTS = [
+    ("authors", "authors_pkey", "p", "id", 1, None, None, None, None, False, None), ("authors", "authors_email_key", "u", "email", 1, None, None, None, None, False, None), ("books", "books_pkey", "p", "id", 1, None, None, None, None, False, None),
+    ("books", "books_author_fkey", "f", "author_id", 1, "authors", "id", "c", "a", True, None), ("books", "books_state_check", "c", "state", 1, None, None, None, None, False, "(state = ANY (ARRAY['draft'::text, 'live'::text]))"),
+    ("books", "books_price_check", "c", "price", 1, None, None, None, None, False, "(price >= (0)::numeric)"), ("books", "books_title_idx", "i", "state", 2, None, None, None, None, False, None), ("books", "books_title_idx", "i", "author_id", 1, None, None, None, None, False, None),
+    ("reviews", "reviews_pkey", "p", "reviewer", 2, None, None, None, None, False, None), ("reviews", "reviews_pkey", "p", "book_id", 1, None, None, None, None, False, None), ("reviews", "reviews_book_fkey", "f", "book_id", 1, "books", "id", "n", "r", False, None),
+]
+COLUMN_SHAPE = "table_name string, column_name string, position int, data_type string, nullable boolean, column_default string, identity string, generated boolean, enum_name string, comment string"
+CONSTRAINT_SHAPE = "table_name string, constraint_name string, kind string, column_name string, position int, ref_table string, ref_column string, on_delete string, on_update string, deferrable boolean, expression string"
+
+
+def catalog_frames(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return spark.createDataFrame(CATALOG_COLUMNS, COLUMN_SHAPE), spark.createDataFrame(CATALOG_CONSTRAINTS, CONSTRAINT_SHAPE), spark.createDataFrame(CATALOG_ENUMS, "enum_name string, label string, position double")
+
+
+def _values(rows: list[tuple], shape: str) -> str:
+    cell = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ") x(" + ", ".join(f.split()[0] for f in shape.split(", ")) + ")"
+
+
+_ACT = "CASE max({0}) WHEN 'a' THEN 'NO ACTION' WHEN 'r' THEN 'RESTRICT' WHEN 'c' THEN 'CASCADE' WHEN 'n' THEN 'SET NULL' WHEN 'd' THEN 'SET DEFAULT' ELSE 'NO ACTION' END"
+
+
+@query(f"""SELECT table_name, constraint_name, kind, string_agg(column_name, ',' ORDER BY position) AS columns, coalesce(max(ref_table), '') AS ref_table, coalesce(string_agg(ref_column, ',' ORDER BY position), '') AS refs,
+    {_ACT.format('on_delete')} AS on_delete, {_ACT.format('on_update')} AS on_update, bool_or(can_defer) AS can_defer FROM {_values(CATALOG_CONSTRAINTS, CONSTRAINT_SHAPE.replace('deferrable', 'can_defer'))} WHERE kind <> 'c' GROUP BY 1, 2, 3""")
+def catalog_keys(spark, d):
+    """Keys of catalog rows: columns in order, references with their actions."""
+    found = introspect.key_lists(catalog_frames(spark)[1])
+    return found.select("table_name", "constraint_name", "kind", F.array_join("columns", ",").alias("columns"), F.coalesce("ref_table", F.lit("")).alias("ref_table"), F.array_join("references", ",").alias("refs"), "on_delete", "on_update", F.col("deferrable").alias("can_defer"))
+
+
+@query(f"SELECT enum_name, string_agg(label, ',' ORDER BY position) AS labels FROM {_values(CATALOG_ENUMS, 'enum_name string, label string, position double')} GROUP BY 1")
+def catalog_enums(spark, d):
+    return introspect.enum_lists(catalog_frames(spark)[2]).select("enum_name", F.array_join("labels", ",").alias("labels"))
+
+
+_INTROSPECTED = [
+    ("authors", "id", "integer", False, True, False, False, True, False, ""), ("authors", "email", "varchar", False, False, False, True, False, False, ""), ("authors", "mood", "enum", True, False, False, False, False, False, "glad,sad,ok"),
+    ("books", "id", "bigint", False, True, False, False, True, False, ""), ("books", "author_id", "integer", False, False, True, False, False, False, ""), ("books", "state", "text", False, False, False, False, False, False, "draft,live"),
+    ("books", "price", "decimal", True, False, False, False, False, False, ""), ("books", "net", "decimal", True, False, False, False, False, True, ""), ("reviews", "book_id", "bigint", False, True, True, False, False, False, ""),
+    ("reviews", "reviewer", "varchar", False, True, False, False, False, False, ""), ("reviews", "tags", "array", True, False, False, False, False, False, ""),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(map(str, _INTROSPECTED)) + ") t(\"table\", \"column\", kind, nullable, is_pk, is_fk, is_unique, is_auto, is_generated, \"values\")")
+def catalog_schema(spark, d):
+    """A schema from catalog rows: kinds, keys, identity, generated columns, enumerations and listed checks."""
+    columns, constraints, enums = catalog_frames(spark)
+    s = introspect.schema_of_catalog(columns, constraints, enums)
+    listed = spark.createDataFrame([(k, c.name, ",".join(c.values)) for k, t in s.tables.items() for c in t.columns], "table string, column string, values string")
+    return columns_frame(spark, s).drop("position").join(listed, ["table", "column"])
+
+
 # --- changes and reports
 
 
+_PICKED = ["customer", "lineitem", "nation", "orders", "region", "supplier"]
+
+
+@query(f"SELECT name, name = 'lineitem' AS selected, name <> 'lineitem' AS auto_included FROM (VALUES {', '.join(f'({t!r})' for t in _PICKED)}) t(name)")
+def filtered_schema(spark, d):
+    """lineitem with the tables that it needs, but without any that match p*."""
+    r = filter_schema(given_schema(spark, d), ["lineitem"], ["p*"])
+    return spark.createDataFrame([(k, k in r.selected, k in r.auto_included) for k in r.schema.tables], "name string, selected boolean, auto_included boolean")
+
+
+@query(f"""WITH {_COLUMNS} SELECT t AS "table", sha256(string_agg(c || ':' || p, ';' ORDER BY c || ':' || p)) AS hash FROM c GROUP BY t""")
+def schema_hash_tables(spark, d):
+    """Hashes of the given tables' columns and their places."""
+    cols = columns_frame(spark, given_schema(spark, d)).select("table", "column", F.col("position").cast("string").alias("kind"))
+    return diff.hash_columns(cols)
+
+
 @query("WITH c AS (SELECT * FROM (VALUES ('a','x','INT'),('a','y','TEXT'),('b','z','DATE')) t(tab, col, kind)) SELECT tab AS \"table\", sha256(string_agg(col || ':' || kind, ';' ORDER BY col || ':' || kind)) AS hash FROM c GROUP BY tab")
 def schema_hash(spark, d):
     return diff.hash_columns(spark.createDataFrame([("a", "x", "INT"), ("a", "y", "TEXT"), ("b", "z", "DATE")], "table string, column string, kind string"))
@@ -541,12 +767,17 @@ def schema_diff(spark, d):
     return diff.compare(make([("a", "1"), ("b", "2"), ("c", "3")]), make([("b", "2"), ("c", "9"), ("d", "4")]))
 
 
-@query()
+@query(f'WITH {_COLUMNS} SELECT t AS "table", c AS "column", p AS position FROM c')
 def inspect_columns(spark, d):
     return columns_frame(spark, given_schema(spark, d)).select("table", "column", "position")
 
 
-@query()
+_ORDER = ["benchmark", "conversations", "documents", "embeddings", "labels", "pages", "part", "region", "nation", "customer", "events", "orders", "supplier", "lineitem"]
+
+
+@query(f"""WITH {_COLUMNS}, {_E}, k(t, pk) AS (VALUES {", ".join(f"('{t}', '{c}')" for t, c in PRIMARY.items())}), o(t, i) AS (VALUES {", ".join(f"('{t}', {i})" for i, t in enumerate(_ORDER))})
+    SELECT o.t AS "table", (SELECT count(*) FROM c WHERE c.t = o.t)::INT AS n_columns, coalesce((SELECT pk FROM k WHERE k.t = o.t), '') AS primary_key, o.i AS insert_order,
+           (SELECT count(*) FROM e WHERE child = o.t) AS "references", (SELECT count(*) FROM e WHERE parent = o.t) AS referenced_by FROM o""")
 def inspect_summary(spark, d):
     from ..schema import inspect
 
@@ -582,11 +813,44 @@ S["generated_shop"] = "SELECT * FROM (VALUES ('users', 200::BIGINT, 200::BIGINT)
 
 @query("SELECT i + 1 AS id, {} < 0.5 AS is_live FROM range(200) r(i)".format(U(SEED, "flags", "is_live", "i")))
 def streamed_rows(spark, d):
-    """Rows of the streaming generator's projection: equal to the batch, whatever the trigger."""
-    from ..streaming.generator import project
+    """Rows that a stream generated, run until its source is used up: equal to the batch, whatever the trigger."""
+    t = Table("flags", (Column("id", Kind.BIGINT, nullable=False, auto_increment=True), Column("is_live", Kind.BOOLEAN, nullable=False)), ("id",))
+    return streamed(spark, t, generate.Config(SEED), 200)
+
+
+def streamed(spark: SparkSession, t: Table, config: generate.Config, n: int, schema: Schema | None = None, existing_rows=None) -> DataFrame:
+    """n rows of a table through a stream: row numbers come from files, one each trigger, and rows go to files."""
+    from ..streaming.generator import project, write_stream
+
+    numbers = materialise(spark.range(0, n, 1, 4).select(F.col("id").alias("__row")), "numbers")
+    source = spark.readStream.schema("__row long").option("maxFilesPerTrigger", 2).parquet(numbers.scratch_path)
+    made = project(source, t, config, schema, existing_rows)
+    at = numbers.scratch_path + "-streamed"
+    write_stream(made, at, at + "-checkpoint")
+    return spark.read.schema(made.schema).parquet(at)
+
+
+_ORD = U(SEED, "returns", "o_orderkey", "i")
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ord FROM orders)
+    SELECT i + 1 AS id, o.o_orderkey, CASE WHEN {U(SEED, 'returns', 'note?', 'i')} >= 0.1 THEN (['new','paid','sent','done'])[(floor({U(SEED, 'returns', 'note', 'i')} * 4) + 1)::INT] END AS note
+    FROM range(300) r(i) JOIN o ON o.ord = floor({_ORD} * (SELECT count(*) FROM orders))::BIGINT""")
+def streamed_references(spark, d):
+    """A stream with references to existing rows, and NULLs: a join of the stream with the parents' keys."""
+    t = Table("returns", (Column("id", Kind.BIGINT, nullable=False, auto_increment=True), Column("o_orderkey", Kind.BIGINT, nullable=False), Column("note", Kind.TEXT, values=tuple(SEGMENTS))), ("id",), (ForeignKey(("o_orderkey",), "orders", ("o_orderkey",)),))
+    parent = Table("orders", (Column("o_orderkey", Kind.BIGINT, nullable=False),), ("o_orderkey",))
+    return streamed(spark, t, generate.Config(SEED), 300, Schema.of(parent, t), {"orders": read(spark, d, "orders")})
+
 
-    t = Table("flags", (Column("id", Kind.BIGINT, nullable=False, auto_increment=True), Column("is_live", Kind.BOOLEAN)), ("id",))
-    return project(spark.range(200).select(F.col("id").alias("__row")), t, generate.Config(SEED))
+@query("SELECT 400::BIGINT AS n_rows, 400::BIGINT AS n_names, 400::BIGINT AS n_pairs, 0::BIGINT AS out_of_range")
+def streamed_unique(spark, d):
+    """A stream with a unique text and a unique pair of references."""
+    key = Column("id", Kind.BIGINT, nullable=False, auto_increment=True)
+    links = Table("links", (Column("a_id", Kind.BIGINT, nullable=False), Column("b_id", Kind.BIGINT, nullable=False), Column("name", Kind.VARCHAR, max_length=20, nullable=False)), ("a_id", "b_id"), (ForeignKey(("a_id",), "a", ("id",)), ForeignKey(("b_id",), "b", ("id",))), (("name",),))
+    s = Schema.of(Table("a", (key,), ("id",)), Table("b", (key,), ("id",)), links)
+    made = streamed(spark, links, generate.Config(SEED, rows_of={"a": 25, "b": 30, "links": 400}), 400, s)
+    return made.agg(F.count("*").alias("n_rows"), F.countDistinct("name").alias("n_names"), F.countDistinct("a_id", "b_id").alias("n_pairs"), F.count_if(~F.col("a_id").between(1, 25) | ~F.col("b_id").between(1, 30)).alias("out_of_range"))
 
 
 def queries() -> dict:

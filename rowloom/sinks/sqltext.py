@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import MissingTarget, OutputFailed
 from ..operators.prefix import batch_number, ordinals
 from ..schema import Schema, Table
+from ..sources.catalog import guard
 
 BATCH, LEAST_BATCH, MOST_BATCH = 500, 1, 10_000
 
@@ -32,8 +33,9 @@ def literal(c: Column, kind: T.DataType, dialect: str = "postgres") -> Column:
     elif isinstance(kind, T.BinaryType):
         out = F.concat(F.lit("X'" if dialect != "postgres" else "'\\x"), F.lower(F.hex(c)), F.lit("'"))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        shape = "yyyy-MM-dd HH:mm:ss" if dialect == "mysql" else "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
-        out = F.concat(F.lit("'"), F.date_format(c, shape), F.lit("'"))
+        out = F.concat(F.lit("'"), moment_text(c, kind, dialect), F.lit("'"))
+    elif isinstance(kind, T.ArrayType) and dialect == "postgres":
+        out = F.concat(F.lit("'"), F.replace(array_text(c), F.lit("'"), F.lit("''")), F.lit("'"))
     else:
         value = F.to_json(c) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else text
         value = F.replace(value, F.lit("'"), F.lit("''"))
@@ -43,6 +45,26 @@ def literal(c: Column, kind: T.DataType, dialect: str = "postgres") -> Column:
     return F.coalesce(out, F.lit("NULL"))
 
 
+def moment_text(c: Column, kind: T.DataType, dialect: str = "postgres") -> Column:
+    """A moment as ISO text in UTC with its Z, whatever the session's zone; of a time without zone as it stands."""
+    if isinstance(kind, T.TimestampType):
+        # Seconds from the epoch, as no zone's missing or doubled hours come in.
+        since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.unix_micros(c).cast("decimal(38,0)") / F.lit(1_000_000)).cast("decimal(18,6)"))
+        c = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + since
+    text = c.cast("string")
+    day, clock = F.split_part(text, F.lit(" "), F.lit(1)), F.split_part(text, F.lit(" "), F.lit(2))
+    if dialect == "mysql":
+        return F.concat(day, F.lit(" "), F.substring(clock, 1, 8))
+    thousandths = F.rpad(F.substring(clock, 10, 3), 3, "0")
+    return F.concat(day, F.lit("T"), F.substring(clock, 1, 8), F.lit("."), thousandths, F.lit("Z" if isinstance(kind, T.TimestampType) else ""))
+
+
+def array_text(c: Column) -> Column:
+    """An array as {"a","b"}."""
+    item = lambda x: F.coalesce(F.concat(F.lit('"'), F.replace(F.replace(x.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')), F.lit("NULL"))
+    return F.concat(F.lit("{"), F.array_join(F.transform(c, item), ","), F.lit("}"))
+
+
 def row_values(df: DataFrame, columns: list[str], dialect: str = "postgres") -> Column:
     return F.concat(F.lit("("), F.concat_ws(", ", *[literal(F.col(c), df.schema[c].dataType, dialect) for c in columns]), F.lit(")"))
 
@@ -52,17 +74,20 @@ def insert_head(table: str, columns: list[str], dialect: str = "postgres") -> st
 
 
 def insert_statements(df: DataFrame, table: str, columns: list[str], order: list[str], batch: int = BATCH, dialect: str = "postgres") -> DataFrame:
-    """(batch, statement): multi-row INSERTs of ``batch`` rows, in the given order."""
+    """(batch, statement): multi-row INSERTs of ``batch`` rows, in the given order. Rows are made text before
+    they are numbered, so wide rows move as one string; a statement's rows meet once more."""
     batch = max(LEAST_BATCH, min(MOST_BATCH, batch))
-    rows = ordinals(df, order, "__at").select(batch_number(F.col("__at"), batch).alias("batch"), "__at", row_values(df, columns, dialect).alias("v"))
+    texts = df.select(*[F.col(c) for c in order], row_values(df, columns, dialect).alias("__v"))
+    rows = ordinals(texts, order, "__at").select(batch_number(F.col("__at"), batch).alias("batch"), "__at", F.col("__v").alias("v"))
     grouped = rows.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("__at", "v"))).alias("vs"))
     return grouped.select("batch", F.concat(F.lit(insert_head(table, columns, dialect)), F.array_join(F.transform("vs", lambda x: x["v"]), ", "), F.lit(";")).alias("statement"))
 
 
-def update_statements(df: DataFrame, table: str, keys: list[str], sets: list[str], dialect: str = "postgres") -> DataFrame:
+def update_statements(df: DataFrame, table: str, keys: list[str], sets: list[str], dialect: str = "postgres", keep: list[str] | None = None) -> DataFrame:
+    """One UPDATE a row, beside the columns ``keep``."""
     is_ = lambda c: F.concat(F.lit(quoted(c, dialect)), F.coalesce(F.concat(F.lit(" = "), F.when(F.col(c).isNotNull(), literal(F.col(c), df.schema[c].dataType, dialect))), F.lit(" IS NULL")))
     assign = F.concat_ws(", ", *[F.concat(F.lit(f"{quoted(c, dialect)} = "), literal(F.col(c), df.schema[c].dataType, dialect)) for c in sets])
-    return df.select(F.concat(F.lit(f"UPDATE {quoted(table, dialect)} SET "), assign, F.lit(" WHERE "), F.concat_ws(" AND ", *[is_(c) for c in keys]), F.lit(";")).alias("statement"))
+    return df.select(*(keep or []), F.concat(F.lit(f"UPDATE {quoted(table, dialect)} SET "), assign, F.lit(" WHERE "), F.concat_ws(" AND ", *[is_(c) for c in keys]), F.lit(";")).alias("statement"))
 
 
 def copy_value(c: Column, kind: T.DataType) -> Column:
@@ -70,8 +95,9 @@ def copy_value(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.BooleanType):
         text = F.when(c, "t").otherwise("f")
     elif isinstance(kind, T.ArrayType):
-        item = lambda x: F.coalesce(F.concat(F.lit('"'), F.replace(F.replace(x.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')), F.lit("NULL"))
-        text = F.concat(F.lit("{"), F.array_join(F.transform(c, item), ","), F.lit("}"))
+        text = array_text(c)
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        text = moment_text(c, kind)
     elif isinstance(kind, T.BinaryType):
         text = F.concat(F.lit("\\x"), F.lower(F.hex(c)))
     elif isinstance(kind, (T.MapType, T.StructType)):
@@ -141,31 +167,92 @@ def write_frames(tables: dict[str, DataFrame], path: str, form: str = "parquet",
             writer.format(form).save(f"{path}/{name}")
 
 
-def write_sql(schema: Schema, tables: dict[str, DataFrame], order: list[str], path: str, batch: int = BATCH, dialect: str = "postgres") -> None:
-    """One folder of SQL for each table, numbered in insert order; statements are written by executors,
-    in order of batch. A table's part begins and ends its transaction."""
-    for i, name in enumerate(n for n in order if n in tables):
+LAST = 1 << 62  # behind all batches
+
+
+def write_sql(schema: Schema, tables: dict[str, DataFrame], order: list[str], path: str, batch: int = BATCH, dialect: str = "postgres", updates: dict[str, list[DataFrame]] | None = None) -> None:
+    """One folder of SQL for each table, numbered in insert order; statements are written by executors, in
+    order of batch, and files sort as their statements run. A table's part begins and ends its transaction,
+    its sequences are set at its end. References that are filled later are NULL there, and the
+    UPDATEs that fill them stand in folders behind all tables."""
+    updates = updates or {}
+    names = [n for n in order if n in tables]
+    for i, name in enumerate(names):
         df, t = tables[name], schema.tables[name]
+        for later in updates.get(name, []):
+            for c in later.columns:
+                if c not in t.primary_key and c in df.columns:
+                    df = df.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
         keys = [c for c in (t.primary_key or tuple(df.columns)) if c in df.columns] or df.columns
         made = insert_statements(df, name, df.columns, keys, batch, dialect)
-        spark = df.sparkSession
-        frame = spark.createDataFrame([(-1, f"-- {name}\nBEGIN;"), (1 << 62, "COMMIT;")], "batch long, statement string")
-        made.unionAll(frame).repartitionByRange("batch").sortWithinPartitions("batch").select("statement").write.mode("overwrite").text(f"{path}/{i:04d}_{name}")
-        for c in t.columns:
-            if c.auto_increment and dialect == "postgres":
-                spark.createDataFrame([(sequence_reset(name, c.name),)], "value string").coalesce(1).write.mode("append").text(f"{path}/{i:04d}_{name}")
-
-
-def write_jdbc(tables: dict[str, DataFrame], order: list[str], url: str, batch: int = BATCH, **options) -> None:
-    """Rows go in table by table; references filled later are part of the rows already, so no updates follow."""
+        resets = [sequence_reset(name, c.name) for c in t.columns if c.auto_increment and dialect == "postgres"]
+        frame = df.sparkSession.createDataFrame([(-1, f"-- {name}\nBEGIN;"), (LAST, "\n".join([*resets, "COMMIT;"]))], "batch long, statement string")
+        _write_ordered(made.unionAll(frame), "batch", f"{path}/{i:04d}_{name}")
+    for i, (name, later) in enumerate((n, f) for n in names for f in updates.get(n, [])):
+        t = schema.tables[name]
+        keys = [c for c in t.primary_key if c in later.columns]
+        sets = [c for c in later.columns if c not in t.primary_key]
+        filled = later.where(" or ".join(f"`{c}` is not null" for c in sets))
+        made = update_statements(filled, name, keys, sets, dialect, keep=keys)
+        _write_ordered(made, *keys, f"{path}/{len(names) + i:04d}_{name}_updates")
+
+
+def _write_ordered(statements: DataFrame, *by_and_path: str) -> None:
+    *by, path = by_and_path
+    statements.repartitionByRange(*by).sortWithinPartitions(*by).select("statement").write.mode("overwrite").text(path)
+
+
+def run_jdbc(spark: SparkSession, url: str, statements: list[str], **options) -> None:
+    """A few statements (keys and sequences, never rows) in one transaction on one connection."""
+    properties = spark._jvm.java.util.Properties()
+    for k, v in options.items():
+        properties.setProperty(k, str(v))
+    if options.get("driver"):
+        spark._jvm.org.apache.spark.util.Utils.classForName(options["driver"], True, False)
+    link = spark._jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        link.setAutoCommit(False)
+        work = link.createStatement()
+        for s in statements:
+            work.execute(s)
+        link.commit()
+    except Exception:
+        link.rollback()
+        raise
+    finally:
+        link.close()
+
+
+def write_jdbc(tables: dict[str, DataFrame], order: list[str], url: str, batch: int = BATCH, mode: str = "append", schema: Schema | None = None, allowed: bool = False, **options) -> None:
+    """Rows go in table by table, parents first, in transactions of a partition each (Spark's writer);
+    references filled later are part of the rows already, so no updates follow. mode: append (augment),
+    overwrite (rows of all tables go first, children before parents, tables stay), errorifexists (no table
+    may hold rows). With a schema, sequences are set behind the rows. Production hosts need ``allowed``."""
     if not url:
         raise MissingTarget("no connection URL")
-    for name in order:
-        if name in tables:
-            try:
-                tables[name].write.format("jdbc").options(url=url, dbtable=name, batchsize=str(batch), **options).mode("append").save()
-            except Exception as e:
-                raise OutputFailed(f"{name} can't be written: {e}", hints=("is the driver's jar on the class path?",)) from e
+    guard(url, allowed)
+    names = [n for n in order if n in tables]
+    if not names:
+        return
+    spark = tables[names[0]].sparkSession
+    link = url if url.startswith("jdbc:") else f"jdbc:{url}"
+    dialect = "mysql" if ":mysql" in link or ":mariadb" in link else "postgres"
+    reader = lambda n: spark.read.format("jdbc").options(url=link, dbtable=n, **options).load()
+    if mode == "errorifexists":
+        full = [n for n in names if not reader(n).limit(1).isEmpty()]
+        if full:
+            raise OutputFailed(f"{', '.join(full)} hold rows already", hints=("existingData: augment or truncate",))
+    if mode == "overwrite":
+        run_jdbc(spark, link, [f"DELETE FROM {n}" for n in reversed(names)], **options)
+    for name in names:
+        try:
+            tables[name].write.format("jdbc").options(url=link, dbtable=name, batchsize=str(batch), **options).mode("append").save()
+        except Exception as e:
+            raise OutputFailed(f"{name} can't be written: {e}", hints=("is the driver's jar on the class path?",)) from e
+    if schema is not None and (":postgres" in link or dialect == "mysql"):
+        resets = [sequence_reset(n, c.name, dialect) for n in names for c in schema.tables[n].columns if c.auto_increment]
+        if resets:
+            run_jdbc(spark, link, [r.rstrip(";") for r in resets], **options)
 
 
 def write_sqlite(tables: dict[str, DataFrame], order: list[str], path: str) -> dict[str, int]:
@@ -192,6 +279,31 @@ def write_sqlite(tables: dict[str, DataFrame], order: list[str], path: str) -> d
     return counts
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def delete_rows(keys: DataFrame, table: str, columns: list[str], url: str, sqlite_path, **options) -> None:
+    """Rows of these primary keys go: statements of ``BATCH`` keys each, run from the driver in one
+    transaction as they stream in, one partition of keys at a time."""
+    import itertools
+
+    condition = F.concat(F.lit("("), F.concat_ws(" AND ", *[F.concat(F.lit(f"{quoted(c)} = "), literal(F.col(c), keys.schema[c].dataType, "sqlite" if url.startswith("sqlite:") else "postgres")) for c in columns]), F.lit(")"))
+    rows = (r[0] for r in keys.select(condition).toLocalIterator())
+    # JDBC names stand as the writer's dbtable does.
+    statements = (f"DELETE FROM {quoted(table.rsplit('.', 1)[-1]) if url.startswith('sqlite:') else table} WHERE {' OR '.join(some)}" for some in itertools.batched(rows, BATCH))
+    if url.startswith("sqlite:"):
+        import sqlite3
+        from contextlib import closing
+
+        with closing(sqlite3.connect(sqlite_path(url))) as db, db:
+            for s in statements:
+                db.execute(s)
+        return
+    run_jdbc(keys.sparkSession, url if url.startswith("jdbc:") else f"jdbc:{url}", statements, **options)
+
+
 def dry_run(tables: dict[str, DataFrame], counts: dict[str, int], batch: int = BATCH) -> list[str]:
     return [f"{name}: {counts[name]} rows in {-(-counts[name] // batch)} statements" for name in tables]
 

@@ -121,6 +121,28 @@ def schema_of_rows(columns: DataFrame, keys: DataFrame | None = None, foreign: D
     return Schema.of(*(Table(t, tuple(cs), tuple(c for _, c in sorted(pks.get(t, []))), own(t)) for t, cs in tables.items()))
 
 
+def sqlite_tables(spark: SparkSession, path: str, schema: Schema) -> dict[str, DataFrame]:
+    """Rows of a local SQLite file, for tests and samples: they pass through the driver. Columns take the
+    types of the schema; tables and columns that the file lacks are left out."""
+    import sqlite3
+    from contextlib import closing
+
+    out = {}
+    with closing(sqlite3.connect(path)) as db:
+        for key, t in schema.tables.items():
+            q = t.name.replace('"', '""')
+            there = {r[1] for r in db.execute(f'PRAGMA table_info("{q}")').fetchall()}
+            cols = [c for c in t.columns if c.name in there]
+            if not cols:
+                continue
+            listed = ", ".join('"' + c.name.replace('"', '""') + '"' for c in cols)
+            rows = [tuple(None if v is None else v if isinstance(v, bytes) else str(v) for v in r) for r in db.execute(f'SELECT {listed} FROM "{q}"')]
+            shape = ", ".join(f"`{c.name}` {'binary' if c.kind is Kind.BYTEA else 'string'}" for c in cols)
+            simple = (Kind.ARRAY, Kind.VECTOR, Kind.INTERVAL)
+            out[key] = spark.createDataFrame(rows, shape).select(*[F.col(f"`{c.name}`") if c.kind in simple else F.col(f"`{c.name}`").cast(c.spark_type()).alias(c.name) for c in cols])
+    return out
+
+
 def sqlite_schema(path: str) -> Schema:
     import sqlite3
     from contextlib import closing
