@@ -3,10 +3,11 @@
 Each text (runs of ``[\\x20\\x09-\\x0D]`` made one space) is cut where its content says so: behind a
 window of eight characters that meets a fixed condition, between ``MIN_CHUNK`` and ``MAX_CHUNK``
 characters from the cut before, so texts that differ at one place fall into step again behind it,
-and equal texts have equal chunks. A chunk's identifier is its 64-bit fingerprint plus a rank;
-ranks other than 0 exist only where different contents share a fingerprint, which is found by comparing the distinct contents of all chunks once. Documents are
-then compared by their ordered lists of identifiers, a few bytes for each kilobyte of text; texts
-are dealt out once, as distinct chunks, and never again.
+and equal texts have equal chunks. A chunk's identifier is its fingerprint (128 bits: two hashes of different seeds) and a rank;
+ranks other than 0 exist only where different contents share a fingerprint, which is found by comparing the
+distinct contents of all chunks once. Documents are then compared by their ordered lists of identifiers, some 20
+bytes for each few hundred characters of text; texts are dealt out once, as distinct chunks. Where
+contents do share a fingerprint, the distinct texts that hold it, and only those, are looked at again.
 
 Defined cases: a null text equals the empty text, whose recipe is the empty list; ties and repeated
 rows group with their copies and the smallest doc_id stays (a null doc_id is larger than any other);
@@ -18,6 +19,7 @@ not read, so their names cannot clash.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_partitions
@@ -44,7 +46,12 @@ def chunks(norm: Column) -> Column:
     return F.regexp_extract_all(norm, F.lit(CHUNK), F.lit(0))
 
 
-def colliding_chunks(docs: DataFrame, text: str = "text", fingerprint=F.xxhash64) -> DataFrame:
+def wide(chunk) -> Column:
+    """128 bits of a chunk."""
+    return F.struct(F.xxhash64(chunk).alias("a"), F.xxhash64(F.lit(77), chunk).alias("b"))
+
+
+def colliding_chunks(docs: DataFrame, text: str = "text", fingerprint=wide) -> DataFrame:
     """(fp, chunk, rank) of chunks whose fingerprint other contents have as well."""
     distinct = (
         docs.select(F.explode(chunks(normalised(F.col(text)))).alias("chunk"))
@@ -55,42 +62,43 @@ def colliding_chunks(docs: DataFrame, text: str = "text", fingerprint=F.xxhash64
     shared = distinct.groupBy("fp").agg(F.count("*").alias("contents")).where("contents > 1")
     shared = materialise(shared.select("fp"), "fps")
     if shared.isEmpty():
-        return docs.sparkSession.createDataFrame([], "fp long, chunk string, rank int")
+        return shared.select("fp", F.lit("").alias("chunk"), F.lit(0).alias("rank"))
     smaller = distinct.join(shared, "fp", "left_semi").select("fp", "chunk")
-    pairs = smaller.alias("a").join(smaller.alias("b"), "fp").where("b.chunk <= a.chunk")
-    return materialise(
-        pairs.groupBy("fp", F.col("a.chunk").alias("chunk")).agg((F.count("*") - 1).cast("int").alias("rank")), "ranks"
-    )
+    rank = F.row_number().over(W.partitionBy("fp").orderBy("chunk")) - 1
+    return materialise(smaller.withColumn("rank", rank), "ranks")
 
 
-def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fingerprint=F.xxhash64) -> DataFrame:
-    """One row for each row of docs: doc_id, text_sha256 and recipe, the ordered identifiers."""
+def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fingerprint=wide) -> DataFrame:
+    """One row for each row of docs: doc_id, text_sha256, salt and recipe, the ordered identifiers."""
+    salts = max(64, shuffle_partitions(docs.sparkSession))
     found = colliding_chunks(docs, text, fingerprint)
-    norm = normalised(F.col(text))
-    base = docs.select(F.col(doc_id).alias("doc_id"), norm.alias("norm"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("norm"))
+    base = base.withColumn("text_sha256", F.sha2("norm", 256))
+    plain = F.transform(chunks(F.col("norm")), lambda c: F.struct(fingerprint(c).alias("fp"), F.lit(0).alias("rank")))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+    rows = materialise(base.select("doc_id", "text_sha256", salt.alias("salt"), plain.alias("recipe")), "recipes")
     if found.isEmpty():
-        ids = F.transform(chunks(F.col("norm")), lambda c: fingerprint(c))
-        return base.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), ids.alias("recipe"))
-    # Only where contents collide: look the ranks up, then put each list together again.
-    tagged = base.select(F.expr("uuid()").alias("row"), "doc_id", "norm")
-    tagged = materialise(tagged, "rows")
-    each = tagged.select("row", F.posexplode(chunks(F.col("norm"))).alias("pos", "chunk")).withColumn("fp", fingerprint("chunk"))
-    ranked = each.join(found, ["fp", "chunk"], "left").select("row", "pos", "fp", F.coalesce("rank", F.lit(0)).alias("rank"))
-    lists = ranked.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "fp", "rank"))).alias("parts"))
-    flat = F.flatten(F.transform("parts", lambda p: F.array(p["fp"], p["rank"].cast("long"))))
-    return tagged.join(lists, "row", "left").select(
-        "doc_id", F.sha2("norm", 256).alias("text_sha256"), F.coalesce(flat, F.array().cast("array<long>")).alias("recipe")
-    )
-
-
-def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fingerprint=F.xxhash64) -> DataFrame:
+        return rows
+    # Only texts with a shared fingerprint: each distinct one once, its ranks looked up and its list put together again.
+    fps = found.select("fp").distinct()
+    holders = rows.select("text_sha256", F.explode(F.array_distinct(F.transform("recipe", lambda x: x["fp"]))).alias("fp")).join(fps, "fp", "left_semi")
+    holders = materialise(holders.select("text_sha256").distinct(), "holders")
+    texts = base.select("text_sha256", "norm").join(holders, "text_sha256", "left_semi").dropDuplicates(["text_sha256"])
+    each = texts.select("text_sha256", F.posexplode(chunks(F.col("norm"))).alias("pos", "chunk")).withColumn("fp", fingerprint("chunk"))
+    ranked = each.join(found, ["fp", "chunk"], "left").select("text_sha256", "pos", F.struct("fp", F.coalesce("rank", F.lit(0)).alias("rank")).alias("id"))
+    lists = ranked.groupBy("text_sha256").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("parts"))
+    lists = lists.select("text_sha256", F.transform("parts", lambda p: p["id"]).alias("ranked"))
+    # Copies of one text may be many: they meet its list by salt.
+    lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(lists, ["text_sha256", "salt"], "left").select("doc_id", "text_sha256", "salt", F.coalesce("ranked", "recipe").alias("recipe"))
+
+
+def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fingerprint=wide) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs.
 
     A group of copies may hold a third of all rows: it is counted by (recipe, salt) first, and the
     answer goes back to its members by (recipe, salt) too, so no task meets a whole group."""
-    salts = max(64, shuffle_partitions(docs.sparkSession))
     rows = recipes(docs, doc_id, text, fingerprint)
-    rows = materialise(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")), "recipes")
     part = rows.groupBy("recipe", "salt").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
     whole = part.groupBy("recipe").agg(
         F.sum("n").alias("group_size"), F.min("least").alias("keep_id"), F.collect_set("salt").alias("salts")

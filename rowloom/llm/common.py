@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import drop, materialise
+
+__all__ = ["WORD", "compact", "documents", "drop", "materialise", "shuffle_partitions", "split_of", "words"]
+
 #: Words of the contracts; bytes.split() without an argument cuts at exactly these separators.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,28 +33,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or None
-    if not found:
-        current = sc._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="rowloom-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts lineage, survives lost
-    executors, and leaves the reader free to choose how the next join is dealt."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rowloom-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def compact(df: DataFrame, label: str, rows_a_file: int = 100_000) -> DataFrame:
     """Like materialise, in as many files as the rows need instead of one for each task: the rows are
     computed once, with all tasks, into blocks on the executors' disks, counted, and written from there."""

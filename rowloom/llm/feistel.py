@@ -7,16 +7,20 @@ made, and equal values get equal pseudonyms in every document, so links survive.
 =========  =============================================  ========================================
 kind       validated by                                   permuted over
 =========  =============================================  ========================================
-date       calendar (ISO, d.m.y, m/d/y)                   days of the 400 years from 1700
+date       calendar (ISO, d.m.y, m/d/y, 5 March 2021,     days of the 400 years from 1700
+           March 5, 2021)
            calendar (d/m/y that is no m/d/y)              days 13 to 31 of their months
 ipv4       octets to 255                                  all addresses, 2**16 x 2**16
+mac        six pairs of hex digits                        hex digits, by class
 ssn        assigned areas, groups, serials                898 x (99 x 9999)
 iban       remainder 1 modulo 97; in groups of four also  account letters and digits, new check digits
            the country's length
 card       13 to 19 digits in one and their Luhn digit,   all but the check digit, whose offset from
            or 16 in groups of four                        the Luhn digit is kept (valid stays valid)
-phone      + and 7 to 15 digits                           digits behind the country code
-email      address syntax                                 letters and digits of the local part, by class
+phone      + and 7 to 15 digits, or ten in groups of the  digits behind the country code; with code 1, or
+           North American plan (area, office from 200)    none: areas x offices x lines, so both forms link
+email      address syntax                                 letters and digits of the local part, by class;
+                                                          case is kept, and not told apart
 secret     16 or more hex digits behind a secret's name   hex digits, by class
 =========  =============================================  ========================================
 
@@ -25,10 +29,12 @@ a mistyped card still tells of its holder.
 
 Numeric formats use a Feistel network over Z_a x Z_b (addition modulo the half's size); strings use
 one over halves of characters, each moved within its class, so that punctuation stays. Round
-functions are SHA-256 of key, kind, round and the other half. The key is a parameter.
+functions are SHA-256 of key, kind, round and the other half. The key is a parameter, or the session's
+``spark.rowloom.pseudonyms.key``; without either, one is drawn for the application, so that nobody can turn its
+pseudonyms back, and runs don't link with each other.
 
-Defined cases: a null text stays null; empty texts and texts without digits or @ come back unchanged
-(and are not searched); things that look like a kind but fail validation stay as they are; texts of
+Defined cases: a null text stays null; empty texts and texts without digits, @ or a secret's name come back
+unchanged (and are not searched); things that look like a kind but fail validation stay as they are; texts of
 any length are searched whole; repeated rows give equal results; an empty table gives an empty
 result; columns other than the id and the text are not read, and ``pseudonymise`` keeps the
 others as they are.
@@ -36,10 +42,12 @@ others as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "rowloom"
+KEY_CONF = "spark.rowloom.pseudonyms.key"
 ROUNDS = 8
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Length of an IBAN by country; grouped ones end there, whatever word comes next.
@@ -51,18 +59,27 @@ IBAN_LENGTHS = {
 GROUPED_IBAN = "|".join(
     rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[ \u00a0-][A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"[ \u00a0-][A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items()
 )
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+SECRET_NAME = r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,2}[=:]"
 #: In order of trial; a match is tried at each place once.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,24}",
-    "secret": r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?[0-9A-Fa-f]{16,128}(?![0-9A-Za-z])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])",
+    "secret": SECRET_NAME + r"\s{0,2}[\"']?[0-9A-Fa-f]{16,}+(?![0-9A-Za-z])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-]|\.[0-9])"
+    + rf"|(?<![0-9A-Za-z])(?:[0-9]{{1,2}} (?:{MONTHS}) [0-9]{{4}}|(?:{MONTHS}) [0-9]{{1,2}}, [0-9]{{4}})(?![0-9A-Za-z])",
+    "mac": r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])|(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}-){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])",
     "ipv4": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])",
+    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
+    r"|(?<![0-9A-Za-z.+-])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[.-][0-9]{4}(?![0-9A-Za-z-]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{GROUPED_IBAN})(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9A-Za-z-]|\.[0-9])",
 }
-ANY = "|".join(PATTERNS.values())
+#: What a kind can begin with, looked at before its pattern is tried: most places fail here at once.
+BEGINS = {"email": "[A-Za-z0-9]", "secret": "[tspaTSPA]", "date": "[0-9JFMASOND]", "mac": "[0-9A-Fa-f]{2}[:-]", "ipv4": r"[0-9]{1,3}\.", "phone": "[+(2-9]", "ssn": "[0-9]{3}-", "iban": "[A-Z]{2}[0-9]{2}", "card": "[0-9]{4}"}
+ANY = "(?=[0-9A-Za-z+(])(?:" + "|".join(f"(?={BEGINS[k]})(?:{p})" for k, p in PATTERNS.items()) + ")"
+#: Texts without any of these hold no match.
+NEEDED = "[0-9@]|" + SECRET_NAME
 DAYS, DAYS_A = 146097, 189  # 400 Gregorian years; 189 * 773
 FIRST_DAY = "1700-01-01"
 LATE_DAYS, LATE_A = DAYS - 12 * 4800, 9  # those after the 12th of their month; 9 * 9833
@@ -148,12 +165,13 @@ def mod97(s: Column) -> Column:
 
 
 def _date(key: Column, v: Column) -> Column:
-    pattern = F.when(v.contains("/"), "MM/dd/yyyy").when(v.contains("."), "dd.MM.yyyy").otherwise("yyyy-MM-dd")
-    day = F.coalesce(*[F.when(pattern == p, F.try_to_timestamp(v, F.lit(p)).cast("date")) for p in ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy")])
+    shapes = {"MM/dd/yyyy": v.contains("/"), "MMMM d, yyyy": v.contains(","), "d MMMM yyyy": v.contains(" "), "dd.MM.yyyy": v.contains("."), "yyyy-MM-dd": F.lit(True)}
+    pattern = F.coalesce(*[F.when(test, p) for p, test in shapes.items()])
+    day = F.coalesce(*[F.when(pattern == p, F.try_to_timestamp(v, F.lit(p)).cast("date")) for p in shapes])
     first = F.lit(FIRST_DAY).cast("date")
     n = F.datediff(day, first).cast("long")
     other = F.date_add(first, numeric(key, "date", n, DAYS_A, DAYS // DAYS_A).cast("int"))
-    text = F.when(v.contains("/"), F.date_format(other, "MM/dd/yyyy")).when(v.contains("."), F.date_format(other, "dd.MM.yyyy")).otherwise(F.date_format(other, "yyyy-MM-dd"))
+    text = F.coalesce(*[F.when(pattern == p, F.date_format(other, p)) for p in shapes])
     return F.when((n >= 0) & (n < DAYS), text).when(day.isNull() & v.contains("/"), _day_first(key, v))
 
 
@@ -216,25 +234,47 @@ def _card(key: Column, v: Column) -> Column:
     return F.when((offset == 0) | (v != digits), _refill(v, made))
 
 
+def country_code(digits: Column) -> Column:
+    """The calling code at the start of an international number: 1 and 7 stand alone, of the others some have two
+    digits, the rest three (ITU-T E.164)."""
+    two = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+    return F.when(digits.rlike("^[17]"), F.left(digits, F.lit(1))).when(F.left(digits, F.lit(2)).isin(two.split()), F.left(digits, F.lit(2))).otherwise(F.left(digits, F.lit(3)))
+
+
+def _american(key: Column, ten: Column) -> Column:
+    """Ten digits of the North American plan: area and office are 200 to 999."""
+    area, office, line = (F.substring(ten, at, n).cast("long") for at, n in ((1, 3), (4, 3), (7, 4)))
+    place = ((area - 200) * 800 + office - 200) * 10000 + line
+    n = numeric(key, "american", place, 80000, 80000)
+    return F.transform(F.array(n), lambda x: F.format_string("%03d%03d%04d", F.floor(x / 8000000) + 200, F.pmod(F.floor(x / 10000), F.lit(800)) + 200, F.pmod(x, F.lit(10000))))[0]
+
+
 def _phone(key: Column, v: Column) -> Column:
-    country = F.regexp_extract(v, r"^(\+[0-9]{1,3}[ .-]?)", 1)
-    rest = F.substr(v, F.length(country) + 1, F.length(v))
-    digits = F.regexp_replace(rest, "[^0-9]", "")
-    total = F.length(F.regexp_replace(v, "[^0-9]", ""))
-    return F.when(total.between(7, 15) & (F.length(digits) > 1), F.concat(country, _refill(rest, string(key, "phone", digits))))
+    digits = F.regexp_replace(v, "[^0-9]", "")
+    code = F.when(v.startswith("+"), country_code(digits)).otherwise("")
+    rest = F.substr(digits, F.length(code) + 1, F.length(digits))
+    american = code.isin("1", "") & rest.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
+    made = F.when(american, _american(key, rest)).when(code != "", string(key, "phone", rest))
+    return F.when(american | (F.length(digits).between(7, 15) & (F.length(rest) > 1)), _refill(v, F.concat(code, made)))
 
 
 def _email(key: Column, v: Column) -> Column:
     local = F.substring_index(v, "@", 1)
-    return F.concat(string(key, "email", local), F.lit("@"), F.substring_index(v, "@", -1))
+    moved = string(key, "email", F.lower(local))
+    cased = F.array_join(F.zip_with(F.split(local, ""), F.split(moved, ""), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
+    return F.concat(cased, F.lit("@"), F.substring_index(v, "@", -1))
+
+
+def _mac(key: Column, v: Column) -> Column:
+    return _refill(v, string(key, "mac", F.regexp_replace(v, "[^0-9A-Fa-f]", ""), hex_=True), "[0-9A-Fa-f]")
 
 
 def _secret(key: Column, v: Column) -> Column:
-    value = F.regexp_extract(v, "([0-9A-Fa-f]{16,128})$", 1)
+    value = F.regexp_extract(v, "([0-9A-Fa-f]{16,})$", 1)
     return F.concat(F.substr(v, F.lit(1), F.length(v) - F.length(value)), string(key, "secret", value, hex_=True))
 
 
-MAKERS = {"email": _email, "secret": _secret, "date": _date, "ipv4": _ipv4, "phone": _phone, "ssn": _ssn, "iban": _iban, "card": _card}
+MAKERS = {"email": _email, "secret": _secret, "date": _date, "ipv4": _ipv4, "mac": _mac, "phone": _phone, "ssn": _ssn, "iban": _iban, "card": _card}
 
 
 def kind_of(v: Column) -> Column:
@@ -254,12 +294,21 @@ def pseudonym(v: Column, key: Column) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The session's key; a drawn one, the application's own, where none is set."""
+    found = spark.conf.get(KEY_CONF, None)
+    if not found:
+        found = secrets.token_hex(32)
+        spark.conf.set(KEY_CONF, found)
+    return found
+
+
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """docs with the text's numbers and dates replaced, and ``n_pseudonyms`` (0 for null texts); an
     older column of that name is replaced."""
     t, spans = F.col(text), "__spans"
-    found = docs.withColumn(spans, F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
-    k = F.lit(key)
+    found = docs.withColumn(spans, F.when(t.rlike(NEEDED), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))))
+    k = F.lit(key_of(docs.sparkSession) if key is None else key)
     found = found.withColumn(spans, F.transform(spans, lambda v: F.struct(v.alias("old"), pseudonym(v, k).alias("new"))))
     new = F.transform(spans, lambda s: F.coalesce(s["new"], s["old"]))
     parts = F.split(t, ANY, -1)

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, materialise, shuffle_partitions, words
+from .common import compact, drop, materialise, shuffle_partitions, words
 
 BUCKETS, BAND = 160, 5
 MANTISSA_BITS, ZERO_BITS = 10, 6
@@ -163,17 +163,20 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): least id reachable. Labels move along links and
     through the labels' own labels, so chains shorten by halves."""
     both = compact(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = compact(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
+    held = labels = compact(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
         own = labels.join(near, labels["id"] == near["a"]).select("id", F.col("label").alias("old"), F.least("label", "near").alias("new"))
         up = own.select(F.col("id").alias("up"), F.col("new").alias("up_label"))
         # One row for each label that others carry, however many carry it.
         step = own.join(up, own["new"] == up["up"]).select("id", "old", F.least("new", "up_label").alias("label"))
-        step = compact(step, "step")
+        last, step = held, compact(step, "step")
+        held = step
+        drop(last)
         changed = not step.where("label <> old").isEmpty()
         labels = step.select("id", "label")
         if not changed:
+            drop(both)
             return labels.select("id", F.col("label").alias("component"))
 
 
@@ -194,19 +197,50 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+STAR = ["a", "cell"]
+
+
+def stars(pairs: DataFrame, carried: DataFrame) -> DataFrame:
+    """Rows of pairs (a, b) as sorted groups (a, cell): the centre's row (role 0) and then its members', each with its
+    n and data from carried (id, n, data). A centre may have a third of all ids as members: they are
+    dealt to cells by hash, the centre goes to each of its cells once, and nothing is copied to a pair."""
+    spark = pairs.sparkSession
+    cells = max(64, shuffle_partitions(spark))
+    dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(cells)).cast("int").alias("cell"), "b")
+    members = dealt.join(carried, dealt["b"] == carried["id"]).select("a", "cell", F.lit(1).alias("role"), "b", "n", "data")
+    centres = dealt.select("a", "cell").distinct().join(carried, F.col("a") == carried["id"]).select("a", "cell", F.lit(0).alias("role"), F.col("a").alias("b"), "n", "data")
+    return members.unionAll(centres).repartition(shuffle_partitions(spark), *STAR).sortWithinPartitions(*STAR, "role", "b")
+
+
+def centred(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bytes, pd.DataFrame]]:
+    """(a, the centre's n, its data, members) for each run of members of one centre in sorted rows; memory holds a
+    batch and a centre, however many members there are."""
+    a = n = data = None
+    for b in batches:
+        at = np.flatnonzero(b["role"].to_numpy() == 0)
+        ends = [*at.tolist(), len(b)]
+        if ends[0]:
+            yield a, n, data, b.iloc[: ends[0]]
+        for s, e in zip(ends, ends[1:], strict=False):
+            a, n, data = b["a"].iat[s], b["n"].iat[s], b["data"].iat[s]
+            if e > s + 1:
+                yield a, n, data, b.iloc[s + 1 : e]
+
+
 def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
     """Pairs (a, b) whose full shingle sets meet 100 * intersection >= percent * union."""
     full = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), size, doc_id, text)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ok = [similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(b["x"], b["y"], strict=True)]
-            yield b.loc[ok, ["a", "b"]]
+        for a, _, x, members in centred(batches):
+            of = np.frombuffer(x, dtype=np.uint64)
+            ok = [b for b, y in zip(members["b"], members["data"], strict=True) if similar(of, np.frombuffer(y, dtype=np.uint64), percent)]
+            yield pd.DataFrame({"a": a, "b": np.array(ok, dtype=np.int64)})
 
-    first = pairs.join(full.withColumnRenamed("set", "y"), pairs["b"] == full["doc_id"]).select("a", "b", "y")
-    first = compact(first, "half", WIDE)
-    whole = first.join(full.withColumnRenamed("set", "x"), first["a"] == full["doc_id"]).select("a", "b", "x", "y")
-    return compact(whole.mapInPandas(meet, "a long, b long"), "met")
+    carried = full.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("n"), F.col("set").alias("data"))
+    out = compact(stars(pairs, carried).mapInPandas(meet, "a long, b long"), "met")
+    drop(full)
+    return out
 
 
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -264,16 +298,17 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose estimate is not clearly too low."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b[c]), dtype=np.uint16).reshape(len(b), BUCKETS) for c in ("x", "y"))
-            n, m = b["n"].to_numpy(), b["m"].to_numpy()
+        for a, n, x, members in centred(batches):
+            m = members["n"].to_numpy()
             ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-            ok[ok] = likely(estimate((x[ok] == y[ok]).mean(1), n[ok], m[ok]), n[ok], m[ok], percent)
-            yield b.loc[ok, ["a", "b"]]
+            if ok.any():
+                y = np.frombuffer(b"".join(members["data"][ok]), dtype=np.uint16).reshape(-1, BUCKETS)
+                least = np.full(len(y), n)
+                ok[ok] = likely(estimate((np.frombuffer(x, dtype=np.uint16) == y).mean(1), least, m[ok]), least, m[ok], percent)
+                yield pd.DataFrame({"a": a, "b": members["b"].to_numpy(dtype=np.int64)[ok]})
 
-    left = classes.select(F.col("rep").alias("a"), F.col("n"), F.col("regs").alias("x"))
-    right = classes.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("regs").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "n", "m", "x", "y").mapInPandas(run, "a long, b long")
+    carried = classes.select(F.col("rep").alias("id"), "n", F.col("regs").alias("data"))
+    return stars(pairs, carried).mapInPandas(run, "a long, b long")
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], of: list[str]) -> Iterator[pd.DataFrame]:

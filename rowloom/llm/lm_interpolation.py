@@ -15,6 +15,11 @@ sorted key ranges; whoever owns a range adds up what all blocks count and answer
 order; blocks then score their documents in numpy. Frequent words cost one key a block, so no key is
 hot. What reaches the driver is sums, and a histogram of quantised estimates of bounded size.
 
+A corpus of many blocks has more ranges than a block can fill (``RANGES``). Then blocks ask in at most so many
+coarse ranges, and blocks of one group are merged there: their distinct keys, with their counts added, ask
+again in the fine ranges in the place of all of them, and what they are told goes back through the group to each
+block. A group holds as many blocks as make its merged keys fill the fine ranges, so rows stay long at any size.
+
 N-grams are identified by 64-bit hashes. An ``end`` closes each text and is the context of its first word.
 
 Defined cases: null and empty texts consist of the end alone; texts of any length are scored whole (a
@@ -40,6 +45,8 @@ BLOCK_BYTES = 14 << 20
 #: Training documents whose crc32 modulo this is 0 are held out for the weights.
 SLICE_OF = 11
 KEYS_OF_RANGE = 1_500_000
+RANGES = 512  # that a block asks in, at most: it has some thousand keys for each
+GROUP_BLOCKS = 1024  # blocks whose keys of a coarse range are merged: some two million
 STEPS = 8  # quantisation steps for each factor of two, in the histogram for the weights
 FREQUENCIES = 40
 C = np.uint64(0x9E3779B97F4A7C15)
@@ -134,12 +141,59 @@ def _bounds(sorted_keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(own, np.arange(ranges + 1, dtype=np.uint64))
 
 
+ASKED = "gram int, part int, block long, role int, keys binary, n binary, held binary"
+TOLD = "block long, gram int, part int, role int, counted binary, held binary, known long"
+MERGED = -1  # the role of rows that stand for a group of blocks, with counts of their own
+
+
+def merged(b: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct keys of some rows of one range, the place of each row's keys among them, and their counts: of
+    training texts, and of the held-out slice."""
+    keys = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in b["keys"]]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    ends = np.cumsum([len(x) for x in keys])
+    own = [at[e - len(x) : e] for e, x in zip(ends, keys, strict=True)]
+    counted, held = np.zeros(len(distinct), dtype=np.uint64), np.zeros(len(distinct), dtype=np.uint64)
+    # A row's keys are distinct, so its counts can be added in place.
+    for places, role, n, h in zip(own, b["role"], b["n"], b["held"], strict=True):
+        if role == MERGED:
+            counted[places] += unplanes(n, np.uint64)
+            held[places] += unplanes(h, np.uint64)
+        elif role > 0:
+            n = unplanes(n, np.uint32).astype(np.uint64)
+            counted[places] += n
+            if role == 2:
+                held[places] += n
+    return distinct, own, counted, held
+
+
+def told_rows(b: pd.DataFrame, own: list[np.ndarray], counted: np.ndarray, held: np.ndarray, known: int) -> pd.DataFrame:
+    """Counts for each row in its own order; those of the slice only where they are asked for."""
+    slice_ = [planes(held[x]) if role in (2, MERGED) else None for x, role in zip(own, b["role"], strict=True)]
+    return pd.DataFrame({"block": b["block"], "gram": b["gram"], "part": b["part"], "role": b["role"], "counted": [planes(counted[x]) for x in own], "held": slice_, "known": np.append(known, np.zeros(len(b) - 1, dtype=np.int64))})
+
+
+def cut_rows(keys: np.ndarray, bounds: np.ndarray, n: np.ndarray, held: np.ndarray | None, **same) -> pd.DataFrame:
+    """Rows of ASKED for sorted keys, one for each range between bounds that has any; parts are numbered from 0."""
+    some = np.flatnonzero(np.diff(bounds))
+    piece = lambda x, i: x[bounds[i] : bounds[i + 1]]
+    made = {"part": some, "keys": [planes(np.diff(piece(keys, i), prepend=np.uint64(0))) for i in some], "n": [planes(piece(n, i)) for i in some], "held": [None if held is None else planes(piece(held, i)) for i in some]}
+    return pd.DataFrame(made).assign(**same)[[c.split()[0] for c in ASKED.split(", ")]]
+
+
+def answer(b: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one range: what all of them count together, told to each in its own order."""
+    _, own, counted, held = merged(b)
+    return told_rows(b, own, counted, held, int((counted > 0).sum()))
+
+
 def answers(made: DataFrame, order: int) -> DataFrame:
     """For each block, order and key range: counts of its n-grams over all training documents, and over
     the held-out slice, in the order of the keys; ``known`` is the range's number of counted keys, once."""
     spark = made.sparkSession
     total = made.agg(F.sum("tokens")).first()[0] or 0
-    ranges = max(-(-total // KEYS_OF_RANGE), 4 * shuffle_partitions(spark))
+    fine = max(-(-total // KEYS_OF_RANGE), 4 * shuffle_partitions(spark))
+    ranges = min(fine, max(RANGES, 4 * shuffle_partitions(spark)))
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -148,27 +202,46 @@ def answers(made: DataFrame, order: int) -> DataFrame:
                 for k in range(order):
                     place = np.argsort(g.keys[k])
                     keys, n = g.keys[k][place], np.bincount(g.at[k], minlength=len(place))[place].astype(np.uint32)
-                    cut = _bounds(keys, ranges)
-                    some = np.flatnonzero(np.diff(cut))
-                    yield pd.DataFrame({
-                        "gram": k + 1, "part": some, "block": b.block, "role": b.role,
-                        "keys": [planes(np.diff(keys[cut[i] : cut[i + 1]], prepend=np.uint64(0))) for i in some], "n": [planes(n[cut[i] : cut[i + 1]]) for i in some],
-                    })
-
-    def answer(b: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in b["keys"]]
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.concatenate([unplanes(x, np.uint32) for x in b["n"]]).astype(np.float64)
-        role = np.repeat(b["role"].to_numpy(), [len(x) for x in keys])
-        counted, held = (np.bincount(at, weights=n * w).astype(np.uint64) for w in (role > 0, role == 2))
-        ends = np.cumsum([len(x) for x in keys])
-        own = [at[e - len(x) : e] for e, x in zip(ends, keys, strict=True)]
-        known = np.zeros(len(b), dtype=np.int64)
-        known[0] = int((counted > 0).sum())
-        return pd.DataFrame({"block": b["block"], "gram": b["gram"], "part": b["part"], "role": b["role"], "counted": [planes(counted[x]) for x in own], "held": [planes(held[x]) for x in own], "known": known})
-
-    asked = made.select("block", "role", "lens", "ranks", "words").mapInPandas(ask, "gram int, part int, block long, role int, keys binary, n binary")
-    return asked.groupBy("gram", "part").applyInPandas(answer, "block long, gram int, part int, role int, counted binary, held binary, known long")
+                    yield cut_rows(keys, _bounds(keys, ranges), n, None, gram=k + 1, block=b.block, role=b.role)
+
+    asked = made.select("block", "role", "lens", "ranks", "words").mapInPandas(ask, ASKED)
+    if ranges == fine:
+        return asked.groupBy("gram", "part").applyInPandas(answer, TOLD)
+    # Two levels: groups of blocks ask for all of theirs.
+    groups = -(-made.count() // GROUP_BLOCKS)
+    asked = materialise(asked.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))), "asked", "zstd")
+    within = -(-fine // ranges)  # fine ranges in a coarse one
+    grouped = ["gram", "part", "group"]
+
+    def merge(key, b: pd.DataFrame) -> pd.DataFrame:
+        distinct, _, counted, held = merged(b)
+        out = cut_rows(distinct, _bounds_within(distinct, ranges, within), counted, held, gram=key[0], block=key[2], role=MERGED)
+        return out.assign(coarse=key[1])
+
+    asking = asked.groupBy(*grouped).applyInPandas(merge, ASKED + ", coarse int")
+
+    def answer_groups(b: pd.DataFrame) -> pd.DataFrame:
+        return answer(b).assign(coarse=b["coarse"].to_numpy())
+
+    told = asking.groupBy("gram", "coarse", "part").applyInPandas(answer_groups, TOLD + ", coarse int")
+    told = materialise(told.select(F.col("gram").alias("of_gram"), F.col("coarse").alias("of_part"), F.col("block").alias("of_group"), F.col("part").alias("at"), "counted", "held", "known"), "told", "zstd")
+
+    def give_back(key, b: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(b):
+            return pd.DataFrame({c.split()[0]: [] for c in TOLD.split(", ")})
+        t = t.sort_values("at")
+        counted, held = (np.concatenate([unplanes(x, np.uint64) for x in t[c]]) for c in ("counted", "held"))
+        _, own, _, _ = merged(b)
+        return told_rows(b, own, counted, held, int(t["known"].sum()))
+
+    return asked.groupBy(*grouped).cogroup(told.groupBy("of_gram", "of_part", "of_group")).applyInPandas(give_back, TOLD)
+
+
+def _bounds_within(sorted_keys: np.ndarray, ranges: int, within: int) -> np.ndarray:
+    """Cuts of one coarse range's keys into its fine ranges."""
+    high = (sorted_keys >> np.uint64(32)) * np.uint64(ranges)
+    own = ((high & np.uint64(0xFFFFFFFF)) * np.uint64(within)) >> np.uint64(32)
+    return np.searchsorted(own, np.arange(within + 1, dtype=np.uint64))
 
 
 def counts_of(g: Grams, told: pd.DataFrame, column: str, order: int) -> list[np.ndarray]:
@@ -294,4 +367,5 @@ def score(docs: DataFrame, is_train: Column, order: int = 2, doc_id: str = "doc_
         return out[names]
 
     shape = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return made.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(finish, shape)
+    counts_told = told.select("block", "gram", "part", "counted")
+    return made.groupBy("block").cogroup(counts_told.groupBy("block")).applyInPandas(finish, shape)

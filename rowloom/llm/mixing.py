@@ -12,8 +12,10 @@ every source in two by a multivariate-hypergeometric draw, so each shard gets a
 sources as if all slots had been shuffled, and shards never share a slot. Inside a shard documents
 are ordered by another hash.
 
-The driver holds a row for each (source, block): at most BLOCKS numbers a source, whatever the
-number of documents. All randomness is a function of the seed and ids, so reruns agree.
+Sources may be many (web domains): their blocks, targets and slots are tables, joined without a hint. The
+water level that fills the targets is found by a few aggregates over the sources; the driver holds
+``CHUNKS`` quotas of the tree's upper part, whose chunks of sources are dealt on among their own by the same
+draw. All randomness is a function of the seed and ids, so reruns agree.
 
 Defined cases: null texts have size 0; a source whose texts are all empty has target 0 and takes
 nothing; an empty table gives an empty result; repeated doc_ids are taken or left together; a
@@ -24,13 +26,16 @@ null doc_id is an id of its own; columns other than those named aren't used for
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.prefix import ordinals
 from .common import WORD, materialise
 
 BLOCKS, SHARDS, SEED = 64, 16, 20240601
+CHUNKS = 1024
 CYCLE, SHARE, CAP = (3, 1, 2), 1.5, 2
 
 
@@ -70,6 +75,47 @@ def split_tree(quota: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def filled(sources: DataFrame, cycle=CYCLE, share=SHARE, cap=CAP) -> DataFrame:
+    """``targets`` for a table of sources (source, source_size), of any number: with ``place``, the source's place
+    in code point order, and ``target``.
+
+    A source is at its cap where cap * size <= level * weight. The level is what is left for the others, by
+    their weight; it only rises, so rounds end when no more sources reach their cap."""
+    placed = ordinals(sources.withColumn("none", F.col("source").isNull()), ["none", "source"], "place").drop("none")
+    weight = F.element_at(F.array(*[F.lit(w) for w in cycle]), (F.pmod("place", F.lit(len(cycle))) + 1).cast("int"))
+    placed = materialise(placed.withColumn("weight", weight), "sources")
+    sums = placed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    if not sums["weight"]:
+        return placed.withColumn("target", F.lit(0.0))
+    goal, level, at_cap = share * sums["size"], share * sums["size"] / sums["weight"], -1
+    while True:
+        full = F.col("source_size") * F.lit(cap) <= F.lit(level) * F.col("weight")
+        got = placed.agg(F.count_if(full).alias("n"), F.sum(F.when(full, F.col("source_size"))).alias("size"), F.sum(F.when(~full, F.col("weight"))).alias("free")).first()
+        if got["n"] == at_cap or not got["free"]:
+            return placed.withColumn("target", F.when(full, (F.col("source_size") * F.lit(cap)).cast("double")).otherwise(F.lit(level) * F.col("weight")))
+        at_cap, level = got["n"], (goal - cap * (got["size"] or 0)) / got["free"]
+
+
+def dealt_slots(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+    """place, upto: for each source (place, slots), how many of its slots are in the shards up to each one."""
+    chunked = quotas.withColumn("chunk", F.pmod("place", F.lit(CHUNKS)).cast("int"))
+    # CHUNKS rows at most.
+    tops = sorted((r["chunk"], r["slots"]) for r in chunked.groupBy("chunk").agg(F.sum("slots").alias("slots")).collect())
+    dealt = split_tree(np.array([n for _, n in tops] or [0]), shards, seed)
+    have = {c: dealt[:, k] for k, (c, _) in enumerate(tops)}
+
+    def deal(key, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("place")
+        left, out = b["slots"].to_numpy(dtype=np.int64), np.zeros((shards, len(b)), dtype=np.int64)
+        for shard, n in enumerate(have[key[0]]):
+            rng = np.random.default_rng([seed, int(key[0]), shard])
+            out[shard] = left if len(b) == 1 and shard == shards - 1 else rng.multivariate_hypergeometric(left, int(n), method="marginals")
+            left = left - out[shard]
+        return pd.DataFrame({"place": b["place"], "upto": list(out.cumsum(axis=0).T)})
+
+    return chunked.groupBy("chunk").applyInPandas(deal, "place long, upto array<long>")
+
+
 def _block(key: Column, level: int) -> Column:
     return F.pmod(F.shiftright(key, 16 * level), F.lit(BLOCKS)).cast("int")
 
@@ -77,7 +123,6 @@ def _block(key: Column, level: int) -> Column:
 def plan(docs: DataFrame, doc_id="doc_id", text="text", source="source", seed: int = SEED, shards: int = SHARDS):
     """The decision: a table doc_id, source, size, source_size, target, copies, first_shard,
     second_shard with one row for each row of docs."""
-    spark = docs.sparkSession
     key = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"))
     sized = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), key.alias("key"),
@@ -85,42 +130,34 @@ def plan(docs: DataFrame, doc_id="doc_id", text="text", source="source", seed: i
     )
     sized = materialise(sized.withColumn("block", _block(F.col("key"), 0)).withColumn("range", _block(F.col("key"), 1)), "sizes")
     # One row for each (source, block): BLOCKS rows a source at most.
-    blocks = sized.groupBy("source", "block").agg(F.sum("size").alias("words")).collect()
-    by: dict[str | None, dict[int, int]] = {}
-    for r in blocks:
-        by.setdefault(r["source"], {})[r["block"]] = r["words"]
-    names = sorted(by, key=lambda s: (s is None, s or ""))
-    goal = targets([(s, sum(by[s].values())) for s in names])
-    rows, slots = [], []
-    for i, s in enumerate(names):
-        order = np.random.default_rng([seed, i]).permutation(sorted(by[s]))
-        row, left = [], goal[s]
-        for pass_ in range(CAP):
-            for b in order:
-                if left <= 0:
-                    break
-                row.append((int(b), pass_, float(min(1.0, left / by[s][b])) if by[s][b] else 0.0, left))
-                left -= by[s][b]
-        slots.append(row)
-    dealt = split_tree(np.array([len(r) for r in slots] or [0]), shards, seed)
-    for i, s in enumerate(names):
-        shard_of = np.repeat(np.arange(shards), dealt[:, i])
-        total = sum(by[s].values())
-        first = {b: (None, None, 0.0) for b in by[s]}
-        per: dict[int, list] = {b: [0, None, None, None] for b in first}  # whole passes, words left in a cut pass, shards
-        for (b, pass_, part, left), shard in zip(slots[i], shard_of, strict=True):
-            if part >= 1.0:
-                per[b][0] += 1
-            elif part > 0:
-                per[b][1] = float(left)
-            per[b][2 + pass_] = int(shard)
-        rows += [(s, int(b), int(total), float(goal[s]), *per[b]) for b in per]
-    shape = "source string, block int, source_size long, target double, whole int, cut_words double, first_shard int, second_shard int"
-    # BLOCKS rows a source, as collected above: small by construction.
-    table = spark.createDataFrame(rows, shape)
-    table = table.withColumnRenamed("source", "of_source").withColumnRenamed("block", "of_block")
+    blocks = materialise(sized.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
+    goals = materialise(filled(blocks.groupBy("source").agg(F.sum("words").alias("source_size"))), "targets")
+    of = goals.select(F.col("source").alias("of_source"), "place", "source_size", "target")
+    # A source's blocks in keyed random order; the passes follow each other, each over blocks with words.
+    of_source = W.partitionBy("place")
+    order = of_source.orderBy(F.xxhash64(F.lit(seed), F.lit("blocks"), "of_source", "block"), "block")
+    live = F.col("words") > 0
+    row = blocks.join(of, F.col("source").eqNullSafe(F.col("of_source"))).drop("source")
+    row = row.withColumn("before", F.sum("words").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("words"))
+    row = row.withColumn("at", F.sum(live.cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)) - 1).withColumn("n", F.sum(live.cast("long")).over(of_source))
+    left = [F.col("target") - F.col("before") - F.col("source_size") * F.lit(k) for k in range(CAP)]
+    row = row.withColumn("whole", sum((live & (x >= F.col("words"))).cast("int") for x in left))
+    row = row.withColumn("cut_words", F.coalesce(*[F.when(live & (x > 0) & (x < F.col("words")), x) for x in left]))
+    row = materialise(row.withColumn("slots", sum((live & (x > 0)).cast("int") for x in left)), "slots")
+    quotas = row.groupBy("place").agg(F.sum("slots").alias("slots"))
+    dealt = dealt_slots(quotas, shards, seed)
+
+    def shard(k: int) -> Column:
+        return F.when(F.col("slots") > k, F.size(F.filter("upto", lambda upto: upto <= F.col("at") + F.col("n") * F.lit(k))).cast("int"))
+
+    table = row.join(dealt, "place").select(
+        "of_source", F.col("block").alias("of_block"), "source_size", "target", "whole", "cut_words", shard(0).alias("first_shard"), shard(1).alias("second_shard")
+    )
+    # Spark broadcasts this table where its measured size allows, and deals both sides by block where not: a source's
+    # rows, however many, are spread over its blocks.
+    table = materialise(table, "plan")
     same = F.col("source").eqNullSafe(F.col("of_source")) & (F.col("block") == F.col("of_block"))
-    sized = sized.join(F.broadcast(table), same).drop("of_source", "of_block")
+    sized = sized.join(table, same).drop("of_source", "of_block")
     # The one block of each source that the target cuts: by its ranges, then by document.
     cut = sized.where(F.col("cut_words").isNotNull())
     ranges = cut.groupBy("source", "block", "range", "cut_words").agg(F.sum("size").alias("words"))

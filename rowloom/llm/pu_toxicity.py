@@ -6,17 +6,23 @@ among it. A logistic model over hashed words and word beginnings is trained in n
     prior * R_p(+)  +  max(0, R_u(-) - prior * R_p(-))
 
 whose second part estimates the risk on non-toxic text without having any; where it turns
-negative the model overfits, and the step goes the other way. The class prior is the share
-of toxic documents among training labels, or a parameter.
+negative the model overfits, and the step goes the other way. No label of non-toxic text is used.
 
-Fitting reads a bounded sample: ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` documents, the first by a
-hash of their ids. Scoring reads every whole text once; the model that goes with it has
-``MAX_FEATURES`` weights at most.
+The class prior is a parameter, or estimated: unlabelled text passes a threshold at least as often as the toxic
+part of it does, so the share of unlabelled texts over a threshold, divided by the share of positives over it,
+bounds the prior from above; the least such bound, with its sampling error, is taken (``estimate_prior``). The scores
+are log ratios of the features' shares; a positive's come from the positives of the other folds.
+
+How often features occur and which of them are used rests on all training texts. Prior and weights are fitted
+to bounded samples, the first by a hash of their ids: ``max_positive`` and ``max_unlabelled`` documents (parameters;
+None takes all, equal texts of features counted once with their number). ``max_features`` bounds the weights
+(None: no bound). Scoring reads every whole text once.
 
 Defined cases: null and empty texts get the score of a text without known words; features count
-by presence and density, so length alone never makes a text toxic; repeated rows score equally; labels for ids
-without a document, null labels and null ids are left out of training; without any positive all
-scores are the prior (0 without labels); an empty table gives an empty result; other columns are not read.
+by presence and density, so length alone never makes a text toxic; repeated rows score equally, ties in
+choosing features go by their number; labels for ids without a document, null labels and null ids are left out of training;
+without any positive all scores are the prior (0 where none is given); where nothing tells positives from other
+texts all scores are the prior, but under a half; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: What fit() takes where its caller names no bounds.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 4096
+#: Thresholds that this share of the positives or more passes tell of the prior; shares may be this many deviations off.
+PRIOR_SHARE, PRIOR_Z, FOLDS = 0.5, 1.0, 5
 HASH_BITS = 22
 LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 BEGINNINGS = (4, 5, 6, 7)
@@ -94,7 +103,36 @@ def probability(margin: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(margin, -50, 50))))
 
 
-def strongest(features: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+def flat(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) of each feature of each text."""
+    return np.repeat(np.arange(len(docs)), [len(x) for x in docs]), np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], size: int, times: tuple = (None, None)) -> float:
+    """The share of toxic texts among the unlabelled, from texts as places of their features, of which there are
+    size. It is more than 0 and less than 1, however little the features tell."""
+    n_p, n_u = (np.ones(len(d)) if n is None else np.asarray(n, dtype=float) for d, n in zip((positive, unlabelled), times, strict=True))
+    (row_p, at_p), (row_u, at_u) = flat(positive), flat(unlabelled)
+    of_u = np.bincount(at_u, weights=n_u[row_u], minlength=size) + 0.5
+    fold = np.arange(len(positive)) % FOLDS
+    scored_p, scored_u = np.zeros(len(positive)), []
+    for k in range(min(FOLDS, len(positive))):
+        others = fold != k if len(positive) > 1 else fold == k
+        of_p = np.bincount(at_p[others[row_p]], weights=n_p[row_p][others[row_p]], minlength=size) + 0.5
+        w = np.log(of_p / (n_p[others].sum() + 1)) - np.log(of_u / (n_u.sum() + 1))
+        scored_p[fold == k] = np.bincount(row_p, weights=w[at_p], minlength=len(positive))[fold == k]
+        scored_u.append(np.bincount(row_u, weights=w[at_u], minlength=len(unlabelled)))
+    best = 1.0
+    for cut in np.quantile(scored_p, np.linspace(0.02, 1 - PRIOR_SHARE, 25)):
+        p = n_p[scored_p >= cut].sum() / n_p.sum()
+        u = float(np.mean([n_u[x >= cut].sum() for x in scored_u])) / n_u.sum()
+        low = p - PRIOR_Z * np.sqrt(p * (1 - p) / n_p.sum())
+        if low > 0:
+            best = min(best, (u + PRIOR_Z * np.sqrt(u * (1 - u) / n_u.sum())) / low)
+    return float(min(max(best, 1 / (n_u.sum() + 1)), 0.95))
+
+
+def strongest(features: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, most: int | None = MAX_FEATURES) -> np.ndarray:
     """The selected of the ascending features, given in how many of n_p positives and n_u unlabelled texts each is."""
     often = in_p >= min(LEAST_IN, n_p)
     features, in_p, in_u = features[often], in_p[often], in_u[often]
@@ -103,7 +141,7 @@ def strongest(features: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int
     z = (p - u) / np.sqrt(both * (1 - np.minimum(both, 0.999)) * (1 / n_p + 1 / n_u))
     # Common in positives and twice as common as elsewhere: the few words that mark the class.
     ok = (z >= LEAST_Z) & (p >= 2 * u)
-    return features[ok][np.argsort(-z[ok], kind="stable")[:MAX_FEATURES]]
+    return features[ok][np.argsort(-z[ok], kind="stable")[:most]]
 
 
 def columns_in(doc: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -116,39 +154,48 @@ def untrained(prior: float) -> tuple[dict[int, float], float]:
     return {}, float(np.log(p / (1 - p))) if 0 < p < 1 else (-50.0 if p == 0 else 50.0)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float):
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float | None = None):
     """({feature: weight}, bias) from lists of the texts' features."""
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return untrained(prior)
+    if not positive or not unlabelled:
+        return untrained(prior or 0.0)
     features, in_p = np.unique(np.concatenate(positive), return_counts=True)
     elsewhere, n = np.unique(np.concatenate(unlabelled), return_counts=True)
     _, i, j = np.intersect1d(features, elsewhere, assume_unique=True, return_indices=True)
     in_u = np.zeros(len(features))
     in_u[i] = n[j]
     chosen = strongest(features, in_p, in_u, len(positive), len(unlabelled))
-    return descend([columns_in(d, chosen) for d in positive], [columns_in(d, chosen) for d in unlabelled], chosen, prior)
+    return fitted([columns_in(d, chosen) for d in positive], [columns_in(d, chosen) for d in unlabelled], chosen, prior)
+
 
+def fitted(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float | None, times: tuple = (None, None)):
+    """({feature: weight}, bias) from texts as places in chosen; the prior estimated where none is given."""
+    if not len(chosen) or not unlabelled or prior == 0:
+        return untrained(min(prior or 0.0, 0.49))  # nothing tells toxic texts: none is called so
+    return descend(positive, unlabelled, chosen, estimate_prior(positive, unlabelled, len(chosen), times) if prior is None else prior, times=times)
 
-def descend(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float, epochs: int = 400, rate: float = 0.05, decay: float = 1e-4):
-    """({feature: weight}, bias) by full-batch Adam on the non-negative risk; texts as places in chosen."""
 
-    def coo(docs):
-        return np.repeat(np.arange(len(docs)), [len(x) for x in docs]), np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64), len(docs)
+def descend(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np.ndarray, prior: float, epochs: int = 400, rate: float = 0.05, decay: float = 1e-4, times: tuple = (None, None)):
+    """({feature: weight}, bias) by full-batch Adam on the non-negative risk; texts as places in chosen. times: how
+    many texts each of the positive and the unlabelled stands for, 1 by default."""
 
-    data_p, data_u = coo(positive), coo(unlabelled)
+    def coo(docs, n):
+        return *flat(docs), np.full(len(docs), 1 / len(docs)) if n is None else np.asarray(n, dtype=float) / np.sum(n)
+
+    data_p, data_u = coo(positive, times[0]), coo(unlabelled, times[1])
     w, m, v = (np.zeros(len(chosen) + 1) for _ in range(3))
     w[-1] = np.log(prior / (1 - prior))
     sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -50, 50)))
 
     def margin(data):
-        return np.bincount(data[0], weights=w[:-1][data[1]], minlength=data[2]) + w[-1]
+        return np.bincount(data[0], weights=w[:-1][data[1]], minlength=len(data[2])) + w[-1]
 
     def pull(data, slope):
-        return np.append(np.bincount(data[1], weights=slope[data[0]], minlength=len(chosen)), slope.sum()) / data[2]
+        slope = slope * data[2]
+        return np.append(np.bincount(data[1], weights=slope[data[0]], minlength=len(chosen)), slope.sum())
 
     for step in range(1, epochs + 1):
         mp, mu = margin(data_p), margin(data_u)
-        negative = np.logaddexp(0, mu).mean() - prior * np.logaddexp(0, mp).mean()
+        negative = data_u[2] @ np.logaddexp(0, mu) - prior * (data_p[2] @ np.logaddexp(0, mp))
         grad_negative = pull(data_u, sigmoid(mu)) - prior * pull(data_p, sigmoid(mp))
         g = prior * pull(data_p, sigmoid(mp) - 1) + grad_negative if negative >= 0 else -grad_negative
         g += decay * w * np.append(np.ones(len(chosen)), 0)
@@ -157,51 +204,98 @@ def descend(positive: list[np.ndarray], unlabelled: list[np.ndarray], chosen: np
     return dict(zip(chosen.tolist(), w[:-1].tolist(), strict=True)), float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, is_train: Column, prior: float | None = None, doc_id: str = "doc_id", text: str = "text"):
-    """Fit on rows for which is_train (over doc_id) holds; labels: doc_id, toxic."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(is_train).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = known.agg(F.avg("toxic").alias("share"), F.count("*").alias("n")).first()
-    prior = prior if prior is not None else float(counts["share"] or 0.0)
-    spark = docs.sparkSession
+def fit(
+    docs: DataFrame, labels: DataFrame, is_train: Column, prior: float | None = None, doc_id: str = "doc_id", text: str = "text",
+    max_positive: int | None = MAX_POSITIVE, max_unlabelled: int | None = MAX_UNLABELLED, max_features: int | None = MAX_FEATURES,
+):
+    """Fit on rows for which is_train (over doc_id) holds; labels: doc_id, toxic. Only labels of toxic documents are used."""
+    if prior is not None and not 0 <= prior < 1:
+        raise ValueError("a prior is a share from 0 to less than 1")
     by = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    some_p = known.where("toxic = 1").orderBy(by, "doc_id").limit(MAX_POSITIVE).select("doc_id", F.lit(1).alias("p"))
-    some_u = docs.select(F.col(doc_id).alias("doc_id")).where(F.col("doc_id").isNotNull()).where(is_train).orderBy(by, "doc_id").limit(MAX_UNLABELLED)
-    ids = [*some_p.collect(), *some_u.select("doc_id", F.lit(0).alias("p")).collect()]
-    if not ids:
-        return train([], [], prior)
-    # At most MAX_POSITIVE + MAX_UNLABELLED rows.
-    picked = spark.createDataFrame([(r["doc_id"], r["p"]) for r in ids], "doc_id long, p int").groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("q"))
+    known = labels.where(F.col("doc_id").isNotNull() & (F.col("toxic") == 1)).where(is_train).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    if max_positive is not None:
+        known = known.orderBy(by, "doc_id").limit(max_positive)
+    known = materialise(known.withColumn("p", F.lit(1)), "toxic-positives")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull()).where(is_train)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "p": b["p"], "q": b["q"], "f": [np.array(text_features(t), dtype=np.int32).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "f": [np.array(text_features(t), dtype=np.int32).tobytes() for t in b["text"]]})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = materialise(rows.mapInPandas(run, "doc_id long, p int, q int, f binary").dropDuplicates(["doc_id"]), "toxic-features")
-    # A document may be in both samples: the unlabelled one is drawn from all training rows.
-    n_p, n_u = rows.agg(F.coalesce(F.sum("p"), F.lit(0)), F.count_if(F.col("q") == 0)).first()
-    if not n_p or not n_u or not 0 < prior < 1:
-        return untrained(prior)
+    positives = materialise(texts.join(known, "doc_id").select("doc_id", "text").mapInPandas(listed, "doc_id long, f binary").dropDuplicates(["doc_id"]), "toxic-features")
+    n_p = positives.count()
+    if not n_p:
+        return untrained(prior or 0.0)
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for side, of in (("p", b["p"] == 1), ("u", b["q"] == 0)):
-                at, n = np.unique(np.frombuffer(b"".join(b.loc[of, "f"]), dtype=np.int32), return_counts=True)
-                yield pd.DataFrame({"feature": at, "in_p": n * (side == "p"), "in_u": n * (side == "u")})
+            at, n = np.unique(np.frombuffer(b"".join(b["f"]), dtype=np.int32), return_counts=True)
+            yield pd.DataFrame({"feature": at, "n": n})
 
-    # Features of LEAST_IN positives or more come to the driver, three numbers each; texts stay where they are.
-    counts = rows.mapInPandas(tally, "feature int, in_p long, in_u long").groupBy("feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
-    counts = counts.where(F.col("in_p") >= min(LEAST_IN, n_p)).toArrow().sort_by("feature")
-    chosen = strongest(*(counts[c].to_numpy() for c in ("feature", "in_p", "in_u")), n_p, n_u)
+    counts = positives.mapInPandas(tally, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("in_p")).where(F.col("in_p") >= min(LEAST_IN, n_p)).toArrow().sort_by("feature")
+    # Features of the positives, of which max_positive are read: their number is bounded, and so is what goes to each task.
+    features, in_p = counts["feature"].to_numpy(), counts["in_p"].to_numpy()
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of all training texts: how many, and how many hold each candidate."""
+        counter = Counted(features)
+        n, total = 0, np.zeros(len(features), dtype=np.int64)
         for b in batches:
-            yield b.assign(f=[columns_in(np.frombuffer(f, dtype=np.int32), chosen).tobytes() for f in b["f"]])
+            for t in b["text"]:
+                total[counter(t)] += 1
+            n += len(b)
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"feature": np.append(features[some], -1).astype(np.int32), "n": np.append(total[some], n)})
+
+    everywhere = texts.select("text").mapInPandas(count_all, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    in_all = dict(zip(everywhere["feature"].to_pylist(), everywhere["n"].to_pylist(), strict=True))
+    n_u = in_all.get(-1, 0)
+    in_u = np.array([in_all.get(f, 0) for f in features.tolist()], dtype=np.float64)
+    chosen = strongest(features, in_p, in_u, n_p, n_u, max_features)
+    if not len(chosen):
+        return fitted([], [], chosen, prior)
+    some = texts
+    if max_unlabelled is not None:
+        first = materialise(texts.select("doc_id").orderBy(by, "doc_id").limit(max_unlabelled).distinct(), "toxic-sample")
+        some = texts.join(first, "doc_id")
+    order = np.sort(chosen)
 
-    got = rows.mapInPandas(place, rows.schema).toArrow().sort_by("doc_id")
-    vectors = [np.frombuffer(f.as_buffer(), dtype=np.int32) for f in got["f"]]
-    in_p, in_q = got["p"].to_pylist(), got["q"].to_pylist()
-    return descend([x for x, p in zip(vectors, in_p, strict=True) if p == 1], [x for x, q in zip(vectors, in_q, strict=True) if q == 0], chosen, prior)
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = Counted(order)
+        for b in batches:
+            yield pd.DataFrame({"f": [counter(t).astype(np.int32).tobytes() for t in b["text"]]})
+
+    def patterns(df: DataFrame) -> tuple[list[np.ndarray], list[int]]:
+        """Distinct sets of chosen features, with the number of texts that have each."""
+        got = df.groupBy("f").agg(F.count("*").alias("n")).toArrow().sort_by("f")
+        return [np.frombuffer(f.as_buffer(), dtype=np.int32) for f in got["f"]], got["n"].to_pylist()
+
+    of_p, n_of_p = patterns(texts.join(known, "doc_id").dropDuplicates(["doc_id"]).select("text").mapInPandas(place, "f binary"))
+    of_u, n_of_u = patterns(some.select("text").mapInPandas(place, "f binary"))
+    return fitted(of_p, of_u, order, prior, (n_of_p, n_of_u))
+
+
+class Counted:
+    """Places of a text's features among ascending given ones; words met before keep theirs, in a bounded table."""
+
+    def __init__(self, features: np.ndarray):
+        self.at = {f: i for i, f in enumerate(features.tolist())}
+        self.marks: dict[bytes, tuple[int, ...]] = {}
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        found, counts = counted_words(text), Counter()
+        for w, n in found.items():
+            f = self.marks.get(w)
+            if f is None:
+                f = tuple(x for x in features_of(w) if any(x << 2 | i in self.at for i in range(LEVELS)))
+                if len(self.marks) > 400_000:
+                    self.marks.clear()
+                if len(w) <= 64:
+                    self.marks[w] = f
+            for x in f:
+                counts[x] += n
+        total = sum(found.values())
+        return np.array(sorted(self.at[f << 2 | i] for f, n in counts.items() for i in range(levels(n, total)) if f << 2 | i in self.at), dtype=np.int64)
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -40,8 +40,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = raster.text_images(documents(spark, sf_dir))
-    read = raster.decode_column(stored, ["doc_id", "n_bytes"])
+    read = raster.text_features(documents(spark, sf_dir))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.sha2("tile", 256).alias("tile_sha256"))
 
 

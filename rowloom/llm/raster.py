@@ -1,7 +1,7 @@
 """Media columns: Netpbm and BMP images, area-resized, as NPY tiles with difference hashes.
 
 ``decode`` reads PGM and PPM (plain and raw, 8 and 16 bits), PBM (plain and raw), and uncompressed
-BMP (8-bit palette or grey, 24 and 32 bits, either row order) into numpy arrays. ``area_resize``
+BMP (8-bit palette or grey, 16, 24 and 32 bits, with masks too, either row order) into numpy arrays. ``area_resize``
 means over exact source areas by an integral image, so its cost does not depend on the scale.
 ``tile`` is the NPY serialisation of the resized array, ``difference_hash`` compares neighbours
 in a 9 x 8 grey tile.
@@ -62,14 +62,20 @@ def _netpbm(data: bytes) -> np.ndarray:
         head.append(int(m[0]))
         at = m.end()
     w, h, top = head[0], head[1], head[2] if len(head) > 2 else 1
-    if not 0 < top < 65536:
+    if not 0 < top < 65536 or not w or not h:
         raise ValueError("netpbm range")
     deep = 3 if kind in (3, 6) else 1
     n = w * h * deep
     if kind == 1:
-        flat = np.array([c - 48 for c in re.sub(rb"#[^\n]*|\s", b"", data[at:])[:n]], dtype=np.uint8)
+        bits = re.sub(rb"#[^\n]*|\s", b"", data[at:])[:n]
+        if bits.strip(b"01"):
+            raise ValueError("netpbm bits other than 0 and 1")
+        flat = np.frombuffer(bits, dtype=np.uint8) - 48
     elif kind in (2, 3):
-        flat = np.array(re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n], dtype=np.uint16)
+        samples = re.sub(rb"#[^\n]*", b"", data[at:]).split()[:n]
+        if not all(x.isdigit() and len(x) < 6 for x in samples):
+            raise ValueError("netpbm samples that are no numbers")
+        flat = np.array([int(x) for x in samples], dtype=np.uint32)
     elif kind == 4:
         rows = np.frombuffer(data, dtype=np.uint8, offset=at + 1, count=h * ((w + 7) // 8)).reshape(h, -1)
         flat = np.unpackbits(rows, axis=1)[:, :w].ravel()
@@ -77,6 +83,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         flat = np.frombuffer(data, dtype=np.uint8 if top < 256 else ">u2", offset=at + 1, count=n)
     if len(flat) != n:
         raise ValueError("netpbm is cut short")
+    if kind not in (1, 4) and flat.max() > top:
+        raise ValueError("netpbm samples out of range")
     if kind in (1, 4):
         flat = (1 - flat) * 255
     elif top != 255:
@@ -87,7 +95,7 @@ def _netpbm(data: bytes) -> np.ndarray:
 
 def _bmp(data: bytes) -> np.ndarray:
     start, size, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if size < 40 or packed not in (0, 3) or bits not in (8, 24, 32) or w <= 0 or h == 0:
+    if size < 40 or packed not in (0, 3) or bits not in (8, 16, 24, 32) or (packed and bits not in (16, 32)) or w <= 0 or h == 0:
         raise ValueError("bmp kind")
     step = (w * bits // 8 + 3) // 4 * 4
     rows = np.frombuffer(data, dtype=np.uint8, offset=start, count=abs(h) * step).reshape(abs(h), step)[:, : w * bits // 8]
@@ -96,9 +104,25 @@ def _bmp(data: bytes) -> np.ndarray:
         used = struct.unpack_from("<I", data, 46)[0] or 256
         palette = np.frombuffer(data, dtype=np.uint8, offset=14 + size, count=4 * used).reshape(-1, 4)[:, 2::-1]
         return palette[rows]
+    if packed or bits == 16:
+        # Masks stand behind the first 40 bytes of the header, whether they belong to it or follow it.
+        masks = struct.unpack_from("<III", data, 54) if packed else (0x7C00, 0x3E0, 0x1F)
+        return _masked(np.ascontiguousarray(rows).view(f"<u{bits // 8}"), masks)
     return rows.reshape(abs(h), w, bits // 8)[:, :, 2::-1]
 
 
+def _masked(values: np.ndarray, masks: tuple[int, ...]) -> np.ndarray:
+    """Samples under masks of adjoining bits, stretched to 8 bits."""
+    out = np.empty((*values.shape, 3), dtype=np.uint8)
+    for k, mask in enumerate(masks):
+        low = mask & -mask
+        if not mask or (mask // low) & (mask // low + 1) or mask >= 1 << 8 * values.itemsize:
+            raise ValueError("bmp masks")
+        top = mask // low
+        out[..., k] = ((values & mask).astype(np.uint64) // low * 255 + top // 2) // top
+    return out
+
+
 def decode(data: bytes) -> np.ndarray:
     """uint8 array (rows, columns) or (rows, columns, 3); ValueError for anything else."""
     try:
@@ -106,8 +130,8 @@ def decode(data: bytes) -> np.ndarray:
             return _netpbm(data)
         if data[:2] == b"BM":
             return _bmp(data)
-    except (struct.error, IndexError) as e:
-        raise ValueError(f"image is cut short: {e}") from e
+    except (struct.error, IndexError, OverflowError, ZeroDivisionError, MemoryError, TypeError) as e:
+        raise ValueError(f"image is cut short or its header wrong: {e}") from e
     raise ValueError("neither Netpbm nor BMP")
 
 
@@ -172,28 +196,53 @@ def text_images(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", for
     return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+MADE = ["payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string", "tile binary", "problem string"]
+
+
+def features_of(data: bytes | None, shape: tuple[int, int] = TILE) -> tuple:
+    """The columns ``MADE`` of one stored image, from its bytes."""
+    if data is None:
+        return (None,) * 7 + ("no media",)
+    stored = (len(data), hashlib.sha256(data).hexdigest())
+    try:
+        pixels = decode(data)
+    except ValueError as e:
+        return (None, None, None, *stored, None, None, str(e))
+    raw = np.ascontiguousarray(pixels).tobytes()
+    return (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), *stored, difference_hash(pixels), tile(pixels, shape), None)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[x.split()[0] for x in MADE])
+    for c in ("payload_bytes", "tail_crc32", "media_bytes"):
+        out[c] = out[c].astype("Int64")
+    return out
+
+
 def decode_column(media: DataFrame, keep: list[str], column: str = "media", shape: tuple[int, int] = TILE) -> DataFrame:
     """keep, and payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (difference
     hash), tile (NPY) and problem (null when decoded) of each image."""
     fields = [f"`{c}` {media.schema[c].dataType.simpleString()}" for c in keep]
-    made = ["payload_bytes long", "payload_sha256 string", "tail_crc32 long", "media_bytes long", "media_sha256 string", "feature string", "tile binary", "problem string"]
-
-    def one(data: bytes | None):
-        if data is None:
-            return (None,) * 7 + ("no media",)
-        stored = (len(data), hashlib.sha256(data).hexdigest())
-        try:
-            pixels = decode(data)
-        except ValueError as e:
-            return (None, None, None, *stored, None, None, str(e))
-        raw = np.ascontiguousarray(pixels).tobytes()
-        return (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), *stored, difference_hash(pixels), tile(pixels, shape), None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = pd.DataFrame([one(m) for m in b[column]], columns=[x.split()[0] for x in made])
-            for c in ("payload_bytes", "tail_crc32", "media_bytes"):
-                rows[c] = rows[c].astype("Int64")
-            yield pd.concat([b[keep].reset_index(drop=True), rows], axis=1)
+            yield pd.concat([b[keep].reset_index(drop=True), _frame([features_of(m, shape) for m in b[column]])], axis=1)
+
+    return media.select(*keep, column).mapInPandas(run, ", ".join([*fields, *MADE]))
 
-    return media.select(*keep, column).mapInPandas(run, ", ".join([*fields, *made]))
+
+def text_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", form: str = "ppm", shape: tuple[int, int] = TILE) -> DataFrame:
+    """``text_images`` and ``decode_column`` in one step: each text is stored as an image file, and the file's
+    bytes are read back where they were made, so images don't travel. doc_id, n_bytes and ``MADE``."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sizes, made = [], []
+            for t in b["text"]:
+                n, media = text_to_image(t, form)
+                sizes.append(n)
+                made.append(features_of(media, shape))
+            yield pd.concat([pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "n_bytes": sizes}), _frame(made)], axis=1)
+
+    return rows.mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, " + ", ".join(MADE))

@@ -463,6 +463,30 @@ def test_model_mixture_equals_brute_force(spark, order, monkeypatch):
         assert got[i]["score"] == pytest.approx(want)
 
 
+def test_model_of_many_blocks_equals_that_of_few(spark, docs, monkeypatch):
+    """Two levels of ranges, with many small blocks, tell the same counts as one."""
+    once = by_id(lm_interpolation.score(docs, split_of("doc_id", 7) != 2))
+    monkeypatch.setattr(lm_interpolation, "KEYS_OF_RANGE", 400)
+    monkeypatch.setattr(lm_interpolation, "RANGES", 3)
+    monkeypatch.setattr(lm_interpolation, "GROUP_BLOCKS", 5)
+    monkeypatch.setattr(lm_interpolation, "BLOCK_BYTES", 20_000)
+    made = lm_interpolation.materialise(lm_interpolation.blocks(docs, F.when(split_of("doc_id", 7) != 2, 1).otherwise(0)), "many")
+    assert made.count() > 20 and made.agg(F.sum("tokens")).first()[0] > 16 * 400
+    got = by_id(lm_interpolation.score(docs, split_of("doc_id", 7) != 2))
+    assert got.keys() == once.keys()
+    for i, r in got.items():
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (once[i]["n_tokens"], once[i]["n_known"], once[i]["train_tokens"])
+        assert r["base_score"] == pytest.approx(once[i]["base_score"]) and r["score"] == pytest.approx(once[i]["score"])
+
+
+def test_fine_ranges_lie_within_coarse_ones():
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    coarse = lm_interpolation._bounds(keys, 7)
+    for a, b in itertools.pairwise(coarse):
+        cut = lm_interpolation._bounds_within(keys[a:b], 7, 5)
+        assert cut[0] == 0 and cut[-1] == b - a and (np.diff(cut) >= 0).all() and (np.diff(cut) > 50).all()
+
+
 def test_model_is_a_distribution_and_em_rises():
     ratio, weight = np.array([0.0, 0.5, 4.0]), np.array([3.0, 2.0, 5.0])
     best = lm_interpolation._em(ratio, weight)
