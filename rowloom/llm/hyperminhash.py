@@ -212,19 +212,19 @@ def stars(pairs: DataFrame, carried: DataFrame) -> DataFrame:
     return members.unionAll(centres).repartition(shuffle_partitions(spark), *STAR).sortWithinPartitions(*STAR, "role", "b")
 
 
-def centred(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, bytes, pd.DataFrame]]:
-    """(a, the centre's n, its data, members) for each run of members of one centre in sorted rows; memory holds a
+def centred(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, bytes, int, int]]]]:
+    """Each batch of sorted rows with its runs of members: the centre's n and data, first and last + 1 row; memory holds a
     batch and a centre, however many members there are."""
-    a = n = data = None
+    n = data = None
     for b in batches:
         at = np.flatnonzero(b["role"].to_numpy() == 0)
-        ends = [*at.tolist(), len(b)]
-        if ends[0]:
-            yield a, n, data, b.iloc[: ends[0]]
+        ends, of_n, of_data = [*at.tolist(), len(b)], b["n"].to_numpy(), b["data"].to_numpy()
+        runs = [(n, data, 0, ends[0])] if ends[0] else []
         for s, e in zip(ends, ends[1:], strict=False):
-            a, n, data = b["a"].iat[s], b["n"].iat[s], b["data"].iat[s]
+            n, data = of_n[s], of_data[s]
             if e > s + 1:
-                yield a, n, data, b.iloc[s + 1 : e]
+                runs.append((n, data, s + 1, e))
+        yield b, runs
 
 
 def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
@@ -232,10 +232,12 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, doc_id: s
     full = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), size, doc_id, text)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for a, _, x, members in centred(batches):
-            of = np.frombuffer(x, dtype=np.uint64)
-            ok = [b for b, y in zip(members["b"], members["data"], strict=True) if similar(of, np.frombuffer(y, dtype=np.uint64), percent)]
-            yield pd.DataFrame({"a": a, "b": np.array(ok, dtype=np.int64)})
+        for rows, runs in centred(batches):
+            ok, data = np.zeros(len(rows), dtype=bool), rows["data"].to_numpy()
+            for _, x, s, e in runs:
+                of = np.frombuffer(x, dtype=np.uint64)
+                ok[s:e] = [similar(of, np.frombuffer(y, dtype=np.uint64), percent) for y in data[s:e]]
+            yield rows.loc[ok, ["a", "b"]]
 
     carried = full.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("n"), F.col("set").alias("data"))
     out = compact(stars(pairs, carried).mapInPandas(meet, "a long, b long"), "met")
@@ -298,14 +300,16 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose estimate is not clearly too low."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for a, n, x, members in centred(batches):
-            m = members["n"].to_numpy()
-            ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-            if ok.any():
-                y = np.frombuffer(b"".join(members["data"][ok]), dtype=np.uint16).reshape(-1, BUCKETS)
-                least = np.full(len(y), n)
-                ok[ok] = likely(estimate((np.frombuffer(x, dtype=np.uint16) == y).mean(1), least, m[ok]), least, m[ok], percent)
-                yield pd.DataFrame({"a": a, "b": members["b"].to_numpy(dtype=np.int64)[ok]})
+        for rows, runs in centred(batches):
+            m, same = rows["n"].to_numpy(), np.zeros(len(rows))
+            n = np.zeros(len(rows), dtype=np.int64)
+            y = np.frombuffer(b"".join(rows["data"]), dtype=np.uint16).reshape(-1, BUCKETS)
+            for of, x, s, e in runs:
+                n[s:e] = of
+                same[s:e] = (np.frombuffer(x, dtype=np.uint16) == y[s:e]).mean(1)
+            ok = (n > 0) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            ok[ok] = likely(estimate(same[ok], n[ok], m[ok]), n[ok], m[ok], percent)
+            yield rows.loc[ok, ["a", "b"]]
 
     carried = classes.select(F.col("rep").alias("id"), "n", F.col("regs").alias("data"))
     return stars(pairs, carried).mapInPandas(run, "a long, b long")

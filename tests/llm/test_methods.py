@@ -318,7 +318,7 @@ def test_stars_cut_by_batches(spark):
     rows = [(a, 0, r, b, 10 * a, bytes([a])) for a in (1, 2, 3) for r, b in [(0, a), *((1, 100 * a + k) for k in range(a + 1))]]
     for size in (1, 2, 3, 5, 50):
         batches = [pd.DataFrame(rows[i : i + size], columns=["a", "cell", "role", "b", "n", "data"]) for i in range(0, len(rows), size)]
-        got = [(a, n, data, b) for a, n, data, m in hyperminhash.centred(iter(batches)) for b in m["b"]]
+        got = [(b["a"].iat[i], n, data, b["b"].iat[i]) for b, runs in hyperminhash.centred(iter(batches)) for n, data, s, e in runs for i in range(s, e)]
         assert got == [(a, 10 * a, bytes([a]), 100 * a + k) for a in (1, 2, 3) for k in range(a + 1)]
 
 
