@@ -65,8 +65,13 @@ def counted_words(text: str | None) -> Counter:
 
 
 def levels(count: int, total: int) -> int:
-    """How many of the densities a feature reaches that count of a text's total words have."""
-    return 1 + sum(count >= d * total for d in DENSITIES)
+    """How many of the densities a feature reaches that count of a text's total words have; densities ascend."""
+    reached = 1
+    for d in DENSITIES:
+        if count < d * total:
+            break
+        reached += 1
+    return reached
 
 
 def text_features(text: str | None) -> list[int]:
@@ -132,13 +137,31 @@ def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], siz
     return float(min(max(best, 1 / (n_u.sum() + 1)), 0.95))
 
 
+def deviations(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """How many deviations more common features are in positives than in unlabelled texts."""
+    both = (in_p + in_u + 1) / (n_p + n_u + 2)
+    return ((in_p + 0.5) / (n_p + 1) - (in_u + 0.5) / (n_u + 1)) / np.sqrt(both * (1 - np.minimum(both, 0.999)) * (1 / n_p + 1 / n_u))
+
+
+def possible(in_p: np.ndarray, in_some: np.ndarray, n_p: int, n_some: int, n_u: int, most: int | None) -> np.ndarray:
+    """Which features can still be chosen by counts in all n_u texts, after a sample of n_some of them: all but those
+    that are too common, or less telling than ``most`` others, by six deviations of what the sample says."""
+    share = (in_some + 0.5) / (n_some + 1)
+    off = 6 * np.sqrt(share * (1 - share) / n_some)
+    low, high = np.maximum(share - off, 0) * n_u, np.minimum(share + off, 1) * n_u
+    p = (in_p + 0.5) / (n_p + 1)
+    best, worst = deviations(in_p, low, n_p, n_u), deviations(in_p, high, n_p, n_u)
+    sure = np.sort(worst[(p >= 2 * (high + 0.5) / (n_u + 1)) & (worst >= LEAST_Z)])
+    least = sure[-most] if most is not None and len(sure) >= most else LEAST_Z
+    return (p >= 2 * (low + 0.5) / (n_u + 1)) & (best >= least)
+
+
 def strongest(features: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, most: int | None = MAX_FEATURES) -> np.ndarray:
     """The selected of the ascending features, given in how many of n_p positives and n_u unlabelled texts each is."""
     often = in_p >= min(LEAST_IN, n_p)
     features, in_p, in_u = features[often], in_p[often], in_u[often]
     p, u = (in_p + 0.5) / (n_p + 1), (in_u + 0.5) / (n_u + 1)
-    both = (in_p + in_u + 1) / (n_p + n_u + 2)
-    z = (p - u) / np.sqrt(both * (1 - np.minimum(both, 0.999)) * (1 / n_p + 1 / n_u))
+    z = deviations(in_p, in_u, n_p, n_u)
     # Common in positives and twice as common as elsewhere: the few words that mark the class.
     ok = (z >= LEAST_Z) & (p >= 2 * u)
     return features[ok][np.argsort(-z[ok], kind="stable")[:most]]
@@ -236,34 +259,41 @@ def fit(
     # Features of the positives, of which max_positive are read: their number is bounded, and so is what goes to each task.
     features, in_p = counts["feature"].to_numpy(), counts["in_p"].to_numpy()
 
-    def count_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of all training texts: how many, and how many hold each candidate."""
-        counter = Counted(features)
-        n, total = 0, np.zeros(len(features), dtype=np.int64)
-        for b in batches:
-            for t in b["text"]:
-                total[counter(t)] += 1
-            n += len(b)
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"feature": np.append(features[some], -1).astype(np.int32), "n": np.append(total[some], n)})
-
-    everywhere = texts.select("text").mapInPandas(count_all, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    in_all = dict(zip(everywhere["feature"].to_pylist(), everywhere["n"].to_pylist(), strict=True))
-    n_u = in_all.get(-1, 0)
-    in_u = np.array([in_all.get(f, 0) for f in features.tolist()], dtype=np.float64)
-    chosen = strongest(features, in_p, in_u, n_p, n_u, max_features)
-    if not len(chosen):
-        return fitted([], [], chosen, prior)
+    def count_in(texts: DataFrame, candidates: np.ndarray) -> tuple[np.ndarray, int]:
+        """How many of the texts hold each candidate, and how many texts there are."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counter, held, n = Counted(candidates), Counter(), 0
+            for b in batches:
+                for t in b["text"]:
+                    held.update(counter(t))
+                n += len(b)
+            at = np.array(sorted(held), dtype=np.int64)
+            yield pd.DataFrame({"feature": np.append(candidates[at], -1).astype(np.int32), "n": np.array([*(held[i] for i in at.tolist()), n], dtype=np.int64)})
+
+        got = texts.select("text").mapInPandas(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+        of = dict(zip(got["feature"].to_pylist(), got["n"].to_pylist(), strict=True))
+        return np.array([of.get(f, 0) for f in candidates.tolist()], dtype=np.float64), of.get(-1, 0)
+
     some = texts
     if max_unlabelled is not None:
         first = materialise(texts.select("doc_id").orderBy(by, "doc_id").limit(max_unlabelled).distinct(), "toxic-sample")
         some = texts.join(first, "doc_id")
+    in_u, n_u = count_in(some, features)
+    if max_unlabelled is not None and n_u:
+        # What the sample rules out isn't counted further; the others are, in all training texts.
+        open_ = possible(in_p, in_u, n_p, n_u, texts.count(), max_features)
+        features, in_p = features[open_], in_p[open_]
+        in_u, n_u = count_in(texts, features)
+    chosen = strongest(features, in_p, in_u, n_p, n_u, max_features) if n_u else features[:0]
+    if not len(chosen):
+        return fitted([], [], chosen, prior)
     order = np.sort(chosen)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = Counted(order)
         for b in batches:
-            yield pd.DataFrame({"f": [counter(t).astype(np.int32).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"f": [np.array(sorted(counter(t)), dtype=np.int32).tobytes() for t in b["text"]]})
 
     def patterns(df: DataFrame) -> tuple[list[np.ndarray], list[int]]:
         """Distinct sets of chosen features, with the number of texts that have each."""
@@ -276,26 +306,32 @@ def fit(
 
 
 class Counted:
-    """Places of a text's features among ascending given ones; words met before keep theirs, in a bounded table."""
+    """Places of a text's features among given ones, in no order; words met before keep theirs, in a bounded table."""
 
     def __init__(self, features: np.ndarray):
-        self.at = {f: i for i, f in enumerate(features.tolist())}
+        self.places: dict[int, list[int]] = {}
+        for i, f in enumerate(features.tolist()):
+            self.places.setdefault(f >> 2, [-1] * LEVELS)[f & 3] = i
         self.marks: dict[bytes, tuple[int, ...]] = {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        found, counts = counted_words(text), Counter()
+    def __call__(self, text: str | None) -> list[int]:
+        found, counts, marks, places = counted_words(text), {}, self.marks, self.places
         for w, n in found.items():
-            f = self.marks.get(w)
+            f = marks.get(w)
             if f is None:
-                f = tuple(x for x in features_of(w) if any(x << 2 | i in self.at for i in range(LEVELS)))
-                if len(self.marks) > 400_000:
-                    self.marks.clear()
+                f = tuple(x for x in features_of(w) if x in places)
+                if len(marks) > 400_000:
+                    marks.clear()
                 if len(w) <= 64:
-                    self.marks[w] = f
+                    marks[w] = f
             for x in f:
-                counts[x] += n
-        total = sum(found.values())
-        return np.array(sorted(self.at[f << 2 | i] for f, n in counts.items() for i in range(levels(n, total)) if f << 2 | i in self.at), dtype=np.int64)
+                counts[x] = counts.get(x, 0) + n
+        if not counts:
+            return []
+        total, out = sum(found.values()), []
+        for x, n in counts.items():
+            out += [i for i in places[x][: levels(n, total)] if i >= 0]
+        return out
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -83,6 +83,20 @@ def test_toxicity_equals_brute_force(spark):
         assert got[i]["score"] == pytest.approx(sigmoid(bias + sum(weights.get(f, 0) for f in of[i])))
 
 
+def test_what_a_sample_rules_out_is_never_chosen():
+    rng = np.random.default_rng(8)
+    n_p, n_u, n_some, f = 400, 50_000, 4000, 3000
+    of_p, of_u = rng.beta(0.3, 3, f), rng.beta(0.2, 6, f)
+    in_p, in_u = rng.binomial(n_p, of_p), rng.binomial(n_u, of_u)
+    in_some = rng.hypergeometric(in_u, n_u - in_u, n_some)
+    ids = np.arange(f)
+    for most in (50, 400, None):
+        left = pu_toxicity.possible(in_p, in_some, n_p, n_some, n_u, most)
+        whole = pu_toxicity.strongest(ids, in_p, in_u, n_p, n_u, most)
+        assert left[whole].all() and left.sum() < f
+        assert pu_toxicity.strongest(ids[left], in_p[left], in_u[left], n_p, n_u, most).tolist() == whole.tolist()
+
+
 def test_prior_estimate_is_near_and_inside():
     rng = np.random.default_rng(1)
     row = lambda toxic: np.flatnonzero(rng.random(6) < (0.8 if toxic else 0.01)).astype(np.int32)
