@@ -18,6 +18,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--yes", action="store_true", help="write to hosts that look like production"), p.add_argument("--schema", dest="schema_name", help="database schema, public by default"), p.add_argument("--jdbc", action="append", default=[], metavar="NAME=VALUE", help="reader and writer options, such as driver, user, password")
     p.add_argument("--existing-data", dest="existingData", choices=["augment", "truncate", "error"]), p.add_argument("--progress", action="store_true"), p.add_argument("--verbose", action="store_true"), p.add_argument("--version", action="store_true")
     p.add_argument("--batch-size", type=int, dest="batchSize"), p.add_argument("--json", action="store_true"), p.add_argument("--plugin", action="append", default=[]), p.add_argument("--scenario"), p.add_argument("--state")
+    p.add_argument("--texts", metavar="MODULE:FUNCTION", help="provider of texts: (prompt, n) -> list of texts"), p.add_argument("--text-cache", metavar="FOLDER")
     return p
 
 
@@ -29,7 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         from pyspark.sql import SparkSession
 
-        from . import api, config, diff, plugins, schema, sources
+        from . import api, config, diff, plugins, schema, sources, textpool
         from .sources import introspect
 
         found = a.config or config.find_file()
@@ -55,6 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         tell = (lambda step, table, n: print(f"{step} {table}: {n} rows", file=sys.stderr)) if a.progress or a.verbose else None
         got = api.run_pipeline(
             spark, parsed, settings, "target" if url else None, path=a.output, url=url, form=a.format, dry_run=a.dry_run, batch=conf["batchSize"], mode=mode, only=only, unchanged=only is not None, allowed=a.yes, jdbc=jdbc, progress=tell,
+            texts=textpool.with_retries(plugins.named(a.texts)) if a.texts else None, text_cache=textpool.Cache(a.text_cache) if a.text_cache else None,
         )
         if a.state:
             diff.save_state(a.state, parsed)

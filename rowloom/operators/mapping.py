@@ -32,7 +32,7 @@ PATTERNS: list[tuple[str, str, str, str]] = [
     ("time.start", "start_date starts_at start", "", ""), ("time.end", "end_date ends_at end", "", ""), ("time.recent", "last_login last_seen timestamp", "_at", ""), ("time.date", "date", "_date _on", ""), ("time.year", "year", "", ""), ("time.month", "month", "", ""), ("time.day", "day", "", ""),
     ("time.hour", "hour", "", ""), ("time.minute", "minute second", "", ""),
     ("text.sentence", "headline subject caption summary", "", ""), ("text.paragraph", "description content body message", "", ""), ("text.long", "article text", "", ""), ("text.short", "note notes comment remarks", "", ""),
-    ("boolean.coin", "active enabled verified deleted archived published visible locked", "", "is_ has_ can_ should_ was_ allow_ needs_"),
+    ("boolean.coin", "active enabled verified deleted archived published visible locked", "", "is_ has_ can_ should_ was_ will_ allow_ enable_ disable_ needs_"),
 ]
 #: Stems that hint at a domain, with a weight; half a point is enough.
 STEMS: dict[str, tuple[str, float]] = {}

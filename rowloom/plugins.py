@@ -69,16 +69,22 @@ class Registry:
         return None
 
 
-def load(target: str):
-    """A plugin from 'module' or 'module:attribute'."""
+def named(target: str):
+    """What 'module' (its ``plugin``) or 'module:attribute' names."""
     module, _, attribute = target.partition(":")
     try:
         found = importlib.import_module(module)
     except ImportError as e:
         raise PluginInvalid(f"plugin {target} can't be imported: {e}") from e
-    plugin = getattr(found, attribute or "plugin", None)
-    if plugin is None:
+    got = getattr(found, attribute or "plugin", None)
+    if got is None:
         raise PluginInvalid(f"{module} has no {attribute or 'plugin'}")
+    return got
+
+
+def load(target: str):
+    """A plugin from 'module' or 'module:attribute'."""
+    plugin = named(target)
     plugin = plugin() if isinstance(plugin, type) else plugin
     check(plugin)
     return plugin

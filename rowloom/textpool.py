@@ -6,16 +6,22 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+from pyspark.sql import DataFrame, SparkSession
+
 from .errors import RowloomError
 from .schema import Column, Kind, Table
+from .scratch import folder
 
 WEEK = 7 * 86400
 TOKENS_OF_PROMPT, TOKENS_OF_TEXT = 120, 60
 PROMPTS = {"review": "a short customer review", "comment": "a reader's comment", "bio": "a two-sentence biography", "description": "a product description", "title": "a headline", "body": "a paragraph of an article", "message": "a short message"}
 Provider = Callable[[str, int], list[str]]
+BATCH, BLOCK = 50, 10_000
+FAILURES = (RowloomError, OSError, ValueError, TimeoutError)
 
 
 def eligible(c: Column) -> bool:
@@ -81,22 +87,60 @@ def estimate_cost(tokens: int, price_in: float, price_out: float) -> float:
     return (0.3 * tokens * price_in + 0.7 * tokens * price_out) / 1e6
 
 
-def build_pools(schema, provider: Provider, counts: dict[str, int], cache: Cache | None = None, most: int = 50) -> tuple[dict[tuple[str, str], list[str]], list[str]]:
-    """(pools by (table, column), warnings). A pool that fails is left to the usual generator."""
-    pools, warnings = {}, []
+def batches(key: str, c: Column, t: Table, n: int, provider: Provider, cache: Cache | None = None, batch: int = BATCH) -> Iterator[list[str]]:
+    """n texts for a column, ``batch`` or fewer in each request, none longer than the column; each request is cached."""
+    for at in range(0, n, batch):
+        want = min(batch, n - at)
+        name = (key, c.name, str(want), *([str(at)] if at else []))
+        got = cache.get(*name) if cache else None
+        if got is None:
+            got = provider(prompt(c, t, want), want)
+            if cache and got:
+                cache.put(got, *name)
+        yield [x[: c.max_length] for x in got]
+
+
+def _columns(schema, counts: dict[str, int]) -> Iterator[tuple[str, Table, Column, int]]:
     for key, t in schema.tables.items():
-        n = min(most, counts.get(key, counts.get(t.name, 0)))
-        for c in t.columns:
-            if not n or not eligible(c):
-                continue
-            got = cache.get(key, c.name, str(n)) if cache else None
-            if got is None:
-                try:
-                    got = provider(prompt(c, t, n), n)
-                    if cache and got:
-                        cache.put(got, key, c.name, str(n))
-                except (RowloomError, OSError, ValueError, TimeoutError) as e:
-                    warnings.append(f"{key}.{c.name}: {e}")
-            if got:
-                pools[key, c.name] = [x[: c.max_length] for x in got]
+        n = counts.get(key, counts.get(t.name, 0))
+        yield from ((key, t, c, n) for c in t.columns if n and eligible(c))
+
+
+def build_pools(schema, provider: Provider, counts: dict[str, int], cache: Cache | None = None, batch: int = BATCH) -> tuple[dict[tuple[str, str], list[str]], list[str]]:
+    """(pools by (table, column), warnings): as many texts as the table has rows, in memory; ``pool_tables`` is for
+    more than that holds. Where a request fails, the texts before it stay; a column without any is left to the usual generator."""
+    pools, warnings = {}, []
+    for key, t, c, n in _columns(schema, counts):
+        got: list[str] = []
+        try:
+            for texts in batches(key, c, t, n, provider, cache, batch):
+                got += texts
+        except FAILURES as e:
+            warnings.append(f"{key}.{c.name}: {e}")
+        if got:
+            pools[key, c.name] = got
+    return pools, warnings
+
+
+def pool_tables(spark: SparkSession, schema, provider: Provider, counts: dict[str, int], cache: Cache | None = None, batch: int = BATCH, block: int = BLOCK) -> tuple[dict[tuple[str, str], DataFrame], list[str]]:
+    """As ``build_pools``, for ``Config.text_pools``: texts go to a scratch table block by block, so the driver never holds
+    more than ``block`` texts and a request's."""
+    pools, warnings = {}, []
+    for key, t, c, n in _columns(schema, counts):
+        path, held, wrote = f"{folder(spark)}/texts-{uuid.uuid4().hex}", [], False
+        requests = batches(key, c, t, n, provider, cache, batch)
+        while True:
+            try:
+                texts = next(requests, None)
+            except FAILURES as e:
+                warnings.append(f"{key}.{c.name}: {e}")
+                texts = None
+            held += texts or []
+            if held and (texts is None or len(held) >= block):
+                spark.createDataFrame([(x,) for x in held], "text string").coalesce(1).write.mode("append").parquet(path)
+                held, wrote = [], True
+            if texts is None:
+                break
+        if wrote:
+            pools[key, c.name] = spark.read.schema("text string").parquet(path)
     return pools, warnings

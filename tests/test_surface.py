@@ -8,6 +8,7 @@ import pytest
 from rowloom import api, config, diff, plugins, textpool
 from rowloom.errors import BadVirtualKey, ConfigInvalid, ConnectionFailed, MissingVariable, ParseFailed, PluginInvalid, UnknownGenerator, UnknownKey, redact
 from rowloom.functions import names
+from rowloom.operators.mapping import map_column
 from rowloom.plans import registry
 from rowloom.schema import Column, Kind, Schema, Table, excluded
 from rowloom.sinks import sqltext
@@ -171,6 +172,37 @@ def test_plugins_and_pools(spark, tmp_path):
     assert textpool.Cache(str(tmp_path)).get("t", "review", "4") and textpool.Cache(str(tmp_path), 0).get("t", "review", "4") is None
 
 
+def test_text_pools_hold_a_text_for_each_row(spark, tmp_path):
+    t = Table("t", (Column("id", Kind.INTEGER, auto_increment=True), Column("review", Kind.TEXT, nullable=False), Column("bio", Kind.TEXT, nullable=False), Column("enable_mail", Kind.BOOLEAN, nullable=False)), primary_key=("id",))
+    asked = []
+
+    def provider(prompt, n):
+        asked.append(n)
+        if "bio" in prompt and asked.count(50) > 3:
+            raise OSError("no answer")
+        return [f"text {len(asked)}-{i}" for i in range(n)]
+
+    cache = textpool.Cache(str(tmp_path))
+    lists, warnings = textpool.build_pools(Schema.of(t), provider, {"t": 130}, cache)
+    assert asked == [50, 50, 30, 50, 50] and len(set(lists["t", "review"])) == 130
+    assert len(lists["t", "bio"]) == 50 and len(warnings) == 1
+    del asked[:]
+    pools, warnings = textpool.pool_tables(spark, Schema.of(t), provider, {"t": 130}, cache, block=60)
+    assert sorted(x["text"] for x in pools["t", "review"].collect()) == sorted(lists["t", "review"])
+    assert asked == [50, 30] and pools["t", "bio"].count() == 130 and not warnings
+    made = api.seed(spark, Schema.of(t), count=130, texts=provider, text_cache=cache).tables["t"].collect()
+    assert {x["review"] for x in made} == set(lists["t", "review"]) and len(made) == 130
+    assert map_column(t.column("enable_mail"), t).source == "prefix"
+
+    def silent(prompt, n):
+        raise OSError("no answer")
+
+    got = api.seed(spark, Schema.of(t), count=5, texts=silent)
+    assert got.tables["t"].where("review is not null").count() == 5 and len(got.warnings) == 2
+    none = api.seed(spark, Schema.of(t), count=5, texts=lambda p, n: [])
+    assert none.tables["t"].where("bio is not null").count() == 5
+
+
 def test_sinks(spark, tmp_path):
     made = api.seed(spark, SHOP, count=20, path=str(tmp_path / "sql"), form="sql")
     text = "\n".join(f.read_text() for f in sorted((tmp_path / "sql").rglob("*.txt")))
