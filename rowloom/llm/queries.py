@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, feistel, fm_quality, hyperminhash, line_blocks, lm_interpolation, mixing, pu_toxicity, raster, sentencepiece_table
+from . import alignment, chunk_dedup, feistel, fm_quality, hyperminhash, jacobi_whitening, line_blocks, lm_interpolation, mixing, packing, pu_toxicity, raster, sentencepiece_table
 from .common import documents, split_of
 
 
@@ -61,8 +61,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = packing.pieces(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(parts).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return jacobi_whitening.components(vectors, jacobi_whitening.fit(vectors))
+
+
+OPERATORS = (op1_toxicity, op2_pseudonyms, op3_main_text, op4_near_dedup, op5_quality, op6_media, op7_lm_score, op8_sentencepiece, op9_mix, op10_exact_dedup, op11_packing, op12_alignment, op13_whitening)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_toxicity, op2_pseudonyms, op3_main_text, op4_near_dedup, op5_quality, op6_media, op7_lm_score, op8_sentencepiece, op9_mix, op10_exact_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,22 @@ SLICE = 2_000_000  # characters whose ids are held at once, or one text
 LONGEST_KEPT = 64  # characters; longer chunks are segmented each time, so the table stays small
 
 
+class ChunkTable(dict):
+    """Ids by chunk without its first marker; a missing chunk is segmented, and kept if there is room or made some."""
+
+    def __init__(self, segment, size: int):
+        super().__init__()
+        self.segment, self.size = segment, size
+
+    def __missing__(self, rest: str) -> tuple[int, ...]:
+        ids = self.segment(MARK + rest)
+        if len(rest) < LONGEST_KEPT:
+            if len(self) >= self.size:
+                self.clear()
+            self[rest] = ids
+        return ids
+
+
 class ChunkEncoder:
     """Encodes texts exactly as the library, by distinct chunks."""
 
@@ -40,8 +57,7 @@ class ChunkEncoder:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.table: dict[str, tuple[int, ...]] = {}
-        self.table_size = table_size
+        self.table = ChunkTable(self.chunk_ids, table_size)
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         # Identity before segmenting, and one marker put in front: probed, not assumed.
@@ -58,18 +74,12 @@ class ChunkEncoder:
             return []
         if not self.separable:
             return self.sp.encode(text)
-        out: list[int] = []
-        table = self.table
-        for chunk in CHUNK.findall(MARK + text.replace(" ", MARK)):
-            ids = table.get(chunk)
-            if ids is None:
-                ids = self.chunk_ids(chunk)
-                if len(chunk) <= LONGEST_KEPT:
-                    if len(table) >= self.table_size:
-                        table.clear()
-                    table[chunk] = ids
-            out += ids
-        return out
+        # Where each space stands alone between words, words are the chunks; else runs of markers are kept together.
+        if "  " not in text and text[0] != " " and text[-1] != " " and MARK not in text:
+            rests = text.split(" ")
+        else:
+            rests = [c[1:] for c in CHUNK.findall(MARK + text.replace(" ", MARK))]
+        return list(chain.from_iterable(map(self.table.__getitem__, rests)))
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids) if ids else ""
