@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textpool
+from . import files, textpool
 from .errors import ConfigInvalid, ConnectionFailed
 from .operators.generate import Config, Generated, generate
 from .operators.plan import insert_plan
@@ -52,11 +52,11 @@ def run_pipeline(spark: SparkSession, schema: Schema, config: Config, existing=N
     if how == "dry-run":
         summary.warnings = [*made.warnings, *sqltext.dry_run(made.tables, made.counts, batch)]
     elif how == "file" and form == "sql":
-        sqltext.write_sql(schema, made.tables, made.plan.ordered, path, batch, updates=made.updates)
+        sqltext.write_sql(schema, made.tables, made.plan.ordered, path, batch, updates=made.updates, mode=mode)
     elif how == "file":
         sqltext.write_frames(made.tables, path, form, mode)
     elif how == "direct" and url.startswith("sqlite:"):
-        sqltext.write_sqlite(made.tables, made.plan.ordered, sqlite_path(url))
+        sqltext.write_sqlite(made.tables, made.plan.ordered, sqlite_path(url), mode)
     elif how == "direct":
         sqltext.write_jdbc(made.tables, made.plan.ordered, url, batch, mode, schema, allowed, **(jdbc or {}))
     if how in ("file", "direct"):
@@ -101,7 +101,8 @@ class Seeder:
     """Table after table; each call draws with a seed of its own, and sees what earlier calls made.
 
     Without a target, calls give DataFrames. With one (a folder, or a database URL), each call's rows are
-    written there; ``teardown`` deletes them again. Between ``begin`` and ``commit`` calls are staged:
+    written there; ``teardown`` deletes them again, and only them: files that calls wrote, or rows by their primary
+    key. Rows of a database's table without one can't be told from others, so such a call is refused. Between ``begin`` and ``commit`` calls are staged:
     nothing is written before the commit, and ``rollback`` forgets them."""
 
     def __init__(self, spark: SparkSession, schema: Schema, seed: int = 42, existing: dict[str, DataFrame] | None = None, *, path: str | None = None, url: str | None = None, allowed: bool = False, jdbc: dict | None = None, **options):
@@ -110,6 +111,7 @@ class Seeder:
         self.given = dict(existing or (existing_of(spark, schema, url, allowed, **self.jdbc) if url else {}))
         self.existing = {schema.resolve(k) or k: v for k, v in self.given.items()}
         self.written: list[tuple[str, DataFrame]] = []
+        self.files: list[str] = []
         self.staged: list[tuple[str, DataFrame]] | None = None
         self.saved: tuple | None = None
 
@@ -117,6 +119,8 @@ class Seeder:
         key = self.schema.resolve(table)
         if key is None:
             raise ConfigInvalid(f"no table {table}", hints=(f"tables: {', '.join(sorted(self.schema.tables))}",))
+        if self.url and not self.schema.tables[key].primary_key:
+            raise ConfigInvalid(f"{key} has no primary key, so teardown couldn't tell its rows from others", hints=("seed() writes them for good",))
         config = Config(seed=seed if seed is not None else self.first_seed + self.calls, rows_of={key: count}, cardinality={key: cardinality or {}}, overrides={key: overrides or {}}, **self.options)
         self.calls += 1
         made = generate(self.spark, self.schema, config, self.existing, [key]).tables[key]
@@ -134,7 +138,7 @@ class Seeder:
     def _write(self, made: list[tuple[str, DataFrame]]) -> None:
         for key, df in made:
             if self.path:
-                sqltext.write_frames({key: df}, self.path, mode="append")
+                self.files += files.add(df, f"{self.path}/{key}")
             elif self.url and self.url.startswith("sqlite:"):
                 sqltext.write_sqlite({key: df}, [key], sqlite_path(self.url))
             elif self.url:
@@ -158,15 +162,13 @@ class Seeder:
 
     def teardown(self) -> None:
         """Delete what was written, children first, and forget what was made."""
-        names = list(dict.fromkeys(k for k, _ in self.written))
-        order = [k for k in insert_plan(self.schema).ordered if k in names]
-        for key in reversed(order):
-            keys = [df.select(*self.schema.tables[key].primary_key) for k, df in self.written if k == key and self.schema.tables[key].primary_key]
-            if self.path:
-                sqltext.delete_folder(self.spark, f"{self.path}/{key}")
-            elif self.url and keys:
-                sqltext.delete_rows(reduce(DataFrame.unionAll, keys), key, list(self.schema.tables[key].primary_key), self.url, sqlite_path, **self.jdbc)
-        self.written = []
+        files.delete_files(self.spark, self.files)
+        names = list(dict.fromkeys(k for k, _ in self.written)) if self.url and not self.path else []
+        for key in reversed([k for k in insert_plan(self.schema).ordered if k in names]):
+            columns = list(self.schema.tables[key].primary_key)
+            keys = reduce(DataFrame.unionAll, [df.select(*columns) for k, df in self.written if k == key])
+            sqltext.delete_rows(keys, key, columns, self.url, sqlite_path, self.allowed, **self.jdbc)
+        self.written, self.files = [], []
         self.rollback()
         self.existing = {self.schema.resolve(k) or k: v for k, v in self.given.items()}
         self.calls = 0

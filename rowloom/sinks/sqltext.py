@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import files
 from ..errors import MissingTarget, OutputFailed
 from ..operators.prefix import batch_number, ordinals
 from ..schema import Schema, Table
@@ -168,38 +171,64 @@ def write_frames(tables: dict[str, DataFrame], path: str, form: str = "parquet",
 
 
 LAST = 1 << 62  # behind all batches
+#: Folders of SQL text: a number, which orders them, and a name.
+SQL_FOLDER = re.compile(r"\d{4,}_.+")
 
 
-def write_sql(schema: Schema, tables: dict[str, DataFrame], order: list[str], path: str, batch: int = BATCH, dialect: str = "postgres", updates: dict[str, list[DataFrame]] | None = None) -> None:
+def write_sql(schema: Schema, tables: dict[str, DataFrame], order: list[str], path: str, batch: int = BATCH, dialect: str = "postgres", updates: dict[str, list[DataFrame]] | None = None, mode: str = "errorifexists") -> None:
     """One folder of SQL for each table, numbered in insert order; statements are written by executors, in
     order of batch, and files sort as their statements run. A table's part begins and ends its transaction,
     its sequences are set at its end. References that are filled later are NULL there, and the
-    UPDATEs that fill them stand in folders behind all tables."""
+    UPDATEs that fill them stand in folders behind all tables.
+
+    mode: errorifexists (the default: nothing may be in the folder), ignore (then nothing is written), append (numbers
+    go on behind the last folder's), overwrite (all numbered folders of earlier runs go, also those of tables
+    that this run doesn't have; other files stay). Folders are written aside, and moved into place when all are whole, so a
+    run that fails changes nothing."""
     updates = updates or {}
     names = [n for n in order if n in tables]
-    for i, name in enumerate(names):
-        df, t = tables[name], schema.tables[name]
-        for later in updates.get(name, []):
-            for c in later.columns:
-                if c not in t.primary_key and c in df.columns:
-                    df = df.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
-        keys = [c for c in (t.primary_key or tuple(df.columns)) if c in df.columns] or df.columns
-        made = insert_statements(df, name, df.columns, keys, batch, dialect)
-        resets = [sequence_reset(name, c.name) for c in t.columns if c.auto_increment and dialect == "postgres"]
-        frame = df.sparkSession.createDataFrame([(-1, f"-- {name}\nBEGIN;"), (LAST, "\n".join([*resets, "COMMIT;"]))], "batch long, statement string")
-        _write_ordered(made.unionAll(frame), "batch", f"{path}/{i:04d}_{name}")
-    for i, (name, later) in enumerate((n, f) for n in names for f in updates.get(n, [])):
-        t = schema.tables[name]
-        keys = [c for c in t.primary_key if c in later.columns]
-        sets = [c for c in later.columns if c not in t.primary_key]
-        filled = later.where(" or ".join(f"`{c}` is not null" for c in sets))
-        made = update_statements(filled, name, keys, sets, dialect, keep=keys)
-        _write_ordered(made, *keys, f"{path}/{len(names) + i:04d}_{name}_updates")
+    if not names:
+        return
+    spark = tables[names[0]].sparkSession
+    there = files.names(spark, path)
+    if there and mode in ("errorifexists", "error", "default"):
+        raise OutputFailed(f"{path} holds {', '.join(there[:3])}{' ...' if len(there) > 3 else ''}", hints=("existingData: augment or truncate, or an empty folder",))
+    if there and mode == "ignore":
+        return
+    old = [n for n in there if SQL_FOLDER.fullmatch(n)]
+    first = max([-1, *(int(n.split("_", 1)[0]) for n in old)]) + 1 if mode == "append" else 0
+    aside, made = files.staging(path), []
+    try:
+        for name in names:
+            df, t = tables[name], schema.tables[name]
+            for later in updates.get(name, []):
+                for c in later.columns:
+                    if c not in t.primary_key and c in df.columns:
+                        df = df.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
+            keys = [c for c in (t.primary_key or tuple(df.columns)) if c in df.columns] or df.columns
+            resets = [sequence_reset(name, c.name) for c in t.columns if c.auto_increment and dialect == "postgres"]
+            frame = spark.createDataFrame([(-1, f"-- {name}\nBEGIN;"), (LAST, "\n".join([*resets, "COMMIT;"]))], "batch long, statement string")
+            made.append(f"{first + len(made):04d}_{name}")
+            _write_ordered(insert_statements(df, name, df.columns, keys, batch, dialect).unionAll(frame), "batch", f"{aside}/{made[-1]}")
+        for name, later in ((n, f) for n in names for f in updates.get(n, [])):
+            t = schema.tables[name]
+            keys = [c for c in t.primary_key if c in later.columns]
+            sets = [c for c in later.columns if c not in t.primary_key]
+            filled = later.where(" or ".join(f"`{c}` is not null" for c in sets))
+            made.append(f"{first + len(made):04d}_{name}_updates")
+            _write_ordered(update_statements(filled, name, keys, sets, dialect, keep=keys), *keys, f"{aside}/{made[-1]}")
+        if mode == "overwrite":
+            for n in old:
+                files.delete(spark, f"{path}/{n}")
+        for n in made:
+            files.move(spark, f"{aside}/{n}", f"{path}/{n}")
+    finally:
+        files.delete(spark, aside)
 
 
 def _write_ordered(statements: DataFrame, *by_and_path: str) -> None:
     *by, path = by_and_path
-    statements.repartitionByRange(*by).sortWithinPartitions(*by).select("statement").write.mode("overwrite").text(path)
+    statements.repartitionByRange(*by).sortWithinPartitions(*by).select("statement").write.text(path)
 
 
 def run_jdbc(spark: SparkSession, url: str, statements: list[str], **options) -> None:
@@ -223,11 +252,23 @@ def run_jdbc(spark: SparkSession, url: str, statements: list[str], **options) ->
         link.close()
 
 
+def jdbc_dialect(link: str) -> str:
+    return "mysql" if ":mysql" in link or ":mariadb" in link else "sqlite" if ":sqlite" in link else "postgres"
+
+
+def stage_like(table: str, aside: str, dialect: str) -> str:
+    """An empty table with the columns of another, without its constraints."""
+    return f"CREATE TABLE {aside} LIKE {table}" if dialect == "mysql" else f"CREATE TABLE {aside} AS SELECT * FROM {table} WITH NO DATA"
+
+
 def write_jdbc(tables: dict[str, DataFrame], order: list[str], url: str, batch: int = BATCH, mode: str = "append", schema: Schema | None = None, allowed: bool = False, **options) -> None:
-    """Rows go in table by table, parents first, in transactions of a partition each (Spark's writer);
-    references filled later are part of the rows already, so no updates follow. mode: append (augment),
-    overwrite (rows of all tables go first, children before parents, tables stay), errorifexists (no table
-    may hold rows). With a schema, sequences are set behind the rows. Production hosts need ``allowed``."""
+    """All rows or none. Executors write each table's rows into a table beside it (Spark's writer, a partition a
+    transaction), and when all are there, one transaction moves them in, parents first, and sets the
+    sequences. Whatever fails before its commit (a partition, a constraint, a connection) leaves the target as it was; the
+    tables beside it go in any case. References filled later are part of the rows already, so no updates follow.
+
+    mode: append (augment), overwrite (rows of all tables go first, children before parents, in the same transaction;
+    tables stay), errorifexists (no table may hold rows). Production hosts need ``allowed``."""
     if not url:
         raise MissingTarget("no connection URL")
     guard(url, allowed)
@@ -236,63 +277,94 @@ def write_jdbc(tables: dict[str, DataFrame], order: list[str], url: str, batch:
         return
     spark = tables[names[0]].sparkSession
     link = url if url.startswith("jdbc:") else f"jdbc:{url}"
-    dialect = "mysql" if ":mysql" in link or ":mariadb" in link else "postgres"
+    dialect = jdbc_dialect(link)
     reader = lambda n: spark.read.format("jdbc").options(url=link, dbtable=n, **options).load()
     if mode == "errorifexists":
         full = [n for n in names if not reader(n).limit(1).isEmpty()]
         if full:
             raise OutputFailed(f"{', '.join(full)} hold rows already", hints=("existingData: augment or truncate",))
-    if mode == "overwrite":
-        run_jdbc(spark, link, [f"DELETE FROM {n}" for n in reversed(names)], **options)
-    for name in names:
-        try:
-            tables[name].write.format("jdbc").options(url=link, dbtable=name, batchsize=str(batch), **options).mode("append").save()
-        except Exception as e:
-            raise OutputFailed(f"{name} can't be written: {e}", hints=("is the driver's jar on the class path?",)) from e
-    if schema is not None and (":postgres" in link or dialect == "mysql"):
-        resets = [sequence_reset(n, c.name, dialect) for n in names for c in schema.tables[n].columns if c.auto_increment]
-        if resets:
-            run_jdbc(spark, link, [r.rstrip(";") for r in resets], **options)
+    mark = uuid.uuid4().hex[:12]
+    asides = {n: f"{n}_rl{mark}" for n in names}
+    made: list[str] = []
+    at = ""
+    try:
+        for at in names:
+            run_jdbc(spark, link, [stage_like(at, asides[at], dialect)], **options)
+            made.append(asides[at])
+            tables[at].write.format("jdbc").options(url=link, dbtable=asides[at], batchsize=str(batch), **options).mode("append").save()
+        listed = {n: ", ".join(quoted(c, dialect) for c in tables[n].columns) for n in names}
+        statements = [f"DELETE FROM {n}" for n in reversed(names)] if mode == "overwrite" else []
+        statements += [f"INSERT INTO {n} ({listed[n]}) SELECT {listed[n]} FROM {asides[n]}" for n in names]
+        if schema is not None and (":postgres" in link or dialect == "mysql"):
+            # MySQL commits before an ALTER TABLE, so these come last.
+            statements += [sequence_reset(n, c.name, dialect).rstrip(";") for n in names for c in schema.tables[n].columns if c.auto_increment]
+        at = ", ".join(names)
+        run_jdbc(spark, link, statements, **options)
+    except Exception as e:
+        raise OutputFailed(f"{at} can't be written: {e}", hints=("is the driver's jar on the class path?",)) from e
+    finally:
+        for n in made:
+            run_jdbc(spark, link, [f"DROP TABLE {n}"], **options)
 
 
-def write_sqlite(tables: dict[str, DataFrame], order: list[str], path: str) -> dict[str, int]:
-    """A local file for tests and samples: rows stream to the driver, one partition at a time, into one
-    transaction a table."""
+def _plain(df: DataFrame) -> DataFrame:
+    """Columns as SQLite takes them."""
+    nested, as_text = (T.ArrayType, T.MapType, T.StructType), (T.TimestampType, T.TimestampNTZType, T.DateType, T.DecimalType, T.DayTimeIntervalType)
+    kind = lambda c: df.schema[c].dataType
+    return df.select(*[F.to_json(c).alias(c) if isinstance(kind(c), nested) else F.col(c).cast("string").alias(c) if isinstance(kind(c), as_text) else F.col(c) for c in df.columns])
+
+
+def write_sqlite(tables: dict[str, DataFrame], order: list[str], path: str, mode: str = "append") -> dict[str, int]:
+    """A local file for tests and samples: rows stream to the driver, one partition at a time, into one transaction
+    over all tables, so that a failure leaves the file as it was. mode: append (the file's rows stay), overwrite (rows of
+    all tables go first, children before parents), errorifexists (no table may hold rows), ignore (tables that hold
+    rows are left out)."""
     import sqlite3
     from contextlib import closing
 
     counts = {}
+    names = [n for n in order if n in tables]
+    short = {n: quoted(n.rsplit(".", 1)[-1]) for n in names}
     with closing(sqlite3.connect(path)) as db:
-        for name in order:
-            if name in tables:
+        there = {quoted(n) for (n,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
+        full = [n for n in names if short[n] in there and db.execute(f"SELECT 1 FROM {short[n]} LIMIT 1").fetchone()]
+        if full and mode in ("errorifexists", "error", "default"):
+            raise OutputFailed(f"{', '.join(full)} hold rows already", hints=("existingData: augment or truncate",))
+        if mode == "ignore":
+            names = [n for n in names if n not in full]
+        try:
+            db.execute("BEGIN")  # creating tables is part of it
+            if mode == "overwrite":
+                for n in reversed(full):
+                    db.execute(f"DELETE FROM {short[n]}")
+            for name in names:
                 df = tables[name]
-                simple = df.select(*[F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(c).cast("string").alias(c) if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType, T.DecimalType, T.DayTimeIntervalType)) else F.col(c) for c in df.columns])
-                names_ = ", ".join(quoted(c) for c in df.columns)
-                with db:
-                    db.execute(f"CREATE TABLE IF NOT EXISTS {quoted(name.rsplit('.', 1)[-1])} ({names_})")
-                    sql = f"INSERT INTO {quoted(name.rsplit('.', 1)[-1])} ({names_}) VALUES ({', '.join('?' * len(df.columns))})"
-                    n = 0
-                    for row in simple.toLocalIterator():
-                        db.execute(sql, tuple(row))
-                        n += 1
-                counts[name] = n
+                listed = ", ".join(quoted(c) for c in df.columns)
+                db.execute(f"CREATE TABLE IF NOT EXISTS {short[name]} ({listed})")
+                sql = f"INSERT INTO {short[name]} ({listed}) VALUES ({', '.join('?' * len(df.columns))})"
+                counts[name] = 0
+                for row in _plain(df).toLocalIterator():
+                    db.execute(sql, tuple(row))
+                    counts[name] += 1
+            db.commit()
+        except Exception as e:
+            db.rollback()
+            raise OutputFailed(f"{path} can't be written: {e}") from e
     return counts
 
 
-def delete_folder(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def delete_rows(keys: DataFrame, table: str, columns: list[str], url: str, sqlite_path, **options) -> None:
+def delete_rows(keys: DataFrame, table: str, columns: list[str], url: str, sqlite_path, allowed: bool = False, **options) -> None:
     """Rows of these primary keys go: statements of ``BATCH`` keys each, run from the driver in one
-    transaction as they stream in, one partition of keys at a time."""
+    transaction as they stream in, one partition of keys at a time. Production hosts need ``allowed``."""
     import itertools
 
-    condition = F.concat(F.lit("("), F.concat_ws(" AND ", *[F.concat(F.lit(f"{quoted(c)} = "), literal(F.col(c), keys.schema[c].dataType, "sqlite" if url.startswith("sqlite:") else "postgres")) for c in columns]), F.lit(")"))
+    guard(url, allowed)
+    link = url if url.startswith(("jdbc:", "sqlite:")) else f"jdbc:{url}"
+    dialect = "sqlite" if url.startswith("sqlite:") else jdbc_dialect(link)
+    condition = F.concat(F.lit("("), F.concat_ws(" AND ", *[F.concat(F.lit(f"{quoted(c, dialect)} = "), literal(F.col(c), keys.schema[c].dataType, dialect)) for c in columns]), F.lit(")"))
     rows = (r[0] for r in keys.select(condition).toLocalIterator())
     # JDBC names stand as the writer's dbtable does.
-    statements = (f"DELETE FROM {quoted(table.rsplit('.', 1)[-1]) if url.startswith('sqlite:') else table} WHERE {' OR '.join(some)}" for some in itertools.batched(rows, BATCH))
+    statements = (f"DELETE FROM {quoted(table.rsplit('.', 1)[-1]) if dialect == 'sqlite' else table} WHERE {' OR '.join(some)}" for some in itertools.batched(rows, BATCH))
     if url.startswith("sqlite:"):
         import sqlite3
         from contextlib import closing
@@ -301,7 +373,7 @@ def delete_rows(keys: DataFrame, table: str, columns: list[str], url: str, sqlit
             for s in statements:
                 db.execute(s)
         return
-    run_jdbc(keys.sparkSession, url if url.startswith("jdbc:") else f"jdbc:{url}", statements, **options)
+    run_jdbc(keys.sparkSession, link, statements, **options)
 
 
 def dry_run(tables: dict[str, DataFrame], counts: dict[str, int], batch: int = BATCH) -> list[str]:
