@@ -24,6 +24,7 @@ from ..errors import EmptyReferencePool, GenerationFailed
 from ..functions import rng
 from ..functions.values import Ctx
 from ..schema import Column, ForeignKey, Kind, Schema, Table, ancestors
+from ..scratch import materialise
 from . import coherence, unique
 from .cardinality import Cardinality, allocate, expand
 from .existing import Existing, read_existing
@@ -279,13 +280,17 @@ class Generator:
 
     def place_keys(self, df: DataFrame, t: Table, later, n: int) -> tuple[DataFrame, set[str]]:
         """Columns of unique keys whose domains are all known (one-to-one references too): tuples by permuted
-        row numbers, as many columns as make n of them distinct, the others drawn. Rows whose key
-        exists already give way to later ones."""
+        row numbers, as many columns as make n of them distinct, the others drawn. A key that shares columns with
+        one that is placed gets its own columns by numbering the rows in the order of the shared ones: equal shared
+        values stand next to each other, and neighbours get different tuples. Rows whose key exists already give
+        way to later ones."""
         done: set[str] = set()
         placed: list[tuple[tuple[str, ...], list[Domain]]] = []
+        joined: list[tuple[tuple[str, ...], list[Domain], list[Domain]]] = []
         old = self.known(t.full_name)
+        domain_of: dict[tuple[str, ...], Domain] = {}
         for columns in [k for k in ((t.primary_key), *t.uniques, *(i.columns for i in t.indexes if i.unique)) if k]:
-            if done & set(columns) or any(t.column(c).auto_increment or t.column(c).generated or t.column(c).kind is Kind.UUID and self.domain(t, c, columns, later) is None for c in columns):
+            if any(t.column(c).auto_increment or t.column(c).generated or t.column(c).kind is Kind.UUID and self.domain(t, c, columns, later) is None for c in columns):
                 continue
             if len(columns) > 1 and any(self.alone(t, c) for c in columns):
                 continue
@@ -295,23 +300,34 @@ class Generator:
             card = self.config.cardinality.get(t.full_name, self.config.cardinality.get(t.name, {}))
             if any(not d.size for d in domains.values()) or (len(columns) == 1 and columns[0] in card):
                 continue
-            placed.append((columns, sorted(domains.values(), key=lambda d: (-d.size, d.columns))))
+            listed = sorted(domains.values(), key=lambda d: (-d.size, d.columns))
+            shared = [domain_of[d.columns] for d in listed if d.columns in domain_of]
+            new = [d for d in listed if not set(d.columns) & done]
+            if len(shared) + len(new) < len(listed):
+                raise GenerationFailed(f"{t.full_name}: the unique keys over {', '.join(columns)} share columns of a composite reference", hints=("leave one of them out",))
+            if shared:
+                joined.append((columns, shared, new))
+            else:
+                placed.append((columns, listed))
             done |= set(columns)
+            domain_of |= {d.columns: d for d in new}
         if not placed:
             return df, done
-        met = [(columns, old.frame.select(*columns).where(" and ".join(f"`{c}` is not null" for c in columns)).distinct()) for columns, _ in placed if old.rows and old.frame is not None and set(columns) <= set(old.frame.columns)]
+        keys = [columns for columns, *_ in (*placed, *joined)]
+        met = [(columns, old.frame.select(*columns).where(" and ".join(f"`{c}` is not null" for c in columns)).distinct()) for columns in keys if old.rows and old.frame is not None and set(columns) <= set(old.frame.columns)]
         spare = sum(f.count() for _, f in met)
-        if spare and df.isStreaming:
-            raise GenerationFailed(f"a stream of {t.full_name} can't go around its existing keys")
-        for columns, domains in placed:
-            size = math.prod(d.size for d in domains)
+        if (spare or joined) and df.isStreaming:
+            raise GenerationFailed(f"a stream of {t.full_name} can't go around its existing keys, or place keys that share columns")
+        for columns, size, have in [(c, math.prod(d.size for d in ds), " x ".join(str(d.size) for d in ds)) for c, ds in placed] + [(c, math.prod(d.size for d in (*a, *b)), " x ".join(str(d.size) for d in (*a, *b))) for c, a, b in joined]:
             if n + spare > size:
-                have = f"{size} ({' x '.join(str(d.size) for d in domains)})"
-                raise GenerationFailed(f"{t.full_name} can't have {n} more distinct {', '.join(columns)}: there are {have}, {spare} may be taken")
+                raise GenerationFailed(f"{t.full_name} can't have {n} more distinct {', '.join(columns)}: there are {size} ({have}), {spare} may be taken")
         if spare:
             df = self.spark.range(n + spare).select(F.col("id").alias("__row"))
+        common = {d.columns for _, shared, _ in joined for d in shared}
         for _, domains in placed:
-            df = self.place(df, t, domains, n + spare)
+            df = self.place(df, t, domains, n + spare, common)
+        for columns, shared, new in joined:
+            df = self.place_beside(df, t, columns, shared, new)
         if spare:
             for columns, frame in met:
                 taken = frame.select(*[F.col(c).alias(f"__old_{c}") for c in columns])
@@ -319,8 +335,14 @@ class Generator:
             df = ordinals(df, ["__row"], "__at").where(F.col("__at") < n).withColumn("__row", F.col("__at")).drop("__at")
         return df, done
 
-    def place(self, df: DataFrame, t: Table, domains: list[Domain], n: int) -> DataFrame:
+    def place(self, df: DataFrame, t: Table, domains: list[Domain], n: int, common: set[tuple[str, ...]] = frozenset()) -> DataFrame:
+        """common: domains that other keys have too; their values are dealt in turn, so that each is met equally often."""
         row, seed = F.col("__row"), self.config.seed
+        shared = [d for d in domains if d.columns in common]
+        if shared:
+            rest = [d for d in domains if d.columns not in common]
+            at = unique.dealt_ordinals(row, [d.size for d in (*rest, *shared)], seed)
+            return self.fill(df, t, zip((*rest, *shared), at, strict=True))
         first, size = 0, 1
         while size < n and first < len(domains):
             size *= domains[first].size
@@ -328,7 +350,11 @@ class Generator:
         first = max(first, 1)
         at = unique.tuple_ordinals(row, [d.size for d in domains[:first]], seed)
         at += [F.floor(rng.uniform(seed, t.full_name, "+".join(d.columns), row) * F.lit(d.size)).cast("long") for d in domains[first:]]
-        for d, ordinal in zip(domains, at, strict=True):
+        return self.fill(df, t, zip(domains, at, strict=True))
+
+    def fill(self, df: DataFrame, t: Table, ordinals_of) -> DataFrame:
+        """Columns of domains by the ordinals of their values."""
+        for d, ordinal in ordinals_of:
             if d.key is not None:
                 df = self.attach(df, d.pool, ordinal, d.key)
             else:
@@ -336,6 +362,22 @@ class Generator:
                 df = df.withColumn(c.name, F.element_at(F.array(*[F.lit(v) for v in d.values]), (ordinal + 1).cast("int")).cast(c.spark_type()))
         return df
 
+    def place_beside(self, df: DataFrame, t: Table, columns: tuple[str, ...], shared: list[Domain], new: list[Domain]) -> DataFrame:
+        """The key's new columns for rows whose shared ones stand. Rows of equal shared values are neighbours in their
+        order, and no more than there are new tuples: checked by one count, as nothing else could make the key unique."""
+        by = [c for d in shared for c in d.columns]
+        size = math.prod(d.size for d in new)
+        df = materialise(df, "beside")
+        most = df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        if most > size:
+            why = f"{most} rows share {', '.join(by)}, for which {', '.join(c for d in new for c in d.columns) or 'no other column'} has {size} values"
+            raise GenerationFailed(f"{t.full_name} can't have distinct {', '.join(columns)} beside its other keys: {why}", hints=("fewer rows, or more values",))
+        if not new:
+            return df
+        numbered = ordinals(df, [*by, "__row"], "__beside")
+        at = unique.digits_of(F.col("__beside"), [d.size for d in new])
+        return self.fill(numbered, t, zip(new, at, strict=True)).drop("__beside")
+
     def by_cardinality(self, df: DataFrame, key: str, fk: ForeignKey, pool: Pool, spec: Cardinality, n: int) -> DataFrame:
         cfg = self.config
         parents = pool.frame if pool.frame is not None else self.spark.range(pool.size).select(F.col("id").alias("ord"), (F.col("id") + pool.base).alias(fk.references[0]))
