@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -66,15 +65,27 @@ def exponential(u: Column, rate: float = 1.0) -> Column:
 
 
 def zipf_table(spark: SparkSession, ranks: int, exponent: float = 1.0) -> DataFrame:
-    """rank, low, high: the cumulative shares of 1/rank**s, once for each (ranks, s). Ranks are parents of
-    one table; the prefix sum is one window over at most ``ranks`` rows."""
-    w = W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    """rank, low, high: the cumulative shares of 1/rank**s, once for each (ranks, s). Prefix sums run in blocks of ranks and
+    over the blocks' sums, so any number of ranks will do."""
+    from ..operators.prefix import running_before
+
     base = spark.range(1, ranks + 1).select(F.col("id").alias("rank"), F.pow(F.col("id").cast("double"), F.lit(-float(exponent))).alias("p"))
-    total = float(sum(k**-exponent for k in range(1, min(ranks, 1_000_000) + 1)))
-    if ranks > 1_000_000:
-        total = base.agg(F.sum("p")).first()[0]
-    shares = base.select("rank", (F.sum("p").over(w) / F.lit(total)).alias("high"), (F.col("p") / F.lit(total)).alias("share"))
-    return shares.select("rank", (F.col("high") - F.col("share")).alias("low"), "high")
+    total = base.agg(F.sum("p")).first()[0]
+    summed = running_before(base, "p", "rank", "__before")
+    return summed.select("rank", (F.col("__before") / F.lit(total)).alias("low"), ((F.col("__before") + F.col("p")) / F.lit(total)).alias("high"))
+
+
+#: Spans of the draws in which ranks are looked up.
+ZIPF_SPANS = 1 << 12
+
+
+def zipf_draws(df: DataFrame, u: str, ranks: int, exponent: float = 1.0, out: str = "rank") -> DataFrame:
+    """df with the rank in 1..ranks that a uniform draw in column u falls to, by the exact cumulative shares: an as-of
+    lookup in their table, for any number of ranks and draws."""
+    from ..operators.asof import as_of
+
+    starts = zipf_table(df.sparkSession, ranks, exponent).select(F.col("low").alias(u), F.col("rank").alias("__rank"))
+    return as_of(df, starts, u, "__rank", out, lambda at: F.floor(at * F.lit(ZIPF_SPANS)))
 
 
 def zipf_rank(u: Column, ranks: int, exponent: float = 1.0) -> Column:

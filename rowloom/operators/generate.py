@@ -25,7 +25,7 @@ from ..functions import rng
 from ..functions.values import Ctx
 from ..schema import Column, ForeignKey, Kind, Schema, Table, ancestors
 from ..scratch import materialise
-from . import coherence, unique
+from . import coherence, predicates, unique
 from .cardinality import Cardinality, allocate, expand
 from .existing import Existing, read_existing
 from .mapping import NUMBERS, Mapping, map_table
@@ -222,7 +222,7 @@ class Generator:
                 if not any(c in overridden or t.column(c).values or c in done for _, c in g.columns):
                     for c, v in coherence.columns_of(g, Ctx(cfg.seed, key, "", row, cfg.ref)).items():
                         group_of.setdefault(c, v)
-        mappings, exprs, uniques = map_table(t), {}, []
+        mappings, exprs, values, uniques = map_table(t), {}, {}, []
         for c in t.columns:
             if c.generated or c.name in done or (c.auto_increment and c.name not in t.primary_key):
                 continue
@@ -234,11 +234,14 @@ class Generator:
             elif (key, c.name) in cfg.text_pools:
                 continue
             else:
-                v = group_of[c.name].cast(c.spark_type()) if c.name in group_of else self.value(c, t, mappings[c.name], row)
-                exprs[c.name] = self.with_nulls(v, c, t, row)
+                values[c.name] = group_of[c.name].cast(c.spark_type()) if c.name in group_of else self.value(c, t, mappings[c.name], row)
                 if self.alone(t, c.name) or cfg.overrides.get(key, {}).get(c.name, {}).get("unique"):
                     uniques.append(((c.name,), c))
-        df = df.select("*", *[v.alias(c) for c, v in exprs.items()])
+        # What CHECK constraints say of numbers and times holds before NULLs, which satisfy any of them.
+        given = {c.name for c in t.columns if c.values or c.name in cfg.overrides.get(key, cfg.overrides.get(t.name, {}))}
+        values = predicates.apply(values, t, lambda name: Ctx(cfg.seed, key, name, row, cfg.ref), given)
+        exprs |= {c: self.with_nulls(v, t.column(c), t, row) for c, v in values.items()}
+        df = df.select("*", *[exprs[c.name].alias(c.name) for c in t.columns if c.name in exprs])
         for (k, name), texts in cfg.text_pools.items():
             if k == key:
                 df = text_pool_fill(df, name, texts, "__row")

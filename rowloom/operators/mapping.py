@@ -9,42 +9,13 @@ from pyspark.sql import functions as F
 from ..functions import names, rng
 from ..functions.values import NAMED, Builder, boolean, code, decimal, digits, from_list, hex_digits, integer, ipv4, moment, null, pairs_of, sentence, uuid4, words
 from ..schema import Check, Column, Kind, Table
+from . import vocabulary
 
-#: domain: (builder, exact names, suffixes, prefixes). Earlier domains win a name.
-PATTERNS: list[tuple[str, str, str, str]] = [
-    # builder, exact names, suffixes, prefixes
-    ("person.first_name", "first_name firstname given_name forename", "", ""), ("person.last_name", "last_name lastname surname family_name", "", ""), ("person.full_name", "full_name fullname display_name", "", ""),
-    ("person.middle_name", "middle_name", "", ""), ("person.prefix", "prefix title salutation", "", ""), ("person.suffix", "suffix", "", ""), ("person.username", "username user_name login handle nickname", "", ""),
-    ("person.sex", "gender sex", "", ""), ("person.birth_date", "birth_date birthdate date_of_birth dob", "", ""), ("person.age", "age", "", ""), ("person.bio", "bio biography about", "", ""), ("person.avatar", "avatar avatar_url photo", "", ""),
-    ("contact.email", "email email_address mail", "_email", ""), ("contact.phone", "phone phone_number telephone mobile cell", "_phone _mobile _tel", ""), ("contact.fax", "fax", "_fax", ""), ("contact.url", "url website homepage link", "_url _link _website", ""),
-    ("internet.ipv4", "ip ip_address ipv4", "_ip", ""), ("internet.ipv6", "ipv6", "", ""), ("internet.mac", "mac mac_address", "_mac", ""), ("internet.user_agent", "user_agent", "", ""), ("internet.slug", "slug permalink", "_slug", ""),
-    ("internet.domain", "domain hostname host", "_domain", ""), ("internet.password", "password password_hash passwd", "_password", ""), ("internet.token", "token api_key secret access_token refresh_token", "_token", ""),
-    ("location.street", "street address street_address address_line1 address1", "_address _street", ""), ("location.secondary", "address2 address_line2 unit apartment", "", ""), ("location.city", "city town", "_city", ""), ("location.state", "state province region", "_state", ""),
-    ("location.country", "country country_name nation", "_country", ""), ("location.country_code", "country_code", "", ""), ("location.zip", "zip zip_code zipcode postal_code postcode", "_zip", ""), ("location.latitude", "lat latitude", "_lat", ""),
-    ("location.longitude", "lon lng longitude", "_lng _lon", ""), ("location.county", "county district", "", ""), ("location.timezone", "timezone time_zone tz", "", ""),
-    ("finance.amount", "amount total subtotal balance cost fee price salary discount tax", "_amount _price _total _cost _fee _balance", ""), ("finance.rate", "rate tax_rate interest_rate", "_rate", ""), ("finance.currency", "currency currency_code", "", ""),
-    ("finance.card", "credit_card card_number", "", ""), ("finance.account", "account_number", "", ""), ("finance.routing", "routing_number", "", ""), ("finance.iban", "iban", "", ""), ("finance.bic", "bic swift", "", ""),
-    ("commerce.product", "product product_name item_name", "", ""), ("commerce.brand", "brand manufacturer", "", ""), ("commerce.department", "department category", "", ""), ("commerce.sku", "sku", "", ""), ("commerce.isbn", "isbn", "", ""), ("commerce.color", "color colour", "", ""),
-    ("commerce.size", "size", "", ""), ("commerce.weight", "weight", "", ""), ("commerce.quantity", "quantity qty stock", "", ""), ("commerce.rating", "rating stars score", "", ""), ("commerce.review", "review", "", ""),
-    ("identifier.uuid", "uuid guid", "_uuid", ""), ("identifier.code", "code", "_code", ""), ("identifier.hash", "hash checksum sha", "_hash", ""), ("identifier.external", "external_id ref reference", "_ref", ""), ("identifier.tracking", "tracking_number", "", ""),
-    ("identifier.confirmation", "confirmation_code", "", ""), ("identifier.serial", "serial serial_number", "_number", ""),
-    ("time.created", "created_at created created_on date_created", "", ""), ("time.updated", "updated_at updated modified_at last_modified", "", ""), ("time.deleted", "deleted_at", "", ""), ("time.published", "published_at", "", ""), ("time.expires", "expires_at expiry expiration_date", "", ""),
-    ("time.start", "start_date starts_at start", "", ""), ("time.end", "end_date ends_at end", "", ""), ("time.recent", "last_login last_seen timestamp", "_at", ""), ("time.date", "date", "_date _on", ""), ("time.year", "year", "", ""), ("time.month", "month", "", ""), ("time.day", "day", "", ""),
-    ("time.hour", "hour", "", ""), ("time.minute", "minute second", "", ""),
-    ("text.sentence", "headline subject caption summary", "", ""), ("text.paragraph", "description content body message", "", ""), ("text.long", "article text", "", ""), ("text.short", "note notes comment remarks", "", ""),
-    ("boolean.coin", "active enabled verified deleted archived published visible locked", "", "is_ has_ can_ should_ was_ will_ allow_ enable_ disable_ needs_"),
-]
-#: Stems that hint at a domain, with a weight; half a point is enough.
-STEMS: dict[str, tuple[str, float]] = {}
-for _domain, _w, _words in (
-    ("person", 0.8, "patient customer employee author owner student teacher member contact doctor driver"), ("contact", 0.8, "email phone mobile website"), ("location", 0.8, "city street postal address country latitude venue warehouse"),
-    ("finance", 0.7, "price cost salary payment invoice revenue budget tax currency balance"), ("commerce", 0.7, "product order item brand shipment cart discount"), ("identifier", 0.7, "serial barcode hash token tracking"),
-    ("time", 0.7, "date time created expired scheduled deadline birthday"), ("text", 0.6, "description comment note summary remark message"), ("medical", 0.8, "diagnosis dosage symptom prescription allergy"), ("transport", 0.7, "vehicle flight route cargo mileage"),
-    ("education", 0.7, "course grade lesson exam semester"), ("government", 0.7, "permit license ballot agency citizen"), ("legal", 0.7, "contract clause verdict court attorney"), ("internet", 0.7, "domain session browser cookie"), ("boolean", 0.6, "active enable verify"),
-):
-    for _x in _words.split():
-        STEMS.setdefault(names.stem(_x), (_domain, _w))
-NOISE = {names.stem(x) for x in "the a an of for to in on by is has num number id key type name value info detail main".split()}
+EXACT, TIMES_BY_NAME = vocabulary.exact(), vocabulary.times()
+SUFFIXES, PREFIXES = vocabulary.ends(), vocabulary.beginnings()
+#: Domain and weight by stem.
+STEMS: dict[str, tuple[str, float]] = {names.stem(w): (domain, weight) for domain, (weight, words_) in reversed(vocabulary.STEMS.items()) for w in words_}
+NOISE = {names.stem(x) for x in vocabulary.NOISE}
 BY_DOMAIN: dict[str, dict[str, str]] = {
     "person": {"text": "person.full_name", "number": "person.age"}, "contact": {"text": "contact.email"}, "location": {"text": "location.city", "number": "location.latitude"}, "finance": {"text": "finance.currency", "number": "finance.amount"},
     "commerce": {"text": "commerce.product", "number": "commerce.quantity"}, "identifier": {"text": "identifier.code"}, "time": {"time": "time.recent", "number": "time.year"}, "text": {"text": "text.sentence"}, "internet": {"text": "internet.slug"}, "boolean": {"bool": "boolean.coin"},
@@ -64,19 +35,6 @@ class Mapping:
     confidence: str = "high"
 
 
-def _exact() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for gen, exact, _, _ in PATTERNS:
-        for n in exact.split():
-            out.setdefault(n, gen)
-    return out
-
-
-EXACT = _exact()
-SUFFIXES = sorted(((s, g) for g, _, sx, _ in PATTERNS for s in sx.split()), key=lambda x: (-len(x[0]), x[0]))
-PREFIXES = sorted(((p, g) for g, _, _, px in PATTERNS for p in px.split()), key=lambda x: (-len(x[0]), x[0]))
-
-
 def group_of(kind: Kind) -> str:
     return "number" if kind in NUMBERS else "text" if kind in TEXTS else "time" if kind in TIMES else "bool" if kind is Kind.BOOLEAN else "other"
 
@@ -176,8 +134,9 @@ def map_column(c: Column, table: Table) -> Mapping:
         return Mapping(c.name, fallback(c), "shortcut")
     raw, name = c.name.lower(), names.normalise(c.name, table.name)
     for n in dict.fromkeys((raw, name)):
-        if (g := EXACT.get(n)) and fits(g, c):
-            return Mapping(c.name, NAMED[g], "name", g)
+        for known in (EXACT, TIMES_BY_NAME) if c.kind not in TIMES else (TIMES_BY_NAME, EXACT):
+            if (g := known.get(vocabulary.squeezed(n))) and fits(g, c):
+                return Mapping(c.name, NAMED[g], "name", g)
     for n in dict.fromkeys((raw, name)):
         for s, g in SUFFIXES:
             if n.endswith(s) and len(n) > len(s) and fits(g, c):
