@@ -104,7 +104,7 @@ ENDINGS: dict[str, list[str]] = {
     "contact.fax": ["fax"],
     "contact.phone": ["mobile", "phone", "tel"],
     "contact.url": ["homepage", "link", "uri", "url", "website"],
-    "finance.amount": ["amount", "balance", "cost", "fee", "price", "tax", "total"],
+    "finance.amount": ["amount", "balance", "cost", "fee", "price", "total"],
     "finance.rate": ["rate"],
     "identifier.code": ["code", "ref"],
     "identifier.hash": ["hash"],

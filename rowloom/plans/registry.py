@@ -12,7 +12,7 @@ from ..functions.rng import sql_uniform as U
 from ..functions.values import PLACES, SAFE_DOMAINS, Ctx, address, ipv4, uuid4
 from ..operators import cardinality, coherence, existing, generate, mapping, plan, unique
 from ..operators.prefix import ordinals
-from ..schema import Column, ForeignKey, Kind, Schema, Table, ancestors, columns_frame, edges_frame, excluded, filter_schema, glob_regex, table_from_frame
+from ..schema import Check, Column, ForeignKey, Kind, Schema, Table, ancestors, columns_frame, edges_frame, excluded, filter_schema, glob_regex, table_from_frame
 from ..scratch import materialise
 from ..sinks import sqltext
 from ..sources import introspect
@@ -41,6 +41,20 @@ def rows(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("row"))
 
 
+def keys(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by their key, as rows that values are drawn for."""
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("row"))
+
+
+def n_rows(spark: SparkSession, d: str, t: str) -> int:
+    return read(spark, d, t).count()
+
+
+def distinct(spark: SparkSession, d: str, t: str, column: str) -> tuple[str, ...]:
+    """A column's values, of which there are a few dozen at most whatever the scale (priorities, segments, brands)."""
+    return tuple(sorted(r[0] for r in existing.distinct_values(read(spark, d, t), column).collect()))
+
+
 ROW = Column("row", Kind.BIGINT, nullable=False)
 
 
@@ -123,9 +137,9 @@ def sequence_reset_values(spark, d):
 # --- random numbers and distributions
 
 
-@query(f"SELECT i AS row, {sql_micros(U(SEED, 't', 'c', 'i'), 9)} AS u FROM range(1000) r(i)")
+@query(f"SELECT i AS row, {sql_micros(U(SEED, 't', 'c', 'i'), 9)} AS u FROM (SELECT o_orderkey AS i FROM orders) r")
 def uniform_draw(spark, d):
-    return rows(spark, 1000).select("row", micros(u("t", "c"), 9).alias("u"))
+    return keys(spark, d).select("row", micros(u("t", "c"), 9).alias("u"))
 
 
 @query("SELECT (SELECT max(o_orderkey) FROM orders) + 1 + i AS id FROM range(500) r(i)")
@@ -138,29 +152,27 @@ def auto_increment_ids(spark, d):
 _N = f"least(1.0, greatest(0.0, 0.5 + 0.15 * sqrt(-2.0 * ln(greatest({U(SEED, 't', 'n', 'i', 0)}, 1e-12))) * cos(2 * pi() * {U(SEED, 't', 'n', 'i', 1)})))"
 
 
-@query(f"SELECT i AS row, {sql_micros(_N)} AS x FROM range(1000) r(i)")
+@query(f"SELECT i AS row, {sql_micros(_N)} AS x FROM (SELECT o_orderkey AS i FROM orders) r")
 def dist_normal(spark, d):
-    return rows(spark, 1000).select("row", micros(rng.share("normal", SEED, "t", "n", F.col("row"), 1000)).alias("x"))
+    return keys(spark, d).select("row", micros(rng.share("normal", SEED, "t", "n", F.col("row"), 1000)).alias("x"))
 
 
-@query(f"SELECT i AS row, {sql_micros(f'-ln(1.0 - {U(SEED, chr(116), chr(101), chr(105))} * (1.0 - exp(-1.0)))')} AS x FROM range(1000) r(i)")
+@query(f"SELECT i AS row, {sql_micros(f'-ln(1.0 - {U(SEED, chr(116), chr(101), chr(105))} * (1.0 - exp(-1.0)))')} AS x FROM (SELECT o_orderkey AS i FROM orders) r")
 def dist_exponential(spark, d):
-    return rows(spark, 1000).select("row", micros(rng.share("exponential", SEED, "t", "e", F.col("row"), 1000)).alias("x"))
+    return keys(spark, d).select("row", micros(rng.share("exponential", SEED, "t", "e", F.col("row"), 1000)).alias("x"))
 
 
-@query(f"""WITH p AS (SELECT k, 1.0 / k AS p FROM range(1, 201) r(k)), c AS (SELECT k, (sum(p) OVER (ORDER BY k)) / (SELECT sum(p) FROM p) AS hi, p / (SELECT sum(p) FROM p) AS sh FROM p),
-    d AS (SELECT i, {U(SEED, 't', 'z', 'i')} AS u FROM range(500) r(i))
-    SELECT d.i AS row, min(c.k) AS rank FROM d JOIN c ON d.u < c.hi + 1e-12 GROUP BY d.i""")
+@query(f"""WITH p AS (SELECT k, 1.0 / k AS p FROM range(1, (SELECT count(*) FROM customer) + 1) r(k)), c AS (SELECT k, coalesce(sum(p) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / (SELECT sum(p) FROM p) AS lo FROM p),
+    d AS (SELECT o_orderkey AS i, {U(SEED, 't', 'z', 'o_orderkey')} AS u FROM orders)
+    SELECT d.i AS row, c.k AS rank FROM d ASOF JOIN c ON d.u >= c.lo""")
 def dist_zipf_rank(spark, d):
-    """Ranks by the exact cumulative table; it has one row a rank and goes to every task (200 rows)."""
-    table = rng.zipf_table(spark, 200).select("rank", F.col("high"))
-    draws = rows(spark, 500).select("row", u("t", "z").alias("u"))
-    return draws.join(F.broadcast(table), F.col("u") < F.col("high") + F.lit(1e-12)).groupBy("row").agg(F.min("rank").alias("rank"))
+    """A customer's rank for each order, by the exact cumulative shares."""
+    return rng.zipf_draws(keys(spark, d).withColumn("u", u("t", "z")), "u", n_rows(spark, d, "customer")).select("row", "rank")
 
 
-@query(f"SELECT i AS row, least(1000, greatest(1, floor(exp({U(SEED, 't', 'zc', 'i')} * ln(1001.0)))))::BIGINT AS rank FROM range(1000) r(i)")
+@query(f"SELECT i AS row, least(1000, greatest(1, floor(exp({U(SEED, 't', 'zc', 'i')} * ln(1001.0)))))::BIGINT AS rank FROM (SELECT o_orderkey AS i FROM orders) r")
 def dist_zipf_continuous(spark, d):
-    return rows(spark, 1000).select("row", rng.zipf_rank(u("t", "zc"), 1000).alias("rank"))
+    return keys(spark, d).select("row", rng.zipf_rank(u("t", "zc"), 1000).alias("rank"))
 
 
 # --- graph
@@ -218,10 +230,10 @@ def fk_assign_composite(spark, d):
     return rows(spark, 1000).withColumn("at", at).join(pool, F.col("at") == F.col("ord")).select("row", "l_orderkey", "l_linenumber")
 
 
-@query("SELECT i AS row, true AS without_parent FROM range(20) r(i)")
+@query("SELECT i AS row, true AS without_parent FROM range((SELECT count(*) FROM customer)) r(i)")
 def fk_assign_nullable_pool(spark, d):
     s = Schema.of(Table("p", (Column("id", Kind.BIGINT, nullable=False, auto_increment=True),), ("id",)), Table("c", (Column("row", Kind.BIGINT, nullable=False), Column("parent_id", Kind.BIGINT)), (), (ForeignKey(("parent_id",), "p", ("id",)),)))
-    config = generate.Config(SEED, rows_of={"p": 0, "c": 20}, overrides={"c": {"row": {"builder": lambda x: x.row}}})
+    config = generate.Config(SEED, rows_of={"p": 0, "c": n_rows(spark, d, "customer")}, overrides={"c": {"row": {"builder": lambda x: x.row}}})
     return generate.generate(spark, s, config).tables["c"].select("row", F.col("parent_id").isNull().alias("without_parent"))
 
 
@@ -307,31 +319,31 @@ def null_injection(spark, d):
     return read(spark, d, "orders").select("o_orderkey", maker.with_nulls(F.col("o_orderpriority"), t.column("note"), t, F.col("o_orderkey")).alias("note"))
 
 
-@query(f"SELECT i AS row, (['new','paid','sent','done'])[(floor({U(SEED, 'orders', 'status', 'i')} * 4) + 1)::INT] AS status FROM range(1000) r(i)")
+@query(f"SELECT i AS row, p.v[(floor({U(SEED, 'orders', 'status', 'i')} * len(p.v)) + 1)::INT] AS status FROM range((SELECT count(*) FROM orders)) r(i), (SELECT list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS v FROM orders) p")
 def enum_pick(spark, d):
-    return generated(spark, Table("orders", (ROW, Column("status", Kind.ENUM, nullable=False, values=tuple(SEGMENTS)))), 1000)
+    return generated(spark, Table("orders", (ROW, Column("status", Kind.ENUM, nullable=False, values=distinct(spark, d, "orders", "o_orderpriority")))), n_rows(spark, d, "orders"))
 
 
 _W = U(SEED, "orders", "w", "i")
 
 
-@query(f"SELECT i AS row, CASE WHEN {_W} < 0.5 THEN 'a' WHEN {_W} < 0.8 THEN 'b' ELSE 'c' END AS v FROM range(1000) r(i)")
+@query(f"SELECT i AS row, CASE WHEN {_W} < 0.5 THEN 'a' WHEN {_W} < 0.8 THEN 'b' ELSE 'c' END AS v FROM (SELECT o_orderkey AS i FROM orders) r")
 def weighted_values(spark, d):
-    return rows(spark, 1000).select("row", rng.weighted(u("orders", "w"), ["a", "b", "c"], [5, 3, 2]).alias("v"))
+    return keys(spark, d).select("row", rng.weighted(u("orders", "w"), ["a", "b", "c"], [5, 3, 2]).alias("v"))
 
 
-@query("SELECT i AS row, (['x','y','z'])[(i % 3 + 1)::INT] AS v, ((i * 2654435761) % 1000)::BIGINT AS place FROM range(1000) r(i)")
+@query("SELECT i AS row, (['x','y','z'])[(i % 3 + 1)::INT] AS v, ((i * 2654435761) % 1000)::BIGINT AS place FROM (SELECT o_orderkey AS i FROM orders) r")
 def cyclic_values(spark, d):
-    return rows(spark, 1000).select("row", rng.cyclic(F.col("row"), ["x", "y", "z"]).alias("v"), (rng.spread(F.col("row")) * 1000 + 0.5).cast("long").alias("place"))
+    return keys(spark, d).select("row", rng.cyclic(F.col("row"), ["x", "y", "z"]).alias("v"), (rng.spread(F.col("row")) * 1000 + 0.5).cast("long").alias("place"))
 
 
 _A = f"({REF} - floor({U(SEED, 'orders', 'created_at', 'i', 0)} * 63072000)::BIGINT)"
 
 
-@query(f"SELECT i AS row, {_A} AS created, {_A} + floor({U(SEED, 'orders', 'updated_at', 'i', 1)} * ({REF} - {_A}))::BIGINT AS updated FROM range(1000) r(i)")
+@query(f"SELECT i AS row, {_A} AS created, {_A} + floor({U(SEED, 'orders', 'updated_at', 'i', 1)} * ({REF} - {_A}))::BIGINT AS updated FROM (SELECT o_orderkey AS i FROM orders) r")
 def timestamp_pairs(spark, d):
     a, b = coherence.time_pair(SEED, "orders", "created_at", "updated_at", F.col("row"), REF)
-    return rows(spark, 1000).select("row", a.alias("created"), b.alias("updated"))
+    return keys(spark, d).select("row", a.alias("created"), b.alias("updated"))
 
 
 @query(f"SELECT p_partkey, floor({U(SEED, 'part', 'price', 'p_partkey')} * 999999 * 100)::BIGINT AS cents FROM part")
@@ -351,9 +363,9 @@ def truncate_varchar(spark, d):
 _H = f"md5('{SEED}|t|id|' || i || '|0')"
 
 
-@query(f"SELECT i AS row, substr({_H},1,8) || '-' || substr({_H},9,4) || '-4' || substr({_H},14,3) || '-' || (['8','9','a','b'])[(floor({U(SEED, 't', 'id', 'i', 1)} * 4) + 1)::INT] || substr({_H},18,3) || '-' || substr({_H},21,12) AS id FROM range(500) r(i)")
+@query(f"SELECT i AS row, substr({_H},1,8) || '-' || substr({_H},9,4) || '-4' || substr({_H},14,3) || '-' || (['8','9','a','b'])[(floor({U(SEED, 't', 'id', 'i', 1)} * 4) + 1)::INT] || substr({_H},18,3) || '-' || substr({_H},21,12) AS id FROM (SELECT o_orderkey AS i FROM orders) r")
 def uuid_v4_format(spark, d):
-    return rows(spark, 500).select("row", uuid4(Ctx(SEED, "t", "id", F.col("row"), REF)).alias("id"))
+    return keys(spark, d).select("row", uuid4(Ctx(SEED, "t", "id", F.col("row"), REF)).alias("id"))
 
 
 @query(f"SELECT c_custkey, lower(replace(c_name, '#', '.')) || '@' || ({SAFE_DOMAINS!r})[(floor({U(SEED, 'customer', 'email', 'c_custkey', 2)} * 3) + 1)::INT] AS email FROM customer")
@@ -365,32 +377,32 @@ def safe_email(spark, d):
 _P = f"(floor({U(SEED, 'people', '__place', 'i')} * {len(PLACES)}) + 1)::INT"
 
 
-@query(f"SELECT i AS row, ({[p[0] for p in PLACES]!r})[{_P}] AS city, ({[p[1] for p in PLACES]!r})[{_P}] AS state, ({[p[2] for p in PLACES]!r})[{_P}] || lpad(floor({U(SEED, 'people', '__place', 'i', 1)} * 100)::BIGINT::VARCHAR, 2, '0') AS zip FROM range(500) r(i)")
+@query(f"SELECT i AS row, ({[p[0] for p in PLACES]!r})[{_P}] AS city, ({[p[1] for p in PLACES]!r})[{_P}] AS state, ({[p[2] for p in PLACES]!r})[{_P}] || lpad(floor({U(SEED, 'people', '__place', 'i', 1)} * 100)::BIGINT::VARCHAR, 2, '0') AS zip FROM (SELECT o_orderkey AS i FROM orders) r")
 def coherent_location(spark, d):
     t = Table("people", tuple(Column(c) for c in ("city", "state", "zip")))
     made = coherence.columns_of(coherence.detect(t)[0], Ctx(SEED, "people", "", F.col("row"), REF))
-    return rows(spark, 500).select("row", *[v.alias(c) for c, v in made.items()])
+    return keys(spark, d).select("row", *[v.alias(c) for c, v in made.items()])
 
 
-@query("SELECT count(*) AS n_rows, 0::BIGINT AS violations FROM range(2000)")
+@query("SELECT count(*) AS n_rows, 0::BIGINT AS violations FROM orders")
 def temporal_coherence(spark, d):
     t = Table("ship", (Column("order_date", Kind.TIMESTAMP), Column("ship_date", Kind.TIMESTAMP)))
     made = coherence.columns_of(coherence.detect(t)[0], Ctx(SEED, "ship", "", F.col("row"), REF))
-    return rows(spark, 2000).select(*[v.alias(c) for c, v in made.items()]).agg(F.count("*").alias("n_rows"), F.count_if(F.col("ship_date") < F.col("order_date")).alias("violations"))
+    return keys(spark, d).select(*[v.alias(c) for c, v in made.items()]).agg(F.count("*").alias("n_rows"), F.count_if(F.col("ship_date") < F.col("order_date")).alias("violations"))
 
 
-@query(f"SELECT i AS row, {U(SEED, 't', 'flag', 'i')} < 0.5 AS flag FROM range(500) r(i)")
+@query(f"SELECT i AS row, {U(SEED, 't', 'flag', 'i')} < 0.5 AS flag FROM range((SELECT count(*) FROM orders)) r(i)")
 def bool_flip(spark, d):
-    return generated(spark, Table("t", (ROW, Column("flag", Kind.BOOLEAN, nullable=False))), 500)
+    return generated(spark, Table("t", (ROW, Column("flag", Kind.BOOLEAN, nullable=False))), n_rows(spark, d, "orders"))
 
 
 _IP = " || '.' || ".join(f"(floor({U(SEED, 't', 'ip', 'i', k)} * {254 if k in (0, 3) else 255}) + {1 if k in (0, 3) else 0})::BIGINT" for k in range(4))
 _M = f"md5('{SEED}|t|mac|' || i || '|0')"
 
 
-@query(f"SELECT i AS row, {_IP} AS ip, " + " || ':' || ".join(f"substr({_M}, {1 + 2 * k}, 2)" for k in range(6)) + " AS mac FROM range(500) r(i)")
+@query(f"SELECT i AS row, {_IP} AS ip, " + " || ':' || ".join(f"substr({_M}, {1 + 2 * k}, 2)" for k in range(6)) + " AS mac FROM (SELECT o_orderkey AS i FROM orders) r")
 def ipv4_mac(spark, d):
-    return rows(spark, 500).select("row", ipv4(Ctx(SEED, "t", "ip", F.col("row"), REF)).alias("ip"), mapping.fallback(Column("mac", Kind.MACADDR))(Ctx(SEED, "t", "mac", F.col("row"), REF)).alias("mac"))
+    return keys(spark, d).select("row", ipv4(Ctx(SEED, "t", "ip", F.col("row"), REF)).alias("ip"), mapping.fallback(Column("mac", Kind.MACADDR))(Ctx(SEED, "t", "mac", F.col("row"), REF)).alias("mac"))
 
 
 # --- uniqueness
@@ -422,25 +434,28 @@ def unique_violations(spark, d):
     return unique.duplicates(read(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT 5000::BIGINT AS n_rows, 5000::BIGINT AS n_pairs, 0::BIGINT AS out_of_range")
+@query("SELECT count(*) AS n_rows, count(*) AS n_pairs, 0::BIGINT AS out_of_range FROM lineitem")
 def composite_unique(spark, d):
-    a, b = unique.pair_ordinals(F.col("row"), 100, 60, SEED)
-    pairs = rows(spark, 5000).select(a.alias("a"), b.alias("b"))
-    return pairs.agg(F.count("*").alias("n_rows"), F.countDistinct("a", "b").alias("n_pairs"), F.count_if((F.col("a") >= 100) | (F.col("b") >= 60) | (F.col("a") < 0) | (F.col("b") < 0)).alias("out_of_range"))
+    """As many pairs of a customer and a part as there are lines."""
+    left, right = n_rows(spark, d, "customer"), n_rows(spark, d, "part")
+    a, b = unique.pair_ordinals(F.col("row"), left, right, SEED)
+    pairs = rows(spark, n_rows(spark, d, "lineitem")).select(a.alias("a"), b.alias("b"))
+    return pairs.agg(F.count("*").alias("n_rows"), F.countDistinct("a", "b").alias("n_pairs"), F.count_if((F.col("a") >= left) | (F.col("b") >= right) | (F.col("a") < 0) | (F.col("b") < 0)).alias("out_of_range"))
 
 
 # --- deferral
 
 
-@query(f"SELECT i AS row, CASE WHEN i >= 30 AND i > 0 THEN floor({U(SEED, 'categories', 'parent_id', 'i')} * i)::BIGINT ELSE -1 END AS parent FROM range(200) r(i)")
+@query(f"SELECT i AS row, CASE WHEN i >= floor(0.15::DOUBLE * (SELECT count(*) FROM customer)) AND i > 0 THEN floor({U(SEED, 'categories', 'parent_id', 'i')} * i)::BIGINT ELSE -1 END AS parent FROM range((SELECT count(*) FROM customer)) r(i)")
 def self_ref_tree(spark, d):
-    return rows(spark, 200).select("row", F.coalesce(generate.tree_parent(SEED, "categories", "parent_id", F.col("row"), 200), F.lit(-1)).alias("parent"))
+    n = n_rows(spark, d, "customer")
+    return rows(spark, n).select("row", F.coalesce(generate.tree_parent(SEED, "categories", "parent_id", F.col("row"), n), F.lit(-1)).alias("parent"))
 
 
-@query("SELECT 75::BIGINT AS roots, 0::BIGINT AS forward, 500::BIGINT AS n_rows")
+@query("SELECT greatest(floor(0.15::DOUBLE * count(*)), 1)::BIGINT AS roots, 0::BIGINT AS forward, count(*) AS n_rows FROM part")
 def self_ref_roots(spark, d):
     s = Schema.of(Table("categories", (Column("id", Kind.INTEGER, nullable=False, auto_increment=True), Column("parent_id", Kind.INTEGER)), ("id",), (ForeignKey(("parent_id",), "categories", ("id",)),)))
-    t = generate.generate(spark, s, generate.Config(SEED, rows=500)).tables["categories"]
+    t = generate.generate(spark, s, generate.Config(SEED, rows=n_rows(spark, d, "part"))).tables["categories"]
     return t.agg(F.count_if(F.col("parent_id").isNull()).alias("roots"), F.count_if(F.col("parent_id") >= F.col("id")).alias("forward"), F.count("*").alias("n_rows"))
 
 
@@ -452,16 +467,16 @@ def _cycle() -> Schema:
     )
 
 
-@query(f"SELECT i + 1 AS id, floor({U(SEED, 'orders', 'invoice_id', 'i')} * 200)::BIGINT + 1 AS invoice_id FROM range(300) r(i)")
+@query(f"SELECT i + 1 AS id, floor({U(SEED, 'orders', 'invoice_id', 'i')} * (SELECT count(*) FROM customer))::BIGINT + 1 AS invoice_id FROM range((SELECT count(*) FROM orders)) r(i)")
 def cycle_fill(spark, d):
-    made = generate.generate(spark, _cycle(), generate.Config(SEED, rows_of={"orders": 300, "invoices": 200}))
+    made = generate.generate(spark, _cycle(), generate.Config(SEED, rows_of={"orders": n_rows(spark, d, "orders"), "invoices": n_rows(spark, d, "customer")}))
     return made.tables["orders"].select(F.col("id").cast("long").alias("id"), F.col("invoice_id").cast("long").alias("invoice_id"))
 
 
-@query(f"SELECT i + 1 AS id, floor({U(SEED, 'orders', 'invoice_id', 'i')} * 200)::BIGINT + 1 AS invoice_id FROM range(300) r(i)")
+@query(f"SELECT i + 1 AS id, floor({U(SEED, 'orders', 'invoice_id', 'i')} * (SELECT count(*) FROM customer))::BIGINT + 1 AS invoice_id FROM range((SELECT count(*) FROM orders)) r(i)")
 def deferred_apply(spark, d):
     """The same references as updates joined to rows that lack them."""
-    made = generate.generate(spark, _cycle(), generate.Config(SEED, rows_of={"orders": 300, "invoices": 200}))
+    made = generate.generate(spark, _cycle(), generate.Config(SEED, rows_of={"orders": n_rows(spark, d, "orders"), "invoices": n_rows(spark, d, "customer")}))
     updates = made.updates["orders"][0]
     bare = made.tables["orders"].select("id")
     return bare.join(updates, "id", "left").select(F.col("id").cast("long").alias("id"), F.col("invoice_id").cast("long").alias("invoice_id"))
@@ -469,12 +484,16 @@ def deferred_apply(spark, d):
 
 # --- mapping and metadata
 
-_NAMES = ["UserName", "first-name", "__email_", "total__amount_val", "is-Active", "price_field", "a_b_col", "zip", "Order-ID_value", "x"]
+_COLUMNS = "c AS (SELECT table_name AS t, column_name AS c, ordinal_position - 1 AS p FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + "))"
 
 
-@query("SELECT n AS name, regexp_replace(regexp_replace(regexp_replace(replace(lower(n), '-', '_'), '_+', '_', 'g'), '^_|_$', '', 'g'), '_(col|field|val|value)$', '') AS normalised FROM (VALUES " + ", ".join(f"('{n}')" for n in _NAMES) + ") t(n)")
+@query(f"""WITH {_COLUMNS}, n AS (SELECT upper(t) || '--' || c || '_val' AS n FROM c UNION SELECT '__' || c || '__' || t || '_Field' FROM c UNION SELECT c FROM c)
+    SELECT n AS name, regexp_replace(regexp_replace(regexp_replace(replace(lower(n), '-', '_'), '_+', '_', 'g'), '^_|_$', '', 'g'), '_(col|field|val|value)$', '') AS normalised FROM n""")
 def normalize_column_names(spark, d):
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", normalise_column(F.col("name")).alias("normalised"))
+    """The given tables' columns, written in odd ways."""
+    c = columns_frame(spark, given_schema(spark, d))
+    named = c.select(F.explode(F.array(F.concat(F.upper("table"), F.lit("--"), "column", F.lit("_val")), F.concat(F.lit("__"), "column", F.lit("__"), "table", F.lit("_Field")), F.col("column"))).alias("name")).distinct()
+    return named.select("name", normalise_column(F.col("name")).alias("normalised"))
 
 
 #: Columns of the given tables that a name or a stem decides; the others go by their type.
@@ -482,7 +501,6 @@ _DECIDED = [
     ("part", "p_brand", "stem", "commerce.product", "low"), ("lineitem", "l_discount", "stem", "commerce.quantity", "low"), ("lineitem", "l_tax", "stem", "finance.amount", "low"), ("documents", "text", "name", "text.long", "high"),
     ("pages", "url", "name", "contact.url", "high"), ("benchmark", "item_id", "stem", "commerce.quantity", "low"), ("benchmark", "text", "name", "text.long", "high"), ("conversations", "text", "name", "text.long", "high"),
 ]
-_COLUMNS = "c AS (SELECT table_name AS t, column_name AS c, ordinal_position - 1 AS p FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + "))"
 
 
 @query(f"WITH {_COLUMNS}, x(t, c, s, g, f) AS (VALUES " + ", ".join(map(str, _DECIDED)) + ") SELECT c.t AS \"table\", c.c AS \"column\", coalesce(x.s, 'type') AS source, coalesce(x.g, '') AS generator, coalesce(x.f, 'low') AS confidence FROM c LEFT JOIN x ON x.t = c.t AND x.c = c.c")
@@ -503,12 +521,21 @@ def stem_scores(spark, d):
     return spark.createDataFrame(out, "name string, domain string, score double")
 
 
-_CHECKS = ["status = ANY (ARRAY['a'::text, 'b'::text])", "x IN ('low', 'mid', 'low')", "(y = 'p') OR (y = 'q')", "price >= 0", "z > 'a'"]
+_LISTED = "SELECT p_size, string_agg(DISTINCT {0}, {1} ORDER BY {0}) AS v FROM part GROUP BY p_size"
 
 
-@query("SELECT e, CASE WHEN regexp_matches(e, '[<>]') THEN '' ELSE array_to_string(list_distinct_ordered, ',') END AS vals FROM (SELECT e, (SELECT list(v ORDER BY i) FROM (SELECT v, min(i) AS i FROM (SELECT unnest(regexp_extract_all(e, '''([^'']*)''', 1)) AS v, generate_subscripts(regexp_extract_all(e, '''([^'']*)''', 1), 1) AS i) GROUP BY v)) AS list_distinct_ordered FROM (VALUES " + ", ".join("('" + c.replace("'", "''") + "')" for c in _CHECKS) + ") t(e))")
+@query(f"""WITH e AS ({_LISTED.format("p_brand", "', '")}), x AS ({_LISTED.format("p_brand", "','")})
+    SELECT e.p_size, k.k AS form, CASE k.k WHEN 'order' THEN '' ELSE x.v END AS vals FROM e JOIN x USING (p_size), (VALUES ('in'), ('any'), ('or'), ('order')) k(k)""")
 def check_literals(spark, d):
-    return spark.createDataFrame([(c,) for c in _CHECKS], "e string").select("e", F.array_join(literals_column(F.col("e")), ",").alias("vals"))
+    """Texts that CHECKs list, in the ways that catalogs write them: the brands of each size of parts."""
+    brands = read(spark, d, "part").groupBy("p_size").agg(F.array_sort(F.collect_set("p_brand")).alias("v"))
+    text = lambda f: F.transform("v", lambda x: F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit(f)))
+    forms = {
+        "in": F.concat(F.lit("p_brand IN ("), F.array_join(text("'"), ", "), F.lit(")")), "any": F.concat(F.lit("(p_brand = ANY (ARRAY["), F.array_join(text("'::text"), ", "), F.lit("]))")),
+        "or": F.concat(F.lit("(p_brand = "), F.array_join(text("'"), ") OR (p_brand = "), F.lit(")")), "order": F.concat(F.lit("p_brand > "), F.element_at(text("'"), 1)),
+    }
+    made = brands.select("p_size", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), e.alias("e")) for k, e in forms.items()])).alias("x")).select("p_size", "x.*")
+    return made.select("p_size", "form", F.array_join(literals_column(F.col("e")), ",").alias("vals"))
 
 
 @query("WITH " + _T + " SELECT name FROM t WHERE NOT regexp_full_match(name, '[^.]*s') AND NOT regexp_full_match(name, 'p[^.]*')")
@@ -520,11 +547,13 @@ def glob_exclude(spark, d):
     return names_
 
 
-@query("SELECT w, k AS suggestion, lev AS distance FROM (SELECT w, k, levenshtein(w, k) AS lev, row_number() OVER (PARTITION BY w ORDER BY levenshtein(w, k), k) AS rn FROM (VALUES ('cuont'), ('sed'), ('exclud'), ('tabels')) a(w), (VALUES ('count'), ('seed'), ('exclude'), ('tables'), ('locale')) b(k)) WHERE rn = 1 AND lev <= 2")
+@query("""WITH b AS (SELECT DISTINCT c_mktsegment AS k FROM customer UNION SELECT DISTINCT o_orderpriority FROM orders), a AS (SELECT substr(k, 2) AS w FROM b UNION SELECT k || 'x' FROM b),
+    l AS (SELECT w, k, levenshtein(w, k) AS lev, row_number() OVER (PARTITION BY w ORDER BY levenshtein(w, k), k) AS rn FROM a, b) SELECT w, k AS suggestion, lev AS distance FROM l WHERE rn = 1 AND lev <= 2""")
 def key_suggestion(spark, d):
-    keys = ["count", "seed", "exclude", "tables", "locale"]
-    found = [(w, k, names.distance(w, k)) for w in ("cuont", "sed", "exclud", "tabels") if (k := names.suggest(w, keys))]
-    return spark.createDataFrame(found, "w string, suggestion string, distance long")
+    """Segments and priorities with a letter too few or too many."""
+    known = sorted({*distinct(spark, d, "customer", "c_mktsegment"), *distinct(spark, d, "orders", "o_orderpriority")})
+    words = {w for k in known for w in (k[1:], k + "x")}
+    return spark.createDataFrame([(w, k, names.distance(w, k)) for w in sorted(words) if (k := names.suggest(w, known))], "w string, suggestion string, distance long")
 
 
 # --- sinks
@@ -554,9 +583,9 @@ def insert_batches(spark, d):
     return ordinals(read(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "at").select(batch_number(F.col("at"), 500).alias("batch"), "o_orderkey")
 
 
-@query("SELECT i AS n_columns, greatest(100, least(5000, floor(1000000.0 / (30 * i + 3 * i + 10))))::BIGINT AS batch FROM range(1, 60) r(i)")
+@query("SELECT i AS n_columns, greatest(100, least(5000, floor(1000000.0 / (30 * i + 3 * i + 10))))::BIGINT AS batch FROM (SELECT DISTINCT p_size::BIGINT + 1 AS i FROM part) r")
 def optimal_batch_size(spark, d):
-    return spark.range(1, 60).select(F.col("id").alias("n_columns"), sqltext.optimal_batch(F.col("id")).alias("batch"))
+    return read(spark, d, "part").select((F.col("p_size").cast("long") + 1).alias("n_columns")).distinct().select("n_columns", sqltext.optimal_batch(F.col("n_columns")).alias("batch"))
 
 
 _WIDE = "repeat(md5(l_orderkey || '/' || l_linenumber || '/' || l_partkey), 5)"
@@ -596,17 +625,72 @@ def timestamp_literals(spark, d):
 # --- unique keys of several columns
 
 
-@query("SELECT 90::BIGINT AS n_rows, 90::BIGINT AS n_keys, 60::BIGINT AS n_free, 60::BIGINT AS n_free_keys")
+@query("""WITH a AS (SELECT count(DISTINCT p_brand) AS brands FROM part), b AS (SELECT count(DISTINCT c_mktsegment) AS segments FROM customer), n AS (SELECT count(*) AS n FROM supplier)
+    SELECT brands * segments AS n_rows, brands * segments AS n_keys, n AS n_free, n AS n_free_keys FROM a, b, n""")
 def composite_unique_generated(spark, d):
-    """Unique pairs of two enumerations (90 of 100 possible), and of an enumeration with a text."""
+    """All pairs of a brand and a segment, and as many pairs of a brand and a text as there are suppliers."""
     key = Column("id", Kind.BIGINT, nullable=False, auto_increment=True)
-    size = lambda n, name: Column(name, Kind.ENUM, nullable=False, values=tuple(f"{name}{i}" for i in range(n)))
-    s = Schema.of(Table("two", (key, size(10, "a"), size(10, "b")), ("id",), (), (("a", "b"),)), Table("free", (key, size(2, "a"), Column("first_name", Kind.VARCHAR, nullable=False, max_length=12)), ("id",), (), (("a", "first_name"),)))
-    made = generate.generate(spark, s, generate.Config(SEED, rows_of={"two": 90, "free": 60})).tables
+    brands, segments = distinct(spark, d, "part", "p_brand"), distinct(spark, d, "customer", "c_mktsegment")
+    a, b = (Column(n, Kind.ENUM, nullable=False, values=v) for n, v in (("a", brands), ("b", segments)))
+    s = Schema.of(Table("two", (key, a, b), ("id",), (), (("a", "b"),)), Table("free", (key, a, Column("first_name", Kind.VARCHAR, nullable=False, max_length=12)), ("id",), (), (("a", "first_name"),)))
+    made = generate.generate(spark, s, generate.Config(SEED, rows_of={"two": len(brands) * len(segments), "free": n_rows(spark, d, "supplier")})).tables
     one = made["two"].agg(F.count("*").alias("n_rows"), F.countDistinct("a", "b").alias("n_keys"))
     return one.crossJoin(made["free"].agg(F.count("*").alias("n_free"), F.countDistinct("a", "first_name").alias("n_free_keys")))  # a row each
 
 
+@query("""WITH b AS (SELECT count(DISTINCT p_brand) AS brands FROM part), s AS (SELECT count(DISTINCT c_mktsegment) AS segments FROM customer), p AS (SELECT count(DISTINCT o_orderpriority) AS priorities FROM orders),
+    n AS (SELECT brands * least(segments, priorities) AS n FROM b, s, p) SELECT n AS n_rows, n AS n_left, n AS n_right FROM n""")
+def shared_unique_keys(spark, d):
+    """Unique (segment, brand) and unique (brand, priority) in one table, with as many rows as there can be."""
+    key = Column("id", Kind.BIGINT, nullable=False, auto_increment=True)
+    of = {"segment": distinct(spark, d, "customer", "c_mktsegment"), "brand": distinct(spark, d, "part", "p_brand"), "priority": distinct(spark, d, "orders", "o_orderpriority")}
+    t = Table("t", (key, *(Column(n, Kind.ENUM, nullable=False, values=v) for n, v in of.items())), ("id",), (), (("segment", "brand"), ("brand", "priority")))
+    n = len(of["brand"]) * min(len(of["segment"]), len(of["priority"]))
+    made = generate.generate(spark, Schema.of(t), generate.Config(SEED, rows=n)).tables["t"]
+    return made.agg(F.count("*").alias("n_rows"), F.countDistinct("segment", "brand").alias("n_left"), F.countDistinct("brand", "priority").alias("n_right"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS o, l_linenumber::BIGINT AS x, row_number() OVER (PARTITION BY l_orderkey, l_linenumber) - 1 AS k FROM lineitem),
+    e AS (SELECT min(x) AS lo, max(x) AS hi FROM r), w AS (SELECT o, count(*) FILTER (k > 0) AS wanted, count(*) FILTER (k = 0) AS held FROM r GROUP BY o),
+    z AS (SELECT CASE WHEN max(wanted + held) <= any_value(hi - lo + 1) THEN any_value(lo) ELSE least(0, any_value(lo)) END AS lo, CASE WHEN max(wanted + held) <= any_value(hi - lo + 1) THEN any_value(hi) ELSE 2147483647 END AS hi FROM w, e),
+    t AS (SELECT o, x, x - lo - (row_number() OVER (PARTITION BY o ORDER BY x) - 1) AS before, row_number() OVER (PARTITION BY o ORDER BY x) AS shift FROM r, z WHERE k = 0),
+    j AS (SELECT r.o, row_number() OVER (PARTITION BY r.o) - 1 AS n, wanted, hi - lo + 1 - held AS free, lo FROM r JOIN w ON w.o = r.o, z WHERE k > 0),
+    p AS (SELECT o, lo, n, floor(n::HUGEINT * free / wanted)::BIGINT AS place FROM j),
+    f AS (SELECT p.o, p.n, any_value(lo) + any_value(place) + coalesce(max(shift), 0) AS x FROM p LEFT JOIN t ON t.o = p.o AND t.before <= p.place GROUP BY p.o, p.n)
+    SELECT o AS l_orderkey, x AS l_linenumber FROM r WHERE k = 0 UNION ALL SELECT o, x FROM f""")
+def unique_free_values(spark, d):
+    """Line numbers made unique within their orders: the first of equal ones stays, others get free numbers."""
+    lines = ordinals(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], "at")
+    return unique.place_free(lines, "l_linenumber", "at", ("l_orderkey",)).select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"))
+
+
+@query("""WITH p AS (SELECT count(*) AS n, min(p_retailprice) AS low, max(p_retailprice) AS high FROM part), s AS (SELECT min(p_size) AS small, max(p_size) AS large FROM part)
+    SELECT n AS n_rows, 0::BIGINT AS outside, 0::BIGINT AS unordered, floor(low * 100)::BIGINT AS low_cents, ceil(high * 100)::BIGINT AS high_cents FROM p, s""")
+def check_domains(spark, d):
+    """As many rows as there are parts, under CHECKs made from the least and greatest price and size of all parts."""
+    got = read(spark, d, "part").agg(F.count("*").alias("n"), F.floor(F.min("p_retailprice") * 100).alias("low"), F.ceil(F.max("p_retailprice") * 100).alias("high"), F.min("p_size").alias("small"), F.max("p_size").alias("large")).first()
+    checks = (f"price >= {got['low'] / 100} AND price <= {got['high'] / 100}", f"size BETWEEN {got['small']} AND {got['large']}", "size < box AND box <= crate", f"crate <= {got['large'] * 3}")
+    number = lambda n, kind=Kind.INTEGER, **more: Column(n, kind, nullable=False, **more)
+    t = Table("t", (number("id", Kind.BIGINT, auto_increment=True), number("price", Kind.DECIMAL, precision=12, scale=2), number("size"), number("box"), number("crate")), ("id",), checks=tuple(Check(x) for x in checks))
+    made = generate.generate(spark, Schema.of(t), generate.Config(SEED, rows=got["n"])).tables["t"]
+    outside = ~F.col("price").between(F.lit(got["low"] / 100), F.lit(got["high"] / 100)) | ~F.col("size").between(got["small"], got["large"]) | (F.col("crate") > got["large"] * 3)
+    counted = made.agg(F.count("*").alias("n_rows"), F.count_if(outside).alias("outside"), F.count_if((F.col("size") >= F.col("box")) | (F.col("box") > F.col("crate"))).alias("unordered"))
+    return counted.select("*", F.lit(got["low"]).cast("long").alias("low_cents"), F.lit(got["high"]).cast("long").alias("high_cents"))
+
+
+_STEPS = 2 * 365 * 86400 - 4
+_D = f"list_sort([{', '.join(f'floor({U(SEED, chr(116), chr(95) * 2 + 'times', 'o_orderkey', k)} * {_STEPS})::BIGINT' for k in range(4))}])"
+_V = lambda k, c: f"{REF - 2 * 365 * 86400} + d[{k + 1}] + {k} + floor({U(SEED, 't', c, 'o_orderkey')} * (" + (f"d[{k + 2}]" if k < 3 else str(_STEPS)) + f" - d[{k + 1}]))::BIGINT AS {c}"
+
+
+@query(f"WITH r AS (SELECT o_orderkey, {_D} AS d FROM orders) SELECT o_orderkey, {_V(0, 'created_at')}, {_V(1, 'paid_at')}, {_V(2, 'shipped_at')}, {_V(3, 'delivered_at')} FROM r")
+def temporal_chain(spark, d):
+    """Created, paid, shipped, delivered: four times of every order, each after the one before (seconds)."""
+    t = Table("t", tuple(Column(c, Kind.TIMESTAMPTZ) for c in ("delivered_at", "created_at", "shipped_at", "paid_at")))
+    made = coherence.columns_of(coherence.detect(t)[0], Ctx(SEED, "t", "", F.col("o_orderkey"), REF))
+    return read(spark, d, "orders").select("o_orderkey", *[F.unix_seconds(v).alias(c) for c, v in made.items()])
+
+
 @query("SELECT 500::BIGINT AS n_rows, 500::BIGINT AS n_pairs, 0::BIGINT AS met, 0::BIGINT AS lost")
 def bridge_augmented(spark, d):
     """500 more pairs of a customer and a part beside all that were ordered; none of them exists already."""
@@ -621,13 +705,13 @@ def bridge_augmented(spark, d):
     return marked.agg(F.count("*").alias("n_rows"), F.countDistinct("o_custkey", "l_partkey").alias("n_pairs"), F.count("old").alias("met"), F.count_if(F.col("c").isNull() | F.col("p").isNull()).alias("lost"))
 
 
-@query(f"SELECT i + 1 AS id, floor({U(SEED, 'posts', 'user_id', 'i')} * 40)::BIGINT + 1 AS user_id FROM range(60) r(i)")
+@query(f"SELECT i + 1 AS id, floor({U(SEED, 'posts', 'user_id', 'i')} * (SELECT count(*) FROM customer))::BIGINT + 1 AS user_id FROM range((SELECT count(*) FROM orders)) r(i)")
 def regenerated_child(spark, d):
     """A changed table alone: its references go to the parents that the same configuration makes, which aren't put out."""
     key = Column("id", Kind.BIGINT, nullable=False, auto_increment=True)
     s = Schema.of(Table("users", (key,), ("id",)), Table("posts", (key, Column("user_id", Kind.BIGINT, nullable=False)), ("id",), (ForeignKey(("user_id",), "users", ("id",)),)))
     before = diff.hashes(Schema.of(s.tables["users"]))
-    made = generate.generate(spark, s, generate.Config(SEED, rows_of={"users": 40, "posts": 60}), None, diff.to_regenerate(before, s), unchanged=True)
+    made = generate.generate(spark, s, generate.Config(SEED, rows_of={"users": n_rows(spark, d, "customer"), "posts": n_rows(spark, d, "orders")}), None, diff.to_regenerate(before, s), unchanged=True)
     assert list(made.tables) == ["posts"]
     return made.tables["posts"]
 
@@ -799,7 +883,7 @@ def generated_shop(spark, d):
         Table("tags", (key(), Column("name", Kind.VARCHAR, max_length=30, nullable=False), Column("parent_id", Kind.BIGINT)), ("id",), (ForeignKey(("parent_id",), "tags", ("id",)),), (("name",),)),
         Table("post_tags", (Column("post_id", Kind.BIGINT, nullable=False), Column("tag_id", Kind.BIGINT, nullable=False)), ("post_id", "tag_id"), (ForeignKey(("post_id",), "posts", ("id",)), ForeignKey(("tag_id",), "tags", ("id",)))),
     )
-    config = generate.Config(SEED, rows_of={"users": 200, "posts": 1000, "tags": 50, "post_tags": 2000}, cardinality={"posts": {"user_id": cardinality.Cardinality(0, 20, "zipf")}})
+    config = generate.Config(SEED, rows_of={"users": n_rows(spark, d, "customer"), "posts": n_rows(spark, d, "orders"), "tags": n_rows(spark, d, "supplier"), "post_tags": n_rows(spark, d, "orders") * 2}, cardinality={"posts": {"user_id": cardinality.Cardinality(0, 20, "zipf")}})
     made = generate.generate(spark, s, config).tables
     out = None
     for t, by in (("users", "email"), ("posts", "id"), ("tags", "name"), ("post_tags", "post_id,tag_id")):
@@ -808,14 +892,14 @@ def generated_shop(spark, d):
     return out
 
 
-S["generated_shop"] = "SELECT * FROM (VALUES ('users', 200::BIGINT, 200::BIGINT), ('posts', 1000, 1000), ('tags', 50, 50), ('post_tags', 2000, 2000)) t(\"table\", n_rows, n_distinct)"
+S["generated_shop"] = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", {k} * count(*) AS n_rows, {k} * count(*) AS n_distinct FROM {of}" for t, k, of in (("users", 1, "customer"), ("posts", 1, "orders"), ("tags", 1, "supplier"), ("post_tags", 2, "orders")))
 
 
-@query("SELECT i + 1 AS id, {} < 0.5 AS is_live FROM range(200) r(i)".format(U(SEED, "flags", "is_live", "i")))
+@query("SELECT i + 1 AS id, {} < 0.5 AS is_live FROM range((SELECT count(*) FROM orders)) r(i)".format(U(SEED, "flags", "is_live", "i")))
 def streamed_rows(spark, d):
     """Rows that a stream generated, run until its source is used up: equal to the batch, whatever the trigger."""
     t = Table("flags", (Column("id", Kind.BIGINT, nullable=False, auto_increment=True), Column("is_live", Kind.BOOLEAN, nullable=False)), ("id",))
-    return streamed(spark, t, generate.Config(SEED), 200)
+    return streamed(spark, t, generate.Config(SEED), n_rows(spark, d, "orders"))
 
 
 def streamed(spark: SparkSession, t: Table, config: generate.Config, n: int, schema: Schema | None = None, existing_rows=None) -> DataFrame:
@@ -843,14 +927,15 @@ def streamed_references(spark, d):
     return streamed(spark, t, generate.Config(SEED), 300, Schema.of(parent, t), {"orders": read(spark, d, "orders")})
 
 
-@query("SELECT 400::BIGINT AS n_rows, 400::BIGINT AS n_names, 400::BIGINT AS n_pairs, 0::BIGINT AS out_of_range")
+@query("SELECT count(*) AS n_rows, count(*) AS n_names, count(*) AS n_pairs, 0::BIGINT AS out_of_range FROM orders")
 def streamed_unique(spark, d):
     """A stream with a unique text and a unique pair of references."""
+    left, right, n = n_rows(spark, d, "customer"), n_rows(spark, d, "part"), n_rows(spark, d, "orders")
     key = Column("id", Kind.BIGINT, nullable=False, auto_increment=True)
     links = Table("links", (Column("a_id", Kind.BIGINT, nullable=False), Column("b_id", Kind.BIGINT, nullable=False), Column("name", Kind.VARCHAR, max_length=20, nullable=False)), ("a_id", "b_id"), (ForeignKey(("a_id",), "a", ("id",)), ForeignKey(("b_id",), "b", ("id",))), (("name",),))
     s = Schema.of(Table("a", (key,), ("id",)), Table("b", (key,), ("id",)), links)
-    made = streamed(spark, links, generate.Config(SEED, rows_of={"a": 25, "b": 30, "links": 400}), 400, s)
-    return made.agg(F.count("*").alias("n_rows"), F.countDistinct("name").alias("n_names"), F.countDistinct("a_id", "b_id").alias("n_pairs"), F.count_if(~F.col("a_id").between(1, 25) | ~F.col("b_id").between(1, 30)).alias("out_of_range"))
+    made = streamed(spark, links, generate.Config(SEED, rows_of={"a": left, "b": right, "links": n}), n, s)
+    return made.agg(F.count("*").alias("n_rows"), F.countDistinct("name").alias("n_names"), F.countDistinct("a_id", "b_id").alias("n_pairs"), F.count_if(~F.col("a_id").between(1, left) | ~F.col("b_id").between(1, right)).alias("out_of_range"))
 
 
 def queries() -> dict:
