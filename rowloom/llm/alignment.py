@@ -37,10 +37,11 @@ from .common import materialise
 from .lm_interpolation import planes, unplanes
 from .sentencepiece_table import MARK, ChunkEncoder, model_bytes
 
-BLOCK_BYTES = 14 << 20
+BLOCK_BYTES = 4 << 20
 SPAN = re.compile(rb"([\x01\x02]*)\x03")
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 A_BITS = 32
+PAIR_BITS = 31
 
 
 def piece_bytes(sp) -> list[bytes]:
@@ -53,6 +54,16 @@ def piece_bytes(sp) -> list[bytes]:
     return out
 
 
+class SpanCounts(dict):
+    """Tokens of A and B (in one number) that a span's labels and its closing 3 end."""
+
+    def __missing__(self, span: bytes) -> int:
+        n = (span.count(1) + 1) << PAIR_BITS | span.count(2) + 1
+        if len(span) < 16:  # so that there are few to keep
+            self[span] = n
+        return n
+
+
 @dataclass
 class Aligned:
     """A text's tokens, and how many of each tokenizer make up its groups."""
@@ -81,7 +92,7 @@ class Aligner:
         self.bpe, self.pieces = bpe, pieces
         self.a_bytes, self.b_bytes = bpe.tokens, piece_bytes(pieces.sp)
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
-        self.counted: dict[bytes, tuple[int, int]] = {}
+        self.counted = SpanCounts()
 
     @cached_property
     def names(self) -> list[str]:
@@ -93,21 +104,16 @@ class Aligner:
             return NOTHING
         a_ids, b_ids = self.bpe.encode(" " + text), self.pieces.encode(text)
         whole = (" " + text).encode()
-        if b"".join(map(self.a_bytes.__getitem__, a_ids)) != whole or b"".join(map(self.b_bytes.__getitem__, b_ids)) != whole:
+        # A byte-level tokenizer without a normaliser gives back every byte; others are asked.
+        if not self.bpe.alike and b"".join(map(self.a_bytes.__getitem__, a_ids)) != whole or b"".join(map(self.b_bytes.__getitem__, b_ids)) != whole:
             return NOTHING
         a, b = np.array(a_ids, dtype=np.int64), np.array(b_ids, dtype=np.int64)
         labels = np.zeros(len(whole), dtype=np.uint8)
         labels[np.cumsum(self.a_sizes[a]) - 1] = 1
         labels[np.cumsum(self.b_sizes[b]) - 1] |= 2
-        counted, sizes = self.counted, []
-        for span in SPAN.findall(labels.tobytes().translate(None, b"\0")):
-            n = counted.get(span)
-            if n is None:
-                n = span.count(1) + 1, span.count(2) + 1
-                if len(span) < 16:  # so that there are few to keep
-                    counted[span] = n
-            sizes.append(n)
-        in_a, in_b = np.array(sizes, dtype=np.int64).T
+        spans = SPAN.findall(labels.tobytes().translate(None, b"\0"))
+        counts = np.fromiter(map(self.counted.__getitem__, spans), dtype=np.int64, count=len(spans))
+        in_a, in_b = counts >> PAIR_BITS, counts & (1 << PAIR_BITS) - 1
         return Aligned(a, b, in_a, in_b)
 
     def listed(self, x: Aligned) -> str:

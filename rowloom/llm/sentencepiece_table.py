@@ -35,19 +35,25 @@ LONGEST_KEPT = 64  # characters; longer chunks are segmented each time, so the t
 
 
 class ChunkTable(dict):
-    """Ids by chunk without its first marker; a missing chunk is segmented, and kept if there is room or made some."""
+    """Ids by chunk without its first marker. Missing chunks of a text are segmented together, and kept if there is room
+    or made some; long ones are segmented where they are met."""
 
     def __init__(self, segment, size: int):
         super().__init__()
         self.segment, self.size = segment, size
 
     def __missing__(self, rest: str) -> tuple[int, ...]:
-        ids = self.segment(MARK + rest)
-        if len(rest) < LONGEST_KEPT:
-            if len(self) >= self.size:
+        return self.segment([rest])[0]
+
+    def learn(self, rests: list[str]) -> None:
+        new = [r for r in set(rests) if r not in self and len(r) < LONGEST_KEPT]
+        if new:
+            if len(self) + len(new) > self.size:
                 self.clear()
-            self[rest] = ids
-        return ids
+                new = [r for r in set(rests) if len(r) < LONGEST_KEPT]
+            # A text with more distinct chunks than the table holds has the others segmented as they come.
+            new = new[: self.size]
+            self.update(zip(new, self.segment(new), strict=True))
 
 
 class ChunkEncoder:
@@ -57,7 +63,7 @@ class ChunkEncoder:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.table = ChunkTable(self.chunk_ids, table_size)
+        self.table = ChunkTable(self.chunks_ids, table_size)
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces)
         # Identity before segmenting, and one marker put in front: probed, not assumed.
@@ -65,9 +71,11 @@ class ChunkEncoder:
         self.separable = not crossing and self.sp.decode(self.sp.encode(probe)) == probe
         self.mark_id = self.sp.piece_to_id(MARK)
 
-    def chunk_ids(self, chunk: str) -> tuple[int, ...]:
-        # The library puts a marker in front itself.
-        return tuple(self.sp.encode(chunk[1:].replace(MARK, " "))) if len(chunk) > 1 else (self.mark_id,)
+    def chunks_ids(self, rests: list[str]) -> list[tuple[int, ...]]:
+        """Ids of chunks without their first marker, which the library puts in front itself; it gives none for the
+        empty rest, which stands for a marker alone."""
+        found = self.sp.encode([r.replace(MARK, " ") for r in rests], num_threads=1)
+        return [tuple(ids) if r else (self.mark_id,) for r, ids in zip(rests, found, strict=True)]
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -79,6 +87,7 @@ class ChunkEncoder:
             rests = text.split(" ")
         else:
             rests = [c[1:] for c in CHUNK.findall(MARK + text.replace(" ", MARK))]
+        self.table.learn(rests)
         return list(chain.from_iterable(map(self.table.__getitem__, rests)))
 
     def decode(self, ids: list[int]) -> str:
