@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import ByteBpe, file_bytes
 from .common import materialise
 from .lm_interpolation import planes, unplanes
-from .sentencepiece_table import MARK, ChunkEncoder, model_bytes
+from .sentencepiece_table import MARK, model_bytes
 
 BLOCK_BYTES = 4 << 20
 SPAN = re.compile(rb"([\x01\x02]*)\x03")
@@ -88,9 +88,11 @@ NOTHING = Aligned(*[np.zeros(0, dtype=np.int64)] * 4)
 class Aligner:
     """Holds the two tokenizers of a task."""
 
-    def __init__(self, bpe: ByteBpe, pieces: ChunkEncoder):
-        self.bpe, self.pieces = bpe, pieces
-        self.a_bytes, self.b_bytes = bpe.tokens, piece_bytes(pieces.sp)
+    def __init__(self, bpe: ByteBpe, model: bytes):
+        import sentencepiece
+
+        self.bpe, self.pieces = bpe, sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.a_bytes, self.b_bytes = bpe.tokens, piece_bytes(self.pieces)
         self.a_sizes, self.b_sizes = (np.array([len(t) for t in x], dtype=np.int64) for x in (self.a_bytes, self.b_bytes))
         self.counted = SpanCounts()
 
@@ -134,17 +136,13 @@ class Aligner:
         return "".join(map(self.names.__getitem__, out.tolist()))[:-1]
 
 
-def aligner_of(a_file: bytes, probed, b_file: bytes) -> Aligner:
-    return Aligner(ByteBpe(a_file, probed), ChunkEncoder(b_file))
-
-
 def groups(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, groups array<struct<a array<int>, b array<int>>> of each row, in the text's order."""
     a_file, b_file = file_bytes(a_path), model_bytes(b_path)
     probed = ByteBpe(a_file).probed()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = aligner_of(a_file, probed, b_file)
+        aligner = Aligner(ByteBpe(a_file, probed), b_file)
         for batch in batches:
             for d, t in zip(batch["doc_id"], batch["text"], strict=True):  # a text's groups at a time
                 made = [{"a": a, "b": b} for a, b in aligner.align(t).groups()]
@@ -174,7 +172,8 @@ class _Block:
 
     def row(self, number: int) -> pd.DataFrame:
         code = np.concatenate(self.b).astype(np.int64) << A_BITS | np.concatenate(self.a)
-        pairs, at, n = np.unique(code, return_inverse=True, return_counts=True)
+        at, pairs = pd.factorize(code)
+        n = np.bincount(at, minlength=len(pairs))
         order = np.argsort(-n, kind="stable")  # frequent pairs get small places, which compress
         place = np.empty(len(pairs), dtype=np.uint32)
         place[order] = np.arange(len(pairs), dtype=np.uint32)
@@ -189,7 +188,7 @@ def blocks(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
     probed = ByteBpe(a_file).probed()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = aligner_of(a_file, probed, b_file)
+        aligner = Aligner(ByteBpe(a_file, probed), b_file)
         number, block = TaskContext.get().partitionId() << 32, _Block()
         for batch in batches:
             for d, t in zip(batch["doc_id"].astype("object"), batch["text"], strict=True):
