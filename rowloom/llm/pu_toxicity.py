@@ -56,8 +56,18 @@ LEAST_IN, LEAST_Z = 3, 5.0
 
 def features_of(word: bytes) -> tuple[int, ...]:
     """Hashes of a word and of its beginnings, of which the word has to be longer."""
-    mask = (1 << HASH_BITS) - 1
-    return (zlib.crc32(word) & mask, *(zlib.crc32(word[:n], 0x51ED) & mask for n in BEGINNINGS if len(word) > n))
+    mask, size = (1 << HASH_BITS) - 1, len(word)
+    own = zlib.crc32(word) & mask
+    if size <= BEGINNINGS[0]:
+        return (own,)
+    out, crc, last = [own], 0x51ED, 0
+    for n in BEGINNINGS:  # each goes on where the one before ended
+        if size <= n:
+            break
+        crc = zlib.crc32(word[last:n], crc)
+        out.append(crc & mask)
+        last = n
+    return tuple(out)
 
 
 def counted_words(text: str | None) -> Counter:
@@ -84,24 +94,50 @@ def text_features(text: str | None) -> list[int]:
     return [f << 2 | i for f, n in counts.items() for i in range(levels(n, total))]
 
 
-def margin_of(text: str | None, weights: dict[int, float], bias: float, marks: dict[bytes, tuple[int, ...]]) -> float:
-    """marks: the known features of words met before; most words have none."""
-    found = counted_words(text)
-    counts: Counter = Counter()
-    for w, n in found.items():
-        f = marks.get(w)
-        if f is None:
-            f = tuple(x for x in features_of(w) if any(x << 2 | i in weights for i in range(LEVELS)))
-            if len(marks) > 400_000:
-                marks.clear()
-            if len(w) <= 64:
-                marks[w] = f
-        for x in f:
-            counts[x] += n
-    if not counts:
-        return bias
-    total = sum(found.values())
-    return bias + sum(sorted(weights.get(f << 2 | i, 0.0) for f, n in counts.items() for i in range(levels(n, total))))
+class Marks:
+    """The features of words that are known, for texts of which most words have none: words that were met before and have
+    none are taken out of a text's words at once, so that only new words and those with features are looked at."""
+
+    def __init__(self, known):
+        self.known = known  # features, without their density
+        self.marked: dict[bytes, tuple[int, ...]] = {}
+        self.plain: set[bytes] = set()
+
+    def __call__(self, text: str | None) -> tuple[dict[int, int], int]:
+        """How often each known feature is in a text, and the number of its words."""
+        found = LETTERS.findall(text.lower().encode("utf-8", "surrogatepass")) if text else []
+        if len(self.plain) + len(self.marked) > 400_000:
+            self.plain.clear()
+            self.marked.clear()
+        marked, known, here = self.marked, self.known, {}
+        for w in set(found) - self.plain:
+            f = marked.get(w)
+            if f is None:
+                f = tuple([x for x in features_of(w) if x in known])
+                if len(w) <= 64:
+                    if f:
+                        marked[w] = f
+                    else:
+                        self.plain.add(w)
+            if f:
+                here[w] = f
+        counts: dict[int, int] = {}
+        if here:
+            times = Counter(found) if len(here) > 6 else {w: found.count(w) for w in here}
+            for w, f in here.items():
+                for x in f:
+                    counts[x] = counts.get(x, 0) + times[w]
+        return counts, len(found)
+
+
+def margin_of(text: str | None, weights: dict[int, float], bias: float, marks: Marks | dict | None = None) -> float:
+    """marks: of the weights' features; made here if there is none yet."""
+    counts, total = (marks or marks_of(weights))(text)
+    return bias + sum(sorted(weights.get(f << 2 | i, 0.0) for f, n in counts.items() for i in range(levels(n, total)))) if counts else bias
+
+
+def marks_of(weights: dict[int, float]) -> Marks:
+    return Marks({f >> 2 for f in weights})
 
 
 def probability(margin: float) -> float:
@@ -245,7 +281,9 @@ def fit(
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "f": [np.array(text_features(t), dtype=np.int32).tobytes() for t in b["text"]]})
 
-    positives = materialise(texts.join(known, "doc_id").select("doc_id", "text").mapInPandas(listed, "doc_id long, f binary").dropDuplicates(["doc_id"]), "toxic-features")
+    # Of the texts of an id that repeats, the least, so that reruns agree.
+    toxic = texts.join(known, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    positives = materialise(toxic.mapInPandas(listed, "doc_id long, f binary"), "toxic-features")
     n_p = positives.count()
     if not n_p:
         return untrained(prior or 0.0)
@@ -300,38 +338,23 @@ def fit(
         got = df.groupBy("f").agg(F.count("*").alias("n")).toArrow().sort_by("f")
         return [np.frombuffer(f.as_buffer(), dtype=np.int32) for f in got["f"]], got["n"].to_pylist()
 
-    of_p, n_of_p = patterns(texts.join(known, "doc_id").dropDuplicates(["doc_id"]).select("text").mapInPandas(place, "f binary"))
+    of_p, n_of_p = patterns(toxic.select("text").mapInPandas(place, "f binary"))
     of_u, n_of_u = patterns(some.select("text").mapInPandas(place, "f binary"))
     return fitted(of_p, of_u, order, prior, (n_of_p, n_of_u))
 
 
 class Counted:
-    """Places of a text's features among given ones, in no order; words met before keep theirs, in a bounded table."""
+    """Places of a text's features among given ones, in no order."""
 
     def __init__(self, features: np.ndarray):
         self.places: dict[int, list[int]] = {}
         for i, f in enumerate(features.tolist()):
             self.places.setdefault(f >> 2, [-1] * LEVELS)[f & 3] = i
-        self.marks: dict[bytes, tuple[int, ...]] = {}
+        self.marks = Marks(self.places)
 
     def __call__(self, text: str | None) -> list[int]:
-        found, counts, marks, places = counted_words(text), {}, self.marks, self.places
-        for w, n in found.items():
-            f = marks.get(w)
-            if f is None:
-                f = tuple(x for x in features_of(w) if x in places)
-                if len(marks) > 400_000:
-                    marks.clear()
-                if len(w) <= 64:
-                    marks[w] = f
-            for x in f:
-                counts[x] = counts.get(x, 0) + n
-        if not counts:
-            return []
-        total, out = sum(found.values()), []
-        for x, n in counts.items():
-            out += [i for i in places[x][: levels(n, total)] if i >= 0]
-        return out
+        counts, total = self.marks(text)
+        return [i for x, n in counts.items() for i in self.places[x][: levels(n, total)] if i >= 0]
 
 
 def score(docs: DataFrame, model: tuple[dict[int, float], float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -339,7 +362,7 @@ def score(docs: DataFrame, model: tuple[dict[int, float], float], doc_id: str =
     weights, bias = model
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marks: dict[bytes, tuple[int, ...]] = {}
+        marks = marks_of(weights)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": [probability(margin_of(t, weights, bias, marks)) for t in b["text"]]})
 
@@ -352,7 +375,7 @@ def keep_clean(docs: DataFrame, model, threshold: float = 0.5, text: str = "text
     weights, bias = model
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        marks: dict[bytes, tuple[int, ...]] = {}
+        marks = marks_of(weights)
         for texts in batches:
             yield pd.Series([probability(margin_of(t, weights, bias, marks)) for t in texts])
 
