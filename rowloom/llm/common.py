@@ -35,9 +35,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def compact(df: DataFrame, label: str, rows_a_file: int = 100_000) -> DataFrame:
     """Like materialise, in as many files as the rows need instead of one for each task: the rows are
-    computed once, with all tasks, into blocks on the executors' disks, counted, and written from there."""
+    computed once, with all tasks, into blocks on the executors' disks, counted (``n_rows``), and written from there."""
     held = df.persist(StorageLevel.DISK_ONLY)
     try:
-        return materialise(held.coalesce(max(1, -(-held.count() // rows_a_file))), label)
+        n = held.count()
+        out = materialise(held.coalesce(max(1, -(-n // rows_a_file))), label)
+        out.n_rows = n
+        return out
     finally:
         held.unpersist()

@@ -15,18 +15,19 @@ not independent: of 400 000 simulated pairs with unions of 5 to 40 shingles, 4 t
 with fewer than ``SPARSE`` shingles are not estimated; of the same pairs none is lost by the margin.
 
 No pair list within a group of copies is made:
-1. documents with equal shingle sets are one class, met through its smallest id;
-2. in each band's bucket every class is compared with the smallest id only; what is linked is
+1. documents with equal shingle sets are one class, whose id is a hash of its set;
+2. in each band's bucket every class is compared with the one of smallest id only; what is linked is
    joined to components;
 3. what that leaves apart from its bucket's largest component is compared with one of its members,
    another one in each bucket, so that a group whose texts drift apart is found from many sides;
 4. only then are classes of one bucket compared with classes of other components in it - all of
    them, in blocks of bounded size that are spread over tasks, so large buckets need no cap.
-The result is the components of all links that any bucket offers.
+The result is the components of all links that any bucket offers. In joins by a centre or a component's label, keys that
+a million rows or more have (``HEAVY``) are dealt to tasks by salts.
 
-Defined cases: null, empty or wordless texts have 0 shingles and link with nothing; with fewer words
+Defined cases: null, empty or wordless texts have 0 shingles and link with nothing, whatever their id; with fewer words
 than a shingle takes, the whole sequence is the one shingle; repeated rows (same id too) share
-a component; rows with a null id are put out as they are, with themselves as component; an
+a component; rows that repeat an id with other texts are one document, linked through each of its texts; rows with a null id are put out as they are, with themselves as component; an
 empty table gives an empty result; columns other than id and text are not read.
 """
 
@@ -159,37 +160,68 @@ def sketches(docs: DataFrame, size: int, doc_id: str = "doc_id", text: str = "te
     return rows.mapInPandas(run, "doc_id long, n_shingles long, set_key binary, regs binary")
 
 
+#: A key with so many rows, and this share of all, is dealt to tasks by salts; so there are few such keys.
+HEAVY, HEAVY_SHARE = 1_000_000, 1000
+
+
+def dealt_join(left: DataFrame, key: str, seat: str, right: DataFrame, right_key: str, n_left: int) -> DataFrame:
+    """left joined with the right row of its key. Keys that very many left rows have (a star's centre, a component's
+    label) are dealt out by the row's seat, and the right row goes to each salt. Such keys are counted first, if left
+    is large enough to have any; there can be ``HEAVY_SHARE`` of them at most, so the driver holds them."""
+    heavy: list[int] = []
+    if n_left >= HEAVY:
+        least = max(HEAVY, n_left // HEAVY_SHARE)
+        heavy = [r[key] for r in left.groupBy(key).count().where(F.col("count") >= least).select(key).collect()]
+    if not heavy:
+        return left.join(right, left[key] == right[right_key])
+    salts = max(64, shuffle_partitions(left.sparkSession))
+    dealt = left.withColumn("_salt", F.when(F.col(key).isin(heavy), F.pmod(F.xxhash64(seat), F.lit(salts)).cast("int")).otherwise(0))
+    each = F.when(F.col(right_key).isin(heavy), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread = right.withColumn("_of", F.explode(each))
+    return dealt.join(spread, (dealt[key] == spread[right_key]) & (dealt["_salt"] == spread["_of"])).drop("_salt", "_of")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): least id reachable. Labels move along links and
     through the labels' own labels, so chains shorten by halves."""
     both = compact(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     held = labels = compact(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
+    while both.n_rows:
+        near = dealt_join(both, "b", "a", labels, "id", both.n_rows).groupBy("a").agg(F.min("label").alias("near"))
         own = labels.join(near, labels["id"] == near["a"]).select("id", F.col("label").alias("old"), F.least("label", "near").alias("new"))
+        if held.n_rows >= HEAVY:
+            own = compact(own, "own")  # it is counted and joined with itself
         up = own.select(F.col("id").alias("up"), F.col("new").alias("up_label"))
-        # One row for each label that others carry, however many carry it.
-        step = own.join(up, own["new"] == up["up"]).select("id", "old", F.least("new", "up_label").alias("label"))
+        step = dealt_join(own, "new", "id", up, "up", held.n_rows).select("id", "old", F.least("new", "up_label").alias("label"))
         last, step = held, compact(step, "step")
         held = step
         drop(last)
         changed = not step.where("label <> old").isEmpty()
         labels = step.select("id", "label")
         if not changed:
-            drop(both)
-            return labels.select("id", F.col("label").alias("component"))
+            break
+    drop(both)
+    return labels.select("id", F.col("label").alias("component"))
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id and set (sorted shingle hashes) of the documents named by ids (doc_id), once each."""
+def full_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
+    """id and set (sorted shingle hashes) of the classes whose id is in wanted. A class's set is read from a document
+    with its least doc_id whose set is the class's: other rows may have the same doc_id."""
+    named = compact(wanted.distinct().join(classes.select("id", "rep", "set_key"), "id"), "ids")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         shingle = Shingler(size)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "set": [shingle(t).tobytes() for t in b["text"]]})
+            data = [shingle(t).tobytes() for t in b["text"]]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "own_key": [xxhash.xxh3_128_digest(x) for x in data], "set": data})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(compact(ids.distinct(), "ids"), "doc_id", "left_semi")
-    return compact(rows.mapInPandas(sets, "doc_id long, set binary").dropDuplicates(["doc_id"]), "sets", WIDE)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(named.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    found = rows.mapInPandas(sets, "doc_id long, own_key binary, set binary")
+    # Equal rows of one class repeat its set; documents of one id are few, so these are few.
+    found = found.join(named, (found["doc_id"] == named["rep"]) & (found["own_key"] == named["set_key"])).select("id", "set").dropDuplicates(["id"])
+    return compact(found, "sets", WIDE)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -227,9 +259,9 @@ def centred(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, lis
         yield b, runs
 
 
-def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets meet 100 * intersection >= percent * union."""
-    full = full_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")), size, doc_id, text)
+def verify(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Pairs (a, b) of class ids whose full shingle sets meet 100 * intersection >= percent * union."""
+    full = full_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), classes, size, doc_id, text)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, runs in centred(batches):
@@ -239,48 +271,73 @@ def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int, doc_id: s
                 ok[s:e] = [similar(of, np.frombuffer(y, dtype=np.uint64), percent) for y in data[s:e]]
             yield rows.loc[ok, ["a", "b"]]
 
-    carried = full.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("n"), F.col("set").alias("data"))
+    carried = full.select("id", F.lit(0).cast("long").alias("n"), F.col("set").alias("data"))
     out = compact(stars(pairs, carried).mapInPandas(meet, "a long, b long"), "met")
     drop(full)
     return out
 
 
+def same_id(live: DataFrame) -> DataFrame:
+    """Links (a, b) between classes that rows of one doc_id are in: a document is linked through each of its rows."""
+    of = live.select("doc_id", F.xxhash64("set_key").alias("id"))
+    ends = of.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("a <> most").select(F.col("doc_id").alias("of_id"), "a")
+    return of.join(ends, of["doc_id"] == ends["of_id"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept, for each row of docs."""
     spark = docs.sparkSession
     salts = max(64, shuffle_partitions(spark))
     rows = materialise(sketches(docs, size, doc_id, text).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")), "sketches")
     live = rows.where("n_shingles > 0 and doc_id is not null")
-    # 1. Classes of equal sets, in two steps: a class may hold a third of all rows.
+    # 1. Classes of equal sets, in two steps: a class may hold a third of all rows. Their ids come from their sets.
     part = live.groupBy("set_key", "salt").agg(F.min("doc_id").alias("least"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n"))
     whole = part.groupBy("set_key").agg(F.min("least").alias("rep"), F.first("regs").alias("regs"), F.first("n").alias("n"), F.collect_set("salt").alias("salts"))
-    whole = compact(whole, "classes", WIDE)
-    classes = whole.select("rep", "n", "regs")
-    members = whole.select("set_key", "rep", F.explode("salts").alias("salt"))
+    whole = compact(whole.withColumn("id", F.xxhash64("set_key")), "classes", WIDE)
+    classes = whole.select("id", "rep", "set_key", "n", "regs")
+    members = whole.select("set_key", "rep", "id", F.explode("salts").alias("salt"))
+    links = class_links(docs, classes, same_id(live), size, percent, doc_id, text)
+    all_parts = components(links)
+    # A component's name is the least doc_id in it.
+    named = classes.join(all_parts, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("part"))
+    least = named.groupBy("part").agg(F.min("rep").alias("component"))
+    named = compact(dealt_join(named, "part", "id", least.withColumnRenamed("part", "of"), "of", whole.n_rows).select(F.col("id").alias("of_id"), "component"), "named")
+    of_rows = members.join(named, members["id"] == named["of_id"]).select("set_key", "salt", "component")
+    out = rows.join(of_rows, ["set_key", "salt"], "left")
+    component = F.coalesce("component", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def class_links(docs: DataFrame, classes: DataFrame, given: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Links (a, b) between the ids of classes that connect all that similarity connects, beside those given."""
+    # From here on, rep is a class's id.
+    sketched = classes.select(F.col("id").alias("rep"), "n", "regs")
     # 2. Keys: band number and registers. Stars first.
     bands = BUCKETS // BAND
-    keyed = classes.select(
+    keyed = sketched.select(
         "rep", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.substring("regs", i * (2 * BAND) + 1, F.lit(2 * BAND)))).alias("band", "part")
     ).select("rep", "band", F.xxhash64("band", "part").alias("key"))
     met = compact(keyed.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("classes")).where("classes > 1").select("key", "a"), "met")
+    if not met.n_rows:
+        return given
     shared = compact(keyed.join(met, "key"), "shared")
     star = shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    star = compact(plausible(star, classes, percent), "star")
-    links = verify(docs, star, size, percent, doc_id, text)
+    star = compact(plausible(star, sketched, percent), "star")
+    links = verify(docs, star, classes, size, percent, doc_id, text) if star.n_rows else star
+    links = links.union(given)
     # 3. and 4. What the stars left apart, in the buckets that hold more than one component.
     shared = shared.select("key", "band", "rep")
     apart = unsettled(shared, links)
+    if not apart.n_rows:
+        return links
     inside = apart.where("component = main").groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("inside"))
     around = apart.where("component <> main").join(compact(inside, "inside"), "key")
     around = around.select(F.least("rep", "inside").alias("a"), F.greatest("rep", "inside").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    around = compact(plausible(around, classes, percent), "around")
-    links = compact(links.union(verify(docs, around, size, percent, doc_id, text)), "known")
-    more = cross_links(unsettled(shared, links), classes, size, percent, docs, doc_id, text)
-    all_parts = components(links.union(more))
-    named = members.join(all_parts, members["rep"] == all_parts["id"], "left").select("set_key", "salt", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(named, ["set_key", "salt"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    around = compact(plausible(around, sketched, percent), "around")
+    if around.n_rows:
+        links = compact(links.union(verify(docs, around, classes, size, percent, doc_id, text)), "known")
+        apart = unsettled(shared, links)
+    return links.union(cross_links(apart, classes, size, percent, docs, doc_id, text)) if apart.n_rows else links
 
 
 def unsettled(shared: DataFrame, links: DataFrame) -> DataFrame:
@@ -370,7 +427,7 @@ def cross_links(apart: DataFrame, classes: DataFrame, size: int, percent: int, d
     own = F.when(is_main, F.col("rest_blocks") + F.pmod(seat, F.col("main_blocks"))).otherwise(F.pmod(seat, F.col("rest_blocks"))).cast("int")
     placed = apart.withColumn("rest_blocks", rest_blocks).withColumn("main_blocks", main_blocks)
     placed = placed.select("key", "band", "rep", "component", own.alias("block"), F.when(is_main, F.col("rest_blocks")).otherwise(F.col("rest_blocks") + F.col("main_blocks")).alias("others"))
-    with_regs = compact(placed.join(classes, "rep"), "regs", WIDE)
+    with_regs = compact(placed.join(classes.select(F.col("id").alias("rep"), "n", "regs"), "rep"), "regs", WIDE)
     other = F.explode(F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi"))))
     dealt = with_regs.select("*", other.alias("at")).select(
         "key", F.col("at.lo").cast("int").alias("lo"), F.col("at.hi").cast("int").alias("hi"), "band", "block", "rep", "component", "n", "regs"
@@ -405,6 +462,6 @@ def cross_links(apart: DataFrame, classes: DataFrame, size: int, percent: int, d
 
     flagged = dealt.repartition(parts, *GROUP).sortWithinPartitions(*GROUP).mapInPandas(flag, GROUP_SHAPE)
     flagged = compact(flagged, "flagged", WIDE)
-    full = full_sets(docs, flagged.select(F.col("rep").alias("doc_id")), size, doc_id, text)
-    again = flagged.join(full.withColumnRenamed("doc_id", "rep"), "rep").select(*flagged.columns, "set")
+    full = full_sets(docs, flagged.select(F.col("rep").alias("id")), classes, size, doc_id, text)
+    again = flagged.join(full.withColumnRenamed("id", "rep"), "rep").select(*flagged.columns, "set")
     return compact(again.repartition(parts, *GROUP).sortWithinPartitions(*GROUP).mapInPandas(join, "a long, b long").distinct(), "more")
