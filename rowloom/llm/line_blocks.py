@@ -10,7 +10,7 @@ surges at a line with text whose window passes ``SURGE``, and dives where a wind
 nothing; text between a surge and its dive is a candidate. Candidates are found so on every page,
 and the one with most text decides. An article that the page names itself corrects the outcome:
 its candidates count as one, it is taken as well where its text is near to that of a longer
-candidate outside, and it is kept whole, within its own bounds. On other pages the candidates of a
+candidate outside, and it is kept whole, within its own bounds; another article beside it is another text. On other pages the candidates of a
 container (the innermost that holds most of each; siblings alike count as one) are joined before
 their masses are compared. The heaviest container and those near to it in mass are kept, with all
 lines of the container around them, so that furniture in between cuts nothing off.
@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,15 +39,12 @@ NEAR = 0.35
 #: A candidate belongs to the innermost container that holds this share of its text.
 HOLDS = 0.8
 
-TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)"
-    r"|<(script|style|noscript|template|textarea|title|iframe|noembed|noframes|xmp|svg|math|select|canvas|object|audio|video)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-    r"|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: Elements that are dropped with all that is in them, markup or not.
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math select canvas object audio video".split())
+OPEN = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
+COMMENT_END = re.compile(r"--!?>")
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol option p pre search section summary table tbody td"
@@ -80,6 +78,8 @@ PLAIN = re.compile(
     re.I,
 )
 SENTENCE = re.compile(r"[.!?:;\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*$")
+#: What an element has or lacks says nothing of itself.
+HAVING = re.compile(r"(?:has|have|is|no|not|with|without)[_-]", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content)(?:[_-](?:body|content|text|main))?(?=$|\s)", re.I)
 CLOSED_BY = {
     "p": BLOCKS - {"br", "button"},
@@ -106,6 +106,68 @@ class Line:
         self.home = home
 
 
+class Scanner:
+    """Tags of a page, in one pass over it. A tag ends at the first > outside of quotes, or, where quotes never close or
+    hold every > that follows, at the first one there is. What such a search has passed without finding an end isn't
+    passed again: from there, no other one would find it."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.passed: set[int] = set()  # places outside of quotes from which no > follows
+
+    def tag_end(self, at: int) -> int:
+        page, last, own = self.page, self.last, []
+        while (m := STOP.search(page, at, max(last.values()) + 1)) is not None:
+            c = m[0]
+            if c == ">":
+                return m.start()
+            if m.start() >= last[c]:
+                break
+            at = page.index(c, m.end()) + 1
+            if at in self.passed:
+                break
+            own.append(at)
+        self.passed.update(own)
+        return -1
+
+    def tags(self) -> Iterator[tuple[int, int, str, str, str]]:
+        """(first, last + 1, "/" or "", name, attributes) of each tag; without a name, what is to be skipped."""
+        page, at = self.page, 0
+        while (i := page.find("<", at)) >= 0:
+            at = i + 1
+            m = OPEN.match(page, i + 1) if i < self.last[">"] else None
+            if m:
+                name, end = m[2].lower(), self.tag_end(m.end())
+                whole = end >= 0
+                if not whole:
+                    end = page.index(">", m.end())
+                at = end + 1
+                if whole and name in RAW and not m[1]:
+                    close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                    at = close.end() if close else len(page)
+                    yield i, at, "", "", ""
+                else:
+                    yield i, at, m[1], name, page[m.end() : end]
+            elif page.startswith("!--", i + 1):
+                close = COMMENT_END.search(page, i + 4)
+                at = close.end() if close else len(page)
+                yield i, at, "", "", ""
+            elif page[i + 1 : i + 2] in ("!", "?", "/") and page[i + 1 : i + 2]:
+                end = page.find(">", i + 2)
+                at = end + 1 if end >= 0 else len(page)
+                yield i, at, "", "", ""
+
+
+def furniture_name(names: str) -> bool:
+    """Whether class and id names mean page furniture: one of them holds such a word, but not as what the element has or
+    lacks (has-sidebar). A name of main text beside it (post, content) excuses loose words only."""
+    marked = [n for n in names.split() if NAMES.search(n) and not HAVING.match(n)]
+    if not marked:
+        return False
+    return any(SURE.search(n) for n in marked) or not any(MAIN_NAMES.search(n) and not NAMES.search(n) for n in names.split())
+
+
 def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], list[tuple]]:
     """(text, weight, article, container) of each line, furniture leaving GAP empty lines; and of each
     container, 0 being the page, its parent and its kind, which siblings alike share."""
@@ -113,6 +175,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], lis
     parents, kinds = [0], [()]
     # name, furniture, article number (0: none), link, container, and of a block in doubt: its first line, names
     stack: list[tuple[str, bool, int, bool, int, tuple[int, str] | None]] = []
+    blocks: list[int] = []  # places of block elements in the stack
+    open_: Counter = Counter()  # how many elements of a name are in it
     line = Line(0, 0)
     articles = 0
     totals = [(0, 0)]  # lengths and weights before each line, as far as they were asked for
@@ -133,7 +197,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], lis
         was = state()
         block = any(s[0] in BLOCKS for s in stack[n:])
         doubts = [s[5] for s in stack[n:] if s[5]]
+        open_.subtract(s[0] for s in stack[n:])
         del stack[n:]
+        while blocks and blocks[-1] >= n:
+            blocks.pop()
         now = state()
         if block or was[:2] != now[:2]:
             end(now[1], now[3])
@@ -152,30 +219,24 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], lis
                 line.linked += len(s.strip())
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or m[6] or "").lower()
+    for first, last, slash, name, attrs in Scanner(page).tags():
+        if first > at:
+            text(page[at:first])
+        at = last
         if not name:
             continue
-        slash, attrs = (m[2], m[4]) if m[3] else (m[5], m[7])
         if slash:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == name:
-                    pop(n)
-                    break
-            else:
-                if name in BLOCKS:
-                    end(state()[1], state()[3])
-            continue
-        for n in range(len(stack) - 1, -1, -1):
-            closed_by = CLOSED_BY.get(stack[n][0])
-            if closed_by and name in closed_by:
+            if open_[name] > 0:
+                n = len(stack) - 1
+                while stack[n][0] != name:
+                    n -= 1
                 pop(n)
-                break
-            if stack[n][0] in BLOCKS:
-                break
+            elif name in BLOCKS:
+                end(state()[1], state()[3])
+            continue
+        # Only blocks are closed by others, and only the innermost one.
+        if blocks and name in CLOSED_BY.get(stack[blocks[-1]][0], ()):
+            pop(blocks[-1])
         furniture, article, link, home = state()
         was, doubt = (furniture, article), None
         if attrs:
@@ -191,7 +252,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], lis
                 article = articles
         elif name not in ("body", "html"):
             in_article_header = name == "header" and article
-            named = names and NAMES.search(names) and not (name in HEADINGS and article) and not MAIN_NAMES.search(names)
+            named = names and not (name in HEADINGS and article) and furniture_name(names)
             if named and article and not SURE.search(names):
                 # Ordinary sections bear such names too; blocks are judged when they end.
                 doubt, named = (len(out), names) if name in BLOCKS and not furniture else None, None
@@ -214,6 +275,9 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int, int]], list[int], lis
         elif article != was[1]:
             end(article, home)
         if opens:
+            if name in BLOCKS:
+                blocks.append(len(stack))
+            open_[name] += 1
             stack.append((name, furniture, article, link, home, doubt))
     text(page[at:])
     pop(0)
