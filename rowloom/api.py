@@ -28,18 +28,20 @@ class SeedResult:
     warnings: list[str] = field(default_factory=list)
 
 
-def run_pipeline(spark: SparkSession, schema: Schema, config: Config, existing=None, *, url=None, path=None, form="parquet", dry_run=False, batch=sqltext.BATCH, mode="errorifexists", only=None, unchanged=False, allowed=False, jdbc=None, progress=None, texts=None, text_cache=None) -> SeedResult:
+def run_pipeline(spark: SparkSession, schema: Schema, config: Config, existing=None, *, url=None, path=None, form="parquet", dry_run=False, batch=sqltext.BATCH, mode="errorifexists", only=None, unchanged=False, allowed=False, jdbc=None, progress=None, texts=None, text_cache=None, asking=None) -> SeedResult:
     """Plan, generate, write. Without a target, tables come back as DataFrames.
 
     existing: tables by name, or "target" to read those that the URL holds (mode append). progress: called
     with (step, table, rows) when a table is planned and when it is written. texts: a provider of texts for
-    the columns that hold prose (see textpool), asked for as many as each table gets rows."""
+    the columns that hold prose (see textpool), asked for as many as each table gets rows; asking (textpool.Asking):
+    by executors, many requests at once."""
     began = time.time()
     tell = progress or (lambda *_: None)
     unfilled = []
     if texts is not None:
         wanted = {schema.resolve(x) or x for x in only} if only is not None else set(schema.tables)
-        pools, unfilled = textpool.pool_tables(spark, schema, texts, {k: config.count(k) for k in wanted}, text_cache)
+        sizes = {k: config.count(k) for k in wanted}
+        pools, unfilled = textpool.ask_pools(spark, schema, texts, sizes, text_cache, asking) if asking else textpool.pool_tables(spark, schema, texts, sizes, text_cache)
         config = replace(config, text_pools={**pools, **config.text_pools})
     if existing == "target":
         existing = existing_of(spark, schema, url, allowed, **(jdbc or {})) if url and mode == "append" else None
