@@ -16,8 +16,10 @@ from .errors import ConfigInvalid, ConnectionFailed
 from .operators.generate import Config, Generated, generate
 from .operators.plan import insert_plan
 from .schema import Schema, filter_schema
+from .progress import Counted, Watch
 from .scratch import materialise
 from .sinks import sqltext
+from .sinks.merge import Merged, merge_rows
 
 
 @dataclass
@@ -28,13 +30,17 @@ class SeedResult:
     warnings: list[str] = field(default_factory=list)
 
 
-def run_pipeline(spark: SparkSession, schema: Schema, config: Config, existing=None, *, url=None, path=None, form="parquet", dry_run=False, batch=sqltext.BATCH, mode="errorifexists", only=None, unchanged=False, allowed=False, jdbc=None, progress=None, texts=None, text_cache=None, asking=None) -> SeedResult:
+def run_pipeline(spark: SparkSession, schema: Schema, config: Config, existing=None, *, url=None, path=None, form="parquet", dry_run=False, batch=sqltext.BATCH, mode="errorifexists", only=None, unchanged=False, allowed=False, jdbc=None, progress=None, texts=None, text_cache=None, asking=None, watch=None, every=1.0) -> SeedResult:
     """Plan, generate, write. Without a target, tables come back as DataFrames.
 
     existing: tables by name, or "target" to read those that the URL holds (mode append). progress: called
     with (step, table, rows) when a table is planned and when it is written. texts: a provider of texts for
     the columns that hold prose (see textpool), asked for as many as each table gets rows; asking (textpool.Asking):
-    by executors, many requests at once."""
+    by executors, many requests at once. watch: called with a Progress (rows written, rate, seconds left) at most every
+    ``every`` seconds, and at each table's end. The summary counts rows as they were written.
+
+    mode "merge" (Parquet folders): rows are merged into those that are there, by primary key, and only files that hold
+    changed rows are replaced."""
     began = time.time()
     tell = progress or (lambda *_: None)
     unfilled = []
@@ -53,21 +59,45 @@ def run_pipeline(spark: SparkSession, schema: Schema, config: Config, existing=N
     summary = sqltext.Summary(how, dict(made.counts), sum(len(v) for v in made.updates.values()), warnings=made.warnings)
     if how == "dry-run":
         summary.warnings = [*made.warnings, *sqltext.dry_run(made.tables, made.counts, batch)]
-    elif how == "file" and form == "sql":
-        sqltext.write_sql(schema, made.tables, made.plan.ordered, path, batch, updates=made.updates, mode=mode)
-    elif how == "file":
-        sqltext.write_frames(made.tables, path, form, mode)
-    elif how == "direct" and url.startswith("sqlite:"):
-        sqltext.write_sqlite(made.tables, made.plan.ordered, sqlite_path(url), mode)
-    elif how == "direct":
-        sqltext.write_jdbc(made.tables, made.plan.ordered, url, batch, mode, schema, allowed, **(jdbc or {}))
+    else:
+        summary.rows |= _write(spark, schema, made, how, Watch(spark, made.counts, watch, every), url=url, path=path, form=form, batch=batch, mode=mode, allowed=allowed, jdbc=jdbc or {}, warnings=summary.warnings)
     if how in ("file", "direct"):
-        for name, n in made.counts.items():
+        for name, n in summary.rows.items():
             tell("written", name, n)
     summary.seconds = time.time() - began
     return SeedResult(made.tables, made.counts, summary, made.warnings)
 
 
+def _write(spark: SparkSession, schema: Schema, made: Generated, how: str, watch: Watch, *, url, path, form, batch, mode, allowed, jdbc, warnings: list[str]) -> dict[str, int]:
+    """Rows written, by table."""
+    order = made.plan.ordered
+    if mode == "merge" and how != "frames":
+        if how != "file" or form != "parquet":
+            raise ConfigInvalid("only Parquet folders can be merged into", hints=("existingData: augment or truncate",))
+        for name in [n for n in order if n in made.tables]:
+            done: list[Merged] = []
+            with watch.table(name, lambda done=done: done[0].same + done[0].changed + done[0].added):
+                done.append(merge_rows(made.tables[name], f"{path}/{name}", list(schema.tables[name].primary_key)))
+            m = done[0]
+            warnings.append(f"{name}: {m.same} rows same, {m.changed} changed, {m.added} added, {m.gone} gone; {m.files_replaced} files replaced, {m.files_kept} kept")
+        return watch.written
+    if how == "file" and form == "sql":
+        # Statements need the rows twice (to be ordered), so an observation would count them twice: what was made is told.
+        sqltext.write_sql(schema, made.tables, order, path, batch, updates=made.updates, mode=mode, around=lambda n: watch.table(n, lambda: made.counts[n]))
+        return watch.written
+    if how == "frames":
+        return {}
+    counted = {n: Counted(df, n) for n, df in made.tables.items()}
+    tables, around = {n: c.frame for n, c in counted.items()}, lambda n: watch.table(n, lambda: counted[n].rows)
+    if how == "file":
+        sqltext.write_frames(tables, path, form, mode, around)
+    elif url.startswith("sqlite:"):
+        return sqltext.write_sqlite(made.tables, order, sqlite_path(url), mode, lambda n: watch.table(n, lambda: made.counts[n]))
+    else:
+        sqltext.write_jdbc(tables, order, url, batch, mode, schema, allowed, around, **jdbc)
+    return watch.written
+
+
 def sqlite_path(url: str) -> str:
     return url.removeprefix("sqlite:").removeprefix("//")
 
@@ -89,13 +119,13 @@ def existing_of(spark: SparkSession, schema: Schema, url: str, allowed: bool = F
     return out
 
 
-def seed(spark: SparkSession, schema: Schema | str, *, count: int = 50, seed: int = 42, exclude=(), only=(), rows_of=None, cardinality=None, existing=None, **target) -> SeedResult:
+def seed(spark: SparkSession, schema: Schema | str, *, count: int = 50, seed: int = 42, exclude=(), only=(), rows_of=None, cardinality=None, existing=None, locale: str = "en", **target) -> SeedResult:
     if isinstance(schema, str):
         from .sources import parse_any
 
         schema = parse_any(schema)
     picked = filter_schema(schema, only, exclude).schema if exclude or only else schema
-    config = Config(seed=seed, rows=count, rows_of=dict(rows_of or {}), cardinality=dict(cardinality or {}))
+    config = Config(seed=seed, rows=count, rows_of=dict(rows_of or {}), cardinality=dict(cardinality or {}), locale=locale)
     return run_pipeline(spark, picked, config, existing, **target)
 
 

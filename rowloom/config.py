@@ -9,6 +9,7 @@ from dataclasses import replace
 from pathlib import Path
 
 from .errors import BadScenario, BadVirtualKey, ConfigInvalid, MissingVariable, UnknownKey
+from .functions.corpora import known
 from .functions.names import suggest
 from .functions.rng import DISTRIBUTIONS
 from .operators.cardinality import from_config
@@ -22,7 +23,7 @@ KEYS = {
     "": {*DEFAULTS, "url", "output", "ai", "dryRun", "plugins", "scenario", "diff"}, "connection": {"url", "schema", "host", "port", "user", "password", "database"}, "table": {"count", "columns", "relationships"},
     "column": {"generator", "values", "weights", "cyclic", "nullable", "unique", "distribution", "min", "max"}, "relationship": {"cardinality", "distribution", "options"}, "key": {"source", "target"}, "end": {"table", "column", "columns"}, "ai": {"enabled", "provider", "model", "locale", "cacheDir", "temperature"},
 }
-MODES = {"augment": "append", "truncate": "overwrite", "error": "errorifexists"}
+MODES = {"augment": "append", "truncate": "overwrite", "error": "errorifexists", "merge": "merge"}
 
 
 def find_file(start: str = ".") -> Path | None:
@@ -85,6 +86,9 @@ def validate(raw) -> dict:
         raise ConfigInvalid("seed has to be a whole number")
     if str(out["existingData"]).lower() not in MODES:
         raise ConfigInvalid(f"existingData is one of {', '.join(MODES)}")
+    if not isinstance(out["locale"], str):
+        raise ConfigInvalid("locale has to be a text, such as de or de-AT")
+    known(out["locale"])
     if not isinstance(out["exclude"], list) or not all(isinstance(x, str) for x in out["exclude"]):
         raise ConfigInvalid("exclude has to be a list of patterns")
     for name, t in _table(out["tables"], "tables").items():
@@ -187,4 +191,4 @@ def generation_config(config: Mapping):
             card.setdefault(name, {})[c] = from_config(spec)
     if config.get("scenario"):
         counts |= scenario_counts(config, config["scenario"])
-    return Config(seed=config["seed"], rows=config["count"], rows_of=counts, overrides=over, cardinality=card)
+    return Config(seed=config["seed"], rows=config["count"], rows_of=counts, overrides=over, cardinality=card, locale=config["locale"])

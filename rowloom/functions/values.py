@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import rng
+from . import corpora, rng
 
 FIRST_F = ["Ada", "Beatriz", "Chloe", "Dana", "Elif", "Freya", "Grace", "Hana", "Ines", "Jana", "Keiko", "Lena", "Mina", "Nora", "Olga", "Priya"]
 FIRST_M = ["Adam", "Bruno", "Carlos", "David", "Emre", "Felix", "Goran", "Hugo", "Ivan", "Jonas", "Kenji", "Luca", "Milan", "Noah", "Oscar", "Pavel"]
@@ -38,6 +38,11 @@ class Ctx:
     row: Column
     ref: int = 1735689600
     max_length: int | None = None
+    locale: str = corpora.DEFAULT
+
+    def corpus(self, kind: str) -> list | None:
+        """The locale's words of a kind; None for English, which has its own lists here."""
+        return corpora.entries(self.locale, kind)
 
     def u(self, draw: int = 0, column: str | None = None) -> Column:
         return rng.uniform(self.seed, self.table, column or self.column, self.row, draw)
@@ -53,16 +58,30 @@ def from_list(values: list) -> Builder:
     return lambda c: rng.pick(c.u(), values)
 
 
+def of_locale(kind: str, english: Builder, part: int | None = None) -> Builder:
+    """A draw from the locale's words of a kind (or a part of them), else English."""
+
+    def build(c: Ctx) -> Column:
+        found = c.corpus(kind)
+        return english(c) if found is None else corpora.drawn(c.u(), [x if part is None else x[part] for x in found])
+
+    return build
+
+
+def a_word(c: Ctx, draw: int) -> Column:
+    return rng.pick(c.u(draw), c.corpus("word") or WORDS)
+
+
 def words(n: int) -> Builder:
-    return lambda c: F.concat_ws(" ", *[rng.pick(c.u(i), WORDS) for i in range(n)])
+    return lambda c: F.concat_ws(" ", *[a_word(c, i) for i in range(n)])
 
 
 def sentence(n: int = 8) -> Builder:
-    return lambda c: F.concat(F.initcap(rng.pick(c.u(0), WORDS)), F.lit(" "), F.concat_ws(" ", *[rng.pick(c.u(i), WORDS) for i in range(1, n)]), F.lit("."))
+    return lambda c: F.concat(F.initcap(a_word(c, 0)), F.lit(" "), F.concat_ws(" ", *[a_word(c, i) for i in range(1, n)]), F.lit("."))
 
 
 def sentences(n: int) -> Builder:
-    return lambda c: F.concat_ws(" ", *[F.concat(F.initcap(rng.pick(c.u(10 * k), WORDS)), F.lit(" "), F.concat_ws(" ", *[rng.pick(c.u(10 * k + i), WORDS) for i in range(1, 7)]), F.lit(".")) for k in range(n)])
+    return lambda c: F.concat_ws(" ", *[F.concat(F.initcap(a_word(c, 10 * k)), F.lit(" "), F.concat_ws(" ", *[a_word(c, 10 * k + i) for i in range(1, 7)]), F.lit(".")) for k in range(n)])
 
 
 def integer(low: int, high: int) -> Builder:
@@ -101,7 +120,13 @@ def pairs_of(n: int, sep: str, width: int = 2) -> Builder:
 
 
 def local_part(c: Ctx) -> Column:
-    return F.lower(F.concat(rng.pick(c.u(0), FIRST_F + FIRST_M), F.lit("."), rng.pick(c.u(1), LAST)))
+    if c.corpus("last") is None:
+        return F.lower(F.concat(rng.pick(c.u(0), FIRST_F + FIRST_M), F.lit("."), rng.pick(c.u(1), LAST)))
+    return corpora.ascii_folded(F.concat(rng.pick(c.u(0), firsts(c)), F.lit("."), corpora.drawn(c.u(1), c.corpus("last"))))
+
+
+def firsts(c: Ctx) -> list[str]:
+    return [*(c.corpus("first_f") or FIRST_F), *(c.corpus("first_m") or FIRST_M)]
 
 
 def address(local: Column, c: Ctx) -> Column:
@@ -114,9 +139,29 @@ def email(c: Ctx) -> Column:
 
 
 def phone(c: Ctx) -> Column:
+    lead = c.corpus("phone")
+    if lead:
+        return F.concat(F.lit(lead[0]), F.lit("-"), F.lpad(rng.between(c.u(0), 0, 999).cast("string"), 3, "0"))
     return F.concat(F.lit("+1-555-"), F.lpad(rng.between(c.u(0), 0, 999).cast("string"), 3, "0"), F.lit("-"), F.lpad(rng.between(c.u(1), 0, 9999).cast("string"), 4, "0"))
 
 
+def postal(c: Ctx) -> Column:
+    found = c.corpus("place")
+    return digits(5)(c) if found is None else postal_of(corpora.drawn(c.u(0), [x[2] for x in found]), found[0][3], c.u(1))
+
+
+def postal_of(lead: Column, size: int, u: Column) -> Column:
+    """A postal code of so many digits that begins with lead."""
+    return F.substring(F.concat(lead, F.lpad(rng.between(u, 0, 10**size - 1).cast("string"), size, "0")), 1, size)
+
+
+def street(c: Ctx) -> Column:
+    found = c.corpus("street")
+    if found:
+        return F.concat_ws(" ", corpora.drawn(c.u(1), found), rng.between(c.u(0), 1, 199).cast("string"))
+    return F.concat_ws(" ", rng.between(c.u(0), 1, 9999).cast("string"), rng.pick(c.u(1), STREETS), F.lit("Street"))
+
+
 def digits(n: int) -> Builder:
     return lambda c: F.concat(*[F.lpad(rng.between(c.u(i), 0, 10 ** min(4, n - 4 * i) - 1).cast("string"), min(4, n - 4 * i), "0") for i in range((n + 3) // 4)])
 
@@ -130,26 +175,27 @@ def null(c: Ctx) -> Column:
 
 
 def first_name(c: Ctx) -> Column:
-    return rng.pick(c.u(), FIRST_F + FIRST_M)
+    return rng.pick(c.u(), firsts(c))
 
 
 def full_name(c: Ctx) -> Column:
-    return F.concat_ws(" ", rng.pick(c.u(0), FIRST_F + FIRST_M), rng.pick(c.u(1), LAST))
+    last = c.corpus("last")
+    return F.concat_ws(" ", rng.pick(c.u(0), firsts(c)), rng.pick(c.u(1), LAST) if last is None else corpora.drawn(c.u(1), last))
 
 
 YEAR = 365 * DAY
 #: Builders by dotted name: what configurations and plugins refer to.
 NAMED: dict[str, Builder] = {
-    "person.first_name": first_name, "person.last_name": from_list(LAST), "person.middle_name": first_name, "person.full_name": full_name, "person.prefix": from_list(["Dr", "Mr", "Ms", "Mx"]),
+    "person.first_name": first_name, "person.last_name": of_locale("last", from_list(LAST)), "person.middle_name": first_name, "person.full_name": full_name, "person.prefix": from_list(["Dr", "Mr", "Ms", "Mx"]),
     "person.suffix": from_list(["Jr", "Sr", "II", "III"]), "person.username": lambda c: F.concat(F.lower(first_name(c)), rng.between(c.u(3), 1, 9999).cast("string")), "person.sex": from_list(["female", "male"]),
     "person.birth_date": lambda c: moment(-80 * YEAR, -18 * YEAR)(c).cast("date"), "person.age": integer(18, 85), "person.bio": sentences(2), "person.avatar": lambda c: F.concat(F.lit("https://img.example.com/"), F.substring(c.hex(), 1, 12), F.lit(".png")),
     "contact.email": email, "contact.phone": phone, "contact.fax": phone, "contact.url": lambda c: F.concat(F.lit("https://"), rng.pick(c.u(0), WORDS), F.lit("."), rng.pick(c.u(1), SAFE_DOMAINS)),
     "internet.ipv4": ipv4, "internet.ipv6": pairs_of(8, ":", 4), "internet.mac": pairs_of(6, ":"), "internet.user_agent": lambda c: F.concat(F.lit("Browser/"), rng.between(c.u(), 1, 120).cast("string"), F.lit(".0")),
     "internet.slug": lambda c: F.concat_ws("-", *[rng.pick(c.u(i), WORDS) for i in range(3)]), "internet.domain": lambda c: F.concat(rng.pick(c.u(0), WORDS), F.lit("."), rng.pick(c.u(1), SAFE_DOMAINS)),
     "internet.password": hex_digits(16), "internet.token": hex_digits(32),
-    "location.street": lambda c: F.concat_ws(" ", rng.between(c.u(0), 1, 9999).cast("string"), rng.pick(c.u(1), STREETS), F.lit("Street")), "location.secondary": lambda c: F.concat(F.lit("Apt. "), rng.between(c.u(), 1, 999).cast("string")),
-    "location.city": from_list([p[0] for p in PLACES]), "location.state": from_list([p[1] for p in PLACES]), "location.country": from_list([x for x, _ in COUNTRIES]), "location.country_code": from_list([x for _, x in COUNTRIES]),
-    "location.zip": digits(5), "location.latitude": decimal(-90, 90, 6), "location.longitude": decimal(-180, 180, 6), "location.county": lambda c: F.concat(rng.pick(c.u(), STREETS), F.lit(" County")), "location.timezone": from_list(ZONES),
+    "location.street": street, "location.secondary": lambda c: F.concat(F.lit("Apt. "), rng.between(c.u(), 1, 999).cast("string")),
+    "location.city": of_locale("place", from_list([p[0] for p in PLACES]), 0), "location.state": of_locale("place", from_list([p[1] for p in PLACES]), 1), "location.country": from_list([x for x, _ in COUNTRIES]), "location.country_code": from_list([x for _, x in COUNTRIES]),
+    "location.zip": postal, "location.latitude": decimal(-90, 90, 6), "location.longitude": decimal(-180, 180, 6), "location.county": of_locale("county", lambda c: F.concat(rng.pick(c.u(), STREETS), F.lit(" County"))), "location.timezone": from_list(ZONES),
     "finance.amount": decimal(1, 10000, 2), "finance.rate": decimal(0, 1, 4), "finance.currency": from_list(CURRENCIES), "finance.card": digits(16), "finance.account": digits(10), "finance.routing": digits(9),
     "finance.iban": lambda c: F.concat(F.lit("DE"), digits(20)(c)), "finance.bic": lambda c: F.concat(F.upper(F.translate(F.substring(c.hex(), 1, 6), "0123456789", "ghijklmnop")), F.lit("XX")),
     "commerce.product": lambda c: F.initcap(words(2)(c)), "commerce.brand": lambda c: F.initcap(rng.pick(c.u(), WORDS)), "commerce.department": from_list(["Books", "Garden", "Grocery", "Music", "Office", "Sports", "Tools", "Toys"]),

@@ -10,8 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions import rng
-from ..functions.values import DAY, FIRST_F, FIRST_M, LAST, PLACES, Ctx
+from ..functions import corpora, rng
+from ..functions.values import DAY, FIRST_F, FIRST_M, LAST, PLACES, Ctx, postal_of
 from ..schema import Kind, Table
 from . import vocabulary
 
@@ -117,11 +117,17 @@ def columns_of(group: Group, ctx: Ctx) -> dict[str, Column]:
     by = dict(group.columns)
     if group.kind == "person":
         female = ctx.u(0, "__sex") < 0.5
-        out = {by["first"]: F.when(female, rng.pick(ctx.u(1, "__sex"), FIRST_F)).otherwise(rng.pick(ctx.u(1, "__sex"), FIRST_M)), by["gender"]: F.when(female, "female").otherwise("male")}
+        out = {by["first"]: F.when(female, rng.pick(ctx.u(1, "__sex"), ctx.corpus("first_f") or FIRST_F)).otherwise(rng.pick(ctx.u(1, "__sex"), ctx.corpus("first_m") or FIRST_M)), by["gender"]: F.when(female, "female").otherwise("male")}
         if "last" in by:
-            out[by["last"]] = rng.pick(ctx.u(2, "__sex"), LAST)
+            last = ctx.corpus("last")
+            out[by["last"]] = rng.pick(ctx.u(2, "__sex"), LAST) if last is None else corpora.drawn(ctx.u(2, "__sex"), last)
         return out
     if group.kind == "place":
+        found = ctx.corpus("place")
+        if found is not None:
+            place = {k: corpora.drawn(ctx.u(0, "__place"), [p[i] for p in found]) for i, k in enumerate(("city", "state", "zip"))}
+            place["zip"] = postal_of(place["zip"], found[0][3], ctx.u(1, "__place"))
+            return {c: place[r] for r, c in group.columns}
         place = {k: rng.pick(ctx.u(0, "__place"), [p[i] for p in PLACES]) for i, k in enumerate(("city", "state", "zip"))}
         place["zip"] = F.concat(place["zip"], F.lpad(rng.between(ctx.u(1, "__place"), 0, 99).cast("string"), 2, "0"))
         return {c: place[r] for r, c in group.columns}

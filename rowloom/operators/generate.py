@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..errors import EmptyReferencePool, GenerationFailed
 from ..functions import rng
+from ..functions.corpora import known
 from ..functions.values import Ctx
 from ..schema import Column, ForeignKey, Kind, Schema, Table, ancestors
 from ..scratch import materialise
@@ -48,6 +49,10 @@ class Config:
     text_pools: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
     builders: Callable[[Column, Table], Callable | None] | None = None  # plugins
     partitions: int | None = None
+    locale: str = "en"
+
+    def __post_init__(self):
+        self.locale = known(self.locale)
 
     def count(self, table: str) -> int:
         """Rows of a table; what isn't a whole number from 0 on becomes 1."""
@@ -158,7 +163,7 @@ class Generator:
 
     def value(self, c: Column, table: Table, mapping: Mapping, row: SparkColumn) -> SparkColumn:
         cfg, key = self.config, table.full_name
-        ctx = Ctx(cfg.seed, key, c.name, row, cfg.ref, c.max_length)
+        ctx = Ctx(cfg.seed, key, c.name, row, cfg.ref, c.max_length, cfg.locale)
         over = cfg.overrides.get(key, cfg.overrides.get(table.name, {})).get(c.name, {})
         if "values" in over:
             values = over["values"]
@@ -220,7 +225,7 @@ class Generator:
             overridden = cfg.overrides.get(key, cfg.overrides.get(t.name, {}))
             for g in coherence.detect(t):
                 if not any(c in overridden or t.column(c).values or c in done for _, c in g.columns):
-                    for c, v in coherence.columns_of(g, Ctx(cfg.seed, key, "", row, cfg.ref)).items():
+                    for c, v in coherence.columns_of(g, Ctx(cfg.seed, key, "", row, cfg.ref, locale=cfg.locale)).items():
                         group_of.setdefault(c, v)
         mappings, exprs, values, uniques = map_table(t), {}, {}, []
         for c in t.columns:

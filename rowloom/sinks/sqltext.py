@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -158,16 +159,22 @@ def mode_of(dry_run: bool = False, path: str | None = None, url: str | None = No
     return "dry-run" if dry_run else "file" if path else "direct" if url else "frames"
 
 
-def write_frames(tables: dict[str, DataFrame], path: str, form: str = "parquet", mode: str = "errorifexists") -> None:
-    """One folder a table; Spark commits a table as a whole."""
+def untold(name: str):
+    """What stands around the writing of a table where nobody watches it."""
+    return nullcontext()
+
+
+def write_frames(tables: dict[str, DataFrame], path: str, form: str = "parquet", mode: str = "errorifexists", around=untold) -> None:
+    """One folder a table; Spark commits a table as a whole. around: a context for each table's name."""
     for name, df in tables.items():
-        writer = df.write.mode(mode)
-        if form == "copy":
-            df.select(copy_lines(df, df.columns).alias("value")).write.mode(mode).text(f"{path}/{name}")
-        elif form == "csv":
-            writer.csv(f"{path}/{name}", header=True, nullValue="\\N")
-        else:
-            writer.format(form).save(f"{path}/{name}")
+        with around(name):
+            writer = df.write.mode(mode)
+            if form == "copy":
+                df.select(copy_lines(df, df.columns).alias("value")).write.mode(mode).text(f"{path}/{name}")
+            elif form == "csv":
+                writer.csv(f"{path}/{name}", header=True, nullValue="\\N")
+            else:
+                writer.format(form).save(f"{path}/{name}")
 
 
 LAST = 1 << 62  # behind all batches
@@ -175,7 +182,7 @@ LAST = 1 << 62  # behind all batches
 SQL_FOLDER = re.compile(r"\d{4,}_.+")
 
 
-def write_sql(schema: Schema, tables: dict[str, DataFrame], order: list[str], path: str, batch: int = BATCH, dialect: str = "postgres", updates: dict[str, list[DataFrame]] | None = None, mode: str = "errorifexists") -> None:
+def write_sql(schema: Schema, tables: dict[str, DataFrame], order: list[str], path: str, batch: int = BATCH, dialect: str = "postgres", updates: dict[str, list[DataFrame]] | None = None, mode: str = "errorifexists", around=untold) -> None:
     """One folder of SQL for each table, numbered in insert order; statements are written by executors, in
     order of batch, and files sort as their statements run. A table's part begins and ends its transaction,
     its sequences are set at its end. References that are filled later are NULL there, and the
@@ -209,7 +216,8 @@ def write_sql(schema: Schema, tables: dict[str, DataFrame], order: list[str], pa
             resets = [sequence_reset(name, c.name) for c in t.columns if c.auto_increment and dialect == "postgres"]
             frame = spark.createDataFrame([(-1, f"-- {name}\nBEGIN;"), (LAST, "\n".join([*resets, "COMMIT;"]))], "batch long, statement string")
             made.append(f"{first + len(made):04d}_{name}")
-            _write_ordered(insert_statements(df, name, df.columns, keys, batch, dialect).unionAll(frame), "batch", f"{aside}/{made[-1]}")
+            with around(name):
+                _write_ordered(insert_statements(df, name, df.columns, keys, batch, dialect).unionAll(frame), "batch", f"{aside}/{made[-1]}")
         for name, later in ((n, f) for n in names for f in updates.get(n, [])):
             t = schema.tables[name]
             keys = [c for c in t.primary_key if c in later.columns]
@@ -261,7 +269,7 @@ def stage_like(table: str, aside: str, dialect: str) -> str:
     return f"CREATE TABLE {aside} LIKE {table}" if dialect == "mysql" else f"CREATE TABLE {aside} AS SELECT * FROM {table} WITH NO DATA"
 
 
-def write_jdbc(tables: dict[str, DataFrame], order: list[str], url: str, batch: int = BATCH, mode: str = "append", schema: Schema | None = None, allowed: bool = False, **options) -> None:
+def write_jdbc(tables: dict[str, DataFrame], order: list[str], url: str, batch: int = BATCH, mode: str = "append", schema: Schema | None = None, allowed: bool = False, around=untold, **options) -> None:
     """All rows or none. Executors write each table's rows into a table beside it (Spark's writer, a partition a
     transaction), and when all are there, one transaction moves them in, parents first, and sets the
     sequences. Whatever fails before its commit (a partition, a constraint, a connection) leaves the target as it was; the
@@ -291,7 +299,8 @@ def write_jdbc(tables: dict[str, DataFrame], order: list[str], url: str, batch:
         for at in names:
             run_jdbc(spark, link, [stage_like(at, asides[at], dialect)], **options)
             made.append(asides[at])
-            tables[at].write.format("jdbc").options(url=link, dbtable=asides[at], batchsize=str(batch), **options).mode("append").save()
+            with around(at):
+                tables[at].write.format("jdbc").options(url=link, dbtable=asides[at], batchsize=str(batch), **options).mode("append").save()
         listed = {n: ", ".join(quoted(c, dialect) for c in tables[n].columns) for n in names}
         statements = [f"DELETE FROM {n}" for n in reversed(names)] if mode == "overwrite" else []
         statements += [f"INSERT INTO {n} ({listed[n]}) SELECT {listed[n]} FROM {asides[n]}" for n in names]
@@ -314,7 +323,7 @@ def _plain(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(c).alias(c) if isinstance(kind(c), nested) else F.col(c).cast("string").alias(c) if isinstance(kind(c), as_text) else F.col(c) for c in df.columns])
 
 
-def write_sqlite(tables: dict[str, DataFrame], order: list[str], path: str, mode: str = "append") -> dict[str, int]:
+def write_sqlite(tables: dict[str, DataFrame], order: list[str], path: str, mode: str = "append", around=untold) -> dict[str, int]:
     """A local file for tests and samples: rows stream to the driver, one partition at a time, into one transaction
     over all tables, so that a failure leaves the file as it was. mode: append (the file's rows stay), overwrite (rows of
     all tables go first, children before parents), errorifexists (no table may hold rows), ignore (tables that hold
@@ -343,9 +352,10 @@ def write_sqlite(tables: dict[str, DataFrame], order: list[str], path: str, mode
                 db.execute(f"CREATE TABLE IF NOT EXISTS {short[name]} ({listed})")
                 sql = f"INSERT INTO {short[name]} ({listed}) VALUES ({', '.join('?' * len(df.columns))})"
                 counts[name] = 0
-                for row in _plain(df).toLocalIterator():
-                    db.execute(sql, tuple(row))
-                    counts[name] += 1
+                with around(name):
+                    for row in _plain(df).toLocalIterator():
+                        db.execute(sql, tuple(row))
+                        counts[name] += 1
             db.commit()
         except Exception as e:
             db.rollback()
