@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .stemmer import stem
+
 
 def snake_case(name: str) -> str:
     name = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", name)
@@ -41,40 +43,14 @@ def normalise_column(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "^_|_$", ""), "_(col|field|val|value)$", "")
 
 
-def tokens(name: str) -> list[str]:
-    return [t for t in re.split(r"[_\-\s]+", snake_case(name)) if t]
-
-
-_VOWEL = "aeiou"
-
-
-def stem(word: str) -> str:
-    """A light stemmer: plural, past, progressive and noun endings, where a syllable is left."""
+def tokens_column(c: Column) -> Column:
+    """tokens() over data."""
+    c = F.regexp_replace(F.regexp_replace(c, "([A-Z]+)([A-Z][a-z])", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2")
+    return F.filter(F.split(F.lower(c), r"[_\-\s]+"), lambda t: t != "")
 
-    def rest(w: str) -> bool:
-        return bool(re.search(rf"[{_VOWEL}y][^{_VOWEL}]", w)) and len(w) > 2
 
-    w = word.lower()
-    if len(w) <= 3:
-        return w
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if w.endswith(end):
-            w = w[: -len(end)] + new
-            break
-    for end in ("ing", "ed"):
-        if w.endswith(end) and re.search(f"[{_VOWEL}y]", w[: -len(end)]):
-            w = w[: -len(end)]
-            if w.endswith(("at", "bl", "iz")):
-                w += "e"
-            elif len(w) > 2 and w[-1] == w[-2] and w[-1] not in "lsz":
-                w = w[:-1]
-            break
-    if w.endswith("y") and len(w) > 2 and w[-2] not in _VOWEL:
-        w = w[:-1] + "i"
-    for end, new in (("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("iveness", "ive"), ("ation", "ate"), ("ness", ""), ("ment", ""), ("able", ""), ("ance", ""), ("ence", ""), ("er", ""), ("ion", ""), ("e", "")):
-        if w.endswith(end) and rest(w[: -len(end)]):
-            return w[: -len(end)] + new
-    return w
+def tokens(name: str) -> list[str]:
+    return [t for t in re.split(r"[_\-\s]+", snake_case(name)) if t]
 
 
 def distance(a: str, b: str) -> int:
@@ -89,3 +65,6 @@ def distance(a: str, b: str) -> int:
 def suggest(word: str, known: list[str], most: int = 2) -> str | None:
     near = min(((distance(word, k), k) for k in known), default=(most + 1, None))
     return near[1] if near[0] <= most else None
+
+
+__all__ = ["distance", "normalise", "normalise_column", "singular", "snake_case", "stem", "suggest", "tokens", "tokens_column"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, rng
@@ -119,6 +120,23 @@ def stem_scores(name: str) -> dict[str, float]:
     return out
 
 
+def score_columns(columns: DataFrame) -> DataFrame:
+    """For columns (table, column): domain, score and rank of each domain that words of the name hint at, the first of
+    equals by its name. Words are told apart once, stemmed, and joined with the table of stems (some hundred rows)."""
+    spark = columns.sparkSession
+    stems = spark.createDataFrame([(s, d, w) for s, (d, w) in STEMS.items() if s not in NOISE], "stem string, domain string, weight double")
+    words_ = columns.select("table", "column", F.explode(names.tokens_column(F.col("column"))).alias("word"))
+
+    def run(batches):
+        for b in batches:
+            yield b.assign(stem=[names.stem(w) for w in b["word"]])
+
+    stemmed = words_.select("word").distinct().mapInPandas(run, "word string, stem string")
+    found = words_.join(stemmed, "word").join(F.broadcast(stems), "stem").groupBy("table", "column", "domain").agg(F.round(F.sum("weight"), 6).alias("score"))
+    order = Window.partitionBy("table", "column").orderBy(F.desc("score"), "domain")
+    return found.withColumn("rank", F.row_number().over(order).cast("long"))
+
+
 def check_values(table: Table, column: Column) -> tuple[str, ...]:
     import re
 

@@ -143,7 +143,7 @@ EARLIER_LATER: list[tuple[str, str]] = [
 #: Words that hint at a domain, and how strongly; half a point is enough. They are compared by their stems.
 STEMS: dict[str, tuple[float, list[str]]] = {
     "boolean": (0.6, ["active", "enable", "verify"]),
-    "commerce": (0.7, ["brand", "cart", "discount", "item", "order", "product", "shipment"]),
+    "commerce": (0.7, ["brand", "cart", "discount", "item", "order", "product", "shipment", "shipping"]),
     "contact": (0.8, ["email", "mobile", "phone", "website"]),
     "education": (0.7, ["course", "exam", "grade", "lesson", "semester"]),
     "finance": (0.7, ["balance", "budget", "cost", "currency", "invoice", "payment", "price", "revenue", "salary", "tax"]),

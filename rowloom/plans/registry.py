@@ -10,7 +10,7 @@ from ..functions import names, rng
 from ..functions.names import normalise_column
 from ..functions.rng import sql_uniform as U
 from ..functions.values import PLACES, SAFE_DOMAINS, Ctx, address, ipv4, uuid4
-from ..operators import cardinality, coherence, existing, generate, mapping, plan, unique
+from ..operators import cardinality, coherence, existing, generate, mapping, plan, unique, vocabulary
 from ..operators.prefix import ordinals
 from ..schema import Check, Column, ForeignKey, Kind, Schema, Table, ancestors, columns_frame, edges_frame, excluded, filter_schema, glob_regex, table_from_frame
 from ..scratch import materialise
@@ -521,6 +521,17 @@ def stem_scores(spark, d):
     return spark.createDataFrame(out, "name string, domain string, score double")
 
 
+_HINTS = ", ".join(str((w, d, x)) for d, (x, ws) in vocabulary.STEMS.items() for w in ws)
+
+
+@query(f"""WITH {_COLUMNS}, h(word, domain, weight) AS (VALUES {_HINTS}), w AS (SELECT t, c, unnest(string_split(lower(c), '_')) AS word FROM c),
+    s AS (SELECT t, c, domain, round(sum(weight), 6)::DOUBLE AS score FROM w JOIN h ON w.word IN (h.word, h.word || 's') GROUP BY 1, 2, 3)
+    SELECT t AS "table", c AS "column", domain, score, row_number() OVER (PARTITION BY t, c ORDER BY score DESC, domain) AS rank FROM s""")
+def column_stem_scores(spark, d):
+    """Domains that the words of the given tables' column names hint at."""
+    return mapping.score_columns(columns_frame(spark, given_schema(spark, d)).select("table", "column"))
+
+
 _LISTED = "SELECT p_size, string_agg(DISTINCT {0}, {1} ORDER BY {0}) AS v FROM part GROUP BY p_size"
 
 
