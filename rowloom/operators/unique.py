@@ -98,11 +98,14 @@ def place_free(df: DataFrame, column: str, order: str, by: tuple[str, ...] = (),
     stay, moved = placed.where("__k = 0"), placed.where("__k > 0")
     taken = stay.select(*by, "__x") if old is None else stay.select(*by, "__x").unionByName(old)
     ends = taken.agg(F.min("__x").alias("lo"), F.max("__x").alias("hi")).first()
-    wanted = moved.groupBy(*by).agg(F.count("*").alias("__wanted")) if by else moved.agg(F.count("*").alias("__wanted"))
+    # Without by, all rows are one group, of a constant.
+    group = list(by) or ["__all"]
+    one = lambda f: f if by else f.withColumn("__all", F.lit(0))
+    wanted = one(moved).groupBy(*group).agg(F.count("*").alias("__wanted"))
     for lo, hi in dict.fromkeys(((ends["lo"], ends["hi"]), (max(limits[0], min(0, ends["lo"])), limits[1]), limits) if ends["lo"] is not None else ()):
         inside = taken.where(F.col("__x").between(lo, hi))
-        held = inside.groupBy(*by).agg(F.count("*").alias("__held")) if by else inside.agg(F.count("*").alias("__held"))
-        room = (wanted.join(held, list(by), "left") if by else wanted.crossJoin(held)).select(*by, "__wanted", (F.lit(hi - lo + 1) - F.coalesce("__held", F.lit(0))).alias("__free"))  # without by, a row each
+        held = one(inside).groupBy(*group).agg(F.count("*").alias("__held"))
+        room = wanted.join(held, group, "left").select(*group, "__wanted", (F.lit(hi - lo + 1) - F.coalesce("__held", F.lit(0))).alias("__free"))
         if room.where("__free < __wanted").isEmpty():
             break
     else:
@@ -114,7 +117,7 @@ def place_free(df: DataFrame, column: str, order: str, by: tuple[str, ...] = (),
     ranked = rank_within(inside, by, "__x", "__i", max(1 << 16, (hi - lo) >> 16))
     starts = ranked.select(*by, (F.col("__x") - F.lit(lo) - F.col("__i")).alias("__at"), (F.col("__i") + 1).alias("__shift"))
     want = rank_within(moved.select(order, *by), by, order, "__n")
-    want = want.join(room, list(by)) if by else want.crossJoin(F.broadcast(room))  # one row
+    want = one(want).join(room, group)
     spread = F.floor(F.col("__n").cast("decimal(38,0)") * F.col("__free") / F.col("__wanted")).cast("long")
     want = want.select(order, *by, F.least(spread, F.col("__free") - 1).alias("__at"))
     width = max(1, (hi - lo) >> 10)
