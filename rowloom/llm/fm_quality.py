@@ -8,8 +8,8 @@ weight for each input and, for each pair of inputs, the product of their low-ran
 
 a text is scored in time linear in its inputs. Weights are learned in numpy by minibatch Adagrad.
 
-Fitting reads a bounded sample, ``MAX_LABELLED`` labelled documents (the first by a hash of their
-ids); scoring reads every whole text once, with a model of fixed size.
+Fitting reads a bounded sample, ``max_labelled`` labelled documents (a parameter, 8000 by default; the first by a hash of
+their ids, and of the texts of an id that repeats, the least); scoring reads every whole text once, with a model of fixed size.
 
 Defined cases: null and empty texts have zero statistics and no words, and get the score those bins
 have; a null n_chars counts as 0; repeated rows score equally; labels that are null or have
@@ -122,12 +122,14 @@ def _columns(docs: DataFrame, doc_id: str, text: str, n_chars: str | None) -> Da
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(meta, F.lit(0)).alias("n_chars"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, is_train: Column, doc_id="doc_id", text="text", n_chars: str | None = "n_chars") -> tuple[Machine | None, float]:
+def fit(docs: DataFrame, labels: DataFrame, is_train: Column, doc_id="doc_id", text="text", n_chars: str | None = "n_chars", max_labelled: int = MAX_LABELLED) -> tuple[Machine | None, float]:
+    """The fitted machine, and the share of good documents among those it was fitted to. The driver holds the inputs of
+    ``max_labelled`` documents."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(is_train).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    some = known.orderBy(F.xxhash64(F.lit("quality"), F.col("doc_id")), "doc_id").limit(MAX_LABELLED).collect()
+    some = known.orderBy(F.xxhash64(F.lit("quality"), F.col("doc_id")), "doc_id").limit(max_labelled).collect()
     if not some:
         return None, 0.5
-    # At most MAX_LABELLED rows.
+    # At most max_labelled rows.
     picked = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["quality"])) for r in some], "doc_id long, quality int")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, is_train: Column, doc_id="doc_id", t
             yield pd.DataFrame(rows, columns=["doc_id", "quality", "w", "s"])
 
     rows = _columns(docs, doc_id, text, n_chars).join(F.broadcast(picked), "doc_id")
-    got = rows.mapInPandas(run, "doc_id long, quality int, w binary, s array<double>").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    # One row an id: that of the least text.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by(F.struct("text", "n_chars"), F.struct("text", "n_chars")).alias("row")).select("doc_id", "quality", "row.text", "row.n_chars")
+    got = rows.mapInPandas(run, "doc_id long, quality int, w binary, s array<double>").toPandas().sort_values("doc_id")
     y = got["quality"].to_numpy(dtype=float)
     if len(y) == 0 or y.min() == y.max():
         return None, float(y.mean()) if len(y) else 0.5
