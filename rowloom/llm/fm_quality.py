@@ -12,7 +12,8 @@ Fitting reads a bounded sample, ``max_labelled`` labelled documents (a parameter
 their ids, and of the texts of an id that repeats, the least); scoring reads every whole text once, with a model of fixed size.
 
 Defined cases: null and empty texts have zero statistics and no words, and get the score those bins
-have; a null n_chars counts as 0; repeated rows score equally; labels that are null or have
+have; a null n_chars counts as 0; repeated rows score equally; of labels of one id the least counts, and ids of equal hash
+go into the sample by their number; labels that are null or have
 no document are not learned from; without labels of both kinds every score is the share of
 label 1 (0.5 without labels); an empty table gives an empty result; other columns are not read.
 """

@@ -17,7 +17,7 @@ lines of the container around them, so that furniture in between cuts nothing of
 
 Defined cases: a null or empty page, and a page of furniture only, gives the empty string; markup
 that is never closed is closed by its ancestors; a page of any length is read whole, in one pass;
-repeated rows give repeated results; an empty table gives an empty result; only the id, url and
+repeated rows give repeated results; of candidates or articles of equal mass the first decides; an empty table gives an empty result; only the id, url and
 html columns are read.
 """
 

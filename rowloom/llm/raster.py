@@ -11,7 +11,7 @@ pixels of a raw PPM row; images are lossless, and features come from the decoded
 
 Defined cases: null and empty texts are stored as one row of spaces; long texts give tall images,
 processed in strips of bounded height; media that can't be decoded give null features and the
-reason (``decode_column``), never an error; repeated rows give equal values; an empty table gives
+reason (``decode_column``), never an error; repeated rows give equal values, and nothing is ranked, so there are no ties; an empty table gives
 an empty result; only the named columns are read.
 """
 

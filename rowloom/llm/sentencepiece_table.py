@@ -11,7 +11,7 @@ The model file is read by path on each executor, or shipped as bytes by the driv
 half a megabyte, fixed by the tokenizer, whatever the corpus).
 
 Defined cases: null and empty texts have no ids and decode to the empty text; texts of any length
-are encoded whole; repeated rows give repeated results; an empty table gives an empty result;
+are encoded whole; repeated rows give repeated results; ties between merges are the library's, leftmost first; an empty table gives an empty result;
 other columns are not read.
 """
 
