@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import diff
@@ -515,13 +515,18 @@ _SCORES = [
 ]
 
 
-@query("SELECT name, domain, score::DOUBLE AS score FROM (VALUES " + ", ".join(map(str, _SCORES)) + ") t(name, domain, score)")
+_HINTS = ", ".join(str((w, d, x)) for d, (x, ws) in vocabulary.STEMS.items() for w in ws)
+
+
+@query("SELECT name, domain, score::DOUBLE AS score FROM (VALUES " + ", ".join(map(str, _SCORES)) + f""") t(name, domain, score) UNION ALL (WITH {_COLUMNS}, h(word, domain, weight) AS (VALUES {_HINTS}),
+    w AS (SELECT name, unnest(string_split(name, '_')) AS word FROM (SELECT DISTINCT 'vehicle_' || c AS name FROM c)) SELECT name, domain, round(sum(weight), 6)::DOUBLE FROM w JOIN h ON w.word IN (h.word, h.word || 's') GROUP BY 1, 2)""")
 def stem_scores(spark, d):
-    out = [(n, k, float(v)) for n in ("customerEmails", "patient_diagnosis", "invoicePayments", "shipping_city", "course_grades", "key_id") for k, v in mapping.stem_scores(n).items()]
+    """Scores of some names, and of the given tables' columns with one more word in front."""
+    given = [f"vehicle_{r['column']}" for r in columns_frame(spark, given_schema(spark, d)).select("column").distinct().collect()]
+    out = [(n, k, round(float(v), 6)) for n in ("customerEmails", "patient_diagnosis", "invoicePayments", "shipping_city", "course_grades", "key_id", *sorted(given)) for k, v in mapping.stem_scores(n).items()]
     return spark.createDataFrame(out, "name string, domain string, score double")
 
 
-_HINTS = ", ".join(str((w, d, x)) for d, (x, ws) in vocabulary.STEMS.items() for w in ws)
 
 
 @query(f"""WITH {_COLUMNS}, h(word, domain, weight) AS (VALUES {_HINTS}), w AS (SELECT t, c, unnest(string_split(lower(c), '_')) AS word FROM c),
@@ -549,9 +554,11 @@ def check_literals(spark, d):
     return made.select("p_size", "form", F.array_join(literals_column(F.col("e")), ",").alias("vals"))
 
 
-@query("WITH " + _T + " SELECT name FROM t WHERE NOT regexp_full_match(name, '[^.]*s') AND NOT regexp_full_match(name, 'p[^.]*')")
+@query(f"WITH {_COLUMNS} SELECT DISTINCT name FROM (SELECT t AS name FROM c UNION SELECT c FROM c) WHERE NOT regexp_full_match(name, '[^.]*s') AND NOT regexp_full_match(name, 'p[^.]*')")
 def glob_exclude(spark, d):
-    names_ = spark.createDataFrame([(t,) for t in TABLES], "name string")
+    """Names of the given tables and their columns that no pattern matches."""
+    c = columns_frame(spark, given_schema(spark, d))
+    names_ = c.select(F.explode(F.array("table", "column")).alias("name")).distinct()
     for p in ("*s", "p*"):
         names_ = names_.where(~F.col("name").rlike(glob_regex(p)))
     assert not excluded("public.a", ["b*"])
@@ -759,12 +766,17 @@ _PARSED_ROWS = [
 ]
 
 
-@query("SELECT source, t.* FROM (VALUES ('prisma'), ('drizzle'), ('typeorm'), ('jpa')) s(source), (VALUES " + ", ".join(map(str, _PARSED_ROWS)) + ") t(\"table\", \"column\", kind, nullable, is_pk, is_fk, is_unique)")
+@query("SELECT source, t.* FROM (VALUES ('prisma'), ('drizzle'), ('typeorm'), ('jpa')) s(source), (VALUES " + ", ".join(map(str, _PARSED_ROWS)) + f") t(\"table\", \"column\", kind, nullable, is_pk, is_fk, is_unique) UNION ALL (WITH {_COLUMNS} SELECT 'tables', t, c, CASE WHEN p % 2 = 0 THEN 'integer' ELSE 'text' END, p % 3 = 1, p = 0, false, p % 3 = 2 FROM c)")
 def parsed_sources(spark, d):
-    """The same two tables in four kinds of source text give the same columns."""
+    """The same two tables in four kinds of source text give the same columns; and the given tables, written as models
+    whose fields have types and marks by their place, give back what was written."""
     from ..sources import drizzle, jpa, prisma, typeorm
 
-    out = None
+    p = F.col("position")
+    field = F.concat_ws(" ", F.lit(" "), "column", F.concat(F.when(p % 2 == 0, "Int").otherwise("String"), F.when(p % 3 == 1, "?").otherwise("")), F.when(p == 0, "@id").when(p % 3 == 2, "@unique"))
+    fields = columns_frame(spark, given_schema(spark, d)).groupBy("table").agg(F.array_sort(F.collect_list(F.struct(p.alias("p"), field.alias("f")))).alias("fs"))
+    models = fields.select(F.concat(F.lit("model "), "table", F.lit(" {\n"), F.array_join(F.transform("fs", lambda x: x["f"]), "\n"), F.lit("\n}")).alias("m")).collect()  # a text a table
+    out = columns_frame(spark, prisma.parse("\n".join(sorted(r["m"] for r in models)))).select(F.lit("tables").alias("source"), "table", "column", "kind", "nullable", "is_pk", "is_fk", "is_unique")
     for name, parse in (("prisma", prisma.parse), ("drizzle", drizzle.parse), ("typeorm", typeorm.parse), ("jpa", jpa.parse)):
         one = columns_frame(spark, parse(_PARSED[name])).select(F.lit(name).alias("source"), "table", "column", "kind", "nullable", "is_pk", "is_fk", "is_unique")
         out = one if out is None else out.unionAll(one)
@@ -802,16 +814,28 @@ _ACT = "CASE max({0}) WHEN 'a' THEN 'NO ACTION' WHEN 'r' THEN 'RESTRICT' WHEN 'c
 
 
 @query(f"""SELECT table_name, constraint_name, kind, string_agg(column_name, ',' ORDER BY position) AS columns, coalesce(max(ref_table), '') AS ref_table, coalesce(string_agg(ref_column, ',' ORDER BY position), '') AS refs,
-    {_ACT.format('on_delete')} AS on_delete, {_ACT.format('on_update')} AS on_update, bool_or(can_defer) AS can_defer FROM {_values(CATALOG_CONSTRAINTS, CONSTRAINT_SHAPE.replace('deferrable', 'can_defer'))} WHERE kind <> 'c' GROUP BY 1, 2, 3""")
+    {_ACT.format('on_delete')} AS on_delete, {_ACT.format('on_update')} AS on_update, bool_or(can_defer) AS can_defer FROM {_values(CATALOG_CONSTRAINTS, CONSTRAINT_SHAPE.replace('deferrable', 'can_defer'))} WHERE kind <> 'c' GROUP BY 1, 2, 3
+    UNION ALL (WITH {_COLUMNS} SELECT t, t || '_all', 'u', string_agg(c, ',' ORDER BY p DESC), '', '', 'NO ACTION', 'NO ACTION', false FROM c GROUP BY t)""")
 def catalog_keys(spark, d):
-    """Keys of catalog rows: columns in order, references with their actions."""
-    found = introspect.key_lists(catalog_frames(spark)[1])
+    """Keys of catalog rows: columns in order, references with their actions; and a key over all columns of each given
+    table, numbered from behind."""
+    own = columns_frame(spark, given_schema(spark, d))
+    null = F.lit(None).cast("string")
+    every = own.select(
+        F.col("table").alias("table_name"), F.concat("table", F.lit("_all")).alias("constraint_name"), F.lit("u").alias("kind"), F.col("column").alias("column_name"), (-F.col("position")).cast("int").alias("position"),
+        *[null.alias(c) for c in ("ref_table", "ref_column", "on_delete", "on_update")], F.lit(False).alias("deferrable"), null.alias("expression"),
+    )
+    found = introspect.key_lists(catalog_frames(spark)[1].unionByName(every))
     return found.select("table_name", "constraint_name", "kind", F.array_join("columns", ",").alias("columns"), F.coalesce("ref_table", F.lit("")).alias("ref_table"), F.array_join("references", ",").alias("refs"), "on_delete", "on_update", F.col("deferrable").alias("can_defer"))
 
 
-@query(f"SELECT enum_name, string_agg(label, ',' ORDER BY position) AS labels FROM {_values(CATALOG_ENUMS, 'enum_name string, label string, position double')} GROUP BY 1")
+@query(f"""SELECT enum_name, string_agg(label, ',' ORDER BY position) AS labels FROM {_values(CATALOG_ENUMS, 'enum_name string, label string, position double')} GROUP BY 1
+    UNION ALL SELECT 'size_' || p_size, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand DESC) FROM part GROUP BY p_size""")
 def catalog_enums(spark, d):
-    return introspect.enum_lists(catalog_frames(spark)[2]).select("enum_name", F.array_join("labels", ",").alias("labels"))
+    """Labels of enumerations in their order; among them the brands of each size of parts, from the last to the first."""
+    brands = read(spark, d, "part").select(F.concat(F.lit("size_"), "p_size").alias("enum_name"), F.col("p_brand").alias("label")).distinct()
+    placed = brands.withColumn("position", F.rank().over(Window.partitionBy("enum_name").orderBy(F.desc("label"))).cast("double"))
+    return introspect.enum_lists(catalog_frames(spark)[2].unionByName(placed)).select("enum_name", F.array_join("labels", ",").alias("labels"))
 
 
 _INTROSPECTED = [
@@ -822,10 +846,15 @@ _INTROSPECTED = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(map(str, _INTROSPECTED)) + ") t(\"table\", \"column\", kind, nullable, is_pk, is_fk, is_unique, is_auto, is_generated, \"values\")")
+@query("SELECT * FROM (VALUES " + ", ".join(map(str, _INTROSPECTED)) + f") t(\"table\", \"column\", kind, nullable, is_pk, is_fk, is_unique, is_auto, is_generated, \"values\") UNION ALL (WITH {_COLUMNS} SELECT t, c, 'varchar', p > 0, p = 0, false, false, false, false, '' FROM c)")
 def catalog_schema(spark, d):
-    """A schema from catalog rows: kinds, keys, identity, generated columns, enumerations and listed checks."""
+    """A schema from catalog rows: kinds, keys, identity, generated columns, enumerations and listed checks; and the given
+    tables, as a catalog would list them, with their first column as key."""
     columns, constraints, enums = catalog_frames(spark)
+    own, null = columns_frame(spark, given_schema(spark, d)), F.lit(None).cast("string")
+    columns = columns.unionByName(own.select(F.col("table").alias("table_name"), F.col("column").alias("column_name"), (F.col("position") + 1).cast("int").alias("position"), F.lit("character varying(20)").alias("data_type"), (F.col("position") > 0).alias("nullable"), null.alias("column_default"), F.lit("").alias("identity"), F.lit(False).alias("generated"), null.alias("enum_name"), null.alias("comment")))
+    first = own.where("position = 0").select(F.col("table").alias("table_name"), F.concat("table", F.lit("_pkey")).alias("constraint_name"), F.lit("p").alias("kind"), F.col("column").alias("column_name"), F.lit(1).alias("position"), *[null.alias(c) for c in ("ref_table", "ref_column", "on_delete", "on_update")], F.lit(False).alias("deferrable"), null.alias("expression"))
+    constraints = constraints.unionByName(first)
     s = introspect.schema_of_catalog(columns, constraints, enums)
     listed = spark.createDataFrame([(k, c.name, ",".join(c.values)) for k, t in s.tables.items() for c in t.columns], "table string, column string, values string")
     return columns_frame(spark, s).drop("position").join(listed, ["table", "column"])
@@ -851,15 +880,22 @@ def schema_hash_tables(spark, d):
     return diff.hash_columns(cols)
 
 
-@query("WITH c AS (SELECT * FROM (VALUES ('a','x','INT'),('a','y','TEXT'),('b','z','DATE')) t(tab, col, kind)) SELECT tab AS \"table\", sha256(string_agg(col || ':' || kind, ';' ORDER BY col || ':' || kind)) AS hash FROM c GROUP BY tab")
+@query(f"""WITH {_COLUMNS} SELECT split_part(c, '_', 1) AS "table", sha256(string_agg(c || ':' || t, ';' ORDER BY c || ':' || t)) AS hash FROM c GROUP BY 1""")
 def schema_hash(spark, d):
-    return diff.hash_columns(spark.createDataFrame([("a", "x", "INT"), ("a", "y", "TEXT"), ("b", "z", "DATE")], "table string, column string, kind string"))
+    """Hashes of the given tables' columns, by the first word of their names."""
+    cols = columns_frame(spark, given_schema(spark, d)).select(F.split_part("column", F.lit("_"), F.lit(1)).alias("first"), "column", F.col("table").alias("kind"))
+    return diff.hash_columns(cols, "first").withColumnRenamed("first", "table")
 
 
-@query("SELECT COALESCE(o.t, n.t) AS \"table\", CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h = n.h THEN 'unchanged' ELSE 'changed' END AS change FROM (VALUES ('a','1'),('b','2'),('c','3')) o(t,h) FULL JOIN (VALUES ('b','2'),('c','9'),('d','4')) n(t,h) ON o.t = n.t")
+@query(f"""WITH {_COLUMNS}, n AS (SELECT CASE t WHEN 'events' THEN 'happenings' ELSE t END AS t, c, CASE WHEN t LIKE 'p%' THEN p + 1 ELSE p END AS p FROM c),
+    a AS (SELECT t, sha256(string_agg(c || ':' || p, ';' ORDER BY c || ':' || p)) AS h FROM c GROUP BY t), b AS (SELECT t, sha256(string_agg(c || ':' || p, ';' ORDER BY c || ':' || p)) AS h FROM n GROUP BY t)
+    SELECT COALESCE(a.t, b.t) AS "table", CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.t = b.t""")
 def schema_diff(spark, d):
-    make = lambda x: spark.createDataFrame(x, "table string, hash string")
-    return diff.compare(make([("a", "1"), ("b", "2"), ("c", "3")]), make([("b", "2"), ("c", "9"), ("d", "4")]))
+    """The given tables against the same ones with one renamed, and others' columns moved by a place."""
+    cols = columns_frame(spark, given_schema(spark, d)).select("table", "column", F.col("position").alias("kind"))
+    moved = cols.select(F.when(F.col("table") == "events", "happenings").otherwise(F.col("table")).alias("table"), "column", (F.col("kind") + F.col("table").startswith("p").cast("int")).alias("kind"))
+    hashed = [diff.hash_columns(x.withColumn("kind", F.col("kind").cast("string"))) for x in (cols, moved)]
+    return diff.compare(*hashed)
 
 
 @query(f'WITH {_COLUMNS} SELECT t AS "table", c AS "column", p AS position FROM c')
