@@ -13,7 +13,8 @@ part of it does, so the share of unlabelled texts over a threshold, divided by t
 bounds the prior from above; the least such bound, with its sampling error, is taken (``estimate_prior``). The scores
 are log ratios of the features' shares; a positive's come from the positives of the other folds.
 
-How often features occur and which of them are used rests on all training texts. Prior and weights are fitted
+How often features occur and which of them are used rests on all training texts; features that a sample of them shows to be
+too common (by six deviations) aren't counted in the rest. Prior and weights are fitted
 to bounded samples, the first by a hash of their ids: ``max_positive`` and ``max_unlabelled`` documents (parameters;
 None takes all, equal texts of features counted once with their number). ``max_features`` bounds the weights
 (None: no bound). Scoring reads every whole text once.
@@ -44,6 +45,8 @@ MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4000, 8000, 4096
 #: Thresholds that this share of the positives or more passes tell of the prior; shares may be this many deviations off.
 PRIOR_SHARE, PRIOR_Z, FOLDS = 0.5, 1.0, 5
 HASH_BITS = 22
+#: Size of the second sample that rules features out, beside the first one's; features held at once while they are counted.
+SECOND, COUNTED_AT_ONCE = 4, 1_000_000
 LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 BEGINNINGS = (4, 5, 6, 7)
 #: A feature counts again when it makes up these shares of a text's words.
@@ -301,13 +304,18 @@ def fit(
         """How many of the texts hold each candidate, and how many texts there are."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            counter, held, n = Counted(candidates), Counter(), 0
+            counter, held, n = Counted(candidates), np.zeros(len(candidates), dtype=np.int64), 0
             for b in batches:
+                found: list[int] = []
                 for t in b["text"]:
-                    held.update(counter(t))
+                    found += counter(t)
+                    if len(found) > COUNTED_AT_ONCE:
+                        held += np.bincount(found, minlength=len(candidates))
+                        found = []
+                held += np.bincount(np.array(found, dtype=np.int64), minlength=len(candidates))
                 n += len(b)
-            at = np.array(sorted(held), dtype=np.int64)
-            yield pd.DataFrame({"feature": np.append(candidates[at], -1).astype(np.int32), "n": np.array([*(held[i] for i in at.tolist()), n], dtype=np.int64)})
+            at = np.flatnonzero(held)
+            yield pd.DataFrame({"feature": np.append(candidates[at], -1).astype(np.int32), "n": np.append(held[at], n)})
 
         got = texts.select("text").mapInPandas(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
         of = dict(zip(got["feature"].to_pylist(), got["n"].to_pylist(), strict=True))
@@ -319,9 +327,18 @@ def fit(
         some = texts.join(first, "doc_id")
     in_u, n_u = count_in(some, features)
     if max_unlabelled is not None and n_u:
-        # What the sample rules out isn't counted further; the others are, in all training texts.
-        open_ = possible(in_p, in_u, n_p, n_u, texts.count(), max_features)
+        # What samples rule out isn't counted further; the others are, in all training texts.
+        n_all = texts.count()
+        open_ = possible(in_p, in_u, n_p, n_u, n_all, max_features)
         features, in_p = features[open_], in_p[open_]
+        share = SECOND * max_unlabelled / n_all
+        if share < 0.3 and len(features):
+            # A larger sample, of what the first one left, where it is still a small part of all.
+            seat = F.pmod(F.xxhash64(F.lit("second"), F.col("doc_id")), F.lit(1_000_000))
+            in_more, n_more = count_in(texts.where(seat < int(share * 1_000_000)), features)
+            if n_more:
+                open_ = possible(in_p, in_more, n_p, n_more, n_all, max_features)
+                features, in_p = features[open_], in_p[open_]
         in_u, n_u = count_in(texts, features)
     chosen = strongest(features, in_p, in_u, n_p, n_u, max_features) if n_u else features[:0]
     if not len(chosen):
