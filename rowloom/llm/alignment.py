@@ -38,6 +38,9 @@ from .lm_interpolation import planes, unplanes
 from .sentencepiece_table import MARK, model_bytes
 
 BLOCK_BYTES = 4 << 20
+#: How blocks are written and read back: a row is some megabytes, so sizes are looked at with every row. By default a
+#: writer holds 100 rows before it looks, and a reader takes up to 4096 rows of a row group at once.
+ROW_GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
 SPAN = re.compile(rb"([\x01\x02]*)\x03")
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 A_BITS = 32
@@ -224,7 +227,7 @@ def link_counts(pairs: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of docs."""
-    made = materialise(blocks(docs, a_path, b_path, doc_id, text), "aligned", "zstd")
+    made = materialise(blocks(docs, a_path, b_path, doc_id, text), "aligned", "zstd", **ROW_GROUPS)
     pairs = asked(made)
     told = pairs.select("block", "place", "a", "b").join(link_counts(pairs), ["a", "b"]).select("block", "place", "count", "best")
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
