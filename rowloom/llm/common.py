@@ -33,13 +33,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def compact(df: DataFrame, label: str, rows_a_file: int = 100_000) -> DataFrame:
+def compact(df: DataFrame, label: str, rows_a_file: int = 100_000, codec: str = "snappy") -> DataFrame:
     """Like materialise, in as many files as the rows need instead of one for each task: the rows are
     computed once, with all tasks, into blocks on the executors' disks, counted (``n_rows``), and written from there."""
     held = df.persist(StorageLevel.DISK_ONLY)
     try:
         n = held.count()
-        out = materialise(held.coalesce(max(1, -(-n // rows_a_file))), label)
+        out = materialise(held.coalesce(max(1, -(-n // rows_a_file))), label, codec)
         out.n_rows = n
         return out
     finally:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_bpe import ByteBpe, file_bytes
-from .common import materialise
+from .common import compact
 
 CAPACITY = 1024
 FILLER_EVERY = 8
@@ -41,6 +41,8 @@ SLICE = 2_000_000  # ids held at once, or one text's
 #: Rows of a length that one bucket is to hold, and the buckets there are at least.
 BUCKET_ROWS, BUCKETS = 200_000, 256
 RANK_BITS = 50
+#: Rows a scratch file, without ids and with them.
+NARROW, WIDE = 100_000, 5000
 
 
 def cut(n: int, capacity: int, filler: bool) -> list[int]:
@@ -135,8 +137,9 @@ def ranked(parts: DataFrame, buckets: int) -> DataFrame:
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Rows of ``pieces`` (any columns; length and row are read) with sequence_id and offset.
 
-    Rows are written once, as their ranks and their counts must come from the same ones."""
-    parts = materialise(parts, "pieces", "zstd")
+    Rows are written once, as their ranks and their counts must come from the same ones, in as few files as they need:
+    an executor forks a helper for each file's mode, which for a moment holds as much memory as itself."""
+    parts = compact(parts, "pieces", WIDE if "ids" in parts.columns else NARROW, "zstd")
     # At most as many rows as a sequence has positions.
     counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
     table = places(patterns(counts, capacity))

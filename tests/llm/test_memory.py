@@ -5,7 +5,7 @@ from pathlib import Path
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from rowloom.llm import alignment
+from rowloom.llm import alignment, packing
 from rowloom.scratch import folder
 
 
@@ -31,3 +31,13 @@ def test_aligned_blocks_are_written_in_small_row_groups(spark, monkeypatch):
     (cut,) = files_of(spark, "aligned", before)
     groups = pq.ParquetFile(cut).metadata
     assert groups.num_row_groups > 3 and max(groups.row_group(i).num_rows for i in range(groups.num_row_groups)) < 20
+
+
+def test_pieces_are_written_in_as_few_files_as_they_need(spark):
+    docs = spark.range(0, 400, 1, 40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a word "), (F.col("id") % 50).cast("int")).alias("text"))
+    before = folders(spark, "pieces")
+    got = packing.pack(packing.pieces(docs))
+    assert len(files_of(spark, "pieces", before)) == 1
+    whole = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.min("offset").alias("first"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    assert got.select("doc_id").distinct().count() == 400 and whole.where("n > 1024 or first <> 0 or end <> n").isEmpty()
+    assert got.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).where("n <> doc_tokens").isEmpty()
