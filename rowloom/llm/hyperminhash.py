@@ -219,8 +219,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, classes: DataFrame, size: int,
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(named.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     found = rows.mapInPandas(sets, "doc_id long, own_key binary, set binary")
-    # Equal rows of one class repeat its set; documents of one id are few, so these are few.
-    found = found.join(named, (found["doc_id"] == named["rep"]) & (found["own_key"] == named["set_key"])).select("id", "set").dropDuplicates(["id"])
+    # Equal rows of one class repeat its set; documents of one id are few, so these are few. They meet where the join brought them.
+    found = found.join(named, (found["doc_id"] == named["rep"]) & (found["own_key"] == named["set_key"])).dropDuplicates(["doc_id", "own_key"]).select("id", "set")
     return compact(found, "sets", WIDE)
 
 
@@ -230,15 +230,21 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 STAR = ["a", "cell"]
+CELL = 256  # members, and a share of all, from which a star is dealt to cells
 
 
 def stars(pairs: DataFrame, carried: DataFrame) -> DataFrame:
     """Rows of pairs (a, b) as sorted groups (a, cell): the centre's row (role 0) and then its members', each with its
-    n and data from carried (id, n, data). A centre may have a third of all ids as members: they are
-    dealt to cells by hash, the centre goes to each of its cells once, and nothing is copied to a pair."""
+    n and data from carried (id, n, data). A centre may have a third of all ids as members: the members of such ones are
+    dealt to cells by hash, the centre goes to each of its cells once, and nothing is copied to a pair. Other stars are
+    a cell. Large stars are counted first; there can be ``HEAVY_SHARE`` of them at most, so the driver holds them."""
     spark = pairs.sparkSession
     cells = max(64, shuffle_partitions(spark))
-    dealt = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(cells)).cast("int").alias("cell"), "b")
+    n = pairs.__dict__.get("n_rows")
+    least = max(CELL, -(-(pairs.count() if n is None else n) // HEAVY_SHARE))
+    large = [r["a"] for r in pairs.groupBy("a").count().where(F.col("count") >= least).select("a").collect()]
+    cell = F.when(F.col("a").isin(large), F.pmod(F.xxhash64("b"), F.lit(cells))).otherwise(0) if large else F.lit(0)
+    dealt = pairs.select("a", cell.cast("int").alias("cell"), "b")
     members = dealt.join(carried, dealt["b"] == carried["id"]).select("a", "cell", F.lit(1).alias("role"), "b", "n", "data")
     centres = dealt.select("a", "cell").distinct().join(carried, F.col("a") == carried["id"]).select("a", "cell", F.lit(0).alias("role"), F.col("a").alias("b"), "n", "data")
     return members.unionAll(centres).repartition(shuffle_partitions(spark), *STAR).sortWithinPartitions(*STAR, "role", "b")
@@ -290,9 +296,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str =
     salts = max(64, shuffle_partitions(spark))
     rows = materialise(sketches(docs, size, doc_id, text).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")), "sketches")
     live = rows.where("n_shingles > 0 and doc_id is not null")
-    # 1. Classes of equal sets, in two steps: a class may hold a third of all rows. Their ids come from their sets.
-    part = live.groupBy("set_key", "salt").agg(F.min("doc_id").alias("least"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n"))
-    whole = part.groupBy("set_key").agg(F.min("least").alias("rep"), F.first("regs").alias("regs"), F.first("n").alias("n"), F.collect_set("salt").alias("salts"))
+    # 1. Classes of equal sets. A class may hold a third of all rows: a task sends one row of it. Their ids come from their sets.
+    whole = live.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs"), F.first("n_shingles").alias("n"), F.collect_set("salt").alias("salts"))
     whole = compact(whole.withColumn("id", F.xxhash64("set_key")), "classes", WIDE)
     classes = whole.select("id", "rep", "set_key", "n", "regs")
     members = whole.select("set_key", "rep", "id", F.explode("salts").alias("salt"))
@@ -321,7 +326,7 @@ def class_links(docs: DataFrame, classes: DataFrame, given: DataFrame, size: int
     if not met.n_rows:
         return given
     shared = compact(keyed.join(met, "key"), "shared")
-    star = shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    star = compact(shared.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
     star = compact(plausible(star, sketched, percent), "star")
     links = verify(docs, star, classes, size, percent, doc_id, text) if star.n_rows else star
     links = links.union(given)
@@ -333,6 +338,7 @@ def class_links(docs: DataFrame, classes: DataFrame, given: DataFrame, size: int
     inside = apart.where("component = main").groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("inside"))
     around = apart.where("component <> main").join(compact(inside, "inside"), "key")
     around = around.select(F.least("rep", "inside").alias("a"), F.greatest("rep", "inside").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    around = compact(around, "pairs")
     around = compact(plausible(around, sketched, percent), "around")
     if around.n_rows:
         links = compact(links.union(verify(docs, around, classes, size, percent, doc_id, text)), "known")
@@ -464,4 +470,6 @@ def cross_links(apart: DataFrame, classes: DataFrame, size: int, percent: int, d
     flagged = compact(flagged, "flagged", WIDE)
     full = full_sets(docs, flagged.select(F.col("rep").alias("id")), classes, size, doc_id, text)
     again = flagged.join(full.withColumnRenamed("id", "rep"), "rep").select(*flagged.columns, "set")
-    return compact(again.repartition(parts, *GROUP).sortWithinPartitions(*GROUP).mapInPandas(join, "a long, b long").distinct(), "more")
+    out = compact(again.repartition(parts, *GROUP).sortWithinPartitions(*GROUP).mapInPandas(join, "a long, b long").distinct(), "more")
+    drop(with_regs, flagged, full)
+    return out

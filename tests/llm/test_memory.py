@@ -5,7 +5,7 @@ from pathlib import Path
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from rowloom.llm import alignment, packing
+from rowloom.llm import alignment, hyperminhash, packing
 from rowloom.scratch import folder
 
 
@@ -41,3 +41,11 @@ def test_pieces_are_written_in_as_few_files_as_they_need(spark):
     whole = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.min("offset").alias("first"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert got.select("doc_id").distinct().count() == 400 and whole.where("n > 1024 or first <> 0 or end <> n").isEmpty()
     assert got.groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).where("n <> doc_tokens").isEmpty()
+
+
+def test_small_stars_are_not_cut(spark):
+    """A centre goes once to the group of a small star, not to a cell for each member."""
+    carried = spark.range(1000).select("id", F.lit(1).cast("long").alias("n"), F.lit(b"x").alias("data"))
+    pairs = spark.range(1000).where("id % 10 > 0").select((F.col("id") - F.col("id") % 10).alias("a"), F.col("id").alias("b"))
+    rows = hyperminhash.stars(pairs, carried)
+    assert rows.where("role = 0").count() == 100 and rows.where("role = 1").count() == 900
