@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigInvalid
 from ..functions import rng
+from ..scratch import materialise
 from .prefix import running_before
+from .unique import permuted
 
 
 @dataclass(frozen=True)
@@ -73,10 +76,28 @@ def allocate(parents: DataFrame, total: int, spec: Cardinality, share="share", o
     return c.withColumn("n_children", F.col("__c").cast("long")).drop("__c")
 
 
-def expand(parents: DataFrame, seed: int, table: str, column: str, keys: list[str]) -> DataFrame:
-    """One row a child: the parent's keys and a shuffled ``child_ord`` 0..T-1."""
-    from .prefix import ordinals
+#: Children that a task makes, about: parents are small, so their own number of tasks says little.
+CHILDREN = 2_000_000
+
 
-    each = parents.where("n_children > 0").select(*keys, "ord", F.explode(F.sequence(F.lit(1), F.col("n_children").cast("int"))).alias("k"))
-    each = each.withColumn("__u", F.xxhash64(F.lit(seed), F.lit(table), F.lit(column), "ord", "k"))
-    return ordinals(each, ["__u", "ord", "k"], "child_ord").select(*keys, "child_ord")
+def expand(parents: DataFrame, seed: int, table: str, column: str, keys: list[str]) -> DataFrame:
+    """One row a child: the parent's keys and a shuffled ``child_ord`` 0..T-1. parents: distinct ``ord``.
+
+    Children stand behind those of earlier parents, and their places are permuted by arithmetic: only parents are summed
+    (and written once), and children are made where their parent is, so they aren't sorted, moved or written."""
+    some = parents.where("n_children > 0").select(*keys, "ord", F.col("n_children").cast("long").alias("n_children"))
+    held = materialise(running_before(some, "n_children", "ord", "__before").drop("ord"), "parents")
+    total = int(held.agg(F.sum("n_children")).first()[0] or 0)
+    tasks = -(-total // CHILDREN)
+    dealt = held.repartition(tasks, "__before") if tasks > 1 else held
+    each = dealt.select(*keys, "__before", F.explode(F.sequence(F.lit(1), F.col("n_children").cast("int"))).alias("__k"))
+    if total == 0:
+        return each.select(*keys, F.lit(0).cast("long").alias("child_ord"))
+    drawn = crc32(f"{seed}|{table}|{column}".encode())
+    each = each.select(*keys, permuted(F.col("__before") + F.col("__k") - 1, total, drawn).alias("child_ord"))
+    for again in range(2):  # some places change with their mirror images, so that siblings lie at no regular distance
+        mirror = F.pmod(F.lit((drawn * (2 * again + 3) + again) % total) - F.col("child_ord"), F.lit(total))
+        each = each.withColumn("__mirror", mirror)
+        chosen = F.xxhash64(F.lit(drawn + again), F.greatest("child_ord", "__mirror")) % 2 == 0
+        each = each.select(*keys, F.when(chosen, F.col("child_ord")).otherwise(F.col("__mirror")).alias("child_ord"))
+    return each
