@@ -949,12 +949,17 @@ def streamed_rows(spark, d):
     return streamed(spark, t, generate.Config(SEED), n_rows(spark, d, "orders"))
 
 
+#: Row numbers in a file of a stream's source.
+STREAMED = 500_000
+
+
 def streamed(spark: SparkSession, t: Table, config: generate.Config, n: int, schema: Schema | None = None, existing_rows=None) -> DataFrame:
-    """n rows of a table through a stream: row numbers come from files, one each trigger, and rows go to files."""
+    """n rows of a table through a stream: row numbers come from files of bounded size, in two triggers, and rows go to files."""
     from ..streaming.generator import project, write_stream
 
-    numbers = materialise(spark.range(0, n, 1, 4).select(F.col("id").alias("__row")), "numbers")
-    source = spark.readStream.schema("__row long").option("maxFilesPerTrigger", 2).parquet(numbers.scratch_path)
+    parts = max(4, -(-n // STREAMED))
+    numbers = materialise(spark.range(0, n, 1, parts).select(F.col("id").alias("__row")), "numbers")
+    source = spark.readStream.schema("__row long").option("maxFilesPerTrigger", -(-parts // 2)).parquet(numbers.scratch_path)
     made = project(source, t, config, schema, existing_rows)
     at = numbers.scratch_path + "-streamed"
     write_stream(made, at, at + "-checkpoint")
@@ -982,7 +987,11 @@ def streamed_unique(spark, d):
     links = Table("links", (Column("a_id", Kind.BIGINT, nullable=False), Column("b_id", Kind.BIGINT, nullable=False), Column("name", Kind.VARCHAR, max_length=20, nullable=False)), ("a_id", "b_id"), (ForeignKey(("a_id",), "a", ("id",)), ForeignKey(("b_id",), "b", ("id",))), (("name",),))
     s = Schema.of(Table("a", (key,), ("id",)), Table("b", (key,), ("id",)), links)
     made = streamed(spark, links, generate.Config(SEED, rows_of={"a": left, "b": right, "links": n}), n, s)
-    return made.agg(F.count("*").alias("n_rows"), F.countDistinct("name").alias("n_names"), F.countDistinct("a_id", "b_id").alias("n_pairs"), F.count_if(~F.col("a_id").between(1, left) | ~F.col("b_id").between(1, right)).alias("out_of_range"))
+    sums = made.agg(F.count("*").alias("n_rows"), F.count_if(~F.col("a_id").between(1, left) | ~F.col("b_id").between(1, right)).alias("out_of_range"))
+    # Each distinct count by itself: together they would make two rows of each, and a task would hold both.
+    names = made.agg(F.countDistinct("name").alias("n_names"))
+    pairs = made.agg(F.countDistinct("a_id", "b_id").alias("n_pairs"))
+    return sums.crossJoin(names).crossJoin(pairs).select("n_rows", "n_names", "n_pairs", "out_of_range")  # a row each
 
 
 def queries() -> dict:

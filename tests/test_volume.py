@@ -5,7 +5,9 @@ from pathlib import Path
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from rowloom.operators import cardinality
+from rowloom.operators import cardinality, generate
+from rowloom.plans import registry
+from rowloom.schema import Column, Kind, Table
 from rowloom.scratch import folder
 
 
@@ -29,3 +31,15 @@ def test_children_are_neither_written_nor_moved(spark, capsys):
     of = [r["child_ord"] for r in got if r["parent"] == 99]
     assert len({b - a for a, b in zip(of, of[1:])}) > 20 and max(of) - min(of) > n / 2
     assert cardinality.expand(parents.where("n_children = 0"), 1, "t", "c", ["parent"]).count() == 0
+
+
+def test_a_stream_has_as_many_files_as_its_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(registry, "STREAMED", 100)
+    t = Table("flags", (Column("id", Kind.BIGINT, nullable=False, auto_increment=True),), ("id",))
+    before = set(written(spark))
+    made = registry.streamed(spark, t, generate.Config(1), 1050)
+    assert sorted(r["id"] for r in made.collect()) == list(range(1, 1051))
+    (numbers,) = [d for d in written(spark, before) if d.name.startswith("numbers-") and not d.name.endswith(("-streamed", "-checkpoint"))]
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in numbers.glob("*.parquet")]
+    assert len(sizes) == 11 and max(sizes) <= 100
+    assert len(list(Path(f"{numbers}-streamed-checkpoint", "commits").glob("[0-9]*"))) == 2
