@@ -35,8 +35,8 @@ def rank_within(df: DataFrame, by: tuple[str, ...], order: str, out: str, span:
     return running_before(df.withColumn("__one", F.lit(1).cast("long")), "__one", order, out, by, span).drop("__one")
 
 
-def ordinals(df: DataFrame, keys: list[str], out: str = "ord") -> DataFrame:
-    """df with 0..n-1 in key order, rows of equal keys in an order fixed by all their columns.
+def ordinals(df: DataFrame, keys: list[str], out: str = "ord", keep: list[str] | None = None, codec: str = "snappy") -> DataFrame:
+    """df (of its columns those in keep) with 0..n-1 in key order, rows of equal keys in an order fixed by all their columns.
 
     The rows are written once, range-partitioned and sorted; a row's number is its place in its file,
     behind the rows of the files before it. Files don't change between reads, so numbers don't
@@ -46,7 +46,7 @@ def ordinals(df: DataFrame, keys: list[str], out: str = "ord") -> DataFrame:
     plain = [F.col(f"`{f.name}`") for f in df.schema if not _holds_map(f.dataType)]
     tie = F.xxhash64(*plain) if plain else F.lit(0).cast("long")
     spread = df.withColumn("__tie", tie).repartitionByRange(*by, F.col("__tie")).sortWithinPartitions(*by, "__tie").drop("__tie")
-    held = materialise(spread, "ordinals", maxRecordsPerFile="0")
+    held = materialise(spread if keep is None else spread.select(*keep), "ordinals", codec, maxRecordsPerFile="0")
     tagged = held.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__place"))
     counts = tagged.groupBy("__file").agg(F.count("*").alias("__n"))
     # One row a file. Files are numbered as their ranges are.

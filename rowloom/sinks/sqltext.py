@@ -82,7 +82,7 @@ def insert_statements(df: DataFrame, table: str, columns: list[str], order: list
     they are numbered, so wide rows move as one string; a statement's rows meet once more."""
     batch = max(LEAST_BATCH, min(MOST_BATCH, batch))
     texts = df.select(*[F.col(c) for c in order], row_values(df, columns, dialect).alias("__v"))
-    rows = ordinals(texts, order, "__at").select(batch_number(F.col("__at"), batch).alias("batch"), "__at", F.col("__v").alias("v"))
+    rows = ordinals(texts, order, "__at", ["__v"], "zstd").select(batch_number(F.col("__at"), batch).alias("batch"), "__at", F.col("__v").alias("v"))
     grouped = rows.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("__at", "v"))).alias("vs"))
     return grouped.select("batch", F.concat(F.lit(insert_head(table, columns, dialect)), F.array_join(F.transform("vs", lambda x: x["v"]), ", "), F.lit(";")).alias("statement"))
 

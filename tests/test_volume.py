@@ -9,6 +9,7 @@ from rowloom.operators import cardinality, generate
 from rowloom.plans import registry
 from rowloom.schema import Column, Kind, Table
 from rowloom.scratch import folder
+from rowloom.sinks import sqltext
 
 
 def written(spark, before=()):
@@ -43,3 +44,16 @@ def test_a_stream_has_as_many_files_as_its_rows_need(spark, monkeypatch):
     sizes = [pq.ParquetFile(f).metadata.num_rows for f in numbers.glob("*.parquet")]
     assert len(sizes) == 11 and max(sizes) <= 100
     assert len(list(Path(f"{numbers}-streamed-checkpoint", "commits").glob("[0-9]*"))) == 2
+
+
+def test_statements_write_each_row_once_as_text(spark):
+    rows = spark.range(2000).select("id", (F.col("id") * 7).alias("other"), F.lit("x").alias("note"))
+    before = set(written(spark))
+    made = sqltext.insert_statements(rows, "t", rows.columns, ["id", "other"], 500)
+    ((numbered, n),) = written(spark, before).items()
+    assert n == 2000
+    files = [pq.ParquetFile(f) for f in numbered.glob("*.parquet")]
+    assert {tuple(f.schema_arrow.names) for f in files} == {("__v",)}
+    got = {r["batch"]: r["statement"] for r in made.collect()}
+    head = 'INSERT INTO "t" ("id", "other", "note") VALUES '
+    assert got == {b: head + ", ".join(f"({i}, {7 * i}, 'x')" for i in range(500 * b, 500 * b + 500)) + ";" for b in range(4)}
